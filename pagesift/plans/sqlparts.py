@@ -126,3 +126,104 @@ def similarity_sql(docs: str, id_col: str, text_col: str, profile: dict, anchors
                         THEN agg.dot / (sqrt(agg.dn2) * sqrt(coalesce(agg.qpart, 0) + c.c_anchor)) ELSE 0 END, 6) AS sim
       FROM {docs} d CROSS JOIN c LEFT JOIN agg ON agg.id = d.{id_col}
     )"""
+
+
+def posexplode_sql(src: str, key: str, list_expr: str, pos: str = "pos", val: str = "val") -> str:
+    """``(key, pos, val)`` rows for the elements of ``list_expr`` (0-based positions)."""
+    return f"""(SELECT {key}, _i - 1 AS {pos}, _l[_i] AS {val} FROM (
+                  SELECT {key}, _l, generate_subscripts(_l, 1) AS _i FROM (
+                    SELECT {key}, {list_expr} AS _l FROM {src})))"""
+
+
+def tokens_sql() -> str:
+    from pagesift.operators import tokens as TK
+
+    tk = posexplode_sql("pages", "page_id", f"regexp_extract_all(html, {q(H.TOKEN_STREAM_RE)}, 0)", "pos", "token")
+    return f"""(SELECT page_id, pos,
+        CASE WHEN starts_with(token, '<!--') THEN 'comment'
+             WHEN regexp_matches(token, '(?is)^<script') THEN 'script'
+             WHEN regexp_matches(token, '(?is)^<style') THEN 'style'
+             WHEN regexp_matches(token, {q(TK.END_TAG_RE)}) THEN 'end'
+             WHEN regexp_matches(token, {q(TK.TAG_NAME_RE)}) THEN 'start'
+             WHEN starts_with(token, '<') THEN 'other' ELSE 'text' END AS kind,
+        lower(coalesce(nullif(regexp_extract(token, {q(TK.TAG_NAME_RE)}, 1), ''),
+                       nullif(regexp_extract(token, {q(TK.END_TAG_RE)}, 1), ''))) AS tag,
+        token FROM {tk})"""
+
+
+def attr_sql(tok: str, name: str) -> str:
+    from pagesift.operators import tokens as TK
+
+    pat = q(TK.attr_re(name))
+    return " || ".join(f"regexp_extract({tok}, {pat}, {i})" for i in (1, 2, 3))
+
+
+def start_tags_sql() -> str:
+    return f"""(SELECT page_id, pos, tag, {attr_sql('token', 'class')} AS class, {attr_sql('token', 'id')} AS id
+               FROM {tokens_sql()} WHERE kind IN ('start', 'script', 'style'))"""
+
+
+def tag_score_sql(tag: str) -> str:
+    from pagesift.functions import scoring as SC
+
+    whens = " ".join(
+        f"WHEN lower({tag}) IN ({', '.join(q(t) for t in tags)}) THEN {score}" for tags, score in SC.TAG_SCORES
+    )
+    return f"(CASE {whens} ELSE 0 END)"
+
+
+def css_score_sql(cls: str, ident: str) -> str:
+    from pagesift.functions import scoring as SC
+
+    def one(x):
+        return (
+            f"(CASE WHEN coalesce({x}, '') = '' THEN 0 WHEN regexp_matches({x}, {q(SC.POSITIVE_RE)}) THEN 25 "
+            f"WHEN regexp_matches({x}, {q(SC.NEGATIVE_RE)}) THEN -25 ELSE 0 END)"
+        )
+
+    return f"({one(cls)} + {one(ident)})"
+
+
+def boilerplate_sql(cls: str, ident: str, tag: str) -> str:
+    from pagesift.functions import scoring as SC
+
+    def one(x):
+        return (
+            f"(coalesce({x}, '') <> '' AND regexp_matches({x}, {q(SC.EXCLUDE_RE)}) "
+            f"AND NOT regexp_matches({x}, {q(SC.ALLOW_RE)}))"
+        )
+
+    keep = ", ".join(q(t) for t in SC.BOILERPLATE_KEEP_TAGS)
+    return f"(({one(cls)} OR {one(ident)}) AND lower({tag}) NOT IN ({keep}))"
+
+
+def url_join_sql(base: str, href: str) -> str:
+    from pagesift.functions import urls as U
+
+    scheme = f"regexp_extract({base}, {q(U.BASE_SCHEME_RE)}, 1)"
+    netloc = f"regexp_extract({base}, {q(U.BASE_NETLOC_RE)}, 1)"
+    bpath = f"regexp_extract({base}, {q(U.BASE_PATH_RE)}, 1)"
+    bquery = f"regexp_extract({base}, {q(U.BASE_QUERY_RE)}, 1)"
+    origin = f"({scheme} || '://' || {netloc})"
+    hpath = f"regexp_extract({href}, {q(U.PATH_PART_RE)}, 1)"
+    suffix = f"regexp_extract({href}, {q(U.SUFFIX_RE)}, 1)"
+    bparts0 = f"string_split({bpath}, '/')"
+    bparts = f"(CASE WHEN {bparts0}[-1] <> '' THEN {bparts0}[1:len({bparts0}) - 1] ELSE {bparts0} END)"
+    merged0 = f"list_concat({bparts}, string_split({hpath}, '/'))"
+    merged = f"list_filter({merged0}, lambda x, i: i = 1 OR i = len({merged0}) OR x <> '')"
+    segs = f"(CASE WHEN starts_with({hpath}, '/') THEN string_split({hpath}, '/') ELSE {merged} END)"
+    folded0 = (
+        f"list_reduce({segs}, lambda acc, s: CASE WHEN s = '..' THEN acc[1:greatest(len(acc) - 1, 0)] "
+        f"WHEN s = '.' THEN acc ELSE list_append(acc, s) END, []::VARCHAR[])"
+    )
+    folded = f"(CASE WHEN coalesce({segs}[-1] IN ('.', '..'), false) THEN list_append({folded0}, '') ELSE {folded0} END)"
+    path0 = f"array_to_string({folded}, '/')"
+    path1 = f"(CASE WHEN {path0} = '' THEN '/' ELSE {path0} END)"
+    path = f"(CASE WHEN starts_with({path1}, '/') THEN {path1} ELSE '/' || {path1} END)"
+    return f"""(CASE WHEN {href} IS NULL THEN NULL
+                 WHEN {href} = '' THEN {base}
+                 WHEN regexp_matches({href}, {q(U.SCHEME_RE)}) THEN {href}
+                 WHEN starts_with({href}, '//') THEN {scheme} || ':' || {href}
+                 WHEN starts_with({href}, '#') THEN {origin} || {bpath} || {bquery} || {href}
+                 WHEN starts_with({href}, '?') THEN {origin} || {bpath} || {href}
+                 ELSE {origin} || {path} || {suffix} END)"""
