@@ -107,3 +107,24 @@ def frontier_expand(
     for lv in levels[1:]:
         out = out.unionByName(lv)
     return out
+
+
+def links_by_stage_grouped(pages: DataFrame, fields: list[tuple[str, str | None, str | None]]) -> DataFrame:
+    """``(page_id, url, next_stage, hrefs)``: the link lists of all fields that
+    feed one next stage, concatenated in field order, built inside each row."""
+    by_stage: dict[str, list] = {}
+    for name, scope, nxt in fields:
+        if nxt is None or nxt.strip() == "":
+            continue
+        src = F.col("html") if scope is None else F.regexp_extract("html", scope, 0)
+        hrefs = F.transform(F.regexp_extract_all(src, F.lit(H.ANCHOR_RE), 0), H.anchor_href)
+        by_stage.setdefault(nxt, []).append(hrefs)
+    parts = [
+        pages.select("page_id", "url", F.lit(nxt).alias("next_stage"),
+                     (F.concat(*arrs) if len(arrs) > 1 else arrs[0]).alias("hrefs"))
+        for nxt, arrs in by_stage.items()
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
