@@ -54,9 +54,9 @@ def stopword_load(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("term")).where(F.col("term") != "").distinct()
 
 
-def json_doc_load(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """Load JSON documents (one per file, possibly spread over many lines)."""
-    reader = spark.read.option("multiLine", "true")
+def json_doc_load(spark: SparkSession, path: str, schema=None, multi_line: bool = True) -> DataFrame:
+    """Load JSON documents: one per file spread over lines (``multi_line``) or one per line."""
+    reader = spark.read.option("multiLine", "true" if multi_line else "false")
     if schema is not None:
         reader = reader.schema(schema)
     return reader.json(path)
@@ -64,9 +64,6 @@ def json_doc_load(spark: SparkSession, path: str, schema=None) -> DataFrame:
 
 def log_scan(spark: SparkSession, log_dir: str, entrance: str) -> DataFrame:
     """Lines of an entrance's latest log: files named ``<entrance>…_latest.log``."""
-    df = (
-        spark.read.option("pathGlobFilter", f"{entrance}*_latest.log")
-        .text(log_dir)
-        .select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("line"))
+    return spark.read.text(f"{log_dir.rstrip('/')}/{entrance}*_latest.log").select(
+        F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("line")
     )
-    return df
