@@ -20,6 +20,7 @@ MODULES = (
     "pagesift.plans.reg_config",
     "pagesift.plans.reg_dom",
     "pagesift.plans.reg_frontier",
+    "pagesift.plans.reg_select",
     "pagesift.plans.reg_stream",
 )
 
