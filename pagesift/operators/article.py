@@ -136,11 +136,11 @@ def paragraph_score(nodes: DataFrame) -> DataFrame:
         content_score(F.col("tag"), F.col("text")).alias("cs"),
     ).where(F.col("cs").isNotNull())
     parent = c.select(
-        "page_id", F.element_at("path", -1).alias("node_id"), "seq_rank", F.col("start").alias("seq_start"),
+        "page_id", F.try_element_at("path", F.lit(-1)).alias("node_id"), "seq_rank", F.col("start").alias("seq_start"),
         F.lit(0).alias("seq_role"), F.col("cs").alias("add"),
     )
     grand = c.where(F.size("path") >= 2).select(
-        "page_id", F.element_at("path", -2).alias("node_id"), "seq_rank", F.col("start").alias("seq_start"),
+        "page_id", F.try_element_at("path", F.lit(-2)).alias("node_id"), "seq_rank", F.col("start").alias("seq_start"),
         F.lit(1).alias("seq_role"), (F.col("cs") / 2.0).alias("add"),
     )
     w = Window.partitionBy(*KEY).orderBy("seq_rank", "seq_start", "seq_role")
