@@ -27,3 +27,14 @@ def param_frame(spark: SparkSession, rows: list, schema: str, max_rows: int = BR
     """
     df = spark.createDataFrame(rows, schema)
     return F.broadcast(df) if len(rows) <= max_rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread CPU-heavy per-row work over the cluster when the input has
+    fewer partitions than task slots (one large file, one row group).
+
+    On a big input (thousands of splits) this is a no-op; on a small one it
+    is a round-robin repartition, which cannot skew.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df

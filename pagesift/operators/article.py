@@ -25,9 +25,18 @@ def _elems(nodes):
     return nodes.where(F.col("kind") == "elem")
 
 
+def boilerplate_roots(nodes: DataFrame) -> DataFrame:
+    return _elems(nodes).where(SC.is_boilerplate(F.col("class"), F.col("id"), F.col("tag"))).select(*KEY)
+
+
 def boilerplate_filter(nodes: DataFrame) -> DataFrame:
-    roots = _elems(nodes).where(SC.is_boilerplate(F.col("class"), F.col("id"), F.col("tag")))
-    return subtree_anti(nodes, roots)
+    return subtree_anti(nodes, boilerplate_roots(nodes))
+
+
+def clean_and_filter(nodes: DataFrame) -> DataFrame:
+    """Cleaning and the boilerplate filter in one subtree anti-join (a
+    boilerplate root inside a removed script/style subtree is removed anyway)."""
+    return html_clean_nodes(nodes, boilerplate_roots(nodes))
 
 
 def _child_shape(nodes: DataFrame) -> DataFrame:
@@ -106,30 +115,36 @@ def content_score(tag, text):
     return F.when(keep, score)
 
 
-def link_density(nodes: DataFrame, targets: DataFrame, target_text: DataFrame) -> DataFrame:
+def scoring_texts(nodes: DataFrame) -> DataFrame:
+    """Collapsed text of every element the scoring reads, in one pass:
+    candidates, their parents and grandparents, and anchors."""
+    elems = _elems(nodes)
+    cands = elems.where(F.col("tag").isin(*SC.CANDIDATE_TAGS) & F.col("parent_id").isNotNull())
+    ups = cands.select("page_id", F.explode(F.slice(F.reverse("path"), 1, 2)).alias("node_id"))
+    anchors = elems.where(F.col("tag") == "a").select(*KEY)
+    return node_text(nodes, cands.select(*KEY).unionByName(ups).unionByName(anchors))
+
+
+def link_density(nodes: DataFrame, targets: DataFrame, texts: DataFrame) -> DataFrame:
     """``(page_id, node_id, density)``: length of the text of descendant ``<a>``
-    elements over the node's text length (at least 1)."""
-    anchors = _elems(nodes).where(F.col("tag") == "a")
-    a_len = node_text(nodes, anchors.select(*KEY)).select(*KEY, F.length("text").alias("a_len"))
-    a_up = anchors.select("page_id", "node_id", F.explode("path").alias("anc")).join(a_len, KEY)
-    sums = (
-        a_up.join(targets.select("page_id", F.col("node_id").alias("anc")), ["page_id", "anc"], "left_semi")
-        .groupBy("page_id", "anc")
-        .agg(F.sum("a_len").alias("link_len"))
-        .withColumnRenamed("anc", "node_id")
-    )
-    t = target_text.select(*KEY, F.length("text").alias("t_len"))
+    elements over the node's text length (at least 1).  ``texts`` must cover
+    the targets and the anchors."""
+    anchors = _elems(nodes).where(F.col("tag") == "a").select("page_id", "node_id", "path")
+    a_len = anchors.join(texts, KEY).select("page_id", F.length("text").alias("a_len"), F.explode("path").alias("node_id"))
+    tg = targets.select(*KEY).distinct()
+    sums = a_len.join(tg, KEY, "left_semi").groupBy(*KEY).agg(F.sum("a_len").alias("link_len"))
+    t = tg.join(texts, KEY).select(*KEY, F.length("text").alias("t_len"))
     return t.join(sums, KEY, "left").select(
         *KEY, (F.coalesce("link_len", F.lit(0)).cast("double") / F.greatest("t_len", F.lit(1))).alias("density")
     )
 
 
-def paragraph_score(nodes: DataFrame) -> DataFrame:
+def paragraph_score(nodes: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """``(page_id, node_id, score, seq_rank, seq_start, seq_role)`` for scored nodes."""
+    texts = scoring_texts(nodes) if texts is None else texts
     elems = _elems(nodes)
     cands = elems.where(F.col("tag").isin(*SC.CANDIDATE_TAGS) & F.col("parent_id").isNotNull())
-    ctext = node_text(nodes, cands.select(*KEY))
-    c = cands.select(*KEY, "tag", "start", "path").join(ctext, KEY)
+    c = cands.select(*KEY, "tag", "start", "path").join(texts, KEY)
     c = c.select(
         "page_id", "start", "path",
         F.array_position(F.array(*[F.lit(t) for t in SC.CANDIDATE_TAGS]), F.col("tag")).alias("seq_rank"),
@@ -148,8 +163,7 @@ def paragraph_score(nodes: DataFrame) -> DataFrame:
     scored = first.join(elems.select(*KEY, "tag", "class", "id"), KEY)
     base = (SC.tag_score(F.col("tag")) + SC.css_score(F.col("class"), F.col("id"))).cast("double") + F.col("add")
     scored = scored.select(*KEY, "seq_rank", "seq_start", "seq_role", base.alias("base"))
-    stext = node_text(nodes, scored.select(*KEY))
-    ld = link_density(nodes, scored.select(*KEY), stext)
+    ld = link_density(nodes, scored.select(*KEY), texts)
     return scored.join(ld, KEY).select(
         *KEY, (F.col("base") * (F.lit(1.0) - F.col("density"))).alias("score"), "seq_rank", "seq_start", "seq_role"
     )
@@ -169,8 +183,9 @@ def _lead_len(nodes: DataFrame) -> DataFrame:
     return lead.groupBy(*KEY).agg(F.sum(F.length("text")).alias("lead_len"))
 
 
-def article_expand(nodes: DataFrame, scores: DataFrame, best: DataFrame) -> DataFrame:
+def article_expand(nodes: DataFrame, scores: DataFrame, best: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """``(page_id, body)``: text of the best node's qualifying siblings (with their tails)."""
+    texts = scoring_texts(nodes) if texts is None else texts
     elems = _elems(nodes)
     b = best.join(elems.select(*KEY, "parent_id"), KEY).select(
         "page_id", F.col("node_id").alias("best_id"), F.col("parent_id").alias("best_parent"),
@@ -188,8 +203,7 @@ def article_expand(nodes: DataFrame, scores: DataFrame, best: DataFrame) -> Data
     sibs = sib_of_parent.unionByName(root_best)
 
     p_sibs = sibs.where(F.col("tag") == "p").select(*KEY)
-    p_text = node_text(nodes, p_sibs)
-    p_ld = link_density(nodes, p_sibs, p_text)
+    p_ld = link_density(nodes, p_sibs, texts)
     s = (
         sibs.join(scores.select(*KEY, F.col("score").alias("sib_score")), KEY, "left")
         .join(p_ld, KEY, "left")
@@ -208,7 +222,8 @@ def article_expand(nodes: DataFrame, scores: DataFrame, best: DataFrame) -> Data
     inside = texts.select("page_id", "start", "text", F.explode("path").alias("node_id")).join(chosen, KEY, "left_semi")
     # A text child belongs (as tail) to the element sibling just before it.
     w = Window.partitionBy("page_id", "parent_id").orderBy("sib_ord").rowsBetween(Window.unboundedPreceding, 0)
-    owners = nodes.where(F.col("parent_id").isNotNull()).select(
+    parents = b.where(F.col("best_parent").isNotNull()).select("page_id", F.col("best_parent").alias("parent_id"))
+    owners = nodes.join(parents, ["page_id", "parent_id"], "left_semi").select(
         "page_id", "kind", "start", "text",
         F.last(F.when(F.col("kind") == "elem", F.col("node_id")), ignorenulls=True).over(w).alias("node_id"),
     )
@@ -231,8 +246,9 @@ def cut(df: DataFrame) -> DataFrame:
 
 def article_text(nodes: DataFrame) -> DataFrame:
     """``(page_id, body)`` for every page with at least one scored candidate."""
-    n = cut(boilerplate_filter(cut(html_clean_nodes(cut(nodes)))))
+    n = cut(clean_and_filter(cut(nodes)))
     n = cut(div_to_paragraph(n))
-    scores = cut(paragraph_score(n))
+    texts = cut(scoring_texts(n))
+    scores = cut(paragraph_score(n, texts))
     best = top_paragraph(scores)
-    return article_expand(n, scores, best)
+    return article_expand(n, scores, best, texts)

@@ -205,10 +205,10 @@ def _nodes_of_batches(batches, chunk_pages: int = 64):
 
 
 def html_nodes(pages: DataFrame) -> DataFrame:
-    """``pages(page_id, html)`` → node table, repartitioned once by ``page_id``
-    so that every later join, window and aggregate on the page key reuses it."""
-    nodes = pages.select("page_id", "html").mapInPandas(_nodes_of_batches, NODE_SCHEMA)
-    return nodes
+    """``pages(page_id, html)`` → node table (one Python pass per page)."""
+    from pagesift.functions.joins import spread
+
+    return spread(pages.select("page_id", "html")).mapInPandas(_nodes_of_batches, NODE_SCHEMA)
 
 
 def subtree_anti(nodes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -227,9 +227,12 @@ def subtree_anti(nodes: DataFrame, roots: DataFrame) -> DataFrame:
 CLEAN_TAGS = ("script", "style", "link")
 
 
-def html_clean_nodes(nodes: DataFrame) -> DataFrame:
-    """Drop script, style and ``<link>`` elements with their subtrees (comments are never nodes)."""
-    roots = nodes.where(F.col("tag").isin(*CLEAN_TAGS))
+def html_clean_nodes(nodes: DataFrame, extra_roots: DataFrame | None = None) -> DataFrame:
+    """Drop script, style and ``<link>`` elements with their subtrees (comments
+    are never nodes); ``extra_roots`` are removed in the same anti-join."""
+    roots = nodes.where(F.col("tag").isin(*CLEAN_TAGS)).select("page_id", "node_id")
+    if extra_roots is not None:
+        roots = roots.unionByName(extra_roots.select("page_id", "node_id"))
     return subtree_anti(nodes, roots)
 
 

@@ -54,7 +54,9 @@ def profile_counts(profile: DataFrame, group_cols: tuple[str, ...] = ()) -> Data
 def doc_terms(docs: DataFrame, id_col: str, text_col: str, stopwords: DataFrame | None) -> DataFrame:
     """``(id, term)`` per token; stop words become null terms, so a text whose
     tokens are all stop words (or that has none) still yields its id."""
-    t = docs.select(id_col, F.explode_outer(tokens(F.trim(F.col(text_col)))).alias("term"))
+    from pagesift.functions.joins import spread
+
+    t = spread(docs.select(id_col, text_col)).select(id_col, F.explode_outer(tokens(F.trim(F.col(text_col)))).alias("term"))
     if stopwords is not None:
         flagged = stopwords.select("term", F.lit(True).alias("_stop"))
         t = t.join(flagged, "term", "left").select(

@@ -39,6 +39,18 @@ def url_dedup(pages: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     )
 
 
+def keep_where(df: DataFrame, cond) -> DataFrame:
+    """``df.where(cond)`` evaluated *after* the projection that feeds it.
+
+    A plain filter on a computed column is pushed below its projection, so
+    the expensive columns (the page text) would be computed twice: once for
+    the condition, once for the output.  A generator over the condition is
+    not pushed down, so each row's text is built once.
+    """
+    keep = F.explode(F.when(cond, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))
+    return df.select("*", keep.alias("_keep")).drop("_keep")
+
+
 def text_form(pages: DataFrame) -> DataFrame:
     """``page_id, url, body, title, photos`` by regex extraction (no parser)."""
     return pages.select(
@@ -81,5 +93,5 @@ def relevant_articles(
     words = profile_words(spark, profile)
     fresh = url_dedup(pages.select("page_id", "url", "html"), seen)
     scored = text_form(fresh).withColumn("sim", row_similarity(F.col("body"), words, anchors, stopwords))
-    passed = scored.where(F.col("sim") >= F.lit(float(threshold)))
+    passed = keep_where(scored, F.col("sim") >= F.lit(float(threshold)))
     return article_sink(passed, tag, run_ts)

@@ -22,7 +22,7 @@ def _nodes(spark, sf):
 
 def _prepared(spark, sf):
     n = _nodes(spark, sf)
-    return A.cut(A.div_to_paragraph(A.cut(A.boilerplate_filter(A.cut(D.html_clean_nodes(n))))))
+    return A.cut(A.div_to_paragraph(A.cut(A.clean_and_filter(n))))
 
 
 def _flat(nodes):
