@@ -134,17 +134,22 @@ STAGE_CHECKS = [
 ]
 
 
-def stage_issues(stages: DataFrame, stage_col: str = "stage") -> DataFrame:
-    """Issues of each stage row (``stage`` is a VARIANT): ``ord, field, severity, message``.
+def _with_types(stages: DataFrame, stage_col: str) -> DataFrame:
+    """One column per checked key with the JSON type found there (computed once)."""
+    v = F.col(stage_col)
+    return stages.select("*", *[_vtype(v, path).alias(f"_t{o}") for o, path, *_ in STAGE_CHECKS])
+
+
+def stage_issue_array() -> Column:
+    """``array<struct<ord, field, severity, message>>`` from the ``_t*`` type columns.
 
     Missing necessary key or wrong type → error; missing optional key →
     warning.  Children are checked only when their parent passed.
     """
-    v = F.col(stage_col)
     ok: dict[int, Column] = {}
     items = []
     for ord_, path, name, typ, necessary, parent in STAGE_CHECKS:
-        t = _vtype(v, path)
+        t = F.col(f"_t{ord_}")
         gate = ok[parent] if parent is not None else F.lit(True)
         ok[ord_] = gate & t.isNotNull() & (t == typ)
         missing = gate & t.isNull()
@@ -155,9 +160,31 @@ def stage_issues(stages: DataFrame, stage_col: str = "stage") -> DataFrame:
             F.when(missing, F.struct(F.lit(ord_).alias("ord"), F.lit(name).alias("field"), F.lit(sev_missing).alias("severity"), F.lit(msg_missing).alias("message")))
             .when(wrong, F.struct(F.lit(ord_).alias("ord"), F.lit(name).alias("field"), F.lit("error").alias("severity"), F.lit(f"{name} type error").alias("message")))
         )
-    arr = F.filter(F.array(*items), lambda x: x.isNotNull())
+    return F.filter(F.array(*items), lambda x: x.isNotNull())
+
+
+def stage_issues(stages: DataFrame, stage_col: str = "stage") -> DataFrame:
+    """Issues of each stage row (``stage`` is a VARIANT): ``ord, field, severity, message``."""
+    from pagesift.functions.joins import spread
+
+    keep = [c for c in stages.columns if c != stage_col]
+    return _with_types(spread(stages), stage_col).select(*keep, F.inline(stage_issue_array()))
+
+
+def stage_verdicts(stages: DataFrame, stage_col: str = "stage") -> DataFrame:
+    """Per stage row, computed in the row (no explode, no shuffle): error and
+    warning counts and the pass flags of check and correct mode."""
+    from pagesift.functions.joins import spread
+
     keep = [c for c in stages.columns if c != stage_col]
-    return stages.select(*keep, F.inline(arr))
+    x = _with_types(spread(stages), stage_col).select(*keep, stage_issue_array().alias("_i"))
+    errors = F.size(F.filter("_i", lambda i: i["severity"] == "error"))
+    warnings = F.size(F.filter("_i", lambda i: i["severity"] == "warning"))
+    return x.select(*keep, errors.alias("errors"), warnings.alias("warnings")).select(
+        *keep, "errors", "warnings",
+        ((F.col("errors") == 0) & (F.col("warnings") == 0)).alias("check_pass"),
+        (F.col("errors") == 0).alias("correct_pass"),
+    )
 
 
 def parser_field_issues(tree: DataFrame, group_cols: list[str]) -> DataFrame:

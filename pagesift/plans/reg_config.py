@@ -218,13 +218,8 @@ def q_config_validate(spark, sf):
 
 @register("config_verdict")
 def q_config_verdict(spark, sf):
-    st = _stages(spark, sf).select("id", "stage_idx")
-    counts = C.verdict(_issues(spark, sf).withColumn("counted", F.lit(True)), ["id", "stage_idx"])
-    v = st.join(counts, ["id", "stage_idx"], "left").select(
-        "id", "stage_idx",
-        F.coalesce("errors", F.lit(0)).alias("errors"), F.coalesce("warnings", F.lit(0)).alias("warnings"),
-        F.coalesce("check_pass", F.lit(True)).alias("check_pass"), F.coalesce("correct_pass", F.lit(True)).alias("correct_pass"),
-    )
+    """Per rule: issue counts and pass flags; a rule passes when all its stages do."""
+    v = C.stage_verdicts(_stages(spark, sf), "stage")
     return v.groupBy("id").agg(
         F.sum("errors").alias("errors"), F.sum("warnings").alias("warnings"),
         F.every("check_pass").alias("check_pass"), F.every("correct_pass").alias("correct_pass"),
