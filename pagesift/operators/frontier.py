@@ -46,13 +46,19 @@ def links_by_stage(pages: DataFrame, fields: list[tuple[str, str | None, str | N
     return out
 
 
-def stage_route(links: DataFrame, stages: DataFrame, depth_col: str | None = None) -> DataFrame:
+def stage_route(links: DataFrame, stages: DataFrame, depth_col: str | None = None,
+                remove_repeats: bool = False) -> DataFrame:
     """Each link becomes a request of its next stage (first stage of that name wins).
 
     The stage table is configuration-sized; it is broadcast behind a row bound.
     A link to an unknown stage keeps a ``route_error`` instead of silently
-    running the start stage.
+    running the start stage.  ``remove_repeats`` drops repeated request URLs
+    of one page and stage (the first position is kept).
     """
+    if remove_repeats:
+        resolved = links.withColumn("_abs", url_join(F.col("url"), F.col("href")))
+        firsts = resolved.groupBy("page_id", "next_stage", "_abs").agg(F.min("pos").alias("pos"))
+        links = resolved.join(firsts, ["page_id", "next_stage", "_abs", "pos"], "left_semi").drop("_abs")
     first = stages.groupBy("name").agg(F.min_by("stage_ord", "stage_ord").alias("stage_ord"))
     st = bounded_broadcast(first.withColumnRenamed("name", "next_stage"))
     j = links.join(st, "next_stage", "left")

@@ -308,7 +308,10 @@ def q_drop_blank_items(spark, sf):
     return d.select("doc_id", F.size(C.drop_blank_items(F.split("text", "\n"))).alias("n_items"))
 
 
-@register("kv_to_map")
+@register(
+    "kv_to_map",
+    """SELECT conv_id, turn, '{"turn":"' || turn || '","' || role || '":"last"}' AS obj FROM conversations""",
+)
 def q_kv_to_map(spark, sf):
     """Key/value lists with a repeated key (last wins) → JSON objects."""
     c = table(spark, sf, "conversations", "conv_id", "turn", "role", "text")
@@ -320,7 +323,13 @@ def q_kv_to_map(spark, sf):
     return c.select("conv_id", "turn", F.to_json(C.kv_to_map(entries)).alias("obj"))
 
 
-@register("map_to_kv")
+@register(
+    "map_to_kv",
+    """SELECT event_id, '' AS key, '' AS value FROM events WHERE event_type = 'signup'
+       UNION ALL
+       SELECT event_id, k AS key, json_extract_string(props, '$.' || k) AS value
+       FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events WHERE event_type <> 'signup')""",
+)
 def q_map_to_kv(spark, sf):
     """JSON objects → key/value rows; an empty object gives one blank pair."""
     e = table(spark, sf, "events", "event_id", "event_type", "props")
@@ -383,7 +392,10 @@ def q_json_doc_load(spark, sf):
     return json_doc_load(spark, path, multi_line=False)
 
 
-@register("log_scan")
+@register(
+    "log_scan",
+    "SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE lang = 'en'",
+)
 def q_log_scan(spark, sf):
     """Latest-log lines of one entrance among several written logs."""
     base = scratch_path(spark, f"logs-{abs(hash(sf))}")
@@ -393,4 +405,4 @@ def q_log_scan(spark, sf):
         sel = lines.where(F.col("lang") == lang).select("value")
         sel.write.mode("overwrite").text(f"{base}/task_{lang}_latest.log")
         sel.write.mode("overwrite").text(f"{base}/task_{lang}_old.log")
-    return log_scan(spark, base, "task_en")
+    return log_scan(spark, base, "task_en").select("line")

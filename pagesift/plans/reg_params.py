@@ -125,7 +125,14 @@ def q_request_build(spark, sf):
     )
 
 
-@register("param_env")
+@register(
+    "param_env",
+    lambda: f"""SELECT p_partkey, loop_ord,
+                       to_json({{'s': {{'name': '{STAGE}', 'brand': p_brand,
+                                       'header': {{'loop': {{'word_item': word_item, 'kind_item': kind_item}}}}}},
+                                 'e': {{'host': '{HOST}'}}}})::VARCHAR AS env
+                FROM ({_loops_sql()})""",
+)
 def q_param_env(spark, sf):
     """The template environment of each request, as JSON (``s``, ``e``)."""
     r = _requests(spark, sf)

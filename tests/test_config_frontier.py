@@ -95,3 +95,13 @@ def test_stage_route_unknown_stage(spark):
     stages = spark.createDataFrame([("list", 0)], "name string, stage_ord int")
     r = FR.stage_route(links, stages).first()
     assert r["request_url"] == "http://h/x" and r["route_error"] == "unknown stage: nx"
+
+
+def test_stage_route_remove_repeats(spark):
+    links = spark.createDataFrame(
+        [(1, "http://h/p", "a", "list", 0, "/x"), (1, "http://h/p", "a", "list", 1, "http://h/x"), (1, "http://h/p", "a", "list", 2, "/y")],
+        "page_id long, url string, field string, next_stage string, pos int, href string")
+    stages = spark.createDataFrame([("list", 0)], "name string, stage_ord int")
+    assert FR.stage_route(links, stages).count() == 3
+    got = sorted((r["pos"], r["request_url"]) for r in FR.stage_route(links, stages, remove_repeats=True).collect())
+    assert got == [(0, "http://h/x"), (2, "http://h/y")]
