@@ -169,6 +169,52 @@ def rules(spark, sf):
     return p.select(F.col("p_partkey").alias("id"), (size % 2 == 0).alias("scheduled"), rule.alias("rule_raw"), "p_size")
 
 
+def stages_sql() -> str:
+    """``(id, stage_idx, stage JSON)``: the two stages of each part's rule (JSON
+    nulls where the Spark side omits a key; both mean "missing" to the checks)."""
+    return """(
+      SELECT p_partkey AS id, 0 AS stage_idx, json_object(
+          'name', 'list',
+          'header', CASE WHEN p_size % 3 = 0 THEN json_object('external', json('[]'), 'loop', json('{}')) END,
+          'request', json_object('url', CASE WHEN p_size % 7 <> 0 THEN 'https://shop.example.com/' || lower(p_brand) END,
+                                 'method', CASE WHEN p_size % 2 = 0 THEN 'GET' END),
+          'parser', json('[{"loc":"s.parser"},{"loc":"x"}]'),
+          'remove_repeats', CASE WHEN p_size % 4 <> 0 THEN true END) AS stage FROM part
+      UNION ALL
+      SELECT p_partkey, 1, json_object(
+          'name', 'detail',
+          'request', json_object('url', '{{s.detail_url}}'),
+          'parser', CASE WHEN p_size % 11 <> 0 THEN json('[]') END,
+          'auto_parse_body', true, 'need_refresh', false,
+          'remove_repeats', CASE WHEN p_size % 6 = 0 THEN 'yes' END) FROM part)"""
+
+
+def _jtype(path: str) -> str:
+    t = f"json_type(stage, '{path}')"
+    return (f"(CASE WHEN {t} IS NULL OR {t} = 'NULL' THEN NULL WHEN {t} = 'OBJECT' THEN 'dict' "
+            f"WHEN {t} = 'ARRAY' THEN 'list' WHEN {t} = 'VARCHAR' THEN 'str' WHEN {t} = 'BOOLEAN' THEN 'bool' "
+            f"ELSE 'number' END)")
+
+
+def issues_sql() -> str:
+    """The stage checks restated in SQL over the JSON text."""
+    ok = {}
+    parts = []
+    for ord_, path, name, typ, necessary, parent in C.STAGE_CHECKS:
+        t = _jtype(path)
+        gate = ok[parent] if parent is not None else "true"
+        ok[ord_] = f"({gate} AND {t} IS NOT NULL AND {t} = '{typ}')"
+        sev = "error" if necessary else "warning"
+        msg = f"Necessary part {name} lose" if necessary else f"{name} lose"
+        parts.append(
+            f"SELECT id, stage_idx, {ord_} AS ord, '{name}' AS field, "
+            f"CASE WHEN {t} IS NULL THEN '{sev}' ELSE 'error' END AS severity, "
+            f"CASE WHEN {t} IS NULL THEN '{msg}' ELSE '{name} type error' END AS message "
+            f"FROM {stages_sql()} WHERE {gate} AND ({t} IS NULL OR {t} <> '{typ}')"
+        )
+    return "(" + " UNION ALL ".join(parts) + ")"
+
+
 def _stages(spark, sf):
     r = rules(spark, sf)
     st = F.from_json(F.get_json_object("rule_raw", "$._stages"), "array<string>")
@@ -211,12 +257,22 @@ def _issues(spark, sf):
     return C.stage_issues(_stages(spark, sf), "stage")
 
 
-@register("config_validate")
+@register("config_validate", lambda: f"SELECT * FROM {issues_sql()}")
 def q_config_validate(spark, sf):
     return _issues(spark, sf)
 
 
-@register("config_verdict")
+@register(
+    "config_verdict",
+    lambda: f"""SELECT id, sum(errors) AS errors, sum(warnings) AS warnings,
+                       bool_and(errors = 0 AND warnings = 0) AS check_pass, bool_and(errors = 0) AS correct_pass
+                FROM (SELECT s.id, s.stage_idx,
+                             count(i.severity) FILTER (WHERE i.severity = 'error') AS errors,
+                             count(i.severity) FILTER (WHERE i.severity = 'warning') AS warnings
+                      FROM {stages_sql()} s LEFT JOIN {issues_sql()} i ON i.id = s.id AND i.stage_idx = s.stage_idx
+                      GROUP BY s.id, s.stage_idx)
+                GROUP BY id""",
+)
 def q_config_verdict(spark, sf):
     """Per rule: issue counts and pass flags; a rule passes when all its stages do."""
     v = C.stage_verdicts(_stages(spark, sf), "stage")
@@ -226,7 +282,12 @@ def q_config_verdict(spark, sf):
     )
 
 
-@register("config_issue_log")
+@register(
+    "config_issue_log",
+    lambda: f"""SELECT id, string_agg(upper(severity) || ' - stage ' || stage_idx || ': ' || message, chr(10)
+                                  ORDER BY stage_idx, ord) AS log
+                FROM {issues_sql()} GROUP BY id""",
+)
 def q_config_issue_log(spark, sf):
     """One log text per rule: ``level - message`` lines in stage and check order."""
     i = _issues(spark, sf)
