@@ -65,21 +65,34 @@ def parser_rows_sql() -> str:
              CASE WHEN p_size % 4 = 0 THEN 'detail' END FROM {w})"""
 
 
-def parser_tree_sql() -> str:
+def parser_tree_sql(rows_sql: str | None = None, group: str = "rule") -> str:
+    rows_sql = rows_sql or parser_rows_sql()
+    g = ", ".join(x.strip() for x in group.split(","))
+    corr = " AND ".join(f"l.{x.strip()} = c.{x.strip()}" for x in group.split(","))
     return f"""(
       WITH w AS (
-        SELECT rule, path, r.loc, r.name, r.type, r.value, r.next FROM (
-          SELECT rule, path, arg_min({{'loc': loc, 'name': name, 'type': type, 'value': value, 'next': next}}, ord) AS r
-          FROM (SELECT *, loc || '.' || name AS path FROM {parser_rows_sql()}) GROUP BY rule, path)),
-      loops AS (SELECT rule, path FROM w WHERE type IN ('loop', 'xpath-loop', 'css-loop')),
+        SELECT {g}, path, r.loc, r.name, r.type, r.value, r.next FROM (
+          SELECT {g}, path, arg_min({{'loc': loc, 'name': name, 'type': type, 'value': value, 'next': next}}, ord) AS r
+          FROM (SELECT *, loc || '.' || name AS path FROM {rows_sql}) GROUP BY {g}, path)),
+      loops AS (SELECT {g}, path FROM w WHERE type IN ('loop', 'xpath-loop', 'css-loop')),
       c AS (SELECT *, len(string_split(loc, '.')) - 2 AS k FROM w WHERE loc = 's.parser' OR starts_with(loc, 's.parser.'))
-      SELECT rule, path, loc, name, k + 1 AS depth, type,
+      SELECT {g}, path, loc, name, k + 1 AS depth, type,
              CASE WHEN starts_with(type, 'xpath') THEN value END AS xpath,
              CASE WHEN starts_with(type, 'css') THEN value END AS css,
              CASE WHEN NOT starts_with(type, 'xpath') AND NOT starts_with(type, 'css') THEN value END AS loop,
              CASE WHEN type NOT IN ('loop', 'xpath-loop', 'css-loop') THEN next END AS next
       FROM c
-      WHERE k = 0 OR k = (SELECT count(*) FROM loops l WHERE l.rule = c.rule AND starts_with(c.loc || '.', l.path || '.')))"""
+      WHERE k = 0 OR k = (SELECT count(*) FROM loops l WHERE {corr} AND starts_with(c.loc || '.', l.path || '.')))"""
+
+
+def compile_rows_sql() -> str:
+    w = "string_split(lower(p_type) || ' x x', ' ')"
+    return f"""(
+      SELECT p_partkey AS id, 0 AS stage_idx, 0 AS ord, 's.parser' AS loc, {w}[1] AS name, 'xpath-loop' AS type,
+             '//section' AS value, CAST(NULL AS VARCHAR) AS next FROM part
+      UNION ALL
+      SELECT p_partkey, 0, 1, 's.parser.' || {w}[1], {w}[2], 'xpath',
+             CASE WHEN p_size % 5 <> 0 THEN './a/@href' END, 'detail' FROM part)"""
 
 
 @register("parser_tree", lambda: f"SELECT * FROM {parser_tree_sql()}")
@@ -242,7 +255,7 @@ def q_config_defaults(spark, sf):
     return r.select("id", *[d[k].alias(k) for k in ("is_static", "depth_limit", "request_interval", "retry_times", "external_def")])
 
 
-@register("config_compile")
+@register("config_compile", lambda: f"SELECT * FROM {parser_tree_sql(compile_rows_sql(), 'id, stage_idx')}")
 def q_config_compile(spark, sf):
     """All stages of every rule: stage parser rows → resolved tree per (rule, stage)."""
     st = _stages(spark, sf)
