@@ -458,7 +458,10 @@ def q_rule_lookup(spark, sf):
     return j.select("l_orderkey", "l_linenumber", F.when(F.col("tag").isNotNull(), F.col("id")).alias("rule_id"), "tag")
 
 
-@register("json_doc_load")
+@register(
+    "json_doc_load",
+    """SELECT event_id, event_type, props, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') AS ts, user_id, value FROM events""",
+)
 def q_json_doc_load(spark, sf):
     """Events written as JSON documents, loaded back into a collection."""
     path = scratch_path(spark, f"events-json-{abs(hash(sf))}")
