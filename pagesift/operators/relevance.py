@@ -16,7 +16,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from pagesift.functions.joins import bounded_broadcast, param_frame
 from pagesift.functions.stopwords import load_default_stopwords
@@ -39,13 +38,21 @@ def profile_counts(profile: DataFrame, group_cols: tuple[str, ...] = ()) -> Data
     """Word repetitions of a weighted profile: ``n = int(w / Σw * 100)`` per term,
     multi-word terms split into words, counts summed per word; zero counts dropped.
 
-    ``group_cols`` scores many profiles at once (Σw per profile via a window).
+    ``group_cols`` scores many profiles at once (Σw per profile).
     """
     gcols = list(group_cols)
-    w = Window.partitionBy(*gcols) if gcols else Window.partitionBy()
-    total = F.sum("weight").over(w)
-    n = F.floor(F.col("weight") / total * 100).cast("long")
-    per_term = profile.select(*gcols, "term", n.alias("n")).where(F.col("n") > 0)
+    if gcols:
+        # Totals per profile by aggregation (partial, map-side) joined back on
+        # the profile key: a hot profile is split by AQE's skew join instead of
+        # landing in one window task.
+        tot = profile.groupBy(*gcols).agg(F.sum("weight").alias("_total"))
+        weighted = profile.join(tot, gcols)
+    else:
+        # One profile: its total joins back on a constant key (a one-row broadcast).
+        tot = profile.agg(F.sum("weight").alias("_total")).withColumn("_k", F.lit(0))
+        weighted = profile.withColumn("_k", F.lit(0)).join(F.broadcast(tot), "_k").drop("_k")
+    n = F.floor(F.col("weight") / F.col("_total") * 100).cast("long")
+    per_term = weighted.select(*gcols, "term", n.alias("n")).where(F.col("n") > 0)
     # Words are lower-cased to meet the lower-cased document tokens.
     words = per_term.select(*gcols, F.explode(F.split(F.lower(F.trim("term")), "\\s+")).alias("word"), "n")
     return words.where(F.col("word") != "").groupBy(*gcols, "word").agg(F.sum("n").alias("n"))
