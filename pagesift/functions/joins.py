@@ -36,5 +36,7 @@ def spread(df: DataFrame) -> DataFrame:
     On a big input (thousands of splits) this is a no-op; on a small one it
     is a round-robin repartition, which cannot skew.
     """
+    if df.isStreaming:
+        return df
     slots = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
