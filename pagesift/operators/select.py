@@ -138,6 +138,8 @@ def compile_css(expr: str) -> Selector:
         axis = "desc"
     if not steps:
         raise SelectorError(f"empty CSS selector {expr!r}")
+    if steps[0].axis == "desc":
+        steps[0].axis = "self_desc"  # CSS on an element may match the element itself
     return Selector(steps, extract, False)
 
 
@@ -172,6 +174,8 @@ def select_nodes(nodes: DataFrame, ctx: DataFrame, sel: Selector) -> DataFrame:
                 cand = cand.where(F.coalesce(_pred(p), F.lit(False)))
         if st.axis == "child":
             c = cand.withColumn("cur", F.coalesce(F.col("parent_id"), F.lit(ROOT)))
+        elif st.axis == "self_desc":
+            c = cand.withColumn("cur", F.explode(F.concat(F.array(F.lit(ROOT)), F.col("path"), F.array("node_id"))))
         else:
             c = cand.withColumn("cur", F.explode(F.concat(F.array(F.lit(ROOT)), F.col("path"))))
         hit = c.join(cur, ["page_id", "cur"]).select("page_id", "scope", "node_id", "parent_id", "start").distinct()

@@ -78,3 +78,10 @@ def test_charset_decode(spark):
     got = {r["page_id"]: (r["charset"], r["html"]) for r in CS.html_decode(df, "content").collect()}
     assert got[1] == ("gb2312", '<meta charset="gb2312"><p>招生简章</p>')
     assert got[2] == ("utf-8", "<p>plain</p>")
+
+
+def test_css_in_scope_matches_self(spark, ctx):
+    nodes, c = ctx
+    scopes = SL.scope_loop(nodes, c, "css-loop", "li")
+    got = SL.field_values(nodes, scopes, "css", "li a::attr(href)", True).count()
+    assert got == 2
