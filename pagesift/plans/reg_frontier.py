@@ -135,3 +135,29 @@ def q_stage_history(spark, sf):
     c = table(spark, sf, "conversations", "conv_id", "turn", "role", "text")
     prev = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("role").alias("prev_role"), F.col("text").alias("prev_text"))
     return c.select("conv_id", "turn").join(prev, ["conv_id", "turn"], "left")
+
+
+CRAWL_RULE = {
+    "tag": "web",
+    "common": {"depth_limit": 2, "is_static": True, "external_def": ""},
+    "filter": {"title_threshold": 0.05, "content_threshold": 0.1, "weight_dict": {"re": 0.5, "th": 0.3, "ble": 0.2}},
+    "stages": [
+        {"name": "list", "auto_parse_body": True, "remove_repeats": True,
+         "parser": {"sections": {"type": "css-list", "css": "nav a", "next": "section"},
+                    "items": {"type": "xpath-loop", "xpath": "//nav//li",
+                              "child": {"first": {"type": "xpath", "xpath": "a", "next": "section"}}}}},
+        {"name": "section", "body_parser": "//article//p//text()", "parser": {}},
+    ],
+}
+
+
+@register("crawl_run")
+def q_crawl_run(spark, sf):
+    """A stored rule run end to end from every page whose URL has no query string."""
+    from pagesift.functions.stopwords import load_default_stopwords
+    from pagesift.plans.crawl import run_rule
+    from pagesift.plans.reg_text import RUN_TS
+
+    pages = table(spark, sf, "pages", "page_id", "url", "html")
+    start = pages.where(~F.col("url").contains("?")).select("url")
+    return run_rule(spark, CRAWL_RULE, pages, start, RUN_TS, stopwords=load_default_stopwords(spark))

@@ -28,3 +28,38 @@ def test_batch_equals_stream_dedup(spark):
     pages = ST.read_pages_stream(spark, sf, glob="pages.parquet")
     ST.run_to_parquet(ST.stream_url_dedup(pages).select("url"), f"{base}/o", f"{base}/c")
     assert {r["url"] for r in spark.read.parquet(f"{base}/o").collect()} == batch
+
+
+def test_crawl_run_level0_equals_scored_articles(spark):
+    from pyspark.sql import functions as F
+
+    sf = "/root/testdata/sf0.001"
+    qs = catalog.queries()
+    crawl = {r["url"]: (r["body"], r["title"]) for r in qs["crawl_run"](spark, sf).collect()}
+    scored = {r["url"]: (r["body"], r["title"]) for r in qs["scored_articles"](spark, sf).where(~F.col("url").contains("?")).collect()}
+    assert crawl == scored
+    assert len(crawl) > 0
+
+
+def test_crawl_run_levels_and_depth_limit(spark):
+    import datetime as dt
+
+    from pagesift.plans.crawl import run_rule
+
+    body = "<article><p>" + "re th ble words here and there " * 3 + "</p></article>"
+
+    def page(i, links):
+        nav = "".join(f"<li><a href='/p{j}'>re th</a></li>" for j in links)
+        return (i, f"http://h.example/p{i}", f"<html><body><nav><ul>{nav}</ul></nav>{body}</body></html>")
+
+    pages = spark.createDataFrame([page(1, [2, 3]), page(2, [4, 1]), page(3, []), page(4, [])], "page_id long, url string, html string")
+    rule = {"tag": "t", "common": {"depth_limit": 1},
+            "filter": {"title_threshold": 0.0, "content_threshold": 0.0, "weight_dict": {"re": 1.0}},
+            "stages": [{"name": "a", "auto_parse_body": True, "parser": {"l": {"type": "css-list", "css": "nav a", "next": "a"}}}]}
+    start = spark.createDataFrame([("http://h.example/p1",)], "url string")
+    got = sorted(r["url"] for r in run_rule(spark, rule, pages, start, dt.datetime(2024, 1, 1)).collect())
+    # depth limit 1: the start page (depth 0) emits links, its children (depth 1) do not
+    assert got == ["http://h.example/p1", "http://h.example/p2", "http://h.example/p3"]
+    rule["common"]["depth_limit"] = 2
+    got = sorted(r["url"] for r in run_rule(spark, rule, pages, start, dt.datetime(2024, 1, 1)).collect())
+    assert got == ["http://h.example/p1", "http://h.example/p2", "http://h.example/p3", "http://h.example/p4"]
