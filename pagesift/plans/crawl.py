@@ -74,8 +74,13 @@ def run_rule(spark: SparkSession, rule: dict, pages: DataFrame, start_urls: Data
     for level in range(limit + 1):
         got = fetch_join(frontier, snap, "url").where("fetched")
         # First snapshot per URL not seen before; marked seen before any threshold.
-        fresh = A.cut(got.join(seen_urls, "url", "left_anti").groupBy("url").agg(
-            F.min_by(F.struct("page_id", "stage", "html"), "page_id").alias("p")).select("url", "p.*"))
+        # The winner (page, stage) per URL is chosen on narrow columns; the html
+        # rows follow by a semi-join, so they are never sorted.
+        new = got.join(seen_urls, "url", "left_anti")
+        winners = new.select("url", "page_id", "stage").groupBy("url").agg(
+            F.min_by(F.struct("page_id", "stage"), F.struct("page_id", "stage")).alias("w")).select("url", "w.*")
+        fresh = A.cut(new.join(winners.hint("shuffle_hash"), ["url", "page_id", "stage"], "left_semi")
+                      .select("url", "page_id", "stage", "html"))
         seen_urls = seen_urls.unionByName(fresh.select("url")).checkpoint(eager=True)
         names = [r["stage"] for r in fresh.select("stage").distinct().collect()]  # config-sized
         nxt = []
