@@ -72,7 +72,9 @@ def run_rule(spark: SparkSession, rule: dict, pages: DataFrame, start_urls: Data
     seen_urls = (seen.select("url") if seen is not None else spark.createDataFrame([], "url string")).checkpoint(eager=True)
     results = []
     for level in range(limit + 1):
-        got = fetch_join(frontier, snap, "url").where("fetched")
+        # Repeated requests of one URL and stage fetch the same snapshot: collapse
+        # them first (partial aggregation), so a hot URL does not skew the join.
+        got = fetch_join(frontier.distinct(), snap, "url").where("fetched")
         # First snapshot per URL not seen before; marked seen before any threshold.
         # The winner (page, stage) per URL is chosen on narrow columns; the html
         # rows follow by a semi-join, so they are never sorted.

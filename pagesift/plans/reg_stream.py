@@ -27,7 +27,7 @@ def q_stream_articles(spark, sf):
     words = profile_words(spark, PROFILE)
     ST.stream_articles(spark, pages, words, THRESHOLD, TAG, RUN_TS, f"{base}/out", f"{base}/ckpt",
                        stopwords=load_default_stopwords(spark))
-    return spark.read.parquet(f"{base}/out")
+    return spark.read.parquet(f"{base}/out").drop("epoch")
 
 
 @register(

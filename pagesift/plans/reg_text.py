@@ -125,7 +125,7 @@ def q_stopword_load(spark, sf):
     toks = d.select("doc_id", "lang", F.explode(T.tokens("text")).alias("term")).distinct()
     n_docs = d.groupBy("lang").agg(F.count("*").alias("n_docs"))
     df = toks.groupBy("lang", "term").agg(F.count("*").alias("df"))
-    words = df.join(F.broadcast(n_docs), "lang").where(F.col("df") * 2 >= F.col("n_docs")).select("term").distinct()
+    words = df.join(n_docs, "lang").where(F.col("df") * 2 >= F.col("n_docs")).select("term").distinct()
     path = scratch_path(spark, f"stopwords-{abs(hash(sf))}")
     words.write.mode("overwrite").text(path)
     return stopword_load(spark, path)

@@ -67,8 +67,8 @@ def stream_articles(spark: SparkSession, pages: DataFrame, words: dict, threshol
     """Score arriving pages and append passing article rows per micro-batch.
 
     Dedup is the only state; extraction and scoring are stateless projections.
-    ``foreachBatch`` appends each batch with a plain batch writer, so any
-    table format the cluster offers can be the article store.
+    ``foreachBatch`` writes each batch with a plain batch writer (idempotent
+    per epoch), so any table format the cluster offers can be the article store.
     """
     fresh = stream_url_dedup(pages)
     scored = fresh.select(
@@ -78,7 +78,9 @@ def stream_articles(spark: SparkSession, pages: DataFrame, words: dict, threshol
     passed = scored.where(F.col("sim") >= F.lit(float(threshold)))
 
     def sink(batch: DataFrame, epoch_id: int) -> None:
-        article_sink(batch, tag, run_ts).write.mode("append").parquet(out)
+        # One folder per micro-batch, overwritten on a retry of the same epoch:
+        # a batch replayed after a lost executor or driver restart lands once.
+        article_sink(batch, tag, run_ts).write.mode("overwrite").parquet(f"{out}/epoch={epoch_id}")
 
     q = passed.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
