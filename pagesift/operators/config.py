@@ -232,3 +232,34 @@ def config_defaults(common: Column) -> dict[str, Column]:
         "retry_times": F.when(rt > 0, rt),
         "external_def": F.when(F.coalesce(ext, F.lit("")) == "", F.lit("{}")).otherwise(ext),
     }
+
+
+STAGE_SCHEMA = (
+    "name STRING, header STRUCT<external: ARRAY<STRING>, loop: MAP<STRING, STRING>>, "
+    "request STRUCT<url: STRING, method: STRING, headers: MAP<STRING, STRING>, cookies: MAP<STRING, STRING>>, "
+    "parser ARRAY<STRUCT<loc: STRING, name: STRING, type: STRING, value: STRING, next: STRING>>, "
+    "auto_parse_body BOOLEAN, body_parser STRING, remove_repeats BOOLEAN, need_refresh BOOLEAN"
+)
+
+
+def corrected_stage(stage_json: Column, verdict_errors: Column) -> Column:
+    """Correct mode: a stage with no errors comes back with every missing
+    optional key filled with its default; a stage with errors comes back as it
+    was.  (Stages with errors are the only ones that can hold wrong types, so
+    the typed parse is safe where it is used.)"""
+    s = F.from_json(stage_json, STAGE_SCHEMA)
+    empty_map = F.create_map().cast("map<string,string>")
+    header = F.coalesce(s["header"], F.struct(F.array().cast("array<string>").alias("external"), empty_map.alias("loop")))
+    header = F.struct(F.coalesce(header["external"], F.array().cast("array<string>")).alias("external"),
+                      F.coalesce(header["loop"], empty_map).alias("loop"))
+    req = s["request"]
+    request = F.struct(req["url"].alias("url"), F.coalesce(req["method"], F.lit("GET")).alias("method"),
+                       F.coalesce(req["headers"], empty_map).alias("headers"),
+                       F.coalesce(req["cookies"], empty_map).alias("cookies"))
+    fixed = F.struct(
+        s["name"].alias("name"), header.alias("header"), request.alias("request"), s["parser"].alias("parser"),
+        s["auto_parse_body"].alias("auto_parse_body"), s["body_parser"].alias("body_parser"),
+        F.coalesce(s["remove_repeats"], F.lit(True)).alias("remove_repeats"),
+        F.coalesce(s["need_refresh"], F.lit(False)).alias("need_refresh"),
+    )
+    return F.when(verdict_errors == 0, F.to_json(fixed)).otherwise(stage_json)

@@ -105,3 +105,15 @@ def test_stage_route_remove_repeats(spark):
     assert FR.stage_route(links, stages).count() == 3
     got = sorted((r["pos"], r["request_url"]) for r in FR.stage_route(links, stages, remove_repeats=True).collect())
     assert got == [(0, "http://h/x"), (2, "http://h/y")]
+
+
+def test_correct_mode_fills_defaults(spark):
+    ok = {"name": "s", "request": {"url": "u"}, "parser": []}
+    bad = {"name": "b", "parser": []}  # request missing: an error, returned unchanged
+    df = spark.createDataFrame([(0, json.dumps(ok)), (1, json.dumps(bad))], "sid int, s string")
+    v = C.stage_verdicts(df.select("sid", "s", F.parse_json("s").alias("stage")), "stage")
+    out = {r["sid"]: r["c"] for r in v.select("sid", C.corrected_stage(F.col("s"), F.col("errors")).alias("c")).collect()}
+    fixed = json.loads(out[0])
+    assert fixed["request"]["method"] == "GET" and fixed["header"] == {"external": [], "loop": {}}
+    assert fixed["remove_repeats"] is True and fixed["need_refresh"] is False
+    assert json.loads(out[1]) == bad
