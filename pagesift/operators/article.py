@@ -175,9 +175,11 @@ def top_paragraph(scores: DataFrame) -> DataFrame:
     return scores.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def _lead_len(nodes: DataFrame) -> DataFrame:
-    """Length of each element's leading text (its ``.text``), raw."""
+def _lead_len(nodes: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """Length of each (target) element's leading text (its ``.text``), raw."""
     texts = nodes.where((F.col("kind") == "text") & F.col("parent_id").isNotNull())
+    if targets is not None:
+        texts = texts.join(targets.select("page_id", F.col("node_id").alias("parent_id")), ["page_id", "parent_id"], "left_semi")
     j = texts.withColumnRenamed("node_id", "_t").withColumnRenamed("parent_id", "node_id").join(_child_shape(nodes), KEY, "left")
     lead = j.where(F.col("first_elem_ord").isNull() | (F.col("sib_ord") < F.col("first_elem_ord")))
     return lead.groupBy(*KEY).agg(F.sum(F.length("text")).alias("lead_len"))
@@ -207,7 +209,7 @@ def article_expand(nodes: DataFrame, scores: DataFrame, best: DataFrame, texts:
     s = (
         sibs.join(scores.select(*KEY, F.col("score").alias("sib_score")), KEY, "left")
         .join(p_ld, KEY, "left")
-        .join(_lead_len(nodes), KEY, "left")
+        .join(_lead_len(nodes, p_sibs), KEY, "left")
     )
     lead = F.coalesce("lead_len", F.lit(0))
     keep = (
