@@ -97,12 +97,6 @@ def div_to_paragraph(nodes: DataFrame) -> DataFrame:
     return kept.unionByName(wrappers).unionByName(wrapped)
 
 
-def text_features(text) -> dict:
-    n = F.length(text)
-    b = F.octet_length(text)
-    return {"n": n, "b": b}
-
-
 def content_score(tag, text):
     """Content score of a candidate, or null when it is skipped."""
     n = F.length(text).cast("double")

@@ -17,9 +17,6 @@ from pyspark.sql import types as T
 ROOT_LOC = "s.parser"
 LOOP_TYPES = ("loop", "xpath-loop", "css-loop")
 FIELD_TYPES = LOOP_TYPES + ("xpath", "css", "xpath-list", "css-list")
-# The expression key each field type needs (the value column is stored under it).
-EXPR_KEY = {"loop": "loop", "xpath-loop": "xpath", "css-loop": "css", "xpath": "xpath", "css": "css",
-            "xpath-list": "xpath", "css-list": "css"}
 
 PARSER_ROW = T.StructType([T.StructField(n, T.StringType()) for n in ("loc", "name", "type", "value", "next")])
 

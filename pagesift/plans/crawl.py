@@ -27,9 +27,6 @@ from pagesift.operators.relevance import profile_words, row_similarity
 from pagesift.plans.articles import article_sink, keep_where
 from pagesift.sources.tables import fetch_join
 
-LINK_COLS = "page_id long, url string, field string, next_stage string, pos int, href string"
-
-
 def _field_links(spark, nodes: DataFrame, ctx: DataFrame, tree: dict, passes, path: str = "") -> list[DataFrame]:
     """Link rows of every field with ``next`` in a parser tree (recursing into loops)."""
     out = []

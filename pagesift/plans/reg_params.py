@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagesift.operators import template as TP
-from pagesift.plans import sqlparts as S
 from pagesift.plans.catalog import register
 from pagesift.sources.tables import table
 
