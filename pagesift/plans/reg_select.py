@@ -9,6 +9,9 @@ from pagesift.operators import article as A
 from pagesift.operators import dom as D
 from pagesift.operators import select as SL
 from pagesift.operators.relevance import profile_words, row_similarity
+from pagesift.functions import html as H
+from pagesift.operators.relevance import REFERENCE_ANCHORS
+from pagesift.plans import sqlparts as SQ
 from pagesift.plans.catalog import register
 from pagesift.plans.reg_text import PROFILE, TITLE_THRESHOLD
 from pagesift.sources.tables import table
@@ -77,19 +80,41 @@ def q_field_value_loop(spark, sf):
     return scopes.select("page_id", "scope", "item").join(vals.select("page_id", "scope", "value"), ["page_id", "scope"], "left")
 
 
-def _title_test(spark):
+def _title_test(spark, threshold: float = TITLE_THRESHOLD):
     words = profile_words(spark, PROFILE)
-    return row_similarity(F.col("text"), words, stopwords=load_default_stopwords(spark)) >= F.lit(TITLE_THRESHOLD)
+    return row_similarity(F.col("text"), words, stopwords=load_default_stopwords(spark)) >= F.lit(threshold)
 
 
-@register("link_follow_scalar")
+def _nav_links_sql(threshold: float = TITLE_THRESHOLD) -> str:
+    """Anchors inside <nav> with href, text, raw markup and the title test."""
+    nav = f"regexp_extract(html, {SQ.q(H.NAV_RE)}, 0)"
+    a = SQ.posexplode_sql("pages", "page_id", f"regexp_extract_all({nav}, {SQ.q(H.ANCHOR_RE)}, 0)", "pos", "raw")
+    href = SQ.decode_entities(f"regexp_extract(raw, {SQ.q(H.HREF_RE)}, 1)")
+    text = SQ.collapse_ws(SQ.decode_entities(SQ.strip_tags(f"regexp_extract(raw, {SQ.q(H.ANCHOR_TEXT_RE)}, 1)")))
+    base = f"(SELECT page_id, pos, raw, {href} AS href, {text} AS text FROM {a})"
+    sims = SQ.similarity_sql(base, "page_id * 100000 + pos", "text", PROFILE, REFERENCE_ANCHORS)
+    return f"""(SELECT b.*, s.sim >= {threshold} AS ok FROM {base} b JOIN {sims} s ON s.id = b.page_id * 100000 + b.pos)"""
+
+
+@register(
+    "link_follow_scalar",
+    lambda: f"SELECT page_id, 0 AS ord, href AS value FROM {_nav_links_sql(0.0)} WHERE pos = 0 AND ok",
+)
 def q_link_follow_scalar(spark, sf):
     pages, n = _nodes(spark, sf)
-    out = SL.link_follow(n, SL.document_ctx(pages), "css", "nav a", _title_test(spark), first_only=True)
+    # The reference's default title threshold (0): every first link passes the test.
+    out = SL.link_follow(n, SL.document_ctx(pages), "css", "nav a", _title_test(spark, 0.0), first_only=True)
     return out.select("page_id", "ord", "value")
 
 
-@register("link_follow_list")
+@register(
+    "link_follow_list",
+    lambda: f"""WITH j AS {_nav_links_sql()},
+                np AS (SELECT page_id, count(*) FILTER (WHERE ok) AS n_ok FROM j GROUP BY page_id)
+                SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS ord, href AS value FROM j WHERE ok
+                UNION ALL
+                SELECT j.page_id, j.pos AS ord, j.raw AS value FROM j JOIN np USING (page_id) WHERE np.n_ok = 0""",
+)
 def q_link_follow_list(spark, sf):
     pages, n = _nodes(spark, sf)
     out = SL.link_follow(n, SL.document_ctx(pages), "css-list", "nav a", _title_test(spark), first_only=False,
