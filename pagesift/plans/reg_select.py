@@ -32,7 +32,17 @@ def q_select_nodes(spark, sf):
     return a.unionByName(b).select("page_id", "selector", "node_id")
 
 
-@register("field_scalar")
+@register(
+    "field_scalar",
+    lambda: f"""SELECT page_id, 'title' AS field, {SQ.decode_entities(f"regexp_extract(html, {SQ.q(H.TITLE_RE)}, 1)")} AS value
+                FROM pages WHERE regexp_matches(html, {SQ.q(H.TITLE_RE)})
+                UNION ALL
+                SELECT page_id, 'first_link', href FROM {_nav_items_sql()} WHERE pos = 0
+                UNION ALL
+                SELECT page_id, 'heading', regexp_extract(regexp_extract(html, '(?is)<article[^>]*>.*?</article>', 0),
+                                                          '(?is)<h1[^>]*>.*?</h1>', 0)
+                FROM pages WHERE regexp_matches(html, '(?is)<article[^>]*>.*?<h1')""",
+)
 def q_field_scalar(spark, sf):
     """First hit per page: a text node, an attribute and a serialised element."""
     pages, n = _nodes(spark, sf)
@@ -58,17 +68,47 @@ def q_field_list(spark, sf):
     return a.unionByName(b).select("page_id", "field", "ord", "value")
 
 
-@register("field_scope_loop")
+def _nav_items_sql() -> str:
+    nav = f"regexp_extract(html, {SQ.q(H.NAV_RE)}, 0)"
+    a = SQ.posexplode_sql("pages", "page_id", f"regexp_extract_all({nav}, {SQ.q(H.ANCHOR_RE)}, 0)", "pos", "raw")
+    href = SQ.decode_entities(f"regexp_extract(raw, {SQ.q(H.HREF_RE)}, 1)")
+    label = SQ.decode_entities(f"regexp_extract(raw, {SQ.q(H.ANCHOR_TEXT_RE)}, 1)")
+    return f"(SELECT page_id, pos, {href} AS href, {label} AS label FROM {a})"
+
+
+@register(
+    "field_scope_loop",
+    lambda: f"""SELECT page_id, pos AS item_ord, 'href' AS field, href AS value FROM {_nav_items_sql()}
+                UNION ALL
+                SELECT page_id, pos, 'label', label FROM {_nav_items_sql()}""",
+)
 def q_field_scope_loop(spark, sf):
-    """``xpath-loop`` over list items; children evaluated inside each item."""
+    """``xpath-loop`` over list items; children evaluated inside each item.
+    Each scope is reported by its document-order rank within the page."""
     pages, n = _nodes(spark, sf)
     scopes = SL.scope_loop(n, SL.document_ctx(pages), "xpath-loop", "//nav//li")
     a = SL.field_values(n, scopes, "xpath", "a/@href", True).withColumn("field", F.lit("href"))
     b = SL.field_values(n, scopes, "css", "a::text", True).withColumn("field", F.lit("label"))
-    return a.unionByName(b).select("page_id", "scope", "field", "value")
+    from pyspark.sql.window import Window
 
+    rank = scopes.select("page_id", "scope", "ctx_id").withColumn(
+        "item_ord", F.row_number().over(Window.partitionBy("page_id").orderBy("ctx_id")) - 1)
+    vals = a.unionByName(b).join(rank, ["page_id", "scope"])
+    return vals.select("page_id", "item_ord", "field", "value")
 
-@register("field_value_loop")
+
+@register(
+    "field_value_loop",
+    lambda: f"""WITH p AS (
+                  SELECT page_id, list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1), '/'),
+                                              lambda x: x <> '') AS items,
+                         {SQ.decode_entities("regexp_extract(html, '(?is)<h1[^>]*>([^<]*)', 1)")} AS h1
+                  FROM pages)
+                SELECT page_id, '/#' || (i - 1) AS scope, items[i] AS item, h1 AS value
+                FROM (SELECT page_id, items, h1, generate_subscripts(items, 1) AS i FROM p)
+                UNION ALL
+                SELECT page_id, '/#0', NULL, h1 FROM p WHERE len(items) = 0""",
+)
 def q_field_value_loop(spark, sf):
     """``loop`` over a rendered list (the page's path segments): one pass per item."""
     pages, n = _nodes(spark, sf)
