@@ -10,6 +10,7 @@ from pagesift.operators import dom as D
 from pagesift.operators import select as SL
 from pagesift.operators.relevance import profile_words, row_similarity
 from pagesift.functions import html as H
+from pagesift.functions import text as T
 from pagesift.operators.relevance import REFERENCE_ANCHORS
 from pagesift.plans import sqlparts as SQ
 from pagesift.plans.catalog import register
@@ -162,7 +163,15 @@ def q_link_follow_list(spark, sf):
     return out.select("page_id", "ord", "value")
 
 
-@register("body_select")
+@register(
+    "body_select",
+    lambda: f"""SELECT page_id, coalesce(array_to_string(list_filter(list_transform(
+                    regexp_extract_all(regexp_replace(regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1),
+                                                      '(?is)<h1[^>]*>.*?</h1>', '', 'g'), '(?:^|>)([^<]+)', 1),
+                    lambda t: regexp_replace({SQ.decode_entities('t')}, '^{T.WS_CLASS}+|{T.WS_CLASS}+$', '', 'g')),
+                    lambda t: t <> ''), chr(10)), '') AS body
+                FROM pages""",
+)
 def q_body_select(spark, sf):
     """Body from an XPath: stripped non-blank hits of the article paragraphs, newline-joined."""
     pages, n = _nodes(spark, sf)
