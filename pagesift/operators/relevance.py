@@ -48,9 +48,9 @@ def profile_counts(profile: DataFrame, group_cols: tuple[str, ...] = ()) -> Data
         tot = profile.groupBy(*gcols).agg(F.sum("weight").alias("_total"))
         weighted = profile.join(tot, gcols)
     else:
-        # One profile: its total joins back on a constant key (a one-row broadcast).
-        tot = profile.agg(F.sum("weight").alias("_total")).withColumn("_k", F.lit(0))
-        weighted = profile.withColumn("_k", F.lit(0)).join(F.broadcast(tot), "_k").drop("_k")
+        # One profile: its total is a single scalar, read once and inlined.
+        total = profile.agg(F.sum("weight")).first()[0]
+        weighted = profile.withColumn("_total", F.lit(float(total) if total is not None else None).cast("double"))
     n = F.floor(F.col("weight") / F.col("_total") * 100).cast("long")
     per_term = weighted.select(*gcols, "term", n.alias("n")).where(F.col("n") > 0)
     # Words are lower-cased to meet the lower-cased document tokens.
