@@ -59,7 +59,14 @@ def q_field_scalar(spark, sf):
     return out.select("page_id", "field", "value")
 
 
-@register("field_list")
+@register(
+    "field_list",
+    lambda: f"""SELECT page_id, 'links' AS field, pos AS ord, href AS value FROM {_nav_items_sql()}
+                UNION ALL
+                SELECT page_id, 'paragraphs', pos, {SQ.decode_entities('val')} FROM {SQ.posexplode_sql(
+                    "pages", "page_id",
+                    "regexp_extract_all(regexp_extract(html, '(?is)<article[^>]*>.*?</article>', 0), '(?is)<p[^>]*>([^<]+)', 1)")}""",
+)
 def q_field_list(spark, sf):
     """All hits per page in document order."""
     pages, n = _nodes(spark, sf)
