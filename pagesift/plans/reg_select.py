@@ -23,14 +23,23 @@ def _nodes(spark, sf):
     return pages, A.cut(D.html_clean_nodes(A.cut(D.html_nodes(pages))))
 
 
-@register("select_nodes")
+@register(
+    "select_nodes",
+    lambda: f"""SELECT page_id, 'xpath' AS selector, label AS text FROM {_nav_items_sql()} WHERE pos = 1
+                UNION ALL
+                SELECT page_id, 'css', {SQ.collapse_ws(SQ.decode_entities('val'))} FROM {SQ.posexplode_sql(
+                    "pages", "page_id",
+                    "regexp_extract_all(regexp_extract(html, '(?is)<article[^>]*>.*?</article>', 0), '(?is)<b(?:\\s[^>]*)?>([^<]*)', 1)")}""",
+)
 def q_select_nodes(spark, sf):
-    """Node ids hit by an XPath and a CSS selector of the supported subset."""
+    """Nodes hit by an XPath and a CSS selector of the supported subset, reported by their text."""
     pages, n = _nodes(spark, sf)
     ctx = SL.document_ctx(pages)
     a = SL.select_nodes(n, ctx, SL.compile_xpath("//nav//li[2]/a")).withColumn("selector", F.lit("xpath"))
     b = SL.select_nodes(n, ctx, SL.compile_css("article > p b")).withColumn("selector", F.lit("css"))
-    return a.unionByName(b).select("page_id", "selector", "node_id")
+    hits = a.unionByName(b)
+    txt = D.node_text(n, hits.select("page_id", "node_id"))
+    return hits.join(txt, ["page_id", "node_id"]).select("page_id", "selector", "text")
 
 
 @register(
