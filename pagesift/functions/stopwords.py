@@ -1,37 +1,37 @@
-"""Default stop-word lists.
+"""Default stop-word list.
 
-The lists are Spark ML's own (``StopWordsRemover.loadDefaultStopWords``); the
-pure-Python reader of the same resource exists only so that the SQL oracle
-can inline the identical list without a JVM.
+One explicit list, used as given by the Spark plans and inlined by the SQL
+oracles; callers pass their own list to replace it.
 """
 
 from __future__ import annotations
 
-import functools
-import glob
-import os
-import zipfile
-
-DEFAULT_LANGS = ("english", "french", "german", "spanish")
+# Common function words of four languages.
+DEFAULT_STOPWORDS = {
+    "english": (
+        "a an and are as at be but by for from had has have he her his i if in is it its my no not of on or our "
+        "she so that the their them they this to was we were which will with you your"
+    ),
+    "french": (
+        "au aux avec ce ces dans de des du elle en est et il ils je la le les leur lui mais ne nous ou par pas "
+        "pour qui que sa se ses son sur un une vous"
+    ),
+    "german": (
+        "aber als auch auf aus bei das dem den der des die ein eine einer er es für hat ich im ist mit nach nicht "
+        "sich sie sind und von war wie wir zu zum"
+    ),
+    "spanish": (
+        "al como con del el ella en entre es esta este la las lo los más no nos para pero por que se si sin su "
+        "sus un una y ya"
+    ),
+}
+DEFAULT_LANGS = tuple(DEFAULT_STOPWORDS)
+
+
+def default_stopwords(langs=DEFAULT_LANGS) -> list[str]:
+    return sorted({w for lang in langs for w in DEFAULT_STOPWORDS[lang].split()})
 
 
 def load_default_stopwords(spark, langs=DEFAULT_LANGS) -> list[str]:
-    from pyspark.ml.feature import StopWordsRemover
-
-    words: set[str] = set()
-    for lang in langs:
-        words.update(StopWordsRemover.loadDefaultStopWords(lang))
-    return sorted(w for w in words if w)
-
-
-@functools.lru_cache(maxsize=None)
-def stopwords_from_jar(langs=DEFAULT_LANGS) -> tuple[str, ...]:
-    import pyspark
-
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    words: set[str] = set()
-    with zipfile.ZipFile(jars[0]) as z:
-        for lang in langs:
-            text = z.read(f"org/apache/spark/ml/feature/stopwords/{lang}.txt").decode("utf-8")
-            words.update(w.strip() for w in text.split("\n"))
-    return tuple(sorted(w for w in words if w))
+    """The default list; ``spark`` is accepted so that loaders of stored lists share the signature."""
+    return default_stopwords(langs)

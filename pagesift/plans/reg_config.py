@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pagesift.operators import config as C
 from pagesift.plans import sqlparts as S
 from pagesift.plans.catalog import register
-from pagesift.session import scratch_path
+from pagesift.session import new_scratch_path
 from pagesift.sources.tables import json_doc_load, log_scan, table
 
 LEAF_TYPES = ["xpath", "css", "xpath-list", "css-list", "loop", "mystery"]
@@ -464,7 +464,7 @@ def q_rule_lookup(spark, sf):
 )
 def q_json_doc_load(spark, sf):
     """Events written as JSON documents, loaded back into a collection."""
-    path = scratch_path(spark, f"events-json-{abs(hash(sf))}")
+    path = new_scratch_path(spark, "events-json")
     table(spark, sf, "events").write.mode("overwrite").json(path)
     return json_doc_load(spark, path, multi_line=False)
 
@@ -475,7 +475,7 @@ def q_json_doc_load(spark, sf):
 )
 def q_log_scan(spark, sf):
     """Latest-log lines of one entrance among several written logs."""
-    base = scratch_path(spark, f"logs-{abs(hash(sf))}")
+    base = new_scratch_path(spark, "logs")
     d = table(spark, sf, "documents", "lang", "text")
     lines = d.select("lang", F.explode(F.split("text", "\n")).alias("value"))
     for lang in ("en", "de"):

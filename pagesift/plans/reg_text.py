@@ -13,7 +13,7 @@ from pagesift.operators import relevance as R
 from pagesift.plans import sqlparts as S
 from pagesift.plans.articles import ARTICLE_STATUS, article_sink, relevant_articles, text_form, url_dedup
 from pagesift.plans.catalog import register
-from pagesift.session import scratch_path
+from pagesift.session import new_scratch_path
 from pagesift.sources.tables import stopword_load, table
 
 # Parameters of the registered queries.  The fixture prose is invented
@@ -126,7 +126,7 @@ def q_stopword_load(spark, sf):
     n_docs = d.groupBy("lang").agg(F.count("*").alias("n_docs"))
     df = toks.groupBy("lang", "term").agg(F.count("*").alias("df"))
     words = df.join(n_docs, "lang").where(F.col("df") * 2 >= F.col("n_docs")).select("term").distinct()
-    path = scratch_path(spark, f"stopwords-{abs(hash(sf))}")
+    path = new_scratch_path(spark, "stopwords")
     words.write.mode("overwrite").text(path)
     return stopword_load(spark, path)
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pagesift.functions import html as H
 from pagesift.functions import text as T
-from pagesift.functions.stopwords import stopwords_from_jar
+from pagesift.functions.stopwords import DEFAULT_LANGS, default_stopwords
 
 
 def q(s: str) -> str:
@@ -78,7 +78,7 @@ def tokens(expr: str) -> str:
 
 
 def stopword_values(langs=None) -> str:
-    words = stopwords_from_jar() if langs is None else stopwords_from_jar(tuple(langs))
+    words = default_stopwords(DEFAULT_LANGS if langs is None else langs)
     return values([(w,) for w in words], "term")
 
 
