@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagesift.llm import packing, sharding
+from pagesift.llm import licenses, packing, sharding
 from pagesift.llm.common import read
 
 
@@ -24,8 +24,12 @@ def op6_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"), 8)
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op6_jump_sharding)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op6_jump_sharding, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
