@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagesift.llm import extraction, licenses, packing, sharding
+from pagesift.llm import extraction, licenses, packing, sharding, simhash
 from pagesift.llm.common import read
 
 
@@ -24,6 +24,10 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract_main_text(read(spark, sf_dir, "pages"))
 
 
+def op5_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"), 4, 4)
+
+
 def op6_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"), 8)
 
@@ -33,7 +37,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op4_html_extraction, op6_jump_sharding, op10_license_scan)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op4_html_extraction, op5_simhash_popcount, op6_jump_sharding, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
