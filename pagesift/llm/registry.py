@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pagesift.llm import extraction, licenses, packing, sharding, simhash
+from pagesift.llm import extraction, licenses, packing, repeats, sharding, simhash
 from pagesift.llm.common import read
 
 
@@ -32,13 +33,18 @@ def op6_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"), 8)
 
 
+def op7_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = repeats.mark_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), 13)
+    return marked.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op4_html_extraction, op5_simhash_popcount, op6_jump_sharding, op10_license_scan)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op4_html_extraction, op5_simhash_popcount, op6_jump_sharding, op7_phrase_automata, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_jump_sharding": sharding.oracle(8)}
+    return {"op6_jump_sharding": sharding.oracle(8), "op7_phrase_automata": repeats.ORACLE}
