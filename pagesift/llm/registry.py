@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesift.llm import extraction, licenses, packing, repeats, sharding, simhash
+from pagesift.llm import extraction, licenses, neighbours, packing, repeats, sharding, simhash
 from pagesift.llm.common import read
 
 
@@ -38,12 +38,16 @@ def op7_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op9_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_duplicate_vectors(read(spark, sf_dir, "embeddings"), 0.98)
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op4_html_extraction, op5_simhash_popcount, op6_jump_sharding, op7_phrase_automata, op10_license_scan)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op4_html_extraction, op5_simhash_popcount, op6_jump_sharding, op7_phrase_automata, op9_nn_descent, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
