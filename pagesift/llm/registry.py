@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesift.llm import extraction, licenses, neighbours, packing, repeats, sharding, simhash
+from pagesift.llm import decontamination, extraction, licenses, neighbours, packing, repeats, sharding, simhash
 from pagesift.llm.common import read
 
 
@@ -21,6 +21,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), _vocabulary(), 2048)
 
 
+def op3_pigeonhole_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract_main_text(read(spark, sf_dir, "pages"))
 
@@ -47,7 +51,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op4_html_extraction, op5_simhash_popcount, op6_jump_sharding, op7_phrase_automata, op9_nn_descent, op10_license_scan)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op3_pigeonhole_edits, op4_html_extraction, op5_simhash_popcount, op6_jump_sharding, op7_phrase_automata, op9_nn_descent, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
