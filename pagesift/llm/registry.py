@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesift.llm import decontamination, extraction, licenses, neighbours, packing, repeats, sharding, simhash
+from pagesift.llm import decontamination, extraction, language, licenses, neighbours, packing, repeats, sharding, simhash
 from pagesift.llm.common import read
 
 
@@ -17,6 +17,10 @@ def _vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_languages(read(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), _vocabulary(), 2048)
 
@@ -51,7 +55,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_pigeonhole_edits, op4_html_extraction, op5_simhash_popcount, op6_jump_sharding, op7_phrase_automata, op9_nn_descent, op10_license_scan)}
+    return {f.__name__: f for f in (op1_language_fusion, op2_best_fit_packing, op3_pigeonhole_edits, op4_html_extraction, op5_simhash_popcount, op6_jump_sharding, op7_phrase_automata, op9_nn_descent, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:

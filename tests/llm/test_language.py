@@ -1,0 +1,105 @@
+import math
+import random
+import re
+from collections import Counter, defaultdict
+
+import pytest
+
+from pagesift.llm import language as L
+
+
+def brute_grams(text):
+    raw = b" ".join(re.findall(rb"[a-z\x80-\xff]+", text.lower().encode()))
+    raw = b" " + raw + b" " if raw else b""
+    return [((raw[i] + (raw[i + 1] << 8) + (raw[i + 2] << 16)) * 0x9E3779B1 % 2**32) >> 17 for i in range(len(raw) - 2)]
+
+
+def brute(rows, strength=50.0):
+    """Posterior per row ``(id, text, declared, host)`` by the formulas, one row at a time."""
+    tag = lambda d: (re.match(r"([a-z]{2,3})([-_].*)?$", (d or "").strip().lower()) or [None, None])[1]
+    n = Counter(tag(r[2]) for r in rows)
+    langs = sorted(k for k, v in n.items() if k and v >= L.MIN_ROWS)
+    classes = [*langs, "und"]
+    counts = {k: Counter() for k in langs}
+    for r in rows:
+        if tag(r[2]) in counts:
+            counts[tag(r[2])].update(brute_grams(r[1] or ""))
+    like = []
+    for r in rows:
+        g = brute_grams(r[1] or "")
+        s = [sum(math.log((counts[k][x] + 0.1) / (sum(counts[k].values()) + 0.1 * L.BUCKETS)) for x in g) / 3 for k in langs]
+        like.append(([*s, len(g) * -math.log(L.BUCKETS) / 3], len(g)))
+    said = [max(range(len(classes)), key=lambda k: s[k]) if m else None for s, m in like]
+    top = Counter(x for x in said if x is not None)
+    prior0 = [(top[k] + 1) / (sum(top.values()) + len(classes)) for k in range(len(classes))]
+    host = defaultdict(Counter)
+    for r, x in zip(rows, said):
+        if x is not None:
+            host[r[3]][x] += 1
+    suffix = [(top[k] + strength * p) / (sum(top.values()) + strength) for k, p in enumerate(prior0)]
+    spoken = [[1.0] * len(classes) for _ in classes]
+    for r, x in zip(rows, said):
+        if x is not None and tag(r[2]):
+            spoken[x][classes.index(tag(r[2])) if tag(r[2]) in langs else len(langs)] += 1
+    out = []
+    for r, (s, m) in zip(rows, like):
+        own = [(host[r[3]][k] + strength * p) / (sum(host[r[3]].values()) + strength) for k, p in enumerate(suffix)]
+        prior = suffix if r[3] is None else own
+        z = [a + math.log(p) for a, p in zip(s, prior)]
+        if tag(r[2]):
+            d = classes.index(tag(r[2])) if tag(r[2]) in langs else len(langs)
+            z = [a + math.log(spoken[k][d] / sum(spoken[k])) for k, a in enumerate(z)]
+        top_z = max(z)
+        p = [math.exp(a - top_z) for a in z]
+        p = [a / sum(p) for a in p] if m else [0.0] * len(langs) + [1.0]
+        k = max(range(len(p)), key=lambda i: p[i])
+        out.append((r[0], classes[k], round(p[k], 5), k < len(langs) and p[k] >= 0.5))
+    return sorted(out, key=str)
+
+
+def make_rows():
+    rnd = random.Random(3)
+    vocab = {"en": "the of and with tree house over", "de": "der und über für Straße haus nicht", "fr": "été où la forêt dans une maison"}
+    rows = []
+    for i in range(120):
+        lang = rnd.choice(list(vocab))
+        text = " ".join(rnd.choice(vocab[lang].split()) for _ in range(rnd.choice([1, 2, 8, 30])))
+        rows.append((i, text, rnd.choice([lang, lang, lang.upper() + "-X", None, "zz"]), rnd.choice(["a", f"h-{lang}", None])))
+    return rows + [(500, None, "en", "a"), (501, "", None, None), (502, "12 34 !!", "de", "a"), (503, "щука Ж中文 ъыь" * 20, None, "a"),
+                   (None, "the tree", None, "a"), (3, rows[3][1], "en", "a"), (504, "the house " * 50000, None, "b")]
+
+
+def test_equals_brute_force(spark):
+    rows = make_rows()
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, lang string, source string, n_chars int, language string")
+    out = L.identify_languages(df).collect()
+    got = sorted(((r.doc_id, r.language, round(r.posterior, 5), r.accepted) for r in out), key=str)
+    for a, b in zip(got, brute(rows)):
+        assert a[0] == b[0] and a[1] == b[1] and a[3] == b[3] and a[2] == pytest.approx(b[2], abs=2e-3)
+    rejected = {r.doc_id for r in out if not r.accepted}
+    assert rejected >= {500, 501, 502, 503}
+    kept = L.drop_unidentified(df)
+    assert kept.columns == df.columns
+    assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(str(r.doc_id) for r in out if r.accepted)
+
+
+def test_no_languages_and_empty(spark):
+    df = spark.createDataFrame([(1, "the tree", None, "a")], "doc_id long, text string, lang string, source string")
+    assert [(r.language, r.accepted) for r in L.identify_languages(df).collect()] == [("und", False)]
+    assert L.identify_languages(df.limit(0)).count() == 0 and L.drop_unidentified(df.limit(0)).count() == 0
+
+
+def test_page_evidence(spark):
+    rows = [(1, "https://u@News.example.de:80/x", "<!DOCTYPE html><html class='a' lang='de-AT'>"), (2, "nonsense", None), (3, None, "<p lang=en>")]
+    df = L.page_evidence(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert [(r.declared, r.host, r.suffix) for r in df.orderBy("page_id").collect()] == [("de-AT", "news.example.de", "de"), (None, None, None), (None, None, None)]
+
+
+def test_declared_languages_are_found_on_the_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = L.identify_languages(docs, declared_col="lang").collect()
+    assert sum(r.language == r.declared for r in out) > 0.95 * len(out)
+    assert all(r.accepted for r in out)
+    pages = L.page_evidence(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))
+    found = L.identify_languages(pages, "page_id", "html", "declared", "host", "suffix").collect()
+    assert sum(r.language == r.declared for r in found) > 0.8 * len(found)
