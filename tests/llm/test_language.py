@@ -100,6 +100,6 @@ def test_declared_languages_are_found_on_the_tables(spark):
     out = L.identify_languages(docs, declared_col="lang").collect()
     assert sum(r.language == r.declared for r in out) > 0.95 * len(out)
     assert all(r.accepted for r in out)
-    pages = L.page_evidence(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))
+    pages = L.page_evidence(spark.read.parquet("/root/testdata/sf0.1/pages.parquet"))
     found = L.identify_languages(pages, "page_id", "html", "declared", "host", "suffix").collect()
     assert sum(r.language == r.declared for r in found) > 0.8 * len(found)
