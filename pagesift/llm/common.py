@@ -19,6 +19,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the installed package of public tokenizers keeps a vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
 

@@ -7,14 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesift.llm import decontamination, extraction, language, licenses, neighbours, packing, repeats, sharding, simhash
-from pagesift.llm.common import read
-
-
-def _vocabulary() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
+import corpus_pipeline
+from pagesift.llm import decontamination, extraction, language, licenses, neighbours, packing, quality, repeats, sharding, simhash
+from pagesift.llm.common import read, vocabulary_path
 
 
 def op1_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +17,7 @@ def op1_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(read(spark, sf_dir, "documents"), _vocabulary(), 2048)
+    return packing.pack_documents(read(spark, sf_dir, "documents"), vocabulary_path(), 2048)
 
 
 def op3_pigeonhole_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +41,10 @@ def op7_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op8_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), 0.3)
+
+
 def op9_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.near_duplicate_vectors(read(spark, sf_dir, "embeddings"), 0.98)
 
@@ -54,8 +53,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = (
+    op1_language_fusion, op2_best_fit_packing, op3_pigeonhole_edits, op4_html_extraction, op5_simhash_popcount,
+    op6_jump_sharding, op7_phrase_automata, op8_factorisation_machine, op9_nn_descent, op10_license_scan, pipeline,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_fusion, op2_best_fit_packing, op3_pigeonhole_edits, op4_html_extraction, op5_simhash_popcount, op6_jump_sharding, op7_phrase_automata, op9_nn_descent, op10_license_scan)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
