@@ -1,42 +1,26 @@
-"""Join helpers: broadcasts only behind a size check."""
+"""Join and layout helpers."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows above which a derived side is joined by shuffle instead of broadcast.
-BROADCAST_MAX_ROWS = 200_000
+PARSE_PARTITIONS_CONF = "spark.pagesift.parsePartitions"
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only if it has at most ``max_rows`` rows.
+def param_frame(spark: SparkSession, rows: list, schema: str) -> DataFrame:
+    """A broadcast DataFrame from a driver-side parameter list (stop words, a profile, a rule).
 
-    The check is a ``limit(max_rows + 1).count()``: it stops early on a big
-    side, so it costs at most one short job.  Beyond the bound the caller's
-    join is left to Catalyst and AQE (shuffle join, skew splitting).
+    The driver holds the list already; its size does not depend on the data.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def param_frame(spark: SparkSession, rows: list, schema: str, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """A DataFrame from a driver-side parameter list (stop words, a profile, a rule).
-
-    Its size is known here, so the broadcast needs no extra job.
-    """
-    df = spark.createDataFrame(rows, schema)
-    return F.broadcast(df) if len(rows) <= max_rows else df
+    return F.broadcast(spark.createDataFrame(rows, schema))
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread CPU-heavy per-row work over the cluster when the input has
-    fewer partitions than task slots (one large file, one row group).
+    """Deal CPU-heavy rows out to a fixed number of partitions, if the session names one.
 
-    On a big input (thousands of splits) this is a no-op; on a small one it
-    is a round-robin repartition, which cannot skew.
+    Large tables have splits enough and need no shuffle; a session over one
+    small file sets ``spark.pagesift.parsePartitions``.
     """
-    if df.isStreaming:
-        return df
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+    n = df.sparkSession.conf.get(PARSE_PARTITIONS_CONF, None)
+    return df if df.isStreaming or not n else df.repartition(int(n))

@@ -7,6 +7,8 @@ the SQL oracle relies on.
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,27 +20,9 @@ WS_CLASS = (
 TAG_RE = "<[^>]+>"
 TOKEN_RE = "[\\p{L}\\p{N}]+"
 
-# The named entities decoded in the text form (a parser would
-# decode all of them; pages use these).  Order matters only for ``&amp;``,
-# which goes last so that ``&amp;lt;`` stays ``&lt;``.
-ENTITIES = [
-    ("&nbsp;", " "),
-    ("&copy;", "©"),
-    ("&middot;", "·"),
-    ("&reg;", "®"),
-    ("&trade;", "™"),
-    ("&hellip;", "…"),
-    ("&mdash;", "—"),
-    ("&ndash;", "–"),
-    ("&laquo;", "«"),
-    ("&raquo;", "»"),
-    ("&quot;", '"'),
-    ("&apos;", "'"),
-    ("&#39;", "'"),
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&amp;", "&"),
-]
+# Named character references of HTML 4, by the standard library's table, and ``&apos;``.
+ENTITY_CHARS = {name: chr(code) for name, code in sorted(name2codepoint.items())} | {"apos": "'"}
+ENTITY_RE = "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 
 
 def col_(c) -> Column:
@@ -54,11 +38,26 @@ def strip_tags(c) -> Column:
     return F.regexp_replace(col_(c), TAG_RE, "")
 
 
+def _reference(part: Column) -> Column:
+    """Text after an ``&`` with the reference it starts with decoded, or null if it starts with none."""
+    name = F.regexp_extract(part, ENTITY_RE, 1)
+    rest = F.substring(part, F.length(name) + 2, F.length(part))
+    digits = F.regexp_replace(name, "^#[xX]?", "")
+    code = F.when(name.rlike("^#[xX]"), F.conv(digits, 16, 10)).when(name.startswith("#"), digits).cast("long")
+    # 0, surrogates and numbers past the last code point read as U+FFFD
+    bad = (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF)
+    octets = F.unhex(F.lpad(F.hex(F.when(bad, F.lit(0xFFFD)).otherwise(code)), 8, "0"))
+    table = F.create_map(*[F.lit(x) for pair in ENTITY_CHARS.items() for x in pair])
+    char = F.when(name.startswith("#"), F.decode(octets, "UTF-32")).when(name != "", F.try_element_at(table, name))
+    return F.concat(char, rest)
+
+
 def decode_entities(c) -> Column:
-    out = col_(c)
-    for name, char in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return out
+    """Character references (named ones of HTML 4, decimal, hexadecimal; with their semicolon) as characters, once."""
+    c = col_(c)
+    parts = F.split(c, "&")
+    decoded = F.transform(F.slice(parts, 2, F.size(parts)), lambda p: F.coalesce(_reference(p), F.concat(F.lit("&"), p)))
+    return F.when(c.contains("&"), F.concat(F.element_at(parts, 1), F.array_join(decoded, ""))).otherwise(c)
 
 
 def tokens(c) -> Column:

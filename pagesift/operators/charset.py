@@ -72,7 +72,7 @@ def html_decode(df: DataFrame, content_col: str) -> DataFrame:
     utf8 = staged.where(F.col("_declared").isNull() | F.col("_declared").isin(*UTF8_NAMES))
     other = staged.where(~(F.col("_declared").isNull() | F.col("_declared").isin(*UTF8_NAMES)))
     utf8 = utf8.withColumn("charset", F.lit("utf-8")).withColumn(
-        "html", F.decode(F.col(content_col), "UTF-8")
+        "html", F.make_valid_utf8(F.col(content_col).cast("string"))
     )
     dec = _decode_other(F.col(content_col), F.col("_declared"))
     other = other.withColumn("_d", dec).withColumn("charset", F.col("_d.charset")).withColumn("html", F.col("_d.html")).drop("_d")

@@ -43,11 +43,15 @@ def parser_tree(rows: DataFrame, group_cols: list[str], ord_col: str = "ord") ->
         lambda i: F.array_join(F.slice(parts, 1, i), "."),
     )
     rooted = (F.col("loc") == ROOT_LOC) | F.col("loc").startswith(ROOT_LOC + ".")
-    cand = win.where(rooted).withColumn("_k", k).withColumn("_id", F.monotonically_increasing_id())
-    need = cand.where(F.col("_k") > 0).select(*g, "_id", F.explode(F.slice(prefixes, 1, F.col("_k"))).alias("path"))
+    # ``(group, path)`` is unique after the aggregate, so it names the row.
+    cand = win.where(rooted).withColumn("_k", k)
+    need = cand.where(F.col("_k") > 0).select(
+        *g, F.col("path").alias("_of"), F.explode(F.slice(prefixes, 1, F.col("_k"))).alias("path")
+    )
     loops = win.where(F.col("type").isin(*LOOP_TYPES)).select(*g, "path").withColumn("_ok", F.lit(1))
-    have = need.join(loops, [*g, "path"], "left").groupBy("_id").agg(F.count("*").alias("_n"), F.sum("_ok").alias("_m"))
-    reached = cand.join(have, "_id", "left").where((F.col("_k") == 0) | (F.col("_n") == F.col("_m")))
+    have = need.join(loops, [*g, "path"], "left").groupBy(*g, "_of").agg(F.count("*").alias("_n"), F.sum("_ok").alias("_m"))
+    have = have.withColumnRenamed("_of", "path")
+    reached = cand.join(have, [*g, "path"], "left").where((F.col("_k") == 0) | (F.col("_n") == F.col("_m")))
     t = F.col("type")
     return reached.select(
         *g, "path", "loc", "name", (F.col("_k") + 1).alias("depth"), "type",
@@ -115,7 +119,8 @@ def _vtype(v: Column, path: str) -> Column:
     )
 
 
-# (ord, json path, display name, expected type, necessary, parent check ord or None)
+# (ord, json path, display name, accepted types, necessary, parent check ord or None);
+# a parser is the compiled tree (dict) or its authoring rows (list).
 STAGE_CHECKS = [
     (1, "$.header", "header", "dict", False, None),
     (2, "$.header.external", "header.external", "list", False, 1),
@@ -125,7 +130,7 @@ STAGE_CHECKS = [
     (6, "$.request.method", "request.method", "str", False, 4),
     (7, "$.request.headers", "request.headers", "dict", False, 4),
     (8, "$.request.cookies", "request.cookies", "dict", False, 4),
-    (9, "$.parser", "parser", "list", True, None),
+    (9, "$.parser", "parser", "dict|list", True, None),
     (11, "$.remove_repeats", "remove_repeats", "bool", False, None),
     (12, "$.need_refresh", "need_refresh", "bool", False, None),
 ]
@@ -148,9 +153,9 @@ def stage_issue_array() -> Column:
     for ord_, path, name, typ, necessary, parent in STAGE_CHECKS:
         t = F.col(f"_t{ord_}")
         gate = ok[parent] if parent is not None else F.lit(True)
-        ok[ord_] = gate & t.isNotNull() & (t == typ)
+        ok[ord_] = gate & t.isNotNull() & t.isin(*typ.split("|"))
         missing = gate & t.isNull()
-        wrong = gate & t.isNotNull() & (t != typ)
+        wrong = gate & t.isNotNull() & ~t.isin(*typ.split("|"))
         sev_missing = "error" if necessary else "warning"
         msg_missing = f"Necessary part {name} lose" if necessary else f"{name} lose"
         items.append(

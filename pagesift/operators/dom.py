@@ -60,6 +60,8 @@ P_CLOSERS = frozenset(
 )
 SCOPE = frozenset("html table td th caption marquee object applet template button".split())
 LIST_SCOPE = SCOPE | {"ol", "ul"}
+HEAD_TAGS = frozenset("base link meta script style title noscript template".split())
+MAX_DEPTH = 512
 CLOSES_PEER = {
     "li": ({"li"}, LIST_SCOPE),
     "dt": ({"dt", "dd"}, SCOPE | {"dl"}),
@@ -80,6 +82,7 @@ class _TreeBuilder(HTMLParser):
         self.root_children = 0
         self.pos = 0
         self.buf: list[str] = []
+        self.outer: set[str] = set()  # of html and body, those that were opened; neither closes before the end
 
     # -- helpers -------------------------------------------------------
     def _next_pos(self) -> int:
@@ -107,6 +110,9 @@ class _TreeBuilder(HTMLParser):
             return
         text = "".join(self.buf)
         self.buf = []
+        if text.isspace() and "body" not in self.outer and not (self.stack and self.stack[-1][2] in HEAD_TAGS):
+            return  # between the outer tags
+        self._imply(None)
         p = self._next_pos()
         # node_id, parent_id, tag, class, id, attrs, start, end, depth, sib_ord, kind, text, path
         self.rows.append([p, self._parent_id(), None, None, None, None, p, p, len(self.stack), self._sib(), "text", text, self._path()])
@@ -129,21 +135,46 @@ class _TreeBuilder(HTMLParser):
                 return -1
         return -1
 
+    def _imply(self, tag: str | None):
+        """Open the ``html``, ``head`` and ``body`` that a page leaves out before ``tag`` (None: text)."""
+        if tag == "html" or "body" in self.outer:
+            return
+        if "html" not in self.outer:
+            self._open("html", [], push=True)
+        tags = {r[2] for r in self.stack}
+        if tag in ("head", "body") or "head" in tags and tag in HEAD_TAGS:
+            if tag == "body" and "head" in tags:
+                self._close_through(1)
+            return
+        if tag in HEAD_TAGS:
+            self._open("head", [], push=True)
+            return
+        if tag is None and "head" in tags and self.stack[-1][2] in HEAD_TAGS:
+            return  # text of a title, script or style
+        self._close_through(1)
+        self._open("body", [], push=True)
+
     def _open(self, tag, attrs, push: bool):
         amap = {}
         for k, v in attrs:
             if k not in amap:
                 amap[k] = "" if v is None else v
+        if tag in ("html", "body"):
+            self.outer.add(tag)
         p = self._next_pos()
         row = [p, self._parent_id(), tag, amap.get("class"), amap.get("id"), amap, p, p, len(self.stack), self._sib(), "elem", None, self._path()]
         self.rows.append(row)
-        if push:
+        # Deeper elements become siblings, so that no path is longer than this.
+        if push and len(self.stack) < MAX_DEPTH:
             self.stack.append(row)
             self.children.append(0)
 
     # -- parser events -------------------------------------------------
     def handle_starttag(self, tag, attrs):
         self._flush()
+        if tag in self.outer:
+            return  # the page is in it already
+        self._imply(tag)
         if tag in P_CLOSERS:
             i = self._find_in_scope({"p"}, SCOPE)
             if i >= 0:
@@ -157,12 +188,13 @@ class _TreeBuilder(HTMLParser):
 
     def handle_startendtag(self, tag, attrs):
         self._flush()
+        self._imply(tag)
         self._open(tag, attrs, push=False)
 
     def handle_endtag(self, tag):
         self._flush()
-        if tag in VOID:
-            return
+        if tag in VOID or tag in ("html", "body"):
+            return  # what follows still belongs to the body
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][2] == tag:
                 self._close_through(i)

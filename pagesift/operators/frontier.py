@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesift.functions import html as H
-from pagesift.functions.joins import bounded_broadcast
 from pagesift.functions.urls import url_join
 
 DEFAULT_DEPTH_LIMIT = 5
@@ -20,11 +19,16 @@ def depth_limit(configured) -> int:
     return d if d > 0 else DEFAULT_DEPTH_LIMIT
 
 
+def scope_source(html: str, scope: str | None):
+    """Every match of ``scope`` in document order, one after the other (the whole page if None)."""
+    return F.col(html) if scope is None else F.array_join(F.regexp_extract_all(html, F.lit(scope), 0), "")
+
+
 def links_by_stage(pages: DataFrame, fields: list[tuple[str, str | None, str | None]]) -> DataFrame:
     """``(page_id, url, field, next_stage, pos, href)`` for link fields.
 
     ``fields`` are ``(name, scope_regex, next_stage)``: the anchors inside the
-    first match of ``scope_regex`` (whole page if None).  Fields with a blank
+    matches of ``scope_regex`` (whole page if None).  Fields with a blank
     next stage are dropped.  All links of a page come from its own row, so
     this is an in-row ``posexplode`` — no grouping, no shuffle.
     """
@@ -32,7 +36,7 @@ def links_by_stage(pages: DataFrame, fields: list[tuple[str, str | None, str | N
     for name, scope, nxt in fields:
         if nxt is None or nxt.strip() == "":
             continue
-        src = F.col("html") if scope is None else F.regexp_extract("html", scope, 0)
+        src = scope_source("html", scope)
         hrefs = F.transform(F.regexp_extract_all(src, F.lit(H.ANCHOR_RE), 0), H.anchor_href)
         parts.append(
             pages.select(
@@ -50,7 +54,6 @@ def stage_route(links: DataFrame, stages: DataFrame, depth_col: str | None = Non
                 remove_repeats: bool = False) -> DataFrame:
     """Each link becomes a request of its next stage (first stage of that name wins).
 
-    The stage table is configuration-sized; it is broadcast behind a row bound.
     A link to an unknown stage keeps a ``route_error`` instead of silently
     running the start stage.  ``remove_repeats`` drops repeated request URLs
     of one page and stage (the first position is kept).
@@ -60,8 +63,7 @@ def stage_route(links: DataFrame, stages: DataFrame, depth_col: str | None = Non
         firsts = resolved.groupBy("page_id", "next_stage", "_abs").agg(F.min("pos").alias("pos"))
         links = resolved.join(firsts, ["page_id", "next_stage", "_abs", "pos"], "left_semi").drop("_abs")
     first = stages.groupBy("name").agg(F.min_by("stage_ord", "stage_ord").alias("stage_ord"))
-    st = bounded_broadcast(first.withColumnRenamed("name", "next_stage"))
-    j = links.join(st, "next_stage", "left")
+    j = links.join(first.withColumnRenamed("name", "next_stage"), "next_stage", "left")
     depth = (F.col(depth_col) + 1) if depth_col else F.lit(1)
     return j.select(
         "page_id", "pos", "next_stage", "stage_ord",
@@ -122,7 +124,7 @@ def links_by_stage_grouped(pages: DataFrame, fields: list[tuple[str, str | None,
     for name, scope, nxt in fields:
         if nxt is None or nxt.strip() == "":
             continue
-        src = F.col("html") if scope is None else F.regexp_extract("html", scope, 0)
+        src = scope_source("html", scope)
         hrefs = F.transform(F.regexp_extract_all(src, F.lit(H.ANCHOR_RE), 0), H.anchor_href)
         by_stage.setdefault(nxt, []).append(hrefs)
     parts = [

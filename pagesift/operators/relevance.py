@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesift.functions.joins import bounded_broadcast, param_frame
+from pagesift.functions.joins import param_frame
 from pagesift.functions.stopwords import load_default_stopwords
 from pagesift.functions.text import tokens
 
@@ -89,7 +89,7 @@ def term_info(spark: SparkSession, profile, anchors=REFERENCE_ANCHORS) -> tuple[
         .join(anchor_df, "term", "full")
         .select("term", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("is_anchor", F.lit(False)).alias("is_anchor"))
     )
-    info = bounded_broadcast(info)
+    info = F.broadcast(info)  # made of parameter lists
     c_anchor = info.where("is_anchor AND n > 0").agg(F.sum(4.0 * F.col("n") * F.col("n"))).first()[0] or 0.0
     return info, float(c_anchor)
 

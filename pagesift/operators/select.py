@@ -169,9 +169,11 @@ def select_nodes(nodes: DataFrame, ctx: DataFrame, sel: Selector) -> DataFrame:
         cand = elems
         if st.tag is not None:
             cand = cand.where(F.col("tag") == st.tag)
-        for p in st.preds:
-            if p[0] != "pos":
-                cand = cand.where(F.coalesce(_pred(p), F.lit(False)))
+        # Predicates hold in the order they are written: those before the
+        # first position filter the candidates, later ones what it picks.
+        first_pos = next((i for i, p in enumerate(st.preds) if p[0] == "pos"), len(st.preds))
+        for p in st.preds[:first_pos]:
+            cand = cand.where(F.coalesce(_pred(p), F.lit(False)))
         if st.axis == "child":
             c = cand.withColumn("cur", F.coalesce(F.col("parent_id"), F.lit(ROOT)))
         elif st.axis == "self_desc":
@@ -179,10 +181,13 @@ def select_nodes(nodes: DataFrame, ctx: DataFrame, sel: Selector) -> DataFrame:
         else:
             c = cand.withColumn("cur", F.explode(F.concat(F.array(F.lit(ROOT)), F.col("path"))))
         hit = c.join(cur, ["page_id", "cur"]).select("page_id", "scope", "node_id", "parent_id", "start").distinct()
-        for p in st.preds:
+        for p in st.preds[first_pos:]:
             if p[0] == "pos":
                 w = Window.partitionBy("page_id", "scope", "parent_id").orderBy("start")
                 hit = hit.withColumn("_pos", F.row_number().over(w)).where(F.col("_pos") == p[1]).drop("_pos")
+            else:
+                fits = elems.where(F.coalesce(_pred(p), F.lit(False))).select("page_id", "node_id")
+                hit = hit.join(fits, ["page_id", "node_id"], "left_semi")
         cur = hit.select("page_id", "scope", F.col("node_id").alias("cur"))
         last = hit
     out = last.select("page_id", "scope", "node_id", "start")

@@ -35,12 +35,13 @@ def url_dedup(pages: DataFrame, seen: DataFrame | None = None) -> DataFrame:
         pages = pages.join(seen.select("url").distinct(), "url", "left_anti")
     # The winner per URL is found on the narrow (url, page_id) columns by a
     # hash aggregate (partial, map-side: a URL repeated in a third of all rows
-    # collapses before it moves); the page rows are then kept by a semi-join
-    # with a hashed build side, so the html moves once and is never sorted
-    # (``min_by(html, …)`` would force a sort-based aggregate over the html).
-    winners = pages.select("url", "page_id").groupBy("url").agg(F.min("page_id").alias("page_id"))
-    kept = pages.join(winners.hint("shuffle_hash"), ["url", "page_id"], "left_semi")
-    return kept.select("url", "page_id", "html")
+    # collapses before it moves); the page rows are then kept by a semi-join,
+    # so the html moves once (``min_by(html, …)`` would force a sort-based
+    # aggregate over it).  Rows without a URL are one page.
+    winners = pages.select("url", "page_id").groupBy("url").agg(F.min("page_id").alias("_page"))
+    winners = winners.withColumnRenamed("url", "_url")
+    same = pages["url"].eqNullSafe(winners["_url"]) & (pages["page_id"] == winners["_page"])
+    return pages.join(winners, same, "left_semi").select("url", "page_id", "html")
 
 
 def keep_where(df: DataFrame, cond) -> DataFrame:

@@ -1,8 +1,9 @@
 """Run a stored rule end to end over page snapshots.
 
-requests ⋈ pages → dedup against the seen-set → per stage: node table →
-body (article text or body parser) → relevance → article rows; link fields
-with ``next`` → routed requests of the next level.  The driver loops over
+requests ⋈ pages → per stage: node table → body (article text, or body parser
+and article text where that is empty) of URLs not in the seen-set → relevance →
+article rows; link fields with ``next`` of every page → routed requests of the
+next level.  The driver loops over
 levels (at most the depth limit) and over the stage names of a level (a
 config-sized set); every level's frontier and seen-set are checkpointed.
 
@@ -67,41 +68,48 @@ def run_rule(spark: SparkSession, rule: dict, pages: DataFrame, start_urls: Data
 
     frontier = start_urls.select("url").distinct().select("url", F.lit(start).alias("stage")).checkpoint(eager=True)
     seen_urls = (seen.select("url") if seen is not None else spark.createDataFrame([], "url string")).checkpoint(eager=True)
+    followed = frontier.limit(0)
     results = []
     for level in range(limit + 1):
-        # Repeated requests of one URL and stage fetch the same snapshot: collapse
-        # them first (partial aggregation), so a hot URL does not skew the join.
-        got = fetch_join(frontier.distinct(), snap, "url").where("fetched")
-        # First snapshot per URL not seen before; marked seen before any threshold.
-        # The winner (page, stage) per URL is chosen on narrow columns; the html
-        # rows follow by a semi-join, so they are never sorted.
-        new = got.join(seen_urls, "url", "left_anti")
-        winners = new.select("url", "page_id", "stage").groupBy("url").agg(
-            F.min_by(F.struct("page_id", "stage"), F.struct("page_id", "stage")).alias("w")).select("url", "w.*")
-        fresh = A.cut(new.join(winners.hint("shuffle_hash"), ["url", "page_id", "stage"], "left_semi")
-                      .select("url", "page_id", "stage", "html"))
-        seen_urls = seen_urls.unionByName(fresh.select("url")).checkpoint(eager=True)
-        names = [r["stage"] for r in fresh.select("stage").distinct().collect()]  # config-sized
+        # Repeated requests of one URL and stage fetch the same snapshot, and what
+        # a pair led to at a lower level is known: collapse first (partial
+        # aggregation), so a hot URL does not skew the join.
+        asked = frontier.distinct().join(followed, ["url", "stage"], "left_anti")
+        got = A.cut(fetch_join(asked, snap, "url").where("fetched").select("url", "page_id", "stage", "html"))
+        followed = followed.unionByName(got.select("url", "stage").distinct()).checkpoint(eager=True)
+        # The seen-set guards storing only: one snapshot and stage per URL that was
+        # not stored before, marked before any threshold.  The winner is chosen on
+        # narrow columns; links are followed from every page.
+        order = F.struct("page_id", F.array_position(F.array(*[F.lit(n) for n in stages]), F.col("stage")), "stage")
+        new = got.select("url", "page_id", "stage").join(seen_urls, "url", "left_anti")
+        store = new.groupBy("url").agg(F.min_by(F.struct("page_id", "stage"), order).alias("w")).select("url", "w.*").checkpoint(eager=True)
+        seen_urls = seen_urls.unionByName(store.select("url")).checkpoint(eager=True)
+        names = [r["stage"] for r in got.select("stage").distinct().collect()]  # config-sized
         nxt = []
         for name in names:
             cfg = stages.get(name)
             if cfg is None:
                 continue
-            part = fresh.where(F.col("stage") == name)
-            nodes = A.cut(D.html_nodes(part.select("page_id", "html")))
+            part = got.where(F.col("stage") == name)
+            nodes = A.cut(D.html_nodes(part.select("page_id", "html").dropDuplicates(["page_id"])))
+            kept = store.where(F.col("stage") == name).select("page_id")
+            own = nodes.join(kept, "page_id", "left_semi")
             if cfg.get("auto_parse_body"):
-                bodies = A.article_text(nodes)
+                bodies = A.article_text(own)
             elif (cfg.get("body_parser") or "").strip():
-                bodies = SL.body_select(A.cut(D.html_clean_nodes(nodes)), part.select("page_id"), False, cfg["body_parser"])
+                # A body parser that hits nothing falls back to the main text.
+                parsed = A.cut(SL.body_select(own, kept, False, cfg["body_parser"]).where(F.trim(F.coalesce("body", F.lit(""))) != ""))
+                rest = own.join(parsed.select("page_id"), "page_id", "left_anti")
+                bodies = parsed.select("page_id", "body").unionByName(A.article_text(rest).select("page_id", "body"))
             else:
                 bodies = None
             if bodies is not None:
                 scored = bodies.withColumn("sim", row_similarity(F.col("body"), words, stopwords=stopwords))
-                meta = part.select("page_id", "url", page_title("html").alias("title"), image_srcs("html").alias("photos"))
+                meta = part.join(kept, "page_id", "left_semi").select("page_id", "url", page_title("html").alias("title"), image_srcs("html").alias("photos"))
                 passed = keep_where(scored, F.col("sim") >= F.lit(content_t)).join(meta, "page_id")
                 results.append(article_sink(passed, rule.get("tag", ""), run_ts))
             if level < limit:
-                ctx = SL.document_ctx(part.select("page_id"))
+                ctx = SL.document_ctx(part.select("page_id").distinct())
                 links = _field_links(spark, nodes, ctx, cfg.get("parser"), passes)
                 for lk in links:
                     routed = stage_route(lk.join(part.select("page_id", "url"), "page_id"), stage_table,

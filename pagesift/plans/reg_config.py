@@ -119,23 +119,22 @@ def q_path_rename(spark, sf):
     return r.select("rule", "ord", "loc", "name")
 
 
-@register(
-    "parser_field_validate",
-    lambda: f"""SELECT rule, path,
-                  CASE WHEN type IS NULL THEN 'error'
-                       WHEN type NOT IN ('loop','xpath-loop','css-loop','xpath','css','xpath-list','css-list') THEN 'warning'
-                       ELSE 'error' END AS severity,
+def parser_issues_sql(tree: str, keys: str) -> str:
+    known = "('loop','xpath-loop','css-loop','xpath','css','xpath-list','css-list')"
+    return f"""SELECT {keys}, path,
+                  CASE WHEN type IS NULL THEN 'error' WHEN type NOT IN {known} THEN 'warning' ELSE 'error' END AS severity,
                   CASE WHEN type IS NULL THEN 'Necessary part parser-' || name || '.type lose'
-                       WHEN type NOT IN ('loop','xpath-loop','css-loop','xpath','css','xpath-list','css-list')
-                            THEN 'Unknown parser type ''' || type || ''''
+                       WHEN type NOT IN {known} THEN 'Unknown parser type ''' || type || ''''
                        ELSE 'Necessary part parser-' || name || '.' ||
                             CASE WHEN type = 'loop' THEN 'loop' WHEN starts_with(type, 'xpath') THEN 'xpath' ELSE 'css' END || ' lose' END AS message,
-                  type IS NULL OR type IN ('loop','xpath-loop','css-loop','xpath','css','xpath-list','css-list') AS counted
-                FROM {parser_tree_sql()}
-                WHERE type IS NULL OR type NOT IN ('loop','xpath-loop','css-loop','xpath','css','xpath-list','css-list')
+                  type IS NULL OR type IN {known} AS counted
+                FROM {tree}
+                WHERE type IS NULL OR type NOT IN {known}
                    OR coalesce(CASE WHEN type = 'loop' THEN loop WHEN starts_with(type, 'xpath') THEN xpath
-                                    WHEN starts_with(type, 'css') THEN css END, NULL) IS NULL""",
-)
+                                    WHEN starts_with(type, 'css') THEN css END, NULL) IS NULL"""
+
+
+@register("parser_field_validate", lambda: parser_issues_sql(parser_tree_sql(), "rule"))
 def q_parser_field_validate(spark, sf):
     return C.parser_field_issues(C.parser_tree(parser_rows(spark, sf), ["rule"]), ["rule"])
 
@@ -216,14 +215,15 @@ def issues_sql() -> str:
     for ord_, path, name, typ, necessary, parent in C.STAGE_CHECKS:
         t = _jtype(path)
         gate = ok[parent] if parent is not None else "true"
-        ok[ord_] = f"({gate} AND {t} IS NOT NULL AND {t} = '{typ}')"
+        fits = f"{t} IN ({', '.join(S.q(x) for x in typ.split('|'))})"
+        ok[ord_] = f"({gate} AND {t} IS NOT NULL AND {fits})"
         sev = "error" if necessary else "warning"
         msg = f"Necessary part {name} lose" if necessary else f"{name} lose"
         parts.append(
             f"SELECT id, stage_idx, {ord_} AS ord, '{name}' AS field, "
             f"CASE WHEN {t} IS NULL THEN '{sev}' ELSE 'error' END AS severity, "
             f"CASE WHEN {t} IS NULL THEN '{msg}' ELSE '{name} type error' END AS message "
-            f"FROM {stages_sql()} WHERE {gate} AND ({t} IS NULL OR {t} <> '{typ}')"
+            f"FROM {stages_sql()} WHERE {gate} AND ({t} IS NULL OR NOT {fits})"
         )
     return "(" + " UNION ALL ".join(parts) + ")"
 
@@ -275,23 +275,31 @@ def q_config_validate(spark, sf):
     return _issues(spark, sf)
 
 
+def _parser_counts_sql() -> str:
+    issues = parser_issues_sql(parser_tree_sql(compile_rows_sql(), "id, stage_idx"), "id, stage_idx")
+    return f"""(SELECT id, count(*) FILTER (WHERE counted AND severity = 'error') AS errors,
+                       count(*) FILTER (WHERE counted AND severity = 'warning') AS warnings FROM ({issues}) GROUP BY id)"""
+
+
 @register(
     "config_verdict",
-    lambda: f"""SELECT id, sum(errors) AS errors, sum(warnings) AS warnings,
-                       bool_and(errors = 0 AND warnings = 0) AS check_pass, bool_and(errors = 0) AS correct_pass
-                FROM (SELECT s.id, s.stage_idx,
-                             count(i.severity) FILTER (WHERE i.severity = 'error') AS errors,
+    lambda: f"""SELECT v.id, v.errors + coalesce(p.errors, 0) AS errors, v.warnings + coalesce(p.warnings, 0) AS warnings,
+                       v.errors + coalesce(p.errors, 0) = 0 AND v.warnings + coalesce(p.warnings, 0) = 0 AS check_pass,
+                       v.errors + coalesce(p.errors, 0) = 0 AS correct_pass
+                FROM (SELECT s.id, count(i.severity) FILTER (WHERE i.severity = 'error') AS errors,
                              count(i.severity) FILTER (WHERE i.severity = 'warning') AS warnings
                       FROM {stages_sql()} s LEFT JOIN {issues_sql()} i ON i.id = s.id AND i.stage_idx = s.stage_idx
-                      GROUP BY s.id, s.stage_idx)
-                GROUP BY id""",
+                      GROUP BY s.id) v LEFT JOIN {_parser_counts_sql()} p ON p.id = v.id""",
 )
 def q_config_verdict(spark, sf):
-    """Per rule: issue counts and pass flags; a rule passes when all its stages do."""
-    v = C.stage_verdicts(_stages(spark, sf), "stage")
-    return v.groupBy("id").agg(
-        F.sum("errors").alias("errors"), F.sum("warnings").alias("warnings"),
-        F.every("check_pass").alias("check_pass"), F.every("correct_pass").alias("correct_pass"),
+    """Per rule: counts of stage and parser-field issues, and pass flags over both."""
+    v = C.stage_verdicts(_stages(spark, sf), "stage").groupBy("id").agg(F.sum("errors").alias("e"), F.sum("warnings").alias("w"))
+    fields = C.parser_field_issues(q_config_compile(spark, sf), ["id", "stage_idx"]).where("counted")
+    p = fields.groupBy("id").agg(F.count_if(F.col("severity") == "error").alias("pe"), F.count_if(F.col("severity") == "warning").alias("pw"))
+    errors, warnings = F.col("e") + F.coalesce("pe", F.lit(0)), F.col("w") + F.coalesce("pw", F.lit(0))
+    return v.join(p, "id", "left").select(
+        "id", errors.alias("errors"), warnings.alias("warnings"),
+        ((errors == 0) & (warnings == 0)).alias("check_pass"), (errors == 0).alias("correct_pass"),
     )
 
 
@@ -384,13 +392,14 @@ def q_drop_blank_items(spark, sf):
 
 @register(
     "kv_to_map",
-    """SELECT conv_id, turn, '{"turn":"' || turn || '","' || role || '":"last"}' AS obj FROM conversations""",
+    """SELECT conv_id, turn, '{"text":' || to_json(text) || ',"turn":"' || turn || '","' || role || '":"last"}' AS obj FROM conversations""",
 )
 def q_kv_to_map(spark, sf):
     """Key/value lists with a repeated key (last wins) → JSON objects."""
     c = table(spark, sf, "conversations", "conv_id", "turn", "role", "text")
     entries = F.array(
-        F.struct(F.col("role").alias("key"), F.substring("text", 1, 12).alias("value")),
+        F.struct(F.col("role").alias("key"), F.lit("first").alias("value")),
+        F.struct(F.lit("text").alias("key"), F.col("text").alias("value")),
         F.struct(F.lit("turn").alias("key"), F.col("turn").cast("string").alias("value")),
         F.struct(F.col("role").alias("key"), F.lit("last").alias("value")),
     )
@@ -417,13 +426,13 @@ def q_map_to_kv(spark, sf):
 
 @register(
     "config_latest",
-    """SELECT user_id AS key, arg_max(event_type, ts) AS value, max(ts) AS updated FROM events
-       GROUP BY user_id HAVING arg_max(event_type, ts) <> 'error'""",
+    """SELECT user_id AS key, last(event_type ORDER BY ts, event_id) AS value, max(ts) AS updated FROM events
+       GROUP BY user_id HAVING last(event_type ORDER BY ts, event_id) <> 'error'""",
 )
 def q_config_latest(spark, sf):
-    """A keyed store from its change log: latest value per key, tombstones ('error') dropped."""
-    e = table(spark, sf, "events", "user_id", "ts", "event_type")
-    latest = e.groupBy("user_id").agg(F.max_by("event_type", "ts").alias("value"), F.max("ts").alias("updated"))
+    """A keyed store from its change log: latest value per key (of equal times the last event), tombstones ('error') dropped."""
+    e = table(spark, sf, "events", "event_id", "user_id", "ts", "event_type")
+    latest = e.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("value"), F.max("ts").alias("updated"))
     return latest.where(F.col("value") != "error").select(F.col("user_id").alias("key"), "value", "updated")
 
 
@@ -431,16 +440,16 @@ def q_config_latest(spark, sf):
     "run_log_latest",
     """SELECT user_id AS task_id,
               strftime(max(ts) FILTER (WHERE event_type = 'signup'), '%y/%m/%d/%H/%M/%S') AS lastruntime,
-              arg_max(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END, ts) AS is_running
+              last(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END ORDER BY ts, event_id) AS is_running
        FROM events WHERE event_type IN ('signup', 'purchase') GROUP BY user_id""",
 )
 def q_run_log_latest(spark, sf):
     """Task state from start ('signup') and end ('purchase') events."""
-    e = table(spark, sf, "events", "user_id", "ts", "event_type").where(F.col("event_type").isin("signup", "purchase"))
+    e = table(spark, sf, "events", "event_id", "user_id", "ts", "event_type").where(F.col("event_type").isin("signup", "purchase"))
     start = F.col("event_type") == "signup"
     return e.groupBy(F.col("user_id").alias("task_id")).agg(
         F.date_format(F.max(F.when(start, F.col("ts"))), "yy/MM/dd/HH/mm/ss").alias("lastruntime"),
-        F.max_by(F.when(start, 1).otherwise(0), "ts").alias("is_running"),
+        F.max_by(F.when(start, 1).otherwise(0), F.struct("ts", "event_id")).alias("is_running"),
     )
 
 

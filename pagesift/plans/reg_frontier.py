@@ -23,7 +23,7 @@ DEPTH_LIMIT = 5
 
 
 def _hrefs_sql(scope_re: str) -> str:
-    src = f"regexp_extract(html, {S.q(scope_re)}, 0)"
+    src = f"array_to_string(regexp_extract_all(html, {S.q(scope_re)}, 0), '')"
     return (
         f"list_transform(regexp_extract_all({src}, {S.q(H.ANCHOR_RE)}, 0), "
         f"lambda a: {S.decode_entities(f'regexp_extract(a, {S.q(H.HREF_RE)}, 1)')})"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pagesift.functions import html as H
 from pagesift.functions.urls import url_join
 from pagesift.operators import charset as CS
+from pagesift.operators.frontier import scope_source
 from pagesift.operators import tokens as TK
 from pagesift.plans import sqlparts as S
 from pagesift.plans.catalog import register
@@ -80,7 +81,7 @@ def q_page_images(spark, sf):
 
 
 def _nav_hrefs_sql():
-    nav = f"regexp_extract(html, {S.q(H.NAV_RE)}, 0)"
+    nav = f"array_to_string(regexp_extract_all(html, {S.q(H.NAV_RE)}, 0), '')"
     return (
         f"list_transform(regexp_extract_all({nav}, {S.q(H.ANCHOR_RE)}, 0), "
         f"lambda a: {S.decode_entities(f'regexp_extract(a, {S.q(H.HREF_RE)}, 1)')})"
@@ -95,7 +96,7 @@ def _nav_hrefs_sql():
 def q_first_five(spark, sf):
     """First five navigation links of each page in five columns (the photo-column shape)."""
     p = _pages(spark, sf, "page_id", "html")
-    hrefs = F.transform(F.regexp_extract_all(F.regexp_extract("html", H.NAV_RE, 0), F.lit(H.ANCHOR_RE), 0), H.anchor_href)
+    hrefs = F.transform(F.regexp_extract_all(scope_source("html", H.NAV_RE), F.lit(H.ANCHOR_RE), 0), H.anchor_href)
     return p.select("page_id", *TK.first_five(hrefs))
 
 
@@ -123,10 +124,19 @@ def q_charset_detect(spark, sf):
 
 @register(
     "html_decode",
-    "SELECT page_id, length(html) AS n_chars, strlen(html) AS n_bytes FROM pages",
+    """SELECT page_id, CASE page_id % 3 WHEN 2 THEN 'iso-8859-1' ELSE 'utf-8' END AS charset,
+              md5(CASE page_id % 3 WHEN 0 THEN html WHEN 1 THEN html || chr(65533) || 'x'
+                  ELSE replace(regexp_replace(html, '[^\\x{0000}-\\x{00FF}]', '?', 'g'), 'charset="utf-8"', 'charset="iso-8859-1"') END) AS html_md5
+       FROM pages""",
 )
 def q_html_decode(spark, sf):
-    """Round trip: page text → UTF-8 bytes → charset detection → decoded text."""
-    p = _pages(spark, sf, "page_id", "html").select("page_id", F.encode("html", "UTF-8").alias("content"))
-    d = CS.html_decode(p, "content")
-    return d.select("page_id", F.length("html").alias("n_chars"), F.octet_length(F.encode("html", "UTF-8")).alias("n_bytes"))
+    """Bytes → charset detection → text: whole UTF-8, UTF-8 with a bad byte, and a second declared charset."""
+    html, third = F.col("html"), F.col("page_id") % 3
+    latin = F.replace(F.regexp_replace(html, "[^\\x{0000}-\\x{00FF}]", "?"), F.lit('charset="utf-8"'), F.lit('charset="iso-8859-1"'))
+    content = (
+        F.when(third == 0, F.encode(html, "UTF-8"))
+        .when(third == 1, F.concat(F.encode(html, "UTF-8"), F.lit(b"\xffx")))
+        .otherwise(F.encode(latin, "ISO-8859-1"))
+    )
+    d = CS.html_decode(_pages(spark, sf, "page_id", "html").select("page_id", content.alias("content")), "content")
+    return d.select("page_id", "charset", F.md5(F.encode("html", "UTF-8")).alias("html_md5"))

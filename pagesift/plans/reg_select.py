@@ -20,7 +20,7 @@ from pagesift.sources.tables import table
 
 def _nodes(spark, sf):
     pages = table(spark, sf, "pages", "page_id", "html")
-    return pages, A.cut(D.html_clean_nodes(A.cut(D.html_nodes(pages))))
+    return pages, A.cut(D.html_nodes(pages))
 
 
 @register(

@@ -52,9 +52,16 @@ def strip_tags(expr: str) -> str:
 
 
 def decode_entities(expr: str) -> str:
-    for name, char in T.ENTITIES:
-        expr = f"replace({expr}, {q(name)}, {q(char)})"
-    return expr
+    names = ", ".join(f"{q(k)}: {q(v)}" for k, v in T.ENTITY_CHARS.items())
+    name = f"regexp_extract(dp, {q(T.ENTITY_RE)}, 1)"
+    digits = f"regexp_replace({name}, '^#[xX]?', '')"
+    code = f"(CASE WHEN regexp_matches({name}, '^#[xX]') THEN CAST('0x' || {digits} AS BIGINT) ELSE CAST({digits} AS BIGINT) END)"
+    number = f"(CASE WHEN {code} = 0 OR {code} BETWEEN 55296 AND 57343 OR {code} > 1114111 THEN chr(65533) ELSE chr(CAST({code} AS INTEGER)) END)"
+    char = f"(CASE WHEN starts_with({name}, '#') THEN {number} WHEN {name} <> '' THEN MAP {{{names}}}[{name}] END)"
+    one = f"coalesce({char} || substr(dp, length({name}) + 2), '&' || dp)"
+    # a lambda over a one-item list binds the text once; subqueries may not stand inside lambdas
+    whole = f"string_split(dt, '&')[1] || array_to_string(list_transform(string_split(dt, '&')[2:], lambda dp: {one}), '')"
+    return f"(list_transform([{expr}], lambda dt: CASE WHEN contains(dt, '&') THEN {whole} ELSE dt END)[1])"
 
 
 def collapse_ws(expr: str) -> str:

@@ -32,6 +32,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         # Pages are large rows: keep Arrow batches to the Python parser small.
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+        .config("spark.pagesift.parsePartitions", str(cores if str(cores).isdigit() else os.cpu_count()))
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.driver.memory", os.environ.get("PAGESIFT_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")

@@ -92,7 +92,7 @@ def stream_run_status(events: DataFrame) -> DataFrame:
     start = F.col("event_type") == "signup"
     return e.groupBy(F.col("user_id").alias("task_id")).agg(
         F.max(F.when(start, F.col("ts"))).alias("last_start"),
-        F.max_by(F.when(start, 1).otherwise(0), "ts").alias("is_running"),
+        F.max_by(F.when(start, 1).otherwise(0), F.struct("ts", "event_id")).alias("is_running"),
     )
 
 
