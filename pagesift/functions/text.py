@@ -19,6 +19,8 @@ WS_CLASS = (
 )
 TAG_RE = "<[^>]+>"
 TOKEN_RE = "[\\p{L}\\p{N}]+"
+# Han ideographs, by code point ranges that Java and RE2 read alike.
+HAN = "[\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{F900}-\\x{FAFF}\\x{20000}-\\x{2FA1F}]"
 
 # Named character references of HTML 4, by the standard library's table, and ``&apos;``.
 ENTITY_CHARS = {name: chr(code) for name, code in sorted(name2codepoint.items())} | {"apos": "'"}
@@ -61,8 +63,48 @@ def decode_entities(c) -> Column:
 
 
 def tokens(c) -> Column:
-    """Lower-cased letter/digit runs, as an array."""
-    return F.regexp_extract_all(F.lower(col_(c)), F.lit(TOKEN_RE), 0)
+    """Lower-cased letter/digit runs, as an array; a run of Han characters gives its bigrams.
+
+    Han text has no blanks between words.  Overlapping pairs meet a keyword's
+    own pairs wherever the keyword stands; a single character stays as it is.
+    """
+    c = col_(c)
+    plain = F.regexp_extract_all(F.lower(c), F.lit(TOKEN_RE), 0)
+    apart = F.regexp_extract_all(F.regexp_replace(F.lower(c), f"({HAN}+)", " $1 "), F.lit(TOKEN_RE), 0)
+
+    def pairs(t: Column) -> Column:
+        both = F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2)))
+        return F.when(t.rlike(f"^{HAN}") & (F.length(t) > 1), both).otherwise(F.array(t))
+
+    return F.when(c.rlike(HAN), F.flatten(F.transform(apart, pairs))).otherwise(plain)
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once: inside a lambda an expression would be computed per element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def term_runs(toks: Column) -> Column:
+    """``array<struct<term, tf>>`` of a token array, within the row.
+
+    Equal tokens are neighbours once sorted; a run's length is the distance to
+    the start of the next, so the work is linear after the sort.
+    """
+
+    def starts(s: Column) -> Column:
+        return F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.get(s, i - 1) != F.get(s, i - 2)))
+
+    def runs(s: Column, first: Column) -> Column:
+        return F.transform(
+            first,
+            lambda at, k: F.struct(F.get(s, at - 1).alias("term"),
+                                   (F.coalesce(F.get(first, k + 1), F.size(s) + 1) - at).cast("long").alias("tf")),
+        )
+
+    none = F.array().cast("array<struct<term:string,tf:bigint>>")
+    some = bound(F.array_sort(F.filter(toks, lambda t: t.isNotNull())),
+                 lambda s: F.when(F.size(s) > 0, bound(starts(s), lambda first: runs(s, first))).otherwise(none))
+    return some
 
 
 def text_shape(c) -> dict[str, Column]:

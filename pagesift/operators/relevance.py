@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from pagesift.functions.joins import param_frame
 from pagesift.functions.stopwords import load_default_stopwords
-from pagesift.functions.text import tokens
+from pagesift.functions.text import HAN, bound, term_runs, tokens
 
 # The two anchor words of the reference's corpus ("exam", "notes").
 REFERENCE_ANCHORS = ("考试", "说明")
@@ -54,16 +54,21 @@ def profile_counts(profile: DataFrame, group_cols: tuple[str, ...] = ()) -> Data
     n = F.floor(F.col("weight") / F.col("_total") * 100).cast("long")
     per_term = weighted.select(*gcols, "term", n.alias("n")).where(F.col("n") > 0)
     # Words are lower-cased to meet the lower-cased document tokens.
-    words = per_term.select(*gcols, F.explode(F.split(F.lower(F.trim("term")), "\\s+")).alias("word"), "n")
+    # A keyword in Han characters becomes the bigrams that tokens() makes of texts.
+    parts = F.transform(F.split(F.lower(F.trim("term")), "\\s+"), lambda w: F.when(w.rlike(HAN), tokens(w)).otherwise(F.array(w)))
+    words = per_term.select(*gcols, F.explode(F.flatten(parts)).alias("word"), "n")
     return words.where(F.col("word") != "").groupBy(*gcols, "word").agg(F.sum("n").alias("n"))
 
 
-def doc_terms(docs: DataFrame, id_col: str, text_col: str, stopwords: DataFrame | None) -> DataFrame:
+def doc_terms(docs: DataFrame, id_col: str, text_col: str, stopwords: DataFrame | None, tokens_col: str | None = None) -> DataFrame:
     """``(id, term)`` per token; stop words become null terms, so a text whose
-    tokens are all stop words (or that has none) still yields its id."""
+    tokens are all stop words (or that has none) still yields its id.
+    ``tokens_col`` names an array column of the caller's own tokens (another
+    segmenter's, say) to be used instead of ``tokens(text)``."""
     from pagesift.functions.joins import spread
 
-    t = spread(docs.select(id_col, text_col)).select(id_col, F.explode_outer(tokens(F.trim(F.col(text_col)))).alias("term"))
+    toks = F.col(tokens_col) if tokens_col else tokens(F.trim(F.col(text_col)))
+    t = spread(docs).select(id_col, F.explode_outer(toks).alias("term"))
     if stopwords is not None:
         flagged = stopwords.select("term", F.lit(True).alias("_stop"))
         t = t.join(flagged, "term", "left").select(
@@ -72,6 +77,37 @@ def doc_terms(docs: DataFrame, id_col: str, text_col: str, stopwords: DataFrame
     return t
 
 
+def kept_tokens(text, stopwords=(), tokens_col: str | None = None) -> "F.Column":
+    """A text's tokens (or the caller's) without the stop words, as an array; never null."""
+    toks = F.col(tokens_col) if tokens_col else tokens(F.trim(text if not isinstance(text, str) else F.col(text)))
+    toks = F.coalesce(toks, F.array().cast("array<string>"))
+    stop = list(stopwords)
+    return F.filter(toks, lambda t: ~t.isin(stop)) if stop else toks
+
+
+def row_term_counts(docs: DataFrame, id_col: str, text_col: str, stopwords=(), tokens_col: str | None = None) -> DataFrame:
+    """``(id, term, tf)`` folded within each row: no shuffle, as all tokens of a text are in its row."""
+    from pagesift.functions.joins import spread
+
+    runs = term_runs(kept_tokens(text_col, stopwords, tokens_col))
+    return spread(docs).select(id_col, F.inline(runs))
+
+
+def row_tfidf(docs: DataFrame, id_col: str, text_col: str, anchors=REFERENCE_ANCHORS, stopwords=(), tokens_col: str | None = None) -> DataFrame:
+    """``(id, term, weight)``: unit-normalised tf · idf of the four-text corpus, within each row."""
+    from pagesift.functions.joins import spread
+
+    anchors = list(anchors)
+    staged = spread(docs).select(id_col, term_runs(kept_tokens(text_col, stopwords, tokens_col)).alias("_r"))
+
+    def x(r):
+        return r["tf"] * (F.when(r["term"].isin(anchors), 1.0).otherwise(2.0) if anchors else F.lit(2.0))
+
+    norm = F.sqrt(F.aggregate("_r", F.lit(0.0), lambda acc, r: acc + x(r) * x(r)))
+    out = bound(norm, lambda n: F.transform("_r", lambda r: F.struct(r["term"].alias("term"), F.round(x(r) / n, 6).alias("weight"))))
+    return staged.select(id_col, F.inline(out))
+
+
 def term_counts(terms: DataFrame, id_col: str) -> DataFrame:
     """Bag of words: ``(id, term, tf)``; map-side partial aggregation before the shuffle."""
     return terms.groupBy(id_col, "term").agg(F.count("term").alias("tf"))
@@ -156,7 +192,7 @@ def profile_words(spark: SparkSession, profile: dict) -> dict[str, int]:
     return {r["word"]: int(r["n"]) for r in profile_counts(profile_frame(spark, profile)).collect()}
 
 
-def row_similarity(text, words: dict[str, int], anchors=REFERENCE_ANCHORS, stopwords=()) -> "F.Column":
+def row_similarity(text, words: dict[str, int], anchors=REFERENCE_ANCHORS, stopwords=(), tokens_col: str | None = None) -> "F.Column":
     """The same cosine as ``profile_similarity``, computed inside each row.
 
     Tokens are sorted and folded once with ``aggregate``: a change of token
@@ -165,10 +201,7 @@ def row_similarity(text, words: dict[str, int], anchors=REFERENCE_ANCHORS, stopw
     page's extraction and its sink in one narrow stage.  Profile and stop
     words are parameters (bounded), inlined as literals / an IN-set.
     """
-    toks = tokens(F.trim(text if not isinstance(text, str) else F.col(text)))
-    if stopwords:
-        stop = list(stopwords)
-        toks = F.filter(toks, lambda t: ~t.isin(stop))
+    toks = kept_tokens(text, stopwords, tokens_col)
     anchors = list(anchors)
     if words:
         kv = []

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pagesift.functions import html as H
 from pagesift.functions import text as T
+from pagesift.functions.joins import spread
 from pagesift.functions.stopwords import load_default_stopwords
 from pagesift.operators import relevance as R
 from pagesift.plans import sqlparts as S
@@ -139,8 +140,7 @@ def q_stopword_load(spark, sf):
 )
 def q_term_counts(spark, sf):
     d = table(spark, sf, "documents", "doc_id", "text")
-    t = R.term_counts(R.doc_terms(d, "doc_id", "text", _stop(spark)), "doc_id")
-    return t.where(F.col("term").isNotNull())
+    return R.row_term_counts(d, "doc_id", "text", load_default_stopwords(spark))
 
 
 def _df_sql(anchors):
@@ -155,7 +155,7 @@ def _df_sql(anchors):
 def q_doc_frequency(spark, sf):
     """df of each document term in the reference's four-text corpus {doc, ∅, ∅, anchors}."""
     d = table(spark, sf, "documents", "doc_id", "text")
-    terms = R.doc_terms(d, "doc_id", "text", _stop(spark)).where(F.col("term").isNotNull()).distinct()
+    terms = R.row_term_counts(d, "doc_id", "text", load_default_stopwords(spark)).drop("tf")
     df = F.when(F.col("term").isin(list(TEXT_ANCHORS)), 2).otherwise(1)
     return terms.select("doc_id", "term", df.alias("df"), F.round(F.log2(4.0 / df), 6).alias("idf"))
 
@@ -192,11 +192,7 @@ def _tfidf_sql(anchors):
 def q_tfidf(spark, sf):
     """Unit-normalised tf · log2(4/df) per document term."""
     d = table(spark, sf, "documents", "doc_id", "text")
-    tf = R.term_counts(R.doc_terms(d, "doc_id", "text", _stop(spark)), "doc_id").where(F.col("term").isNotNull())
-    x = F.col("tf") * F.when(F.col("term").isin(list(TEXT_ANCHORS)), 1.0).otherwise(2.0)
-    w = tf.select("doc_id", "term", x.alias("x"))
-    norms = w.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return w.join(norms, "doc_id").select("doc_id", "term", F.round(F.col("x") / F.col("norm"), 6).alias("weight"))
+    return R.row_tfidf(d, "doc_id", "text", TEXT_ANCHORS, load_default_stopwords(spark))
 
 
 def _sim_sql():
@@ -206,7 +202,8 @@ def _sim_sql():
 @register("profile_similarity", _sim_sql)
 def q_profile_similarity(spark, sf):
     d = table(spark, sf, "documents", "doc_id", "text")
-    return R.profile_similarity(spark, d, "doc_id", "text", PROFILE, stopwords=_stop(spark))
+    sim = R.row_similarity("text", R.profile_words(spark, PROFILE), stopwords=load_default_stopwords(spark))
+    return spread(d).select("doc_id", sim.alias("sim"))
 
 
 @register("content_filter", lambda: f"SELECT * FROM ({_sim_sql()}) WHERE sim >= {THRESHOLD}")
@@ -236,8 +233,8 @@ def page_links_df(spark, sf):
 )
 def q_title_filter(spark, sf):
     links = page_links_df(spark, sf)
-    out = R.title_filter(spark, links, ["page_id", "pos"], "text", PROFILE, TITLE_THRESHOLD, stopwords=_stop(spark))
-    return out.select("page_id", "pos", "href", "sim")
+    sim = R.row_similarity("text", R.profile_words(spark, PROFILE), stopwords=load_default_stopwords(spark))
+    return R.content_filter(links.select("page_id", "pos", "href", sim.alias("sim")), TITLE_THRESHOLD)
 
 
 def _sink_sql(where: str = "") -> str:

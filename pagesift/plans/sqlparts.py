@@ -81,7 +81,11 @@ def page_title(expr: str) -> str:
 
 
 def tokens(expr: str) -> str:
-    return f"regexp_extract_all(lower({expr}), {q(T.TOKEN_RE)}, 0)"
+    plain = f"regexp_extract_all(lower({expr}), {q(T.TOKEN_RE)}, 0)"
+    apart = f"regexp_extract_all(regexp_replace(lower({expr}), {q('(' + T.HAN + '+)')}, ' \\1 ', 'g'), {q(T.TOKEN_RE)}, 0)"
+    pairs = "list_transform(range(1, length(tk)), lambda ti: substr(tk, ti, 2))"
+    split = f"CASE WHEN regexp_matches(tk, {q('^' + T.HAN)}) AND length(tk) > 1 THEN {pairs} ELSE [tk] END"
+    return f"(CASE WHEN regexp_matches({expr}, {q(T.HAN)}) THEN flatten(list_transform({apart}, lambda tk: {split})) ELSE {plain} END)"
 
 
 def stopword_values(langs=None) -> str:
@@ -93,9 +97,11 @@ def profile_counts_sql(profile_values: str, group: str | None = None) -> str:
     """``(group?, word, n)`` from a ``(group?, term, weight)`` relation."""
     g = f"{group}, " if group else ""
     over = f"PARTITION BY {group}" if group else ""
+    word = f"CASE WHEN regexp_matches(pw, {q(T.HAN)}) THEN {tokens('pw')} ELSE [pw] END"
+    words = f"flatten(list_transform(string_split_regex(lower(trim(term)), '\\s+'), lambda pw: {word}))"
     return f"""(
       SELECT {g}word, sum(n) AS n FROM (
-        SELECT {g}unnest(string_split_regex(lower(trim(term)), '\\s+')) AS word, n FROM (
+        SELECT {g}unnest({words}) AS word, n FROM (
           SELECT {g}term, CAST(floor(weight / sum(weight) OVER ({over}) * 100) AS BIGINT) AS n
           FROM {profile_values}
         ) WHERE n > 0

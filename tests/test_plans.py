@@ -29,10 +29,16 @@ def test_column_pruning_reaches_scan(spark):
     assert "ReadSchema: struct<page_id:bigint,html:string>" in p
 
 
-def test_similarity_broadcasts_parameter_tables(spark):
-    p = plan(catalog.queries()["profile_similarity"](spark, SF))
-    assert p.count("BroadcastHashJoin") >= 2  # stop words and the profile/anchor table
-    assert "BroadcastNestedLoopJoin" not in p and "CartesianProduct" not in p
+def test_term_work_stays_in_the_row(spark):
+    conf = "spark.pagesift.parsePartitions"
+    dealt = spark.conf.get(conf)
+    spark.conf.unset(conf)
+    try:
+        for k in ("term_counts", "doc_frequency", "tfidf", "profile_similarity", "content_filter"):
+            p = plan(catalog.queries()[k](spark, SF))
+            assert "Exchange" not in p and "Join" not in p, k
+    finally:
+        spark.conf.set(conf, dealt)
 
 
 def test_no_cross_products_in_registered_plans(spark):
