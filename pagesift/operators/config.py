@@ -209,6 +209,52 @@ def parser_field_issues(tree: DataFrame, group_cols: list[str]) -> DataFrame:
     return out.select(*group_cols, "path", "i.severity", "i.message", "i.counted")
 
 
+# Place of the parser's fields among the checks of a stage, and of its closing line.
+PARSER_ORD, END_ORD = 10, 99
+
+
+def issue_log(stages: DataFrame, issues: DataFrame, field_issues: DataFrame, mode: str = "CHECK", key: str = "id") -> DataFrame:
+    """``(id, log)``: the validation log of every rule, clean ones too.
+
+    ``stages`` has ``id, stage_idx, name``; ``issues`` and ``field_issues`` are the
+    rows of ``stage_issues`` and ``parser_field_issues`` per ``id, stage_idx``.
+    All three are read several times: pass them written.  A rule's lines are one
+    group, as long as its own stages; the lines are sorted after grouping.
+    ``CORRECT`` mode adds a line for every default filled in.
+    """
+    # The texts of the lines.
+    named = stages.select(key, "stage_idx", F.coalesce("name", F.lit("Untitled Stage")).alias("name"))
+
+    def line(stage_idx, ord_, sub, text, extra=None):
+        return F.struct(stage_idx.cast("int").alias("stage_idx"), F.lit(ord_).cast("int").alias("ord") if isinstance(ord_, int) else ord_.cast("int").alias("ord"),
+                        (extra if extra is not None else F.lit("")).alias("path"), F.lit(sub).alias("sub"), text.alias("line"))
+
+    def leveled():
+        return F.concat(F.upper("severity"), F.lit(" - "), F.col("message"))
+
+    counted = issues.select(key, "stage_idx", "severity").unionByName(field_issues.where("counted").select(key, "stage_idx", "severity"))
+    counts = counted.groupBy(key, "stage_idx").agg(F.count_if(F.col("severity") == "error").alias("e"), F.count_if(F.col("severity") == "warning").alias("w"))
+    e, w = F.coalesce("e", F.lit(0)), F.coalesce("w", F.lit(0))
+    end = F.when((e == 0) & (w == 0), F.concat(F.lit("INFO - Stage "), F.col("name"), F.lit(" validation pass."))).otherwise(
+        F.concat(F.lit("INFO - Stage "), F.col("name"), F.lit(" validation end. Result:  Error: "), e.cast("string"), F.lit("  Warning: "), w.cast("string")))
+    idx = F.col("stage_idx")
+    parts = [
+        stages.select(key).distinct().select(key, line(F.lit(-1), 0, 0, F.lit(f"INFO - Validation initiate with mode {mode}.")).alias("l")),
+        named.select(key, line(idx, 0, 0, F.concat(F.lit("INFO - Stage "), F.col("name"), F.lit(" validation start."))).alias("l")),
+        issues.select(key, line(idx, F.col("ord"), 0, leveled()).alias("l")),
+        field_issues.select(key, line(idx, PARSER_ORD, 0, leveled(), F.col("path")).alias("l")),
+        named.join(counts, [key, "stage_idx"], "left").select(key, line(idx, END_ORD, 0, end).alias("l")),
+    ]
+    if mode == "CORRECT":
+        filled = issues.where(F.col("severity") == "warning")
+        parts.append(filled.select(key, line(idx, F.col("ord"), 1, F.concat(F.lit("INFO - Autofill "), F.col("field"), F.lit(" with default"))).alias("l")))
+    lines = parts[0]
+    for part in parts[1:]:
+        lines = lines.unionByName(part)
+    agg = lines.groupBy(key).agg(F.array_sort(F.collect_list("l")).alias("ls"))
+    return agg.select(key, F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("log"))
+
+
 def verdict(issue_counts: DataFrame, group_cols: list[str]) -> DataFrame:
     """Per stage: errors, warnings, and the pass flag in check and correct modes."""
     return issue_counts.groupBy(*group_cols).agg(

@@ -303,19 +303,36 @@ def q_config_verdict(spark, sf):
     )
 
 
-@register(
-    "config_issue_log",
-    lambda: f"""SELECT id, string_agg(upper(severity) || ' - stage ' || stage_idx || ': ' || message, chr(10)
-                                  ORDER BY stage_idx, ord) AS log
-                FROM {issues_sql()} GROUP BY id""",
-)
+def _log_sql(mode: str) -> str:
+    fields = parser_issues_sql(parser_tree_sql(compile_rows_sql(), "id, stage_idx"), "id, stage_idx")
+    fill = "" if mode == "CHECK" else """
+        UNION ALL SELECT id, stage_idx, ord, '', 1, 'INFO - Autofill ' || field || ' with default' FROM issues WHERE severity = 'warning'"""
+    return f"""
+      WITH stages AS (SELECT id, stage_idx, coalesce(json_extract_string(stage, '$.name'), 'Untitled Stage') AS name FROM {stages_sql()}),
+      issues AS (SELECT * FROM {issues_sql()}), fields AS ({fields}),
+      counts AS (SELECT id, stage_idx, count(*) FILTER (WHERE severity = 'error') AS e, count(*) FILTER (WHERE severity = 'warning') AS w
+                 FROM (SELECT id, stage_idx, severity FROM issues UNION ALL SELECT id, stage_idx, severity FROM fields WHERE counted) GROUP BY id, stage_idx),
+      lines(id, stage_idx, ord, path, sub, line) AS (
+        SELECT DISTINCT id, -1, 0, '', 0, 'INFO - Validation initiate with mode {mode}.' FROM stages
+        UNION ALL SELECT id, stage_idx, 0, '', 0, 'INFO - Stage ' || name || ' validation start.' FROM stages
+        UNION ALL SELECT id, stage_idx, ord, '', 0, upper(severity) || ' - ' || message FROM issues
+        UNION ALL SELECT id, stage_idx, {C.PARSER_ORD}, path, 0, upper(severity) || ' - ' || message FROM fields
+        UNION ALL SELECT s.id, s.stage_idx, {C.END_ORD}, '', 0,
+               CASE WHEN coalesce(e, 0) = 0 AND coalesce(w, 0) = 0 THEN 'INFO - Stage ' || name || ' validation pass.'
+                    ELSE 'INFO - Stage ' || name || ' validation end. Result:  Error: ' || coalesce(e, 0) || '  Warning: ' || coalesce(w, 0) END
+               FROM stages s LEFT JOIN counts c ON c.id = s.id AND c.stage_idx = s.stage_idx{fill})
+      SELECT id, '{mode}' AS mode, string_agg(line, chr(10) ORDER BY stage_idx, ord, path, sub, line) AS log FROM lines GROUP BY id"""
+
+
+@register("config_issue_log", lambda: f"SELECT * FROM ({_log_sql('CHECK')}) UNION ALL SELECT * FROM ({_log_sql('CORRECT')})")
 def q_config_issue_log(spark, sf):
-    """One log text per rule: ``level - message`` lines in stage and check order."""
-    i = _issues(spark, sf)
-    line = F.concat(F.upper("severity"), F.lit(" - stage "), F.col("stage_idx").cast("string"), F.lit(": "), F.col("message"))
-    lines = i.select("id", F.struct("stage_idx", "ord", line.alias("line")).alias("l"))
-    agg = lines.groupBy("id").agg(F.array_sort(F.collect_list("l")).alias("ls"))
-    return agg.select("id", F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("log"))
+    """One log text per rule and mode: opening, stage, issue, autofill and closing lines."""
+    stages = _stages(spark, sf).withColumn("name", F.try_variant_get("stage", "$.name", "string"))
+    issues = C.stage_issues(stages.drop("name")).checkpoint()
+    fields = C.parser_field_issues(q_config_compile(spark, sf), ["id", "stage_idx"]).checkpoint()
+    names = stages.select("id", "stage_idx", "name").checkpoint()
+    logs = [C.issue_log(names, issues, fields, m).select("id", F.lit(m).alias("mode"), "log") for m in ("CHECK", "CORRECT")]
+    return logs[0].unionByName(logs[1])
 
 
 # -- entrances, JSON checks, key/value forms -------------------------------------
