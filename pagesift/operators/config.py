@@ -103,6 +103,26 @@ def json_check(s) -> Column:
     return F.when(F.coalesce(s, F.lit("")) == "", F.lit("{}")).when(F.try_parse_json(s).isNotNull(), s)
 
 
+# -- the keyed store ------------------------------------------------------------
+
+# What a get answers for a key that the store does not have.
+NOT_FOUND = {
+    "stage": '{"error": "Stage not found"}',
+    "config": '{"error": "Config not found. Check stage settings again."}',
+    "validation": "Validator not found. Please validate config first.",
+}
+
+
+def config_keys(store: DataFrame, key: str = "key") -> DataFrame:
+    """The names in a store, each once."""
+    return store.select(key).distinct()
+
+
+def config_get(requests: DataFrame, store: DataFrame, default: str, key: str = "key", value: str = "value") -> DataFrame:
+    """Every request with the stored value of its key, or ``default``; a null key is not found."""
+    return requests.join(store.select(key, value), key, "left").withColumn(value, F.coalesce(F.col(value), F.lit(default)))
+
+
 # -- validation ----------------------------------------------------------------
 
 def _vtype(v: Column, path: str) -> Column:

@@ -453,6 +453,27 @@ def q_config_latest(spark, sf):
     return latest.where(F.col("value") != "error").select(F.col("user_id").alias("key"), "value", "updated")
 
 
+@register(
+    "config_keys",
+    "SELECT user_id AS key FROM events GROUP BY user_id HAVING last(event_type ORDER BY ts, event_id) <> 'error'",
+)
+def q_config_keys(spark, sf):
+    return C.config_keys(q_config_latest(spark, sf))
+
+
+@register(
+    "config_get",
+    lambda: f"""SELECT c_custkey AS key, coalesce(value, {S.q(C.NOT_FOUND["config"])}) AS value
+                FROM customer LEFT JOIN (SELECT user_id, last(event_type ORDER BY ts, event_id) AS value FROM events
+                                         GROUP BY user_id HAVING last(event_type ORDER BY ts, event_id) <> 'error') s
+                  ON s.user_id = c_custkey""",
+)
+def q_config_get(spark, sf):
+    """Every customer asks the store for the value of its own key."""
+    asked = table(spark, sf, "customer", "c_custkey").select(F.col("c_custkey").alias("key"))
+    return C.config_get(asked, q_config_latest(spark, sf), C.NOT_FOUND["config"])
+
+
 @register(
     "run_log_latest",
     """SELECT user_id AS task_id,
