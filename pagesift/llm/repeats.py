@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,8 +59,17 @@ def _rolled(words: np.ndarray, n: int, multiplier: np.uint64) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
+def _runs(sorted_values: np.ndarray) -> np.ndarray:
+    """Where a new value begins."""
+    return np.r_[True, sorted_values[1:] != sorted_values[:-1]] if len(sorted_values) else np.zeros(0, bool)
+
+
+def by_id(docs: pa.Table, id_col: str) -> pa.Table:
+    return docs.take(pc.sort_indices(docs, [(id_col, "ascending")], null_placement="at_end"))
+
+
 class Block:
-    """The words of a block's documents, one after the other."""
+    """The words of a block's documents, one after the other, in the order of their ids."""
 
     def __init__(self, docs: pa.Table, id_col: str, text_col: str, window: int, phrase: int):
         self.window, self.phrase = window, phrase
@@ -103,6 +113,7 @@ class Block:
         is_known = np.isin(at, confirmed)
         phrases = sorted({b" ".join(self.words[i : i + self.phrase]) for i in np.flatnonzero(is_known).tolist()})
         found = np.zeros(len(at), bool)
+        blanks = np.cumsum(np.fromiter(map(len, self.words), np.int64, len(self.words)) + 1)  # place of the blank after each word
         for first in range(0, len(phrases), SHARD_PHRASES):
             automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
             for p in phrases[first : first + SHARD_PHRASES]:
@@ -111,10 +122,8 @@ class Block:
             for a, b in zip(self.bounds[:-1].tolist(), self.bounds[1:].tolist()):
                 if b - a < self.window:
                     continue
-                words = self.words[a:b]
-                ends = np.cumsum(np.fromiter(map(len, words), np.int64, b - a) + 1)  # place of the blank after each word
-                hits = [end for end, _ in automaton.iter(f" {b' '.join(words).decode('latin-1')} ")]
-                found[a + np.searchsorted(ends, hits) - self.phrase + 1] = True
+                hits = [end for end, _ in automaton.iter(f" {b' '.join(self.words[a:b]).decode('latin-1')} ")]
+                found[np.searchsorted(blanks[a:b], np.array(hits) + (blanks[a - 1] if a else 0)) + a - self.phrase + 1] = True
         return np.flatnonzero(self._window_min(np.where(found, at, _MOST)) == least)
 
 
@@ -153,38 +162,43 @@ def _confirm(table: pa.Table) -> pa.Table:
     records, blocks = _received(table, _PHRASE)
     order = np.argsort(records["a"], kind="stable")
     records, blocks = records[order], blocks[order]
-    new = np.r_[True, records["a"][1:] != records["a"][:-1]] if len(records) else np.zeros(0, bool)
-    run = np.cumsum(new) - 1
-    size = np.bincount(run) if len(run) else np.zeros(0, np.int64)
-    many = np.bincount(run, records["many"]) if len(run) else np.zeros(0)
-    keep = ((size > 1) | (many > 0))[run] if len(run) else np.zeros(0, bool)
+    first = np.flatnonzero(_runs(records["a"]))
+    size = np.diff(np.r_[first, len(records)])
+    many = np.add.reduceat(records["many"].astype(np.int64), first) if len(first) else size
+    keep = np.repeat((size > 1) | (many > 0), size)
     return _reply(blocks[keep], np.ascontiguousarray(records["a"][keep]))
 
 
+def _window_order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal keys together, stable within them, and where a new key begins in it."""
+    order = np.argsort(keys["a"], kind="stable")
+    a, b = keys["a"][order], keys["b"][order]
+    if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():
+        order = np.lexsort((keys["b"], keys["a"]))
+        a, b = keys["a"][order], keys["b"][order]
+    return order, _runs(a) | _runs(b)
+
+
 def _earlier(table: pa.Table) -> pa.Table:
     """Windows of which another block has a smaller id, to each block that has not."""
     records, blocks = _received(table, _WINDOW)
-    order = np.lexsort((records["id"], records["b"], records["a"]))
-    records, blocks = records[order], blocks[order]
-    if not len(records):
-        return _reply(blocks, np.zeros(0, _KEY))
-    new = np.r_[True, (records["a"][1:] != records["a"][:-1]) | (records["b"][1:] != records["b"][:-1])]
-    lowest = records["id"][np.flatnonzero(new)[np.cumsum(new) - 1]]
-    later = records["id"] > lowest
+    order, new = _window_order(records)
+    records, blocks, first = records[order], blocks[order], np.flatnonzero(new)
+    size = np.diff(np.r_[first, len(records)])
+    lowest = np.minimum.reduceat(records["id"], first) if len(first) else size
+    later = records["id"] > np.repeat(lowest, size)
     keys = np.empty(later.sum(), _KEY)
     keys["a"], keys["b"] = records["a"][later], records["b"][later]
     return _reply(blocks[later], keys)
 
 
 def _first_ids(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each window the smallest id of the block that has it, and the order in which keys are sorted."""
-    order = np.lexsort((ids, keys["b"], keys["a"]))
-    k = keys[order]
-    new = np.r_[True, (k["a"][1:] != k["a"][:-1]) | (k["b"][1:] != k["b"][:-1])] if len(k) else np.zeros(0, bool)
+    """For each window the smallest id of the block that has it, and one number of each distinct window; ids ascend."""
+    order, new = _window_order(keys)
+    first = order[new]
     lowest = np.empty(len(ids), np.int64)
-    if len(k):
-        lowest[order] = ids[order][np.flatnonzero(new)[np.cumsum(new) - 1]]
-    return lowest, order[new]
+    lowest[order] = np.repeat(ids[first], np.diff(np.r_[np.flatnonzero(new), len(ids)]))
+    return lowest, first
 
 
 def mark_repeats(
@@ -223,12 +237,19 @@ def mark_repeats(
     texts = spark.table(name)
 
     def send_phrases(table: pa.Table) -> pa.Table:
-        b = Block(table, own_id, own_text, window, phrase)
+        b = Block(by_id(table, own_id), own_id, own_text, window, phrase)
         _, least = b.least_phrases()
-        key = np.unique(np.stack([least, b.ids[b.row[b.whole]].view(np.uint64)], 1), axis=0)[:, 0] if len(least) else least
-        values, counts = np.unique(key, return_counts=True)
-        records = np.empty(len(values), _PHRASE)
-        records["a"], records["many"] = values, counts > 1
+        ids = b.ids[b.row[b.whole]]
+        # neighbouring windows mostly have the same least phrase
+        change = _runs(least) | _runs(ids)
+        least, ids = least[change], ids[change]
+        order = np.argsort(least, kind="stable")
+        least, ids = least[order], ids[order]
+        first = np.flatnonzero(_runs(least))
+        records = np.empty(len(first), _PHRASE)
+        records["a"] = least[first]
+        # ids ascend within a run, so the first and the last tell whether there are several
+        records["many"] = ids[first] != ids[np.r_[first[1:], len(ids)] - 1]
         return _send(n_groups, table.column(block)[0].as_py(), records)
 
     narrow = texts.select(block, own_id, own_text)
@@ -239,7 +260,7 @@ def mark_repeats(
         if not table.num_rows or not replies.num_rows:
             return _send(n_groups, 0, np.zeros(0, _WINDOW))
         known = np.unique(_received(replies, np.dtype("<u8"))[0])
-        b = Block(table, own_id, own_text, window, phrase)
+        b = Block(by_id(table, own_id), own_id, own_text, window, phrase)
         at = b.located(known)
         keys, ids = b.window_keys()[at], b.ids[b.row[b.whole[at]]]
         lowest, first = _first_ids(keys, ids)
@@ -251,6 +272,7 @@ def mark_repeats(
     earlier = cut(windows.groupBy(group).applyInArrow(_earlier, REPLY))
 
     def cover(table: pa.Table, replies: pa.Table) -> pa.Table:
+        table = by_id(table, own_id)
         b = Block(table, own_id, own_text, window, phrase)
         keys, ids = b.window_keys(), b.ids[b.row[b.whole]]
         lowest, _ = _first_ids(keys, ids)
