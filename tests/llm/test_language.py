@@ -53,7 +53,7 @@ def brute(rows, strength=50.0):
         p = [math.exp(a - top_z) for a in z]
         p = [a / sum(p) for a in p] if m else [0.0] * len(langs) + [1.0]
         k = max(range(len(p)), key=lambda i: p[i])
-        out.append((r[0], classes[k], round(p[k], 5), k < len(langs) and p[k] >= 0.5))
+        out.append((r[0], classes[k], round(p[k], 5), 1 - p[-1] >= 0.5))
     return sorted(out, key=str)
 
 
