@@ -29,6 +29,9 @@ TEMPER = 1.0 / GRAM
 #: Copies of each host's prior that its rows are spread over, so that a host with a third of all rows is no single task.
 SALTS = 16
 
+#: N-grams of a language that a task holds before it counts them.
+HELD_GRAMS = 1 << 18
+
 _TEXT_BYTES = bytes(c if c >= 0x80 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
 
 
@@ -36,10 +39,10 @@ def grams(text: str) -> np.ndarray:
     """Buckets of the byte n-grams of the lower-cased letters; runs of other characters are one blank."""
     raw = b" ".join(text.lower().encode("utf-8", "replace").translate(_TEXT_BYTES).split())
     if not raw:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.uint16)
     x = np.frombuffer(b" " + raw + b" ", np.uint8).astype(np.uint32)
     code = x[:-2] | x[1:-1] << np.uint32(8) | x[2:] << np.uint32(16)
-    return (code * np.uint32(0x9E3779B1) >> np.uint32(32 - 15)).astype(np.int64)
+    return (code * np.uint32(0x9E3779B1) >> np.uint32(32 - 15)).astype(np.uint16)
 
 
 def page_evidence(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -65,13 +68,24 @@ def _gram_counts(rows: DataFrame, languages: list[str]) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(languages), BUCKETS), np.int64)
         at = {lang: i for i, lang in enumerate(languages)}
+        waiting: dict[int, list[np.ndarray]] = {i: [] for i in range(len(languages))}
+        held = [0] * len(languages)
+
+        def settle(i: int) -> None:
+            if waiting[i]:
+                total[i] += np.bincount(np.concatenate(waiting[i]), minlength=BUCKETS)
+                waiting[i], held[i] = [], 0
+
         for b in batches:
-            by: dict[int, list[np.ndarray]] = {}
             for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
                 if lang in at:
-                    by.setdefault(at[lang], []).append(grams(text.as_py() or ""))
-            for i, parts in by.items():
-                total[i] += np.bincount(np.concatenate(parts), minlength=BUCKETS)
+                    i = at[lang]
+                    waiting[i].append(grams(text.as_py() or ""))
+                    held[i] += len(waiting[i][-1])
+                    if held[i] >= HELD_GRAMS:
+                        settle(i)
+        for i in waiting:
+            settle(i)
         lang, bucket = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(total[lang, bucket])], ["lang", "bucket", "n"])
 
@@ -185,7 +199,7 @@ def _decisions(
             p[b.column(5).to_numpy() == 0, :] = np.eye(len(classes))[-1]  # no letters: no language
             best = p.argmax(axis=1)
             top = p[np.arange(len(best)), best]
-            accepted = (best < len(languages)) & (top >= min_posterior)
+            accepted = 1.0 - p[:, -1] >= min_posterior
             columns = [b.column(0), b.column(1), pa.array([classes[k] for k in best]), pa.array(top), b.column(2), b.column(3), pa.array(accepted)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", f"{OWN}text_hash", "language", "posterior", "declared", "host", "accepted"])
 
@@ -205,8 +219,9 @@ def identify_languages(
     """``doc_id, language, posterior, declared, host, accepted`` of every row.
 
     The classes are the declared languages that at least ``MIN_ROWS`` rows
-    name, and ``und``.  A row is accepted if a language has a posterior of at
-    least ``min_posterior``.  Null and empty texts, and texts without letters,
+    name, and ``und``.  A row is accepted if the languages together have a
+    posterior of at least ``min_posterior``: a short text that two of them could
+    claim is no reason to reject it.  Null and empty texts, and texts without letters,
     are ``und`` with posterior 1; so are all rows if none declares a language.
     A null declaration, host or suffix adds no evidence.  Null ids and repeated
     rows keep their row; an empty table gives none; other columns are not read.
