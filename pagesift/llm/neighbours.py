@@ -154,10 +154,11 @@ def _descend(nodes: DataFrame, edges: DataFrame, threshold: float, explore: floa
 
 def _tiled_links(members: DataFrame, threshold: float) -> DataFrame:
     """``(node, links)`` over all members of each component, compared tile by tile; no pair is emitted."""
-    order = F.row_number().over(Window.partitionBy("root").orderBy("node")) - 1
-    placed = cut(members.withColumn("tile", F.floor(order / TILE).cast("int")))
-    tiles = placed.groupBy("root").agg((F.max("tile") + 1).alias("tiles"))
-    dealt = placed.join(tiles, "root").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    # members are dealt to tiles by hash, so a component of any size is never one task
+    placed = cut(members)
+    tiles = placed.groupBy("root").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    dealt = placed.join(tiles, "root").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     dealt = dealt.withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")})
 
     def run(table: pa.Table) -> pa.Table:
