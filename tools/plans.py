@@ -29,7 +29,7 @@ def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
     spark = local_session()
     qs = catalog.queries()
-    out = ["# Physical plans (round 1)", "", f"`explain('formatted')` trees at `{sf}`, local session. Regenerate with "
+    out = ["# Physical plans", "", f"`explain('formatted')` trees at `{sf}`, local session. Regenerate with "
            "`python tools/plans.py`.", ""]
     for k in KEYS:
         out += [f"## {k}", "", "```", tree(qs[k](spark, sf)).rstrip(), "```", ""]
