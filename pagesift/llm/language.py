@@ -26,6 +26,8 @@ BUCKETS = 1 << 15
 MIN_ROWS = 20
 #: Overlapping n-grams repeat each other's evidence.
 TEMPER = 1.0 / GRAM
+#: Share of a text's n-grams that belong to no language.
+FOREIGN = 0.1
 #: Copies of each host's prior that its rows are spread over, so that a host with a third of all rows is no single task.
 SALTS = 16
 
@@ -97,8 +99,13 @@ def _gram_counts(rows: DataFrame, languages: list[str]) -> np.ndarray:
 
 
 def text_model(counts: np.ndarray) -> np.ndarray:
-    """Log-likelihood of each bucket per language, smoothed; the last row is the undetermined class (all buckets alike)."""
-    logs = np.log(counts + 0.1) - np.log(counts.sum(axis=1, keepdims=True) + 0.1 * BUCKETS)
+    """Log-likelihood of each bucket per language, smoothed; the last row is the undetermined class (all buckets alike).
+
+    A share of any text is in no language (names, keys, addresses), so each
+    language is mixed with that class: one odd n-gram costs it little.
+    """
+    own = (counts + 0.1) / (counts.sum(axis=1, keepdims=True) + 0.1 * BUCKETS)
+    logs = np.log((1 - FOREIGN) * own + FOREIGN / BUCKETS)
     return np.vstack([logs, np.full((1, BUCKETS), -np.log(BUCKETS))]).astype(np.float32)
 
 
