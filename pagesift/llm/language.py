@@ -22,8 +22,8 @@ from pagesift.llm.common import OWN, cut, written
 UNDETERMINED = "und"
 GRAM = 3
 BUCKETS = 1 << 15
-#: Rows a declared language needs before it is a class of its own.
-MIN_ROWS = 20
+#: Rows a declared language needs to be a class: any row is enough, the smoothing of the counts carries thin ones.
+MIN_ROWS = 1
 #: Overlapping n-grams repeat each other's evidence.
 TEMPER = 1.0 / GRAM
 #: Share of a text's n-grams that belong to no language.
@@ -68,14 +68,14 @@ def _gram_counts(rows: DataFrame, languages: list[str]) -> np.ndarray:
     """Counts of each n-gram bucket per language over all declared rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(languages), BUCKETS), np.int64)
+        total: dict[int, np.ndarray] = {}  # of the languages that the task meets
         at = {lang: i for i, lang in enumerate(languages)}
         waiting: dict[int, list[np.ndarray]] = {i: [] for i in range(len(languages))}
         held = [0] * len(languages)
 
         def settle(i: int) -> None:
             if waiting[i]:
-                total[i] += np.bincount(np.concatenate(waiting[i]), minlength=BUCKETS)
+                total[i] = total.get(i, 0) + np.bincount(np.concatenate(waiting[i]), minlength=BUCKETS)
                 waiting[i], held[i] = [], 0
 
         for b in batches:
@@ -88,8 +88,9 @@ def _gram_counts(rows: DataFrame, languages: list[str]) -> np.ndarray:
                         settle(i)
         for i in waiting:
             settle(i)
-        lang, bucket = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(total[lang, bucket])], ["lang", "bucket", "n"])
+        for i, n in total.items():
+            bucket = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bucket), i, np.int32)), pa.array(bucket.astype(np.int32)), pa.array(n[bucket])], ["lang", "bucket", "n"])
 
     sums = rows.select("declared", "text").mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     out = np.zeros((len(languages), BUCKETS))
@@ -170,8 +171,9 @@ def _decisions(
         (F.col(suffix_col).cast("string") if suffix_col else none).alias("suffix"),
         (F.col(host_col).cast("string") if host_col else none).alias("host"),
     )
-    declared = rows.where("declared IS NOT NULL").groupBy("declared").count().where(F.col("count") >= MIN_ROWS).collect()
-    languages = sorted(r["declared"] for r in declared)
+    declared = rows.where("declared IS NOT NULL").select("declared").distinct().collect()
+    # a declaration of ``und`` names no language and speaks for that class
+    languages = sorted(r["declared"] for r in declared if r["declared"] != UNDETERMINED)
     classes = [*languages, UNDETERMINED]
     model = text_model(_gram_counts(rows, languages)) if languages else text_model(np.zeros((0, BUCKETS)))
     scored = written(_scored(rows, model, classes), "language")
@@ -225,8 +227,8 @@ def identify_languages(
 ) -> DataFrame:
     """``doc_id, language, posterior, declared, host, accepted`` of every row.
 
-    The classes are the declared languages that at least ``MIN_ROWS`` rows
-    name, and ``und``.  A row is accepted if the languages together have a
+    The classes are all declared languages, however few rows name them, and
+    ``und``.  A row is accepted if the languages together have a
     posterior of at least ``min_posterior``: a short text that two of them could
     claim is no reason to reject it.  Null and empty texts, and texts without letters,
     are ``und`` with posterior 1; so are all rows if none declares a language.

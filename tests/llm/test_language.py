@@ -111,3 +111,29 @@ def test_declared_languages_are_found_on_the_tables(spark):
     pages = L.page_evidence(spark.read.parquet("/root/testdata/sf0.1/pages.parquet"))
     found = L.identify_languages(pages, "page_id", "html", "declared", "host", "suffix").collect()
     assert sum(r.language == r.declared for r in found) > 0.8 * len(found)
+
+
+@pytest.mark.parametrize("rows_of_it", [1, 19])
+def test_rare_languages_are_kept(spark, rows_of_it):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang <> 'es'")
+    spanish = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'es'").orderBy("doc_id").limit(rows_of_it)
+    words = "春天 的 花园 里 有 许多 人 在 树 下 读书 喝茶 和 孩子 们 一起 唱歌".split()
+    rnd = random.Random(5)
+    chinese = [(90_000 + i, " ".join(rnd.choice(words) for _ in range(40)), "zh", "src0", 100) for i in range(rows_of_it)]
+    docs = docs.unionByName(spanish).unionByName(spark.createDataFrame(chinese, docs.schema))
+    out = [r for r in L.identify_languages(docs).collect() if r.declared in ("es", "zh")]
+    assert len(out) == 2 * rows_of_it and all(r.accepted and r.language == r.declared for r in out)
+    assert L.drop_unidentified(docs).where("lang IN ('es', 'zh')").count() == 2 * rows_of_it
+
+
+def test_a_small_table_keeps_its_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert all(r.accepted for r in L.identify_languages(docs).collect())
+    first = docs.orderBy("doc_id").limit(30)
+    assert all(r.accepted for r in L.identify_languages(first).collect())
+
+
+def test_und_is_no_declared_language(spark):
+    rows = [(i, "the tree and the house over the tree", "en", "a") for i in range(9)] + [(9, "the tree and the house", "und", "a"), (10, "12 34", "und", "a")]
+    out = {r.doc_id: r for r in L.identify_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert out[9].language == "en" and (out[10].language, out[10].posterior, out[10].accepted) == ("und", 1.0, False)
