@@ -6,7 +6,8 @@ by neighbours-of-neighbours joins.  Each node keeps the best entries of its
 list; where a list is saturated (all its entries are links) there may be more
 links than it holds, and the lists of that component are enlarged to all its
 members, compared in tiles.  Recall is audited against brute force on a bounded
-sample of vectors, and further trees are grown while it is too low.
+sample of vectors, and further trees are grown while it is too low; if it stays
+so, all pairs are compared.
 """
 
 from __future__ import annotations
@@ -23,10 +24,13 @@ from pyspark.sql import functions as F
 from pagesift.llm.common import OWN, cut, written
 from pagesift.llm.graph import connected_components
 
-#: Nodes that are compared with each other in one task step; larger leaves are dealt into several.
+#: Nodes that are compared with each other in one task step; leaves of over twice as many are split by further planes.
 LEAF = 512
 TILE = 1024
 CODE_BITS = 30
+#: Linked vectors that an audit has to hold, and the most that one pass of it asks for.
+LINKED = 100
+ASKED = 16_000
 
 EDGES = "u long, v long, sim double, star boolean"
 
@@ -87,46 +91,82 @@ def _edge_table(columns: list[np.ndarray]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c) for c in columns], ["u", "v", "sim", "star"])
 
 
-def _leaf_edges(nodes: DataFrame, trees: range, threshold: float, explore: float, size: int) -> DataFrame:
-    """Edges among the members of each leaf of each tree, within a label."""
-    first = trees.start
+def _centres(members: DataFrame) -> DataFrame:
+    """``(g, dim, n, centre)``: number and mean of the vectors of each group ``g``."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], list] = {}
+        for b in batches:
+            for g, dim, x in zip(*(b.column(i).to_pylist() for i in range(3))):
+                own = sums.setdefault((g, dim), [0, np.zeros(dim)])
+                own[0] += 1
+                own[1] += np.frombuffer(x, np.float64)
+        columns = [[k[0] for k in sums], [k[1] for k in sums], [v[0] for v in sums.values()], [v[1].tobytes() for v in sums.values()]]
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["g", "dim", "n", "s"])
+
+    def total(table: pa.Table) -> pa.Table:
+        n, dim = sum(table.column("n").to_pylist()), table.column("dim")[0].as_py()
+        centre = _matrix(table.column("s"), dim).sum(axis=0) / n
+        return pa.Table.from_arrays([table.column("g")[:1], table.column("dim")[:1], pa.array([n]), pa.array([centre.tobytes()], pa.binary())], ["g", "dim", "n", "centre"])
+
+    sums = members.select("g", "dim", "x").mapInArrow(partial, "g long, dim int, n long, s binary")
+    return sums.groupBy("g", "dim").applyInArrow(total, "g long, dim int, n long, centre binary")
+
+
+def _split(members: DataFrame, centres: DataFrame, level: int) -> DataFrame:
+    """``(node, tree, dim, g)`` after planes through the centre of each group, as many as bring its parts to ``LEAF``."""
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
-            node, dims, xs = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            out: list[list] = [[], [], []]
-            for dim in np.unique(dims).tolist():
-                at = np.flatnonzero(dims == dim)
-                x = np.frombuffer(b"".join(xs[at]), np.float64).reshape(-1, dim)
-                for t in trees:
-                    if (t, dim) not in planes:
-                        planes[t, dim] = np.random.default_rng([t, dim]).standard_normal((dim, CODE_BITS))
-                    bits = (x @ planes[t, dim] > 0) @ (1 << np.arange(CODE_BITS, dtype=np.int64))
-                    out[0].append(node[at])
-                    out[1].append(np.full(len(at), t - first, np.int32))
-                    out[2].append(bits)
-            columns = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1], pa.int32()), pa.array(columns[2])], ["node", "tree", "code"])
-
-    leaf = nodes.select("node", "dim", "x").mapInArrow(codes, "node long, tree int, code long")
-    sizes = nodes.groupBy("label", "dim").agg(F.count("*").alias("n"))
-    bits = F.least(F.lit(CODE_BITS), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / LEAF)))).cast("int")
-    keyed = nodes.join(sizes.withColumn("bits", bits).drop("n"), ["label", "dim"]).select("node", "label", "dim", "bits")
-    leaf = leaf.join(keyed, "node").select(
-        "node", "label", "dim", "tree", F.expr("code & (shiftleft(1L, bits) - 1)").alias("leaf")
-    )
-    leaf = cut(leaf)
-    # leaves that came out too large are dealt into parts, differently in each tree
-    parts = leaf.groupBy("label", "dim", "tree", "leaf").agg(F.ceil(F.count("*") / (2 * LEAF)).cast("int").alias("parts"))
-    dealt = leaf.join(parts, ["label", "dim", "tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("node", "tree"), F.col("parts")))
-    dealt = dealt.join(nodes.select("node", "x"), "node").select("label", "dim", "tree", "leaf", "part", "node", "x")
+            tree, dims, n = (b.column(i).to_numpy() for i in (1, 2, 4))
+            xs, centre = (b.column(i).to_numpy(zero_copy_only=False) for i in (5, 6))
+            code = np.zeros(b.num_rows, np.int64)
+            bits = np.clip(np.ceil(np.log2(n / LEAF)), 0, CODE_BITS).astype(np.int64)
+            for t, dim in set(zip(tree.tolist(), dims.tolist())):
+                at = np.flatnonzero((tree == t) & (dims == dim))
+                if (t, dim) not in planes:
+                    planes[t, dim] = np.random.default_rng([t, dim, level]).standard_normal((dim, CODE_BITS))
+                x, c = (np.frombuffer(b"".join(v[at]), np.float64).reshape(-1, dim) for v in (xs, centre))
+                code[at] = ((x - c) @ planes[t, dim] > 0) @ (1 << np.arange(CODE_BITS, dtype=np.int64)) & ((1 << bits[at]) - 1)
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(code)], ["node", "tree", "dim", "g", "code"])
+
+    joined = members.join(centres, ["g", "dim"]).select("node", "tree", "dim", "g", "n", "x", "centre")
+    coded = joined.mapInArrow(codes, "node long, tree int, dim int, g long, code long")
+    return coded.select("node", "tree", "dim", F.xxhash64("g", "tree", "code").alias("g"))
+
+
+def _leaves(nodes: DataFrame, trees: range) -> DataFrame:
+    """``(node, tree, dim, g)``: the leaf ``g`` of each node in each tree; only what no plane tells apart stays over ``2 * LEAF``."""
+    start = nodes.select("node", "dim", "x", F.xxhash64("label", "dim").alias("g"))
+    each = F.explode(F.array(*[F.lit(t) for t in trees])).alias("tree")
+    leaf = cut(_split(start.select("*", each), _centres(start), 0))
+    left, level = None, 0
+    while True:
+        large = cut(leaf.groupBy("g").agg(F.count("*").alias("size")).where(F.col("size") > 2 * LEAF))
+        rows, groups = large.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+        # the same rows in as many groups: equal directions
+        if not rows or (rows, groups) == left:
+            return leaf
+        left, level = (rows, groups), level + 1
+        over = cut(leaf.join(large, "g", "left_semi").join(nodes.select("node", "x"), "node"))
+        leaf = cut(leaf.join(large, "g", "left_anti").unionByName(_split(over, _centres(over), level)))
+
+
+def _leaf_edges(nodes: DataFrame, trees: range, threshold: float, explore: float, size: int) -> DataFrame:
+    """Edges among the members of each leaf of each tree, within a label."""
+    leaf = _leaves(nodes, trees)
+    # equal directions, which no plane splits, are dealt into parts, differently in each tree
+    parts = leaf.groupBy("g").agg(F.ceil(F.count("*") / (2 * LEAF)).cast("int").alias("parts"))
+    dealt = leaf.join(parts, "g").withColumn("part", F.pmod(F.xxhash64("node", "tree"), F.col("parts")))
+    dealt = dealt.join(nodes.select("node", "label", "x"), "node").select("label", "dim", "tree", "g", "part", "node", "x")
 
     def run(table: pa.Table) -> pa.Table:
         x = _matrix(table.column("x"), table.column("dim")[0].as_py())
         return _edge_table(compare_block(table.column("node").to_numpy(), x, threshold, explore, size))
 
-    return dealt.groupBy("label", "dim", "tree", "leaf", "part").applyInArrow(run, EDGES)
+    return dealt.groupBy("label", "dim", "tree", "g", "part").applyInArrow(run, EDGES)
 
 
 def _best(edges: DataFrame, size: int) -> DataFrame:
@@ -152,12 +192,16 @@ def _descend(nodes: DataFrame, edges: DataFrame, threshold: float, explore: floa
     return cut(_best(edges.unionByName(members.groupBy("w").applyInArrow(run, EDGES)), size))
 
 
-def _tiled_links(members: DataFrame, threshold: float) -> DataFrame:
-    """``(node, links)`` over all members of each component, compared tile by tile; no pair is emitted."""
-    # members are dealt to tiles by hash, so a component of any size is never one task
-    placed = cut(members)
-    tiles = placed.groupBy("root").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    dealt = placed.join(tiles, "root").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+def _tiled_links(members: DataFrame, by: list[str], threshold: float, stars: bool = False) -> DataFrame:
+    """``(node, v, n, links)`` of all pairs of members of each group, compared tile by tile; no pair is emitted.
+
+    ``n`` counts linked nodes, ``links`` their rows; both are to be summed up
+    over a node.  With ``stars``, ``v`` is the first node that a tile's links reach.
+    """
+    # members are dealt to tiles by hash, so a group of any size is never one task
+    placed = cut(members.select(*by, "node", "x", "mult", *[c for c in ("dim",) if c not in by]))
+    tiles = placed.groupBy(*by).agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    dealt = placed.join(tiles, by).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     dealt = dealt.withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")})
 
@@ -169,38 +213,74 @@ def _tiled_links(members: DataFrame, threshold: float) -> DataFrame:
         close = x[a] @ x[b].T >= threshold
         if i == j:
             np.fill_diagonal(close, False)
-            out = [(node[a], close @ mult[b])]
+            out = [(node[a], close.sum(axis=1), close @ mult[b])]
         else:
-            out = [(node[a], close @ mult[b]), (node[b], mult[a] @ close)]
-        return pa.Table.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out)], ["node", "links"])
+            out = [(node[a], close.sum(axis=1), close @ mult[b]), (node[b], close.sum(axis=0), mult[a] @ close)]
+            both = np.zeros((len(a) + len(b),) * 2, bool)
+            both[: len(a), len(a) :], both[len(a) :, : len(a)] = close, close.T
+            close = both
+        ids, n, links = (np.concatenate(c).astype(np.int64) for c in zip(*out))
+        linked = np.flatnonzero(n)
+        v = ids[linked]
+        if stars and len(linked):
+            v = v[_block_components(close[np.ix_(linked, linked)])]
+        return pa.Table.from_arrays([pa.array(c) for c in (ids[linked], v, n[linked], links[linked])], ["node", "v", "n", "links"])
+
+    return dealt.groupBy(*by, "i", "j").applyInArrow(run, "node long, v long, n long, links long")
+
 
-    return dealt.groupBy("root", "i", "j").applyInArrow(run, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+def _summed(tiled: DataFrame) -> DataFrame:
+    return tiled.groupBy("node").agg(F.sum("n").alias("n"), F.sum("links").alias("links"))
 
 
 def _audit(nodes: DataFrame, links: DataFrame, threshold: float, sample: int) -> float:
-    """Share of the links of a bounded sample of nodes that was found, by brute force against all nodes."""
-    queries = nodes.orderBy(F.xxhash64("node")).limit(sample).select("node", "label", "dim", "x").collect()
+    """Share of the links of sampled nodes that was found, by brute force against all nodes.
+
+    Links count once, whatever the copies of their ends.  The lower one of two
+    shares: of all links of the sample, and on average over its linked nodes.
+    The sample grows until it holds ``LINKED`` linked nodes or is all nodes.
+    """
+    total, asked, linked, n, found, shares = nodes.count(), 0, 0, 0, 0, 0.0
+    while asked < total and linked < LINKED:
+        more = min(max(sample, 3 * asked), ASKED)
+        row = _audited(nodes, links, threshold, asked, more)
+        asked += more
+        linked, n, found, shares = linked + row.linked, n + (row.n or 0), found + (row.found or 0), shares + (row.shares or 0.0)
+    return min(found / n, shares / linked) if n else 1.0
+
+
+def _audited(nodes: DataFrame, links: DataFrame, threshold: float, start: int, sample: int):
+    """Row ``(linked, n, found, shares)`` of the ``sample`` nodes from ``start`` on, in the order of their hash."""
+    queries = nodes.orderBy(F.xxhash64("node"), "node").select("node", "label", "dim", "x").offset(start).limit(sample).collect()
     asked: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
-    for key in {(q.label, q.dim) for q in queries}:
-        own = [q for q in queries if (q.label, q.dim) == key]
+    groups: dict[tuple, list] = {}
+    for q in queries:
+        groups.setdefault((q.label, q.dim), []).append(q)
+    for key, own in groups.items():
         asked[key] = (np.array([q.node for q in own]), np.stack([np.frombuffer(q.x, np.float64) for q in own]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, int] = {}
         for b in batches:
-            keys = np.array(list(zip(b.column(1).to_pylist(), b.column(2).to_pylist())), dtype=object).reshape(-1, 2)
-            node, mult = b.column(0).to_numpy(), b.column(4).to_numpy()
-            for key, (ids, q) in asked.items():
-                at = np.flatnonzero((keys[:, 0] == key[0]) & (keys[:, 1] == key[1]))
-                if len(at):
-                    close = (_matrix(b.column(3).take(pa.array(at)), key[1]) @ q.T >= threshold) & (node[at][:, None] != ids[None, :])
-                    for i, n in zip(ids.tolist(), (mult[at] @ close).tolist()):
-                        total[i] = total.get(i, 0) + n
+            rows: dict[tuple, list[int]] = {}
+            for i, key in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+                if key in asked:
+                    rows.setdefault(key, []).append(i)
+            for key, at in rows.items():
+                ids, q = asked[key]
+                node = b.column(0).to_numpy()[at]
+                x = _matrix(b.column(3).take(pa.array(at)), key[1])
+                for k in range(0, len(at), TILE):  # a bounded piece of the product at a time
+                    close = (x[k : k + TILE] @ q.T >= threshold) & (node[k : k + TILE, None] != ids[None, :])
+                    n = close.sum(axis=0)
+                    for i in np.flatnonzero(n).tolist():
+                        total[int(ids[i])] = total.get(int(ids[i]), 0) + int(n[i])
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["node", "n"])
 
-    there = nodes.select("node", "label", "dim", "x", "mult").mapInArrow(count, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
-    row = there.join(links, "node", "left").agg(F.sum("n").alias("n"), F.sum(F.coalesce(F.least("links", "n"), F.lit(0))).alias("found")).first()
-    return row.found / row.n if row.n else 1.0
+    there = nodes.select("node", "label", "dim", "x").mapInArrow(count, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
+    got = F.least(F.coalesce("got", F.lit(0)), "n")
+    joined = there.join(links.select("node", F.col("n").alias("got")), "node", "left")
+    return joined.agg(F.count("*").alias("linked"), F.sum("n").alias("n"), F.sum(got).alias("found"), F.sum(got / F.col("n")).alias("shares")).first()
 
 
 def near_duplicate_vectors(
@@ -227,7 +307,7 @@ def near_duplicate_vectors(
     the row's own.  Repeated rows keep their rows and link with each other.  A
     null id is reported as it is and never names a component of rows with ids.
     Trees are grown ``growths`` times at most, until the audited recall reaches
-    ``recall``.  An empty table gives no rows; other columns are not read.
+    ``recall``; if it never does, all pairs of a label are compared.  An empty table gives no rows; other columns are not read.
     """
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,12 +341,15 @@ def near_duplicate_vectors(
         counts = cut(counts.withColumnRenamed("u", "node").join(roots, "node"))
         full = counts.where(F.col("n") >= list_size).select("root").distinct()
         members = roots.join(full, "root", "left_semi").join(nodes.select("node", "dim", "x", "mult"), "node")
-        enlarged = _tiled_links(members, threshold)
-        links = cut(counts.join(full, "root", "left_anti").select("node", "links").unionByName(enlarged))
+        enlarged = _summed(_tiled_links(members, ["root"], threshold))
+        links = cut(counts.join(full, "root", "left_anti").select("node", "n", "links").unionByName(enlarged))
         if _audit(nodes, links, threshold, audit_sample) >= recall:
             break
+    else:  # the graph misses too much: every pair is compared
+        tiled = cut(_tiled_links(nodes, ["label", "dim"], threshold, stars=True))
+        roots, links = cut(connected_components(tiled.select(F.col("node").alias("u"), "v"), "u", "v")), cut(_summed(tiled))
 
-    found = nodes.select("node", "key", "rep", "mult").join(roots, "node", "left").join(links, "node", "left")
+    found = nodes.select("node", "key", "rep", "mult").join(roots, "node", "left").join(links.drop("n"), "node", "left")
     found = found.withColumn("root", F.coalesce("root", "node"))
     lowest = found.groupBy("root").agg(F.min("rep").alias("component_id"))
     result = cut(found.join(lowest, "root").select("key", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), "component_id"))

@@ -62,3 +62,45 @@ def test_equals_brute_force(spark, monkeypatch):
 def test_empty_and_one(spark):
     assert run(spark, []) == []
     assert run(spark, [(4, [1.0, 2.0], 1)]) == [(4, 0, 4, True)]
+
+
+def pairs(n=60, dim=16):
+    rng = np.random.default_rng(8)
+    rows = []
+    for _ in range(n):
+        x = rng.standard_normal(dim)
+        rows += [x, x + rng.standard_normal(dim) * 0.1]
+    return [(i, v.tolist(), 0) for i, v in enumerate(rows)]
+
+
+def test_what_the_trees_miss_is_compared_in_full(spark, monkeypatch):
+    monkeypatch.setattr(N, "LEAF", 4)
+    monkeypatch.setattr(N, "TILE", 20)
+    rows = pairs() + [(900, [1.0] * 16, 1), (901, [1.0] * 15 + [1.1], 1), (902, [1.0] * 15 + [1.1], 1)]
+    assert run(spark, rows, trees=1, rounds=0, growths=1, recall=1.0) == brute(rows)
+
+
+def test_copies_do_not_outweigh_missed_links(spark, monkeypatch):
+    monkeypatch.setattr(N, "LEAF", 4)
+    monkeypatch.setattr(N, "TILE", 20)
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal(16)
+    rows = pairs() + [(1000 + i, x.tolist(), 0) for i in range(300)] + [(2000 + i, (x + rng.standard_normal(16) * 0.001).tolist(), 0) for i in range(30)]
+    assert run(spark, rows, trees=1, rounds=0, growths=1, list_size=8, recall=1.0) == brute(rows)
+
+
+def test_a_sample_without_links_is_enlarged(spark, monkeypatch):
+    monkeypatch.setattr(N, "LEAF", 4)
+    rng = np.random.default_rng(10)
+    rows = [(i, rng.standard_normal(16).tolist(), 0) for i in range(150)] + [(1000 + i, v, 0) for i, v, _ in pairs(12)]
+    assert run(spark, rows, trees=1, rounds=0, growths=1, audit_sample=2) == brute(rows)
+
+
+def test_a_narrow_cone_is_split_into_leaves(spark, monkeypatch):
+    monkeypatch.setattr(N, "LEAF", 16)
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal(16) * 5 + rng.standard_normal((600, 16)) * 0.1
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    nodes = spark.createDataFrame([(i, "a", 16, v.tobytes()) for i, v in enumerate(x)], "node long, label string, dim int, x binary")
+    leaves = N._leaves(nodes, range(0, 2))
+    assert leaves.count() == 1200 and leaves.groupBy("tree", "g").count().agg({"count": "max"}).first()[0] <= 32
