@@ -65,7 +65,8 @@ _TOKEN = re.compile(
     r"|<([a-zA-Z][^\s/>]*)([^>]*)(>|\Z)",
     re.DOTALL,
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
+#: Name and value (in double quotes, in single ones, bare) of one attribute after the other.
+_ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _WORD = re.compile(r"[a-z0-9]+")
 
 
@@ -81,8 +82,13 @@ def is_dropped(tag: str, attributes: str, in_article: bool) -> bool:
     """Whether an element and all in it is no article text, by its tag and attributes."""
     if tag in DROP_TAGS or tag == "header" and not in_article:
         return True
-    for name, value in _ATTRIBUTE.findall(attributes) if attributes else ():
-        name, value = name.lower(), html.unescape(value.strip("\"'")).lower()
+    seen = set()
+    for name, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
+        name = name.lower()
+        if name in seen:  # the first of its name holds
+            continue
+        seen.add(name)
+        value = html.unescape("".join(values)).strip().lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in DROP_ROLES:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):

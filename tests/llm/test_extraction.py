@@ -68,3 +68,16 @@ def test_long_and_deep_pages():
     assert Page(deep).main_text() == T1
     assert Page("<article>" + f"<p>{P1}" * 20000).main_text().count("\n\n") == 19999
     assert Page("<b <i 'x" * 5000).main_text() == ""
+
+
+@pytest.mark.parametrize("attributes", [
+    "href='https://x.org/the-hidden-cost'", "title='hidden gems'", "data-hidden='false'", "href='/x?id=ad'", "data-id='share'", "href=/x?id=ad",
+    "title='class=ad'", "data-x='a' data-role = navigation", "class='lead' class='ad'", "aria-hidden='false'", 'alt="style=\'display:none\'"',
+])
+def test_words_in_other_attributes_drop_nothing(attributes):
+    assert Page(f"<article><p {attributes}>{P1}</p><p>A word <b {attributes}>and a link</b> more.</p></article>").main_text() == f"{T1}\n\nA word and a link more."
+
+
+@pytest.mark.parametrize("attributes", ["hidden", "title='x' HIDDEN", "data-id=a id = 'ad'", "class=ad", "role=\"navigation\"", "aria-hidden=true", "style='display: none'"])
+def test_named_attributes_drop(attributes):
+    assert Page(f"<article><p>{P1}</p><p {attributes}>{P2}</p></article>").main_text() == T1
