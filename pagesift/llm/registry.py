@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagesift.llm import decontamination, extraction, language, licenses, neighbours, packing, quality, repeats, sharding, simhash
+from pagesift.llm import (
+    credentials, decontamination, dialogue, extraction, language, licenses, neighbours, packing, quality, repeats, sharding, simhash, spelling,
+)
 from pagesift.llm.common import read, vocabulary_path
 
 
@@ -53,13 +55,29 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read(spark, sf_dir, "documents"))
 
 
+def op11_machine_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read(spark, sf_dir, "documents"), 6, 5, 5, spelling.slip)
+
+
+def op12_band_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read(spark, sf_dir, "conversations")
+    return dialogue.repair_report(conversations, dialogue.damage(conversations))
+
+
+def op13_character_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = credentials.scan_secrets(read(spark, sf_dir, "documents"))
+    digest = F.sha2(F.encode("base", "UTF-8"), 256).alias("base_sha256")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", digest, "spans", "n_learned", "score")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES = (
     op1_language_fusion, op2_best_fit_packing, op3_pigeonhole_edits, op4_html_extraction, op5_simhash_popcount,
-    op6_jump_sharding, op7_phrase_automata, op8_factorisation_machine, op9_nn_descent, op10_license_scan, pipeline,
+    op6_jump_sharding, op7_phrase_automata, op8_factorisation_machine, op9_nn_descent, op10_license_scan, op11_machine_composition,
+    op12_band_alignment, op13_character_network, pipeline,
 )
 
 
