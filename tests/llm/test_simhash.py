@@ -89,3 +89,39 @@ def test_keep_one(spark):
     assert df.columns == kept[0].__fields__
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert S.near_duplicates(empty).count() == 0 and S.keep_one(empty).count() == 0
+
+
+def test_dense_group_is_linked_by_stars(spark, monkeypatch):
+    """Five thousand near copies: as many links as fingerprints and cells at most, one component; also if cells overflow."""
+    from pagesift.llm.graph import connected_components
+
+    rnd = random.Random(12)
+    centre = rnd.getrandbits(64)
+    fps = {centre}
+    while len(fps) < 5000:
+        f = rnd.choice((centre, rnd.choice(sorted(fps)[:50])))
+        for b in rnd.sample(range(64), rnd.randint(1, 3)):
+            f ^= 1 << b
+        fps.add(f)
+    fps |= {rnd.getrandbits(64) for _ in range(500)}
+    arr = np.array(sorted(fps), np.uint64)
+    label = np.arange(len(arr))
+    while True:
+        before = label.copy()
+        for i in range(len(arr)):
+            near = np.flatnonzero(np.bitwise_count(arr ^ arr[i]) <= 4)
+            label[near] = np.minimum(label[near], label[near].min())
+        if (before == label).all():
+            break
+    want = {}
+    for f, c in zip(arr.view(np.int64).tolist(), label.tolist()):
+        want.setdefault(c, set()).add(f)
+    df = spark.createDataFrame([(f,) for f in arr.view(np.int64).tolist()], "fp long")
+    cells = S.cells_of(df, 4).count()
+    for most in (4096, 300):
+        links = S.near_links(df, 4, most)
+        assert links.count() <= 2 * cells
+        groups = {}
+        for r in connected_components(links).collect():
+            groups.setdefault(r.root, set()).add(r.node)
+        assert sorted(map(sorted, groups.values())) == sorted(sorted(g) for g in want.values() if len(g) > 1)
