@@ -10,10 +10,13 @@ window are a sample of the corpus that misses no repeat.
 2. Each block sends its distinct least phrases; those that two documents have
    are confirmed and reported to the blocks that have them.
 3. Each block compiles its confirmed phrases into Aho-Corasick automata and
-   streams its documents through them, which locates every occurrence.  Windows
-   around an occurrence are sent, one row per block with the smallest id there.
-4. The smallest id of each window is reported where a block's is larger; the
-   block then marks the covered words of each document.
+   streams its documents through them, which locates every occurrence.  Words
+   are the letters of those automata: a word is one character, given to it
+   within its block.  Windows around an occurrence are numbered and sent, one
+   row per block with the smallest id there; where they are is sent along as a
+   note of the block to itself.
+4. The numbers of the windows of which another block has a smaller id come back
+   with that note, and the block marks the covered words of each document.
 
 A block sends a phrase or window once however many of its documents have it, so
 a passage that very many documents share costs one entry per block.
@@ -22,6 +25,7 @@ a passage that very many documents share costs one entry per block.
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,8 +50,10 @@ NO_ID = (1 << 63) - 1
 _ROLL, _CHECK, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
 _MOST = np.uint64((1 << 64) - 1)
 
-MESSAGE = f"{OWN}group int, {OWN}block int, {OWN}data binary"
-REPLY = f"{OWN}block int, {OWN}data binary"
+MESSAGE = f"{OWN}group int, {OWN}block int, {OWN}note boolean, {OWN}data binary"
+REPLY = f"{OWN}block int, {OWN}note boolean, {OWN}data binary"
+#: Characters that a word can be, without surrogates.
+CHARACTERS = 0x110000 - 0x800
 
 
 def _rolled(words: np.ndarray, n: int, multiplier: np.uint64) -> np.ndarray:
@@ -64,8 +70,18 @@ def _runs(sorted_values: np.ndarray) -> np.ndarray:
     return np.r_[True, sorted_values[1:] != sorted_values[:-1]] if len(sorted_values) else np.zeros(0, bool)
 
 
-def by_id(docs: pa.Table, id_col: str) -> pa.Table:
-    return docs.take(pc.sort_indices(docs, [(id_col, "ascending")], null_placement="at_end"))
+def by_id(docs: pa.Table, id_col: str, text_col: str) -> pa.Table:
+    """Rows in the same order whenever a block is read: rows that tie have the same words."""
+    return docs.take(pc.sort_indices(docs, [(id_col, "ascending"), (text_col, "ascending")], null_placement="at_end"))
+
+
+def split(docs: pa.Table, text_col: str) -> tuple[list[bytes], np.ndarray]:
+    """The words of all documents, one after the other, and where each document's begin and end."""
+    words, bounds = [], [0]
+    for text in docs.column(text_col):
+        words += blank_words(text.as_py() or b"")
+        bounds.append(len(words))
+    return words, np.array(bounds)
 
 
 class Block:
@@ -74,11 +90,7 @@ class Block:
     def __init__(self, docs: pa.Table, id_col: str, text_col: str, window: int, phrase: int):
         self.window, self.phrase = window, phrase
         self.ids = docs.column(id_col).combine_chunks().fill_null(NO_ID).to_numpy(zero_copy_only=False)
-        self.words, bounds = [], [0]
-        for text in docs.column(text_col):
-            self.words += blank_words(text.as_py() or b"")
-            bounds.append(len(self.words))
-        self.bounds = np.array(bounds)
+        self.words, self.bounds = split(docs, text_col)
         n = len(self.words)
         self.row = np.repeat(np.arange(len(self.ids)), np.diff(self.bounds))
         self.hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, n)
@@ -105,25 +117,39 @@ class Block:
         keys["b"] = (_rolled(self.hashes, self.window, _CHECK)[self.whole] >> np.uint64(32)).astype(np.uint32)
         return keys
 
-    def located(self, confirmed: np.ndarray) -> np.ndarray:
+    def spelled(self, characters: int = CHARACTERS) -> tuple[str, int]:
+        """The words as a string, and how many characters each word is: one, unless the block has very many distinct words."""
+        distinct, number = np.unique(self.hashes, return_inverse=True)
+        width = 1
+        while characters**width < len(distinct):
+            width += 1
+        points = np.empty((len(number), width), "<u4")
+        for k in range(width):
+            number, points[:, k] = np.divmod(number, characters)
+        points[points >= 0xD800] += 0x800
+        return points.tobytes().decode("utf-32-le"), width
+
+    def located(self, confirmed: np.ndarray, characters: int = CHARACTERS) -> np.ndarray:
         """Windows (numbers into ``whole``) whose least phrase is a confirmed one, by automata over the documents."""
         import ahocorasick
 
         at, least = self.least_phrases()
-        is_known = np.isin(at, confirmed)
-        phrases = sorted({b" ".join(self.words[i : i + self.phrase]) for i in np.flatnonzero(is_known).tolist()})
+        known = np.flatnonzero(np.isin(at, confirmed))
+        _, first = np.unique(at[known], return_index=True)
+        text, width = self.spelled(characters)
+        phrases = [text[i * width : (i + self.phrase) * width] for i in known[first].tolist()]
         found = np.zeros(len(at), bool)
-        blanks = np.cumsum(np.fromiter(map(len, self.words), np.int64, len(self.words)) + 1)  # place of the blank after each word
-        for first in range(0, len(phrases), SHARD_PHRASES):
+        for start in range(0, len(phrases), SHARD_PHRASES):
             automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-            for p in phrases[first : first + SHARD_PHRASES]:
-                automaton.add_word(f" {p.decode('latin-1')} ")
+            for p in phrases[start : start + SHARD_PHRASES]:
+                automaton.add_word(p)
             automaton.make_automaton()
             for a, b in zip(self.bounds[:-1].tolist(), self.bounds[1:].tolist()):
                 if b - a < self.window:
                     continue
-                hits = [end for end, _ in automaton.iter(f" {b' '.join(self.words[a:b]).decode('latin-1')} ")]
-                found[np.searchsorted(blanks[a:b], np.array(hits) + (blanks[a - 1] if a else 0)) + a - self.phrase + 1] = True
+                ends = np.array([end for end, _ in automaton.iter(text[a * width : b * width])], np.int64) + 1
+                ends = ends[ends % width == 0] // width
+                found[ends + a - self.phrase] = True
         return np.flatnonzero(self._window_min(np.where(found, at, _MOST)) == least)
 
 
@@ -134,8 +160,12 @@ def _send(groups: int, block: int, records: np.ndarray) -> pa.Table:
     records, group = records[order], group[order]
     first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else []
     parts = [records[a:b].tobytes() for a, b in zip(first, [*first[1:], len(group)])]
-    arrays = [pa.array(group[first] if len(group) else [], pa.int32()), pa.array([block] * len(parts), pa.int32()), pa.array(parts, pa.binary())]
-    return pa.Table.from_arrays(arrays, [f"{OWN}group", f"{OWN}block", f"{OWN}data"])
+    return _messages(group[first].tolist() if len(group) else [], block, False, parts)
+
+
+def _messages(groups: list[int], block: int, note: bool, parts: list[bytes]) -> pa.Table:
+    arrays = [pa.array(groups, pa.int32()), pa.array([block] * len(parts), pa.int32()), pa.array([note] * len(parts), pa.bool_()), pa.array(parts, pa.binary())]
+    return pa.Table.from_arrays(arrays, [f"{OWN}group", f"{OWN}block", f"{OWN}note", f"{OWN}data"])
 
 
 def _received(table: pa.Table, kind) -> tuple[np.ndarray, np.ndarray]:
@@ -149,12 +179,25 @@ def _reply(blocks: np.ndarray, records: np.ndarray) -> pa.Table:
     blocks, records = blocks[order], records[order]
     first = np.flatnonzero(np.r_[True, blocks[1:] != blocks[:-1]]) if len(blocks) else np.zeros(0, np.int64)
     parts = [records[a:b].tobytes() for a, b in zip(first, [*first[1:], len(blocks)])]
-    return pa.Table.from_arrays([pa.array(blocks[first], pa.int32()), pa.array(parts, pa.binary())], [f"{OWN}block", f"{OWN}data"])
+    arrays = [pa.array(blocks[first], pa.int32()), pa.array([False] * len(parts), pa.bool_()), pa.array(parts, pa.binary())]
+    return pa.Table.from_arrays(arrays, [f"{OWN}block", f"{OWN}note", f"{OWN}data"])
+
+
+def _note(starts: np.ndarray, numbers: np.ndarray, gone: np.ndarray) -> bytes:
+    """Where the located windows start, their numbers in the block, and which an earlier document of the block has."""
+    steps = np.stack([np.diff(starts, prepend=0), np.diff(numbers, prepend=0)]).astype("<i4")
+    return zlib.compress(len(starts).to_bytes(8, "little") + steps.tobytes() + np.packbits(gone).tobytes(), 1)
+
+
+def _noted(note: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = zlib.decompress(note)
+    n = int.from_bytes(raw[:8], "little")
+    steps = np.frombuffer(raw, "<i4", 2 * n, 8).reshape(2, n).astype(np.int64)
+    return np.cumsum(steps[0]), np.cumsum(steps[1]), np.unpackbits(np.frombuffer(raw, np.uint8, offset=8 + 8 * n), count=n).astype(bool)
 
 
 _PHRASE = np.dtype([("a", "<u8"), ("many", "u1")])
-_WINDOW = np.dtype([("a", "<u8"), ("b", "<u4"), ("id", "<i8")])
-_KEY = np.dtype([("a", "<u8"), ("b", "<u4")])
+_WINDOW = np.dtype([("a", "<u8"), ("b", "<u4"), ("id", "<i8"), ("number", "<u4")])
 
 
 def _confirm(table: pa.Table) -> pa.Table:
@@ -180,25 +223,28 @@ def _window_order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _earlier(table: pa.Table) -> pa.Table:
-    """Windows of which another block has a smaller id, to each block that has not."""
-    records, blocks = _received(table, _WINDOW)
+    """Numbers of the windows of which another block has a smaller id, to each block that has not; notes go back as they are."""
+    is_note = table.column(f"{OWN}note")
+    notes = table.filter(is_note).drop_columns([f"{OWN}group"])
+    records, blocks = _received(table.filter(pc.invert(is_note)), _WINDOW)
     order, new = _window_order(records)
     records, blocks, first = records[order], blocks[order], np.flatnonzero(new)
     size = np.diff(np.r_[first, len(records)])
     lowest = np.minimum.reduceat(records["id"], first) if len(first) else size
     later = records["id"] > np.repeat(lowest, size)
-    keys = np.empty(later.sum(), _KEY)
-    keys["a"], keys["b"] = records["a"][later], records["b"][later]
-    return _reply(blocks[later], keys)
+    return pa.concat_tables([_reply(blocks[later], np.ascontiguousarray(records["number"][later])), notes])
 
 
-def _first_ids(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each window the smallest id of the block that has it, and one number of each distinct window; ids ascend."""
+def _numbered(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers that equal windows share, the first place of each number, and the smallest id of the block that has it; ids ascend."""
     order, new = _window_order(keys)
     first = order[new]
-    lowest = np.empty(len(ids), np.int64)
-    lowest[order] = np.repeat(ids[first], np.diff(np.r_[np.flatnonzero(new), len(ids)]))
-    return lowest, first
+    # numbered as they come, so that a passage's windows have numbers in a row
+    rank = np.argsort(np.argsort(first, kind="stable"), kind="stable")
+    numbers = np.empty(len(ids), np.int64)
+    numbers[order] = np.repeat(rank, np.diff(np.r_[np.flatnonzero(new), len(ids)]))
+    first = np.sort(first)
+    return numbers, first, ids[first]
 
 
 def mark_repeats(
@@ -212,9 +258,8 @@ def mark_repeats(
     space.  Windows are judged on the input.  Null texts have no words; rows
     without an id come after all others and take nothing from each other;
     repeated rows and rows with equal ids keep each other's words; an empty
-    table gives no rows.  The blocks stay registered as a table of the session
-    (``pagesift_blocks_*``, stored in the checkpoint folder), as the result
-    reads them.
+    table gives no rows.  The blocks are files of the checkpoint folder, which
+    the result reads; no table stays registered.
     """
     if not 1 <= phrase <= window:
         raise ValueError("a phrase has from one word to as many as the window")
@@ -231,13 +276,17 @@ def mark_repeats(
         F.col(text_col).cast("binary").alias(own_text),
         F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_blocks)).cast("int").alias(block),
     ).drop(text_col)
+    # a bucket holds as many blocks as it must: Spark limits the number of buckets
+    n_buckets = int(min(n_blocks, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))))
     name, path = f"pagesift_blocks_{uuid.uuid4().hex}", new_scratch_path(spark, "blocks")
-    (dealt.repartition(int(n_blocks), block).write.bucketBy(int(n_blocks), block)
+    (dealt.repartition(n_buckets, block).write.bucketBy(n_buckets, block)
      .option("path", path).option("compression", "zstd").saveAsTable(name))
     texts = spark.table(name)
+    # the plan knows the files by now; a table with a path of its own keeps them
+    spark.sql(f"DROP TABLE {name}")
 
     def send_phrases(table: pa.Table) -> pa.Table:
-        b = Block(by_id(table, own_id), own_id, own_text, window, phrase)
+        b = Block(by_id(table, own_id, own_text), own_id, own_text, window, phrase)
         _, least = b.least_phrases()
         ids = b.ids[b.row[b.whole]]
         # neighbouring windows mostly have the same least phrase
@@ -260,40 +309,41 @@ def mark_repeats(
         if not table.num_rows or not replies.num_rows:
             return _send(n_groups, 0, np.zeros(0, _WINDOW))
         known = np.unique(_received(replies, np.dtype("<u8"))[0])
-        b = Block(by_id(table, own_id), own_id, own_text, window, phrase)
+        b = Block(by_id(table, own_id, own_text), own_id, own_text, window, phrase)
         at = b.located(known)
         keys, ids = b.window_keys()[at], b.ids[b.row[b.whole[at]]]
-        lowest, first = _first_ids(keys, ids)
+        numbers, first, lowest = _numbered(keys, ids)
         records = np.empty(len(first), _WINDOW)
-        records["a"], records["b"], records["id"] = keys["a"][first], keys["b"][first], lowest[first]
-        return _send(n_groups, table.column(block)[0].as_py(), records)
+        records["a"], records["b"], records["id"], records["number"] = keys["a"][first], keys["b"][first], lowest, np.arange(len(first))
+        own = table.column(block)[0].as_py()
+        note = _note(b.whole[at], numbers, ids > lowest[numbers] if len(at) else np.zeros(0, bool))
+        return pa.concat_tables([_send(n_groups, own, records), _messages([own % n_groups], own, True, [note])])
 
     windows = narrow.groupBy(block).cogroup(confirmed.groupBy(block)).applyInArrow(send_windows, MESSAGE)
     earlier = cut(windows.groupBy(group).applyInArrow(_earlier, REPLY))
 
     def cover(table: pa.Table, replies: pa.Table) -> pa.Table:
-        table = by_id(table, own_id)
-        b = Block(table, own_id, own_text, window, phrase)
-        keys, ids = b.window_keys(), b.ids[b.row[b.whole]]
-        lowest, _ = _first_ids(keys, ids)
-        gone = ids > lowest
-        if replies.num_rows:
-            told = _received(replies, _KEY)[0]
-            maybe = np.flatnonzero(np.isin(keys["a"], told["a"]))
-            gone[maybe] |= np.isin(keys[maybe], told)
-        step = np.zeros(len(b.words) + 1, np.int64)
-        np.add.at(step, b.whole[gone], 1)
-        np.add.at(step, b.whole[gone] + window, -1)
+        table = by_id(table, own_id, own_text)
+        words, bounds = split(table, own_text)
+        step = np.zeros(len(words) + 1, np.int64)
+        is_note = replies.column(f"{OWN}note")
+        for note in replies.filter(is_note).column(f"{OWN}data"):
+            starts, numbers, gone = _noted(note.as_py())
+            told = np.zeros(len(starts) + 1, bool)
+            told[_received(replies.filter(pc.invert(is_note)), np.dtype("<u4"))[0]] = True
+            starts = starts[gone | told[numbers]]
+            np.add.at(step, starts, 1)
+            np.add.at(step, starts + window, -1)
         covered = np.cumsum(step[:-1]) > 0
         kept, removed = [], []
-        for first, end in zip(b.bounds[:-1].tolist(), b.bounds[1:].tolist()):
+        for first, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             lost = covered[first:end]
             removed.append(int(lost.sum()))
-            words = b.words[first:end]
-            kept.append(b" ".join(words if not removed[-1] else [w for w, x in zip(words, lost.tolist()) if not x]))
+            own = words[first:end]
+            kept.append(b" ".join(own if not removed[-1] else [w for w, x in zip(own, lost.tolist()) if not x]))
         out = table.drop_columns([block, own_id, own_text])
         out = out.append_column(text_col, table.column(own_text).cast(pa.string()))
-        out = out.append_column("n_words", pa.array(np.diff(b.bounds), pa.int64()))
+        out = out.append_column("n_words", pa.array(np.diff(bounds), pa.int64()))
         out = out.append_column("n_removed", pa.array(removed, pa.int64()))
         return out.append_column("kept", pa.array(kept, pa.binary()).cast(pa.string()))
 

@@ -73,3 +73,43 @@ def test_digest(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
     want = {d: (n, m, hashlib.sha256(k.encode()).hexdigest()) for d, n, m, k in brute([tuple(r) for r in docs], 13)}
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in rows} == want
+
+
+def test_more_blocks_than_buckets_and_no_table_left(spark, monkeypatch):
+    monkeypatch.setattr(R, "BLOCK_BYTES", 1500)
+    monkeypatch.setattr(R, "GROUP_BYTES", 9000)
+    rows = make_rows(random.Random(8), 100)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    limit = spark.conf.get("spark.sql.sources.bucketing.maxBuckets")
+    spark.conf.set("spark.sql.sources.bucketing.maxBuckets", 3)
+    try:
+        got = R.mark_repeats(df).collect()
+    finally:
+        spark.conf.set("spark.sql.sources.bucketing.maxBuckets", limit)
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got), key=str) == brute(rows, 13)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("pagesift_blocks")]
+
+
+def test_words_of_several_characters():
+    import pyarrow as pa
+
+    rows = make_rows(random.Random(9), 60)
+    table = R.by_id(pa.table({"id": [i for i, _ in rows], "t": [t.encode() for _, t in rows]}), "id", "t")
+    block = R.Block(table, "id", "t", 13, 7)
+    _, least = block.least_phrases()
+    import numpy as np
+
+    known = np.unique(least)[::2]
+    want = block.located(known).tolist()
+    assert want == np.flatnonzero(np.isin(least, known)).tolist()
+    for characters in (7, 0xD900):
+        assert block.located(known, characters).tolist() == want
+
+
+def test_notes_round_trip():
+    import numpy as np
+
+    rnd = np.random.default_rng(1)
+    for n in (0, 1, 1000):
+        given = (np.sort(rnd.integers(0, 10**6, n)), rnd.integers(0, n + 1, n), rnd.random(n) < 0.3)
+        assert all((a == b).all() and len(a) == n for a, b in zip(R._noted(R._note(*given)), given))
