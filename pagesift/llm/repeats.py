@@ -10,9 +10,9 @@ window are a sample of the corpus that misses no repeat.
 2. Each block sends its distinct least phrases; those that two documents have
    are confirmed and reported to the blocks that have them.
 3. Each block compiles its confirmed phrases into Aho-Corasick automata and
-   streams its documents through them, which locates every occurrence.  Words
-   are the letters of those automata: a word is one character, given to it
-   within its block.  Windows around an occurrence are numbered and sent, one
+   streams its documents through them, which locates every occurrence.  The
+   automata read word numbers, two letters each, which the block gives out;
+   they have fewer states than those of the spelled words.  Windows around an occurrence are numbered and sent, one
    row per block with the smallest id there; where they are is sent along as a
    note of the block to itself.
 4. The numbers of the windows of which another block has a smaller id come back
@@ -52,8 +52,9 @@ _MOST = np.uint64((1 << 64) - 1)
 
 MESSAGE = f"{OWN}group int, {OWN}block int, {OWN}note boolean, {OWN}data binary"
 REPLY = f"{OWN}block int, {OWN}note boolean, {OWN}data binary"
-#: Characters that a word can be, without surrogates.
-CHARACTERS = 0x110000 - 0x800
+#: Letters of the automata.  A state looks its next state up among as many at worst; two letters name 360,000 words,
+#: about as many as a block has, and a block with more takes three.
+CHARACTERS = 600
 
 
 def _rolled(words: np.ndarray, n: int, multiplier: np.uint64) -> np.ndarray:
@@ -118,7 +119,7 @@ class Block:
         return keys
 
     def spelled(self, characters: int = CHARACTERS) -> tuple[str, int]:
-        """The words as a string, and how many characters each word is: one, unless the block has very many distinct words."""
+        """The words' numbers written with ``characters`` digits, and the number of digits of each."""
         distinct, number = np.unique(self.hashes, return_inverse=True)
         width = 1
         while characters**width < len(distinct):
