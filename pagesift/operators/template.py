@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# The pattern of an expression, and the error names ExpressionError and ConcatenateError.
 EXPRESSION_RE = re.compile(r"{{(.+?)}}")
 PATH_EXPR_RE = re.compile(r"^\s*([A-Za-z_]\w*(?:\.[A-Za-z_]\w*|\[\d+\])*)\s*$")
 STEP_RE = re.compile(r"\.?([A-Za-z_]\w*)|\[(\d+)\]")
@@ -33,7 +34,7 @@ class TemplateError(ValueError):
     """An expression that is not a path, or a path that does not resolve."""
 
 
-class ConcatenateError(TemplateError):
+class PieceTypeError(TemplateError):
     """A non-string value inside a longer string."""
 
 
@@ -87,7 +88,7 @@ def render_struct(template: str, env: Column, env_type: T.DataType) -> Column:
         else:
             c, typ = _struct_lookup(env, env_type, text)
             if not isinstance(typ, T.StringType):
-                raise ConcatenateError(f"{text!r} is {typ.simpleString()}, not a string")
+                raise PieceTypeError(f"{text!r} is {typ.simpleString()}, not a string")
             cols.append(c)
     return F.concat(*cols) if cols else F.lit("")
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pagesift.functions import html as H
 from pagesift.functions.joins import param_frame
 from pagesift.operators import frontier as FR
+from pagesift.operators import requests as RQ
 from pagesift.plans import sqlparts as S
 from pagesift.plans.catalog import register
 from pagesift.sources.tables import fetch_join, table
@@ -122,19 +124,55 @@ def q_frontier_expand(spark, sf):
     return FR.frontier_expand(spark, start, derived_edges(pages), FR.depth_limit(DEPTH_LIMIT))
 
 
+HISTORY_BUCKET = 64
+
+
+def previous_turns(c):
+    """``conv_id, turn, prev_turn``: the latest earlier turn, whatever lies between.
+
+    A conversation is ordered in buckets of turns; the first turn of a bucket
+    follows the last one of the bucket before, so no task orders more than a
+    bucket's turns or a conversation's buckets.
+    """
+    turns = c.select("conv_id", "turn", F.floor(F.col("turn") / HISTORY_BUCKET).alias("bucket"))
+    inside = Window.partitionBy("conv_id", "bucket").orderBy("turn")
+    last = turns.groupBy("conv_id", "bucket").agg(F.max("turn").alias("last"))
+    before = last.select("conv_id", "bucket", F.lag("last").over(Window.partitionBy("conv_id").orderBy("bucket")).alias("last"))
+    own = turns.withColumn("prev", F.lag("turn").over(inside))
+    return own.join(before, ["conv_id", "bucket"]).select("conv_id", "turn", F.coalesce("prev", "last").alias("prev_turn"))
+
+
 @register(
     "stage_history",
-    """SELECT c.conv_id, c.turn, p.role AS prev_role, p.text AS prev_text
-       FROM conversations c LEFT JOIN conversations p ON p.conv_id = c.conv_id AND p.turn + 1 = c.turn""",
+    """WITH RECURSIVE t AS (SELECT conv_id, turn, role, text, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS up
+                            FROM conversations),
+       anc AS (SELECT conv_id, turn, up, 1 AS step FROM t WHERE up IS NOT NULL
+               UNION ALL SELECT anc.conv_id, anc.turn, t.up, step + 1 FROM anc JOIN t ON t.conv_id = anc.conv_id AND t.turn = anc.up WHERE t.up IS NOT NULL),
+       latest AS (SELECT anc.conv_id, anc.turn, t.role, arg_min(t.text, step) AS text
+                  FROM anc JOIN t ON t.conv_id = anc.conv_id AND t.turn = anc.up GROUP BY ALL)
+       SELECT t.conv_id, t.turn, t.up AS prev_turn, max(l.text) FILTER (WHERE l.role = 'system') AS system_text,
+              max(l.text) FILTER (WHERE l.role = 'user') AS user_text, max(l.text) FILTER (WHERE l.role = 'assistant') AS assistant_text
+       FROM t LEFT JOIN latest l ON l.conv_id = t.conv_id AND l.turn = t.turn GROUP BY ALL""",
 )
 def q_stage_history(spark, sf):
-    """The latest earlier value visible to each step (previous turn of its conversation).
+    """The latest earlier value of every stage visible to each step, by lineage.
 
-    An equi-join on (conv_id, turn) rather than a window per conversation, so a
-    huge conversation spreads over many tasks."""
+    Turns are requests, roles their stages, the latest turn before is the
+    parent.  Values travel as row references; the texts join at the end.
+    """
     c = table(spark, sf, "conversations", "conv_id", "turn", "role", "text")
-    prev = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("role").alias("prev_role"), F.col("text").alias("prev_text"))
-    return c.select("conv_id", "turn").join(prev, ["conv_id", "turn"], "left")
+    up = previous_turns(c).checkpoint(eager=True)
+    key = lambda t: F.concat_ws(":", "conv_id", t)
+    steps = c.select("conv_id", "turn", "role").join(up, ["conv_id", "turn"])
+    requests = steps.select(key("turn").alias("id"), F.when(F.col("prev_turn").isNotNull(), key("prev_turn")).alias("parent"), "role", F.col("turn").alias("value"))
+    latest = RQ.lineage_latest(requests, "id", "parent", "role", "value")
+    roles = ("system", "user", "assistant")
+    out = up.join(latest.withColumnRenamed("id", "_id"), key("turn") == F.col("_id")).select(
+        "conv_id", "turn", "prev_turn", *[F.col("latest")[r].alias(f"_{r}") for r in roles])
+    for r in roles:
+        said = c.select(F.col("conv_id").alias("_c"), F.col("turn").alias("_t"), F.col("text").alias(f"{r}_text"))
+        out = out.join(said, (F.col("conv_id") == F.col("_c")) & (F.col(f"_{r}") == F.col("_t")), "left").drop("_c", "_t", f"_{r}")
+    return out
 
 
 CRAWL_RULE = {
@@ -151,13 +189,45 @@ CRAWL_RULE = {
 }
 
 
+LINEAGE_RULE = {
+    "tag": "web",
+    "common": {"depth_limit": 2, "external_def": '{"agent": "pagesift"}'},
+    "filter": {"title_threshold": 0, "content_threshold": 0, "weight_dict": {}},
+    "stages": [
+        {"name": "list", "header": {}, "request": {}, "parser": {
+            "title": {"type": "xpath", "xpath": "//title/text()"}, "sections": {"type": "css-list", "css": "nav a", "next": "section"}}},
+        {"name": "section", "header": {"loop": {"view": ["full", "short"]}},
+         "request": {"headers": {"Agent": "{{e.agent}}", "From": "{{list.parser.title}}"}, "cookies": {"view": "{{s.header.loop.view_item}}"}}},
+    ],
+}
+
+
+@register(
+    "crawl_requests",
+    lambda: f"""WITH asked AS (SELECT DISTINCT page_id, {S.url_join_sql('l.url', 'l.href')} AS url FROM {_links_long_sql()} l WHERE next_stage = 'section'),
+                told AS (SELECT DISTINCT asked.url, {S.decode_entities(f"regexp_extract(html, {S.q(H.TITLE_RE)}, 1)")} AS title
+                         FROM asked JOIN pages USING (page_id))
+                SELECT 0 AS depth, 'list' AS stage, url, 'GET' AS method, NULL AS agent, NULL AS source, NULL AS view, NULL AS error
+                FROM (SELECT DISTINCT url FROM pages)
+                UNION ALL
+                SELECT 1, 'section', url, 'GET', 'pagesift', title, unnest(['full', 'short']), NULL FROM told""",
+)
+def q_crawl_requests(spark, sf):
+    """Requests of a rule run from every page: loops, headers and cookies from the values of the page that led there."""
+    from pagesift.plans.crawl import run_requests
+
+    pages = table(spark, sf, "pages", "page_id", "url", "html")
+    r = run_requests(spark, LINEAGE_RULE, pages, pages.select("url"))
+    return r.select("depth", "stage", "url", "method", F.col("headers")["Agent"].alias("agent"), F.col("headers")["From"].alias("source"),
+                    F.col("cookies")["view"].alias("view"), "error")
+
+
 @register("crawl_run")
 def q_crawl_run(spark, sf):
-    """A stored rule run end to end from every page whose URL has no query string."""
+    """A stored rule run end to end from every page."""
     from pagesift.functions.stopwords import load_default_stopwords
     from pagesift.plans.crawl import run_rule
     from pagesift.plans.reg_text import RUN_TS
 
     pages = table(spark, sf, "pages", "page_id", "url", "html")
-    start = pages.where(~F.col("url").contains("?")).select("url")
-    return run_rule(spark, CRAWL_RULE, pages, start, RUN_TS, stopwords=load_default_stopwords(spark))
+    return run_rule(spark, CRAWL_RULE, pages, pages.select("url"), RUN_TS, stopwords=load_default_stopwords(spark))

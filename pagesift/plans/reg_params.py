@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pagesift.operators import requests as RQ
 from pagesift.operators import template as TP
 from pagesift.plans.catalog import register
 from pagesift.sources.tables import table
@@ -136,3 +137,50 @@ def q_param_env(spark, sf):
     """The template environment of each request, as JSON (``s``, ``e``)."""
     r = _requests(spark, sf)
     return r.select("p_partkey", "loop_ord", F.to_json("env").alias("env"))
+
+
+ROW_TEMPLATES = ("https://{{e.host}}/{{s.brand}}/{{s.words[0]}}", "{{s.words}}", "{{ s.type }}", "n={{s.size}}", "{{s.words[9]}}", "{{s.size}}")
+
+
+@register(
+    "template_rows",
+    f"""SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'https://{HOST}/' || p_brand || '/' || string_split(p_name, ' ')[1]
+                               WHEN 1 THEN to_json(string_split(p_name, ' '))::VARCHAR WHEN 2 THEN p_type
+                               WHEN 5 THEN p_size::VARCHAR END AS value,
+               p_size % 6 NOT IN (1, 5, 4) AS is_text,
+               CASE p_size % 6 WHEN 3 THEN 'ConcatenateError: s.size' WHEN 4 THEN 'ExpressionError: s.words[9]' END AS error
+        FROM part""",
+)
+def q_template_rows(spark, sf):
+    """A template column that differs per row, rendered over a JSON environment; errors stay in their rows."""
+    p = _part_env(spark, sf).select("p_partkey", F.col("env.s.size").alias("size"), F.parse_json(F.to_json("env")).alias("env"))
+    template = F.element_at(F.array(*[F.lit(t) for t in ROW_TEMPLATES]), (F.col("size") % 6 + 1).cast("int"))
+    return p.select("p_partkey", RQ.render_rows(template, F.col("env")).alias("r")).select("p_partkey", "r.*")
+
+
+REQUEST_STAGES = [
+    {"name": "catalog", "header": {"external": ["shop"], "loop": {"word": "{{origin.words}}", "n": ["1", "2"]}},
+     "request": {"url": "https://{{shop.host}}/{{s.header.loop.word_item}}?n={{s.header.loop.n_item}}", "method": "POST",
+                 "headers": {"Referer": "https://{{e.host}}/{{origin.brand}}"}, "cookies": {"kind": "{{origin.type}}"}}},
+    {"name": "detail", "request": {"url": "https://{{e.host}}/{{origin.parser.missing}}"}},
+]
+REQUEST_EXTERNAL = f'{{"host": "{HOST}", "shop": {{"host": "{HOST}"}}}}'
+
+
+@register(
+    "request_rows",
+    f"""SELECT p_partkey, 'catalog' AS stage, (np - 1) * len(w) + (wp - 1) AS loop_ord, 'POST' AS method,
+               'https://{HOST}/' || w[wp] || '?n=' || np AS url, 'https://{HOST}/' || p_brand AS referer, p_type AS kind, NULL::VARCHAR AS error
+        FROM (SELECT p_partkey, p_brand, p_type, w, np, generate_subscripts(w, 1) AS wp
+              FROM (SELECT p_partkey, p_brand, p_type, string_split(p_name, ' ') AS w, unnest([1, 2]) AS np FROM part WHERE p_size % 3 <> 0))
+        UNION ALL SELECT p_partkey, 'detail', 0, 'GET', NULL, NULL, NULL, 'ExpressionError: origin.parser.missing' FROM part WHERE p_size % 3 = 0""",
+)
+def q_request_rows(spark, sf):
+    """Requests of two stages from rows that carry the values of the stage they came from."""
+    p = table(spark, sf, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    value = F.to_json(F.struct(F.col("p_brand").alias("brand"), F.col("p_type").alias("type"), F.split("p_name", " ").alias("words")))
+    frontier = p.select(
+        "p_partkey", F.when(F.col("p_size") % 3 == 0, "detail").otherwise("catalog").alias("stage"),
+        F.lit(None).cast("string").alias("default_url"), F.create_map(F.lit("origin"), value).alias("history"))
+    r = RQ.build_requests(frontier, RQ.stage_rows(spark, REQUEST_STAGES, REQUEST_EXTERNAL))
+    return r.select("p_partkey", "stage", "loop_ord", "method", "url", F.col("headers")["Referer"].alias("referer"), F.col("cookies")["kind"].alias("kind"), "error")

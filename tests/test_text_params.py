@@ -54,7 +54,7 @@ def test_render_struct_and_errors(spark):
     et = df.schema["env"].dataType
     assert df.select(TP.render_struct("https://{{host}}/{{ name }}", F.col("env"), et)).first()[0] == "https://h/x"
     assert df.select(TP.render_struct("{{nums}}", F.col("env"), et)).first()[0] == [1, 2]
-    with pytest.raises(TP.ConcatenateError):
+    with pytest.raises(TP.PieceTypeError):
         TP.render_struct("n={{nums}}", F.col("env"), et)
     with pytest.raises(TP.TemplateError):
         TP.render_struct("{{missing}}", F.col("env"), et)
