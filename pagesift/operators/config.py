@@ -10,6 +10,9 @@ aggregate — no recursion, no driver loop.
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -287,13 +290,14 @@ def verdict(issue_counts: DataFrame, group_cols: list[str]) -> DataFrame:
     )
 
 
-def config_defaults(common: Column) -> dict[str, Column]:
-    """Run settings with the spider's defaults applied."""
+def config_defaults(common: Column, flt: Column | None = None) -> dict[str, Column]:
+    """Run settings with the spider's defaults applied; with the rule's filter, its thresholds too (0 if missing)."""
     d = common.getField("depth_limit")
     ri = common.getField("request_interval")
     rt = common.getField("retry_times")
     ext = common.getField("external_def")
-    return {
+    thresholds = {k: F.coalesce(flt.getField(k).cast("double"), F.lit(0.0)) for k in ("title_threshold", "content_threshold")} if flt is not None else {}
+    return thresholds | {
         "is_static": F.coalesce(common.getField("is_static"), F.lit(False)),
         "depth_limit": F.when(F.coalesce(d, F.lit(0)) > 0, d).otherwise(F.lit(5)),
         "request_interval": F.when(ri > 0, ri),
@@ -302,32 +306,68 @@ def config_defaults(common: Column) -> dict[str, Column]:
     }
 
 
-STAGE_SCHEMA = (
-    "name STRING, header STRUCT<external: ARRAY<STRING>, loop: MAP<STRING, STRING>>, "
-    "request STRUCT<url: STRING, method: STRING, headers: MAP<STRING, STRING>, cookies: MAP<STRING, STRING>>, "
-    "parser ARRAY<STRUCT<loc: STRING, name: STRING, type: STRING, value: STRING, next: STRING>>, "
-    "auto_parse_body BOOLEAN, body_parser STRING, remove_repeats BOOLEAN, need_refresh BOOLEAN"
-)
+# The defaults of the optional keys, as JSON.
+STAGE_DEFAULTS = {"header": '{"external":[],"loop":{}}', "remove_repeats": "true", "need_refresh": "false"}
+HEADER_DEFAULTS = {"external": "[]", "loop": "{}"}
+REQUEST_DEFAULTS = {"method": '"GET"', "headers": "{}", "cookies": "{}"}
+LOOPS = ("loop", "xpath-loop", "css-loop")
+
+
+def _parts(json: Column) -> Column:
+    """A JSON object as a map from its keys to JSON texts, whatever types they have."""
+    return F.transform_values(F.from_json(json, "map<string,variant>"), lambda _, v: F.to_json(v))
+
+
+def _object(parts: Column) -> Column:
+    quoted = lambda k: F.regexp_extract(F.to_json(F.array(k)), r"(?s)^\[(.*)\]$", 1)
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(parts), lambda p: F.concat(quoted(p["key"]), F.lit(":"), p["value"])), ","), F.lit("}"))
+
+
+def _filled(parts: Column, defaults: dict[str, str]) -> Column:
+    """``parts`` with the keys that it lacks; a key that is there keeps its value, a null too."""
+    given = F.create_map(*[F.lit(x) for kv in defaults.items() for x in kv])
+    return F.map_concat(parts, F.map_filter(given, lambda k, _: ~F.map_contains_key(parts, k)))
+
+
+def _children(fields: dict) -> dict:
+    """A parser tree whose loops all have children."""
+    out = {}
+    for name, field in fields.items():
+        if isinstance(field, dict) and field.get("type") in LOOPS:
+            field = {**field, "child": _children(field["child"]) if isinstance(field.get("child"), dict) else field.get("child", {})}
+        out[name] = field
+    return out
+
+
+def _with_children(parser: Column) -> Column:
+    """Trees have any depth, which an expression cannot walk: a small function per parser does."""
+
+    @F.pandas_udf("string")
+    def walk(parsers: pd.Series) -> pd.Series:
+        return parsers.map(lambda p: json.dumps(_children(json.loads(p)), ensure_ascii=False) if p is not None else None)
+
+    is_tree = parser.startswith("{") & parser.contains("loop")
+    return F.coalesce(walk(F.when(is_tree, parser)), parser)
 
 
 def corrected_stage(stage_json: Column, verdict_errors: Column) -> Column:
-    """Correct mode: a stage with no errors comes back with every missing
-    optional key filled with its default; a stage with errors comes back as it
-    was.  (Stages with errors are the only ones that can hold wrong types, so
-    the typed parse is safe where it is used.)"""
-    s = F.from_json(stage_json, STAGE_SCHEMA)
-    empty_map = F.create_map().cast("map<string,string>")
-    header = F.coalesce(s["header"], F.struct(F.array().cast("array<string>").alias("external"), empty_map.alias("loop")))
-    header = F.struct(F.coalesce(header["external"], F.array().cast("array<string>")).alias("external"),
-                      F.coalesce(header["loop"], empty_map).alias("loop"))
-    req = s["request"]
-    request = F.struct(req["url"].alias("url"), F.coalesce(req["method"], F.lit("GET")).alias("method"),
-                       F.coalesce(req["headers"], empty_map).alias("headers"),
-                       F.coalesce(req["cookies"], empty_map).alias("cookies"))
-    fixed = F.struct(
-        s["name"].alias("name"), header.alias("header"), request.alias("request"), s["parser"].alias("parser"),
-        s["auto_parse_body"].alias("auto_parse_body"), s["body_parser"].alias("body_parser"),
-        F.coalesce(s["remove_repeats"], F.lit(True)).alias("remove_repeats"),
-        F.coalesce(s["need_refresh"], F.lit(False)).alias("need_refresh"),
-    )
-    return F.when(verdict_errors == 0, F.to_json(fixed)).otherwise(stage_json)
+    """Correct mode: the whole stage, with every missing optional key set to its default.
+
+    All other keys stay as they are, whatever they hold: the parser as a tree
+    (whose loops get an empty ``child`` where they have none) or as rows, ``next``
+    stages, keys of the caller's own.  A key that is null stays null.  A stage
+    with errors comes back as it was.
+    """
+    stage = _filled(_parts(stage_json), STAGE_DEFAULTS)
+
+    def inner(key: str, value: Column) -> Column:
+        is_object = value.startswith("{")
+        if key == "parser":
+            return _with_children(value)
+        return F.when(is_object, _object(_filled(_parts(value), HEADER_DEFAULTS if key == "header" else REQUEST_DEFAULTS))).otherwise(value)
+
+    keys = ("header", "request", "parser")
+    rest = F.map_filter(stage, lambda k, _: ~k.isin(*keys))
+    replaced = F.create_map(*[x for k in keys for x in (F.lit(k), inner(k, F.try_element_at(stage, F.lit(k))))])
+    fixed = F.map_concat(rest, F.map_filter(replaced, lambda _, v: v.isNotNull()))
+    return F.when(verdict_errors == 0, _object(fixed)).otherwise(stage_json)

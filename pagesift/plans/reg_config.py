@@ -174,7 +174,7 @@ def rules(spark, sf):
         F.when(size % 3 == 0, F.lit("")).otherwise(F.concat(F.lit('{"q":"'), F.try_element_at(F.split("p_name", " "), F.lit(1)), F.lit('"}'))).alias("external_def"),
         (size % 4 - 1).cast("double").alias("request_interval"), (size % 3 - 1).alias("retry_times"),
     )
-    flt = F.struct(F.lit(0.05).alias("title_threshold"), F.lit(0.1).alias("content_threshold"),
+    flt = F.struct(F.when(size % 5 != 0, F.lit(0.05)).alias("title_threshold"), F.when(size % 4 != 0, F.lit(0.1)).alias("content_threshold"),
                    F.create_map(F.try_element_at(w, F.lit(1)), F.lit(0.6), F.try_element_at(w, F.lit(3)), F.lit(0.4)).alias("weight_dict"))
     rule = F.to_json(F.struct(F.col("p_brand").alias("tag"), common.alias("common"), flt.alias("filter"),
                               F.array(F.to_json(list_stage), F.to_json(detail_stage)).alias("_stages")))
@@ -242,7 +242,9 @@ def _stages(spark, sf):
               CASE WHEN p_size % 7 - 2 > 0 THEN p_size % 7 - 2 ELSE 5 END AS depth_limit,
               CASE WHEN p_size % 4 - 1 > 0 THEN (p_size % 4 - 1)::DOUBLE END AS request_interval,
               CASE WHEN p_size % 3 - 1 > 0 THEN p_size % 3 - 1 END AS retry_times,
-              CASE WHEN p_size % 3 = 0 THEN '{}' ELSE '{"q":"' || string_split(p_name, ' ')[1] || '"}' END AS external_def
+              CASE WHEN p_size % 3 = 0 THEN '{}' ELSE '{"q":"' || string_split(p_name, ' ')[1] || '"}' END AS external_def,
+              CASE WHEN p_size % 5 <> 0 THEN 0.05::DOUBLE ELSE 0::DOUBLE END AS title_threshold,
+              CASE WHEN p_size % 4 <> 0 THEN 0.1::DOUBLE ELSE 0::DOUBLE END AS content_threshold
        FROM part""",
 )
 def q_config_defaults(spark, sf):
@@ -251,8 +253,47 @@ def q_config_defaults(spark, sf):
         F.get_json_object("rule_raw", "$.common"),
         "is_static boolean, depth_limit int, external_def string, request_interval double, retry_times int",
     )
-    d = C.config_defaults(common)
-    return r.select("id", *[d[k].alias(k) for k in ("is_static", "depth_limit", "request_interval", "retry_times", "external_def")])
+    flt = F.from_json(F.get_json_object("rule_raw", "$.filter"), "title_threshold double, content_threshold double")
+    d = C.config_defaults(common, flt)
+    return r.select("id", *[d[k].alias(k) for k in (
+        "is_static", "depth_limit", "request_interval", "retry_times", "external_def", "title_threshold", "content_threshold")])
+
+
+def _sorted_sql(*cases: str) -> str:
+    """The keys that are there, sorted and joined; a case is a key or ``condition: key``."""
+    items = [f"CASE WHEN {c.split(': ')[0]} THEN '{c.split(': ')[1]}' END" if ": " in c else f"'{c}'" for c in cases]
+    return f"array_to_string(list_sort(list_filter([{', '.join(items)}], lambda k: k IS NOT NULL)), ',')"
+
+
+@register(
+    "corrected_stage",
+    lambda: f"""SELECT p_partkey AS id, 0 AS stage_idx,
+                       {_sorted_sql('name', 'parser', 'request', 'ok OR p_size % 3 = 0: header', 'ok OR p_size % 4 <> 0: remove_repeats', 'ok: need_refresh')} AS keys,
+                       {_sorted_sql('ok: url', 'ok OR p_size % 2 = 0: method', 'ok: headers', 'ok: cookies')} AS request_keys,
+                       CASE WHEN ok OR p_size % 3 = 0 THEN '{{"external":[],"loop":{{}}}}' END AS header,
+                       CASE WHEN ok OR p_size % 4 <> 0 THEN 'true' END AS remove_repeats, CASE WHEN ok THEN 'false' END AS need_refresh,
+                       2 AS n_fields, lower(split_part(p_type, ' ', 1)) AS first_field
+                FROM (SELECT *, p_size % 7 <> 0 AS ok FROM part)
+                UNION ALL
+                SELECT p_partkey, 1,
+                       {_sorted_sql('auto_parse_body', 'name', 'need_refresh', 'request', 'p_size % 11 <> 0: parser', 'ok: header', 'ok OR p_size % 6 = 0: remove_repeats')},
+                       {_sorted_sql('url', 'ok: method', 'ok: headers', 'ok: cookies')},
+                       CASE WHEN ok THEN '{{"external":[],"loop":{{}}}}' END,
+                       CASE WHEN p_size % 6 = 0 THEN 'yes' WHEN ok THEN 'true' END, 'false',
+                       CASE WHEN p_size % 11 <> 0 THEN 0 END, NULL
+                FROM (SELECT *, p_size % 11 <> 0 AND p_size % 6 <> 0 AS ok FROM part)""",
+)
+def q_corrected_stage(spark, sf):
+    """Every stage as correct mode returns it: which keys it has, and what the filled ones hold."""
+    st = _stages(spark, sf)
+    errors = C.stage_verdicts(st.withColumn("text", F.to_json("stage")), "stage")
+    c = errors.select("id", "stage_idx", C.corrected_stage(F.col("text"), F.col("errors")).alias("c"))
+    keys = lambda j: F.array_join(F.array_sort(F.json_object_keys(j)), ",")
+    get = lambda p: F.get_json_object("c", p)
+    return c.select(
+        "id", "stage_idx", keys(F.col("c")).alias("keys"), keys(get("$.request")).alias("request_keys"), get("$.header").alias("header"),
+        get("$.remove_repeats").alias("remove_repeats"), get("$.need_refresh").alias("need_refresh"),
+        F.json_array_length(get("$.parser")).alias("n_fields"), get("$.parser[0].name").alias("first_field"))
 
 
 @register("config_compile", lambda: f"SELECT * FROM {parser_tree_sql(compile_rows_sql(), 'id, stage_idx')}")

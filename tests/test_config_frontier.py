@@ -117,3 +117,20 @@ def test_correct_mode_fills_defaults(spark):
     assert fixed["request"]["method"] == "GET" and fixed["header"] == {"external": [], "loop": {}}
     assert fixed["remove_repeats"] is True and fixed["need_refresh"] is False
     assert json.loads(out[1]) == bad
+
+
+def test_correct_mode_keeps_the_whole_stage(spark):
+    tree = {"list": {"type": "xpath-loop", "xpath": "//li", "next_stage": "x", "my_own": [1, {"a": None}]},
+            "deep": {"type": "loop", "loop": "{{e.a}}", "child": {"in": {"type": "css-loop", "css": "p", "child": {"t": {"type": "css", "css": "b"}}}, "un": {"type": "loop", "loop": "x"}}}}
+    stage = {"my_key": {"x": 1.5}, "name": "s \"1\" ü", "request": {"url": "u", "extra": {"retry": 2}, "headers": None}, "parser": tree, "header": {"loop": {"a": "b"}}, "need_refresh": None}
+    df = spark.createDataFrame([(json.dumps(stage), 0), (json.dumps({"request": None}), 1), (None, 0)], "s string, e long")
+    got = [r[0] for r in df.select(C.corrected_stage(F.col("s"), F.col("e"))).collect()]
+    fixed = json.loads(got[0])
+    want = json.loads(json.dumps(stage))
+    want["request"] |= {"method": "GET", "cookies": {}}
+    want["header"]["external"] = []
+    want["remove_repeats"] = True
+    want["parser"]["list"]["child"] = {}
+    want["parser"]["deep"]["child"]["un"]["child"] = {}
+    assert fixed == want  # a key that is null stays null
+    assert json.loads(got[1]) == {"request": None} and got[2] is None
