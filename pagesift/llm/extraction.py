@@ -5,13 +5,20 @@ characters, tags, link characters and link tags come from one pass over it;
 a node's density is its characters per tag, adjusted for the share of links.
 The node whose children's densities sum highest is the content; the lowest
 density on its path to the body is the threshold for further content beside
-it.  Parts that are never article text (scripts, menus, headers, footers,
-sidebars, adverts, forms, notices, comments) are left out by tag, role or
-class, within the content too.
+it, unless the content stands in an ``article`` or ``main`` element: then that
+is the content, with its headings.
+
+Parts that are never article text by their element (scripts, menus, footers,
+asides, hidden parts) are not read.  Forms, headers and parts named by a role,
+class or id (adverts, sidebars, notices, reader comments) are only suspected:
+templates name whole pages so.  A suspect goes unless it is a heading or holds
+nearly all text of the page (see ``is_layout``), so that what is left decides by
+density.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import math
 import re
@@ -45,15 +52,16 @@ CLOSES = {
 #: An open paragraph is closed from within these, but not from outside them.
 P_SCOPE = frozenset("button td th caption table object html body".split())
 # Parts of a page that are no article text, by tag, role and word of a class or id.
-DROP_TAGS = frozenset("nav footer aside form menu button select dialog svg math canvas audio video object head title".split())
+DROP_TAGS = frozenset("nav footer aside menu button select dialog svg canvas audio video object head title".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
 DROP_WORDS = frozenset(
     "ad ads adv advert advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist "
-    "cookie cookies consent disclaimer discussion disqus feedback footer gdpr header login masthead menu menubar modal "
+    "cookie cookies consent disclaimer disqus feedback footer gdpr header login masthead menu menubar modal "
     "nav navbar navigation newsletter notice pager pagination popup promo promoted recommended related replies reply "
     "respond share sharing sidebar signup sitemap social sponsor sponsored subscribe subscription toolbar widget".split()
 )
-#: With one of these beside it, such a word tells about the page's layout.
+COMMENT_WORDS = frozenset("comment comments commentlist disqus replies reply respond".split())
+#: With one of these right before it, such a word tells about the page's layout.
 LAYOUT_WORDS = frozenset("has no with without".split())
 #: Headers are dropped unless they belong to an article.
 ARTICLE_HEADERS = frozenset(("article", "entry", "post", "story"))
@@ -70,18 +78,23 @@ _ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|(
 _WORD = re.compile(r"[a-z0-9]+")
 
 
-def names_a_dropped_part(name: str, in_article: bool) -> bool:
-    words = set(_WORD.findall(name))
-    found = words & DROP_WORDS
-    if found == {"header"} and (in_article or words & ARTICLE_HEADERS):
-        return False
-    return bool(found) and not words & LAYOUT_WORDS
+#: A suspect with this many times the text of all the rest is the page's layout.
+LAYOUT_SHARE = 4
 
 
-def is_dropped(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element and all in it is no article text, by its tag and attributes."""
-    if tag in DROP_TAGS or tag == "header" and not in_article:
-        return True
+def dropped_words(name: str, in_article: bool) -> set[str]:
+    words = _WORD.findall(name)
+    found = {w for before, w in zip(["", *words], words) if w in DROP_WORDS and before not in LAYOUT_WORDS}
+    if found == {"header"} and (in_article or ARTICLE_HEADERS & set(words)):
+        return set()
+    return found
+
+
+def verdict(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, bool]:
+    """Whether an element is no article text whatever it holds, is suspected not to be, and is a suspected reader comment."""
+    if tag in DROP_TAGS:
+        return True, False, False
+    suspect, comment = tag == "form" or tag == "header" and not in_article, False
     seen = set()
     for name, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
         name = name.lower()
@@ -89,13 +102,17 @@ def is_dropped(tag: str, attributes: str, in_article: bool) -> bool:
             continue
         seen.add(name)
         value = html.unescape("".join(values)).strip().lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in DROP_ROLES:
-            return True
+        if name == "hidden" or name == "aria-hidden" and value == "true":
+            return True, False, False
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if name in ("class", "id") and any(names_a_dropped_part(n, in_article) for n in value.split()):
-            return True
-    return False
+            return True, False, False
+        if name == "role" and value in DROP_ROLES:
+            suspect = True
+        if name in ("class", "id"):
+            words = set().union(*[dropped_words(n, in_article) for n in value.split()])
+            suspect |= bool(words)
+            comment |= bool(words & COMMENT_WORDS)
+    return False, suspect and tag not in HEADINGS, comment
 
 
 class Page:
@@ -103,15 +120,69 @@ class Page:
 
     ``end[i]`` is the number after the last element in the subtree of ``i``.
     A text is (element, block run, string); the run number changes wherever a
-    block begins or ends.  Nothing is kept of dropped elements.
+    block begins or ends.  Nothing is kept of dropped elements; ``gone`` marks
+    those of suspects that go.
     """
 
     def __init__(self, source: str):
         self.tag, self.parent, self.end = ["#page"], [-1], [0]
         self.texts: list[tuple[int, int, str]] = []
         self.body = 0
+        self.suspects: list[tuple[int, bool]] = []
         self._parse(source)
         self.end[0] = len(self.tag)
+        self.gone = [False] * len(self.tag)
+        self._judge()
+
+    def _judge(self) -> None:
+        """Marks the suspects that go, outermost ones first."""
+        if not self.suspects:
+            return
+        plain, blocks, landmarks = [0] * len(self.tag), [0] * len(self.tag), [0] * len(self.tag)
+        linked = [False] * len(self.tag)
+        for i in range(1, len(self.tag)):
+            linked[i] = self.tag[i] == "a" or linked[self.parent[i]]
+        runs = set()
+        for i, run, t in self.texts:
+            n = len("".join(t.split()))
+            plain[i] += 0 if linked[i] else n
+            if n and run not in runs:
+                runs.add(run)
+                blocks[i] += 1
+        for i in range(len(self.tag) - 1, 0, -1):
+            p = self.parent[i]
+            landmarks[i] += self.tag[i] in ("article", "main", "h1")
+            plain[p] += plain[i]
+            blocks[p] += blocks[i]
+            landmarks[p] += landmarks[i]
+        outside = plain[0] - self._suspected_within(0, plain)
+        for i, comment in self.suspects:
+            if self.gone[i]:
+                continue
+            if self.is_layout(plain[i], outside, blocks[i], landmarks[i], comment):
+                # its text counts as the page's; suspects within are judged on their own
+                outside += plain[i] - self._suspected_within(i, plain)
+            else:
+                self.gone[i : self.end[i]] = [True] * (self.end[i] - i)
+        self.texts = [t for t in self.texts if not self.gone[t[0]]]
+
+    def _suspected_within(self, i: int, plain: list[int]) -> int:
+        """Text of the outermost suspects inside of an element."""
+        total, at = 0, i + 1
+        for k in range(bisect.bisect_right(self.suspects, (i, True)), len(self.suspects)):
+            j = self.suspects[k][0]
+            if j >= self.end[i]:
+                break
+            if j >= at:
+                total += plain[j]
+                at = self.end[j]
+        return total
+
+    @staticmethod
+    def is_layout(inside: int, outside: int, blocks: int, landmarks: int, comment: bool) -> bool:
+        """Whether a suspect is what the page stands in: it has nearly all text, and an article, a main part, a title
+        or (if not named as a comment) three blocks of text."""
+        return inside > LAYOUT_SHARE * outside and (landmarks > 0 or blocks >= 3 and not comment)
 
     def _parse(self, source: str) -> None:
         stack, names, opened = [0], ["#page"], Counter()  # element numbers, their tags, how many of each are open
@@ -206,11 +277,15 @@ class Page:
                     element(tag)
             elif skip:
                 enter(tag, -1)
-            elif is_dropped(tag, attributes, opened["article"] > 0 or opened["main"] > 0):
-                skip = len(names)
-                enter(tag, -1)
             else:
-                enter(tag, element(tag))
+                drop, suspect, comment = verdict(tag, attributes, opened["article"] > 0 or opened["main"] > 0)
+                if drop:
+                    skip = len(names)
+                    enter(tag, -1)
+                else:
+                    enter(tag, element(tag))
+                    if suspect:
+                        self.suspects.append((stack[-1], comment))
         close_to(1)
 
     def densities(self) -> None:
@@ -226,6 +301,8 @@ class Page:
             chars[i] += len("".join(t.split()))
         for i in range(n - 1, 0, -1):
             p = self.parent[i]
+            if self.gone[i]:
+                continue
             if self.tag[i] == "a":
                 link_chars[i], link_tags[i] = chars[i], link_tags[i] + 1
             chars[p] += chars[i]
@@ -247,13 +324,13 @@ class Page:
         holder = [0] * n
         for i in range(1, n):
             holder[i] = i if self.is_block(i) else holder[self.parent[i]]
-            if holder[i] == i:
+            if holder[i] == i and not self.gone[i]:
                 h = holder[self.parent[i]]
                 for k, v in enumerate((chars[i], tags[i] + 1, link_chars[i], link_tags[i])):
                     rest[h][k] -= v
         self.density, self.below = [0.0] * n, [0.0] * n
         for i in range(n - 1, -1, -1):
-            if self.is_block(i):
+            if self.is_block(i) and not self.gone[i]:
                 self.density[i] = composite(chars[i], tags[i], link_chars[i], link_tags[i])
                 self.below[i] += composite(*rest[i])
                 if i:
@@ -265,7 +342,7 @@ class Page:
     def content(self) -> list[int]:
         """Roots of the content subtrees, in document order."""
         self.densities()
-        blocks = [i for i in range(self.body, self.end[self.body]) if self.is_block(i)]
+        blocks = [i for i in range(self.body, self.end[self.body]) if self.is_block(i) and not self.gone[i]]
         best = max(blocks, key=lambda i: (self.below[i], -i))
         path, i = [best], best
         while i > self.body:
@@ -274,14 +351,18 @@ class Page:
         threshold = min(self.density[i] for i in path if self.is_block(i))
         # the whole article, with its headings, not only the part of it that has most text
         best = next((i for kind in ("article", "main") for i in path if self.tag[i] == kind), best)
+        alone = self.tag[best] in ("article", "main")
+        titled = any(self.tag[i] == "h1" and self.chars[i] for i in range(best, self.end[best]))
         roots, at = [], self.body
         while at < self.end[self.body]:
-            if at == best or self.tag[at] == "h1":
+            if self.gone[at]:
+                at = self.end[at]
+            elif at == best or self.tag[at] == "h1" and not titled:
                 roots.append(at)
                 at = self.end[at]
             elif at < best < self.end[at]:
                 at += 1
-            elif self.is_block(at) and self.chars[at] and self.density[at] >= threshold and not self.is_menu(at):
+            elif not alone and self.is_block(at) and self.chars[at] and self.density[at] >= threshold and not self.is_menu(at):
                 roots.append(at)
                 at = self.end[at]
             else:

@@ -81,3 +81,88 @@ def test_words_in_other_attributes_drop_nothing(attributes):
 @pytest.mark.parametrize("attributes", ["hidden", "title='x' HIDDEN", "data-id=a id = 'ad'", "class=ad", "role=\"navigation\"", "aria-hidden=true", "style='display: none'"])
 def test_named_attributes_drop(attributes):
     assert Page(f"<article><p>{P1}</p><p {attributes}>{P2}</p></article>").main_text() == T1
+
+
+BODY = f"<h1>Title</h1><p>{P1}</p><p>{P2}</p><p>{P1}</p>"
+WHOLE = f"Title\n\n{T1}\n\n{T2}\n\n{T1}"
+
+
+@pytest.mark.parametrize("page", [
+    # templates name whole pages after their sidebars, widgets and forms
+    f"<body><form id='aspnetForm' action='x'>{NAV}<div>{BODY}</div><footer>us</footer></form></body>",
+    f"<body><div class='content right-sidebar'><div>{BODY}</div><div class='sidebar'>Some side words</div></div></body>",
+    f"<body><div class='elementor-widget-container'><article>{BODY}</article></div></body>",
+    f"<body><form><div class='widget'><div class='page with-sidebar'>{BODY}</div><div class=ad>Buy it now</div></div></form></body>",
+    # a search form, a newsletter and comments beside the article
+    f"<body><form role=search>Search <input></form><article>{BODY}</article><form class=newsletter><p>Join us</p></form></body>",
+    f"<body><article>{BODY}</article><div id='comment-without-photo'><p>{P1}</p><p>{P2}</p></div></body>",
+    f"<body><article>{BODY}<section class='comments'><p>{P1}</p><p>{P2}</p><p>{P1}{P2}{P1}{P2}</p></section></article></body>",
+    # a site's own title with a link before the article
+    f"<body><div><h1>Site name</h1><a href='/'>home</a></div><article>{BODY}</article></body>",
+])
+def test_real_page_shapes(page):
+    assert Page(page).main_text() == WHOLE
+
+
+def test_sections_headings_and_formulas_of_the_article_stay():
+    page = f"<article>{BODY}<section id='discussion'><h2 id='related-work'>Related</h2><p>{P1}</p></section><p>With <math><mi>x</mi><mo>=</mo><mn>1</mn></math>.</p></article>"
+    assert Page(page).main_text() == f"{WHOLE}\n\nRelated\n\n{T1}\n\nWith x=1."
+
+
+def test_a_page_of_suspects_only_is_empty():
+    assert Page(f"<div class='cookie-notice'><p>{P1}</p></div>").main_text() == ""
+    assert Page(f"<div class='comments'><p>{P1}</p><p>{P2}</p><p>{P1}</p><p>{P2}</p></div>").main_text() == ""
+
+
+def brute_density(page):
+    """Composite densities by their definition, every subtree walked anew."""
+    import math
+
+    def inside(i):
+        return [j for j in range(i, page.end[i]) if not page.gone[j]]
+
+    def in_link(j, top):
+        while j != top:
+            j = page.parent[j]
+            if page.tag[j] == "a":
+                return True
+        return False
+
+    def sums(i):
+        own = set(inside(i))
+        chars = sum(len("".join(t.split())) for e, _, t in page.texts if e in own)
+        links = [j for j in own if page.tag[j] == "a"]
+        link_chars = sum(len("".join(t.split())) for e, _, t in page.texts if e in own and (page.tag[e] == "a" or in_link(e, i)))
+        return chars, len(own) - 1, link_chars, len(links)
+
+    body = sums(page.body)
+    share = body[2] / max(body[0], 1)
+
+    def composite(c, t, lc, lt):
+        if not c:
+            return 0.0
+        t, m, k = max(t, 1), max(lc, 1), max(lt, 1)
+        return max(0.0, c / t * math.log(c / m * t / k) / math.log(math.log(c / max(c - lc, 1) * m + share * c + math.e)))
+
+    return {i: composite(*sums(i)) for i in range(len(page.tag)) if page.is_block(i) and not page.gone[i]}
+
+
+def test_densities_equal_brute_force():
+    import random
+
+    rnd = random.Random(4)
+
+    def tree(depth):
+        if depth == 0 or rnd.random() < 0.3:
+            return " ".join(rnd.choice(["word", "another", "x", "longer-word"]) for _ in range(rnd.randint(0, 9)))
+        tag = rnd.choice(["div", "div", "p", "section", "a href=x", "b", "ul", "li", "div class=ad", "span"])
+        return f"<{tag}>" + "".join(tree(depth - 1) for _ in range(rnd.randint(1, 4))) + f"</{tag.split()[0]}>"
+
+    found = 0
+    for _ in range(150):
+        page = Page("<body>" + "".join(tree(5) for _ in range(3)))
+        page.densities()
+        for i, want in brute_density(page).items():
+            assert abs(page.density[i] - want) < 1e-9
+            found += want > 0
+    assert found > 500
