@@ -1,20 +1,26 @@
-"""Main-text extraction by paragraph scoring, as set operations on the node table.
+"""Main-text extraction by paragraph scoring, page by page.
 
 clean → boilerplate filter → div-to-paragraph → candidate scores (first
 writer per node, × (1 − link density)) → best node per page → sibling
-expansion → text.  Every step is a join, aggregate or window keyed by
-``page_id``; descendant relations use ``explode(path)`` equi-joins.
+expansion → text.
+
+The node table is partitioned by ``page_id`` once.  Running sums in document
+order (windows over that one partitioning) give every node the counts and text
+lengths up to it; the nodes of a page then become one row, in which a node is
+found by its position (``start / 2``), a subtree is the difference of the sums
+at its two ends, and the scores are folded.  Nothing is joined, shuffled again
+or checkpointed, and no row is repeated for its ancestors.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagesift.functions import scoring as SC
 from pagesift.functions.text import WS_CLASS, collapse_ws
-from pagesift.operators.dom import COLUMNS, html_clean_nodes, node_text, subtree_anti
+from pagesift.operators.dom import CLEAN_TAGS, COLUMNS, held, outside_subtrees
 
 KEY = ["page_id", "node_id"]
 BLOCK_PREFIX_RE = "^(" + "|".join(SC.PARAGRAPH_FIX_TAGS) + ")"
@@ -25,18 +31,24 @@ def _elems(nodes):
     return nodes.where(F.col("kind") == "elem")
 
 
-def boilerplate_roots(nodes: DataFrame) -> DataFrame:
-    return _elems(nodes).where(SC.is_boilerplate(F.col("class"), F.col("id"), F.col("tag"))).select(*KEY)
+def boilerplate_root() -> Column:
+    """Whether a node-table row is an element that the label patterns call boilerplate."""
+    return (F.col("kind") == "elem") & SC.is_boilerplate(F.col("class"), F.col("id"), F.col("tag"))
+
+
+def cleaning_root() -> Column:
+    """Whether a node-table row is a script, style or ``<link>`` element."""
+    return F.coalesce(F.col("tag").isin(*CLEAN_TAGS), F.lit(False))
 
 
 def boilerplate_filter(nodes: DataFrame) -> DataFrame:
-    return subtree_anti(nodes, boilerplate_roots(nodes))
+    return outside_subtrees(nodes, boilerplate_root())
 
 
 def clean_and_filter(nodes: DataFrame) -> DataFrame:
-    """Cleaning and the boilerplate filter in one subtree anti-join (a
-    boilerplate root inside a removed script/style subtree is removed anyway)."""
-    return html_clean_nodes(nodes, boilerplate_roots(nodes))
+    """Cleaning and the boilerplate filter in one pass (a boilerplate root
+    inside a removed script or style subtree is removed anyway)."""
+    return outside_subtrees(nodes, cleaning_root() | boilerplate_root())
 
 
 def _child_shape(nodes: DataFrame) -> DataFrame:
@@ -55,14 +67,12 @@ def div_to_paragraph(nodes: DataFrame) -> DataFrame:
     has them *and* non-blank leading text gets that text and each non-blank
     tail wrapped in new ``p`` nodes, and loses its ``br`` children."""
     elems = _elems(nodes)
-    divs = elems.where(F.col("tag") == "div").select(*KEY)
-    block_anc = (
-        elems.where(F.col("tag").rlike(BLOCK_PREFIX_RE))
-        .select("page_id", F.explode("path").alias("node_id"))
-        .distinct()
-    )
-    plain = divs.join(block_anc, KEY, "left_anti").withColumn("_to_p", F.lit(True))
-    blocky = divs.join(block_anc, KEY, "left_semi")
+    after = Window.partitionBy("page_id").orderBy(F.desc("start")).rowsBetween(Window.unboundedPreceding, -1)
+    next_block = F.last(F.when(F.col("tag").rlike(BLOCK_PREFIX_RE), F.col("start")), ignorenulls=True).over(after)
+    holds = F.coalesce(next_block <= F.col("end"), F.lit(False))
+    divs = elems.select(*KEY, "tag", holds.alias("_holds")).where(F.col("tag") == "div")
+    plain = divs.where(~F.col("_holds")).select(*KEY, F.lit(True).alias("_to_p"))
+    blocky = divs.where("_holds").select(*KEY)
 
     texts = nodes.where((F.col("kind") == "text") & F.col("parent_id").isNotNull())
     nonblank = texts.where(~F.col("text").rlike(BLANK_RE))
@@ -97,137 +107,246 @@ def div_to_paragraph(nodes: DataFrame) -> DataFrame:
     return kept.unionByName(wrappers).unionByName(wrapped)
 
 
-def content_score(tag, text):
-    """Content score of a candidate, or null when it is skipped."""
-    n = F.length(text).cast("double")
-    b = F.octet_length(text).cast("double")
-    cjk = (b / n) >= SC.CJK_BYTE_RATIO
-    words = F.size(F.filter(F.split(text, " "), lambda x: x != "")).cast("double")
-    score = F.when(cjk, F.lit(1.0) + n / 8 + b / 8).otherwise(F.lit(1.0) + words + F.least(n / 100, F.lit(3.0)))
+def content_score(tag, chars, octets, words):
+    """Content score of a candidate from the characters, UTF-8 octets and words
+    of its collapsed text, or null when it is skipped."""
+    n, b, w = chars.cast("double"), octets.cast("double"), words.cast("double")
+    cjk = F.when(n > 0, b / n >= SC.CJK_BYTE_RATIO)
+    score = F.when(cjk, F.lit(1.0) + n / 8 + b / 8).otherwise(F.lit(1.0) + w + F.least(n / 100, F.lit(3.0)))
     score = F.when(tag == "pre", F.least(score, F.lit(float(SC.PRE_SCORE_CAP)))).otherwise(score)
     keep = (n > 0) & F.when(cjk, n >= SC.MIN_CJK_LENGTH).otherwise(n >= SC.MIN_TEXT_LENGTH)
     return F.when(keep, score)
 
 
-def scoring_texts(nodes: DataFrame) -> DataFrame:
-    """Collapsed text of every element the scoring reads, in one pass:
-    candidates, their parents and grandparents, and anchors."""
-    elems = _elems(nodes)
-    cands = elems.where(F.col("tag").isin(*SC.CANDIDATE_TAGS) & F.col("parent_id").isNotNull())
-    ups = cands.select("page_id", F.explode(F.slice(F.reverse("path"), 1, 2)).alias("node_id"))
-    anchors = elems.where(F.col("tag") == "a").select(*KEY)
-    return node_text(nodes, cands.select(*KEY).unionByName(ups).unionByName(anchors))
-
-
-def link_density(nodes: DataFrame, targets: DataFrame, texts: DataFrame) -> DataFrame:
-    """``(page_id, node_id, density)``: length of the text of descendant ``<a>``
-    elements over the node's text length (at least 1).  ``texts`` must cover
-    the targets and the anchors."""
-    anchors = _elems(nodes).where(F.col("tag") == "a").select("page_id", "node_id", "path")
-    a_len = anchors.join(texts, KEY).select("page_id", F.length("text").alias("a_len"), F.explode("path").alias("node_id"))
-    tg = targets.select(*KEY).distinct()
-    sums = a_len.join(tg, KEY, "left_semi").groupBy(*KEY).agg(F.sum("a_len").alias("link_len"))
-    t = tg.join(texts, KEY).select(*KEY, F.length("text").alias("t_len"))
-    return t.join(sums, KEY, "left").select(
-        *KEY, (F.coalesce("link_len", F.lit(0)).cast("double") / F.greatest("t_len", F.lit(1))).alias("density")
-    )
+def _at(nodes: Column, start: Column) -> Column:
+    """The node of a page that starts at ``start`` (positions are even and without gaps)."""
+    return F.get(nodes, F.shiftright(start, 1))
 
 
-def paragraph_score(nodes: DataFrame, texts: DataFrame | None = None) -> DataFrame:
-    """``(page_id, node_id, score, seq_rank, seq_start, seq_role)`` for scored nodes."""
-    texts = scoring_texts(nodes) if texts is None else texts
-    elems = _elems(nodes)
-    cands = elems.where(F.col("tag").isin(*SC.CANDIDATE_TAGS) & F.col("parent_id").isNotNull())
-    c = cands.select(*KEY, "tag", "start", "path").join(texts, KEY)
-    c = c.select(
-        "page_id", "start", "path",
-        F.array_position(F.array(*[F.lit(t) for t in SC.CANDIDATE_TAGS]), F.col("tag")).alias("seq_rank"),
-        content_score(F.col("tag"), F.col("text")).alias("cs"),
-    ).where(F.col("cs").isNotNull())
-    parent = c.select(
-        "page_id", F.try_element_at("path", F.lit(-1)).alias("node_id"), "seq_rank", F.col("start").alias("seq_start"),
-        F.lit(0).alias("seq_role"), F.col("cs").alias("add"),
-    )
-    grand = c.where(F.size("path") >= 2).select(
-        "page_id", F.try_element_at("path", F.lit(-2)).alias("node_id"), "seq_rank", F.col("start").alias("seq_start"),
-        F.lit(1).alias("seq_role"), (F.col("cs") / 2.0).alias("add"),
-    )
-    w = Window.partitionBy(*KEY).orderBy("seq_rank", "seq_start", "seq_role")
-    first = parent.unionByName(grand).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-    scored = first.join(elems.select(*KEY, "tag", "class", "id"), KEY)
-    base = (SC.tag_score(F.col("tag")) + SC.css_score(F.col("class"), F.col("id"))).cast("double") + F.col("add")
-    scored = scored.select(*KEY, "seq_rank", "seq_start", "seq_role", base.alias("base"))
-    ld = link_density(nodes, scored.select(*KEY), texts)
-    return scored.join(ld, KEY).select(
-        *KEY, (F.col("base") * (F.lit(1.0) - F.col("density"))).alias("score"), "seq_rank", "seq_start", "seq_role"
+def _between(items: Column, lo: Column, hi: Column) -> Column:
+    """Items ``lo`` (from 0) to ``hi``, exclusive."""
+    return F.slice(items, lo + 1, F.greatest(hi - lo, F.lit(0)))
+
+
+def page_trees(nodes: DataFrame, root: Column, paragraphs: bool = True) -> DataFrame:
+    """One row per page: ``page_id, nodes, texts, anchors``.
+
+    ``nodes`` is the whole node table as ``html_nodes`` gives it; ``root`` marks
+    the elements whose subtrees do not count.  They stay in the array, so that
+    a node keeps its position, but are not ``live``.  Per node: ``chars``,
+    ``octets`` and ``words`` of its collapsed text, ``holds`` (a block-ish
+    descendant), ``wraps`` (a div whose own texts become paragraphs), ``lead``
+    (a text before any element of its parent) and, as sums up to and with the
+    node, ``n_texts``, ``n_leads`` and ``n_anchors``.  ``texts`` are the live
+    texts and ``anchors`` the text lengths of the live ``a`` elements, in
+    document order.  With ``paragraphs`` a div that holds no block-ish element is a ``p``.
+    """
+    order = Window.partitionBy("page_id").orderBy("start")
+    upto, before = order.rowsBetween(Window.unboundedPreceding, Window.currentRow), order.rowsBetween(Window.unboundedPreceding, -1)
+    count = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("int")).over(upto)
+
+    t = nodes.select("page_id", "node_id", "parent_id", "tag", "class", "id", "start", "end", "kind", "text", root.alias("_root"))
+    t = t.withColumn("_reach", F.max(F.when(F.col("_root"), F.col("end"))).over(upto))
+    t = t.withColumn("live", F.coalesce(F.col("_reach") < F.col("start"), F.lit(True)))
+    t = t.withColumn("_t", F.when(F.col("live") & (F.col("kind") == "text") & (F.col("text") != ""), collapse_ws("text")))
+    is_text, is_elem = F.col("_t").isNotNull(), F.col("live") & (F.col("kind") == "elem")
+    t = t.withColumns({
+        "_ended": F.last(F.col("_t").endswith(" "), ignorenulls=True).over(before),
+        "_opened": F.last(F.when(is_elem, F.col("node_id")), ignorenulls=True).over(before),
+        "n_texts": count(is_text),
+        "n_blocks": count(is_elem & F.col("tag").rlike(BLOCK_PREFIX_RE)),
+        "n_anchors": count(is_elem & (F.col("tag") == "a")),
+    })
+    # A space that goes on from the text before counts once, and so does a word.
+    spaced, begins = F.col("_ended"), F.col("_t").startswith(" ")
+    t = t.withColumns({
+        "m": F.coalesce(spaced & begins, F.lit(False)).cast("int"),
+        "j": F.coalesce(~spaced & ~begins, F.lit(False)).cast("int"),
+        "c": F.coalesce(F.length("_t"), F.lit(0)),
+        "o": F.coalesce(F.octet_length("_t"), F.lit(0)),
+        "w": F.coalesce(F.size(F.filter(F.split("_t", " "), lambda x: x != "")), F.lit(0)),
+        "lead": F.coalesce(is_text & (F.col("_opened") == F.col("parent_id")), F.lit(False)),
+        "blank": F.col("_t").rlike("^ *$"),
+    })
+    t = t.withColumn("w", F.when(is_text, F.col("w")).otherwise(0))
+    t = t.withColumns({
+        "s_c": F.sum(F.col("c") - F.col("m")).over(upto),
+        "s_o": F.sum(F.col("o") - F.col("m")).over(upto),
+        "s_w": F.sum(F.col("w") - F.col("j")).over(upto),
+        "n_leads": count(F.col("lead")),
+        "n_words": count(F.col("lead") & ~F.col("blank")),
+    })
+    live = lambda c: F.when(F.col("live"), F.col(c)).alias(c)
+    node = F.struct(
+        "start", "end", F.col("parent_id").alias("parent"), live("tag"), live("class"), live("id"), "kind", "live", live("text"), "lead", "blank",
+        "m", "j", "c", "o", "w", "s_c", "s_o", "s_w", "n_texts", "n_blocks", "n_anchors", "n_leads", "n_words",
     )
+    page = held(t.groupBy("page_id").agg(F.sort_array(F.collect_list(node)).alias("_n")), "page_id", raw=F.col("_n"))
+    text = lambda x: x["live"] & (x["kind"] == "text") & (x["c"] > 0)
+    page = held(page, "page_id", "raw", texts=F.filter("raw", text), opening=F.filter("raw", lambda x: text(x) & x["lead"] & ~x["blank"]))
 
+    def shaped(x):
+        last = _at(F.col("raw"), x["end"])
+        first = F.get("texts", x["n_texts"])
+        some = (x["kind"] == "elem") & (last["n_texts"] > x["n_texts"])
+        holds = last["n_blocks"] > x["n_blocks"]
+        size = lambda s, own, edge: F.when(x["kind"] == "text", x[own]).otherwise(
+            F.when(some, last[s] - x[s] + first[edge]).otherwise(0)).cast("int")
+        is_div = x["live"] & (x["tag"] == "div")
+        tag = F.when(is_div & ~holds, F.lit("p")).otherwise(x["tag"]) if paragraphs else x["tag"]
+        own = F.get("opening", x["n_words"])["parent"] == x["start"]
+        return F.struct(
+            x["start"].alias("start"), x["end"].alias("end"), x["parent"].alias("parent"), tag.alias("tag"), x["class"].alias("class"),
+            x["id"].alias("id"), x["kind"].alias("kind"), x["live"].alias("live"), x["text"].alias("text"), x["lead"].alias("lead"),
+            x["blank"].alias("blank"), x["n_texts"].alias("n_texts"), x["n_leads"].alias("n_leads"), x["n_anchors"].alias("n_anchors"),
+            size("s_c", "c", "m").alias("chars"), size("s_o", "o", "m").alias("octets"), size("s_w", "w", "j").alias("words"),
+            (F.coalesce(is_div & holds & own, F.lit(False)) & F.lit(paragraphs)).alias("wraps"),
+        )
 
-def top_paragraph(scores: DataFrame) -> DataFrame:
-    """Best node per page; ties go to the node scored first."""
-    w = Window.partitionBy("page_id").orderBy(F.col("score").desc(), "seq_rank", "seq_start", "seq_role")
-    return scores.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    page = held(page, "page_id", "texts", nodes=F.transform("raw", shaped))
+    anchors = F.filter("nodes", lambda x: x["live"] & (x["kind"] == "elem") & (x["tag"] == "a"))
+    return held(page, "page_id", "nodes", "texts", anchors=F.transform(anchors, lambda x: x["chars"]))
 
 
-def _lead_len(nodes: DataFrame, targets: DataFrame | None = None) -> DataFrame:
-    """Length of each (target) element's leading text (its ``.text``), raw."""
-    texts = nodes.where((F.col("kind") == "text") & F.col("parent_id").isNotNull())
-    if targets is not None:
-        texts = texts.join(targets.select("page_id", F.col("node_id").alias("parent_id")), ["page_id", "parent_id"], "left_semi")
-    j = texts.withColumnRenamed("node_id", "_t").withColumnRenamed("parent_id", "node_id").join(_child_shape(nodes), KEY, "left")
-    lead = j.where(F.col("first_elem_ord").isNull() | (F.col("sib_ord") < F.col("first_elem_ord")))
-    return lead.groupBy(*KEY).agg(F.sum(F.length("text")).alias("lead_len"))
+def main_trees(nodes: DataFrame) -> DataFrame:
+    """``page_trees`` cleaned and without boilerplate, as the scoring reads them."""
+    return page_trees(nodes, cleaning_root() | boilerplate_root())
 
 
-def article_expand(nodes: DataFrame, scores: DataFrame, best: DataFrame, texts: DataFrame | None = None) -> DataFrame:
-    """``(page_id, body)``: text of the best node's qualifying siblings (with their tails)."""
-    texts = scoring_texts(nodes) if texts is None else texts
-    elems = _elems(nodes)
-    b = best.join(elems.select(*KEY, "parent_id"), KEY).select(
-        "page_id", F.col("node_id").alias("best_id"), F.col("parent_id").alias("best_parent"),
-        F.greatest(F.col("score") * SC.EXPAND_RATIO, F.lit(float(SC.EXPAND_FLOOR))).alias("thr"),
-    )
-    sib_of_parent = (
-        elems.select("page_id", "node_id", F.col("parent_id").alias("best_parent"), "tag", "start", "sib_ord")
-        .join(b.where(F.col("best_parent").isNotNull()), ["page_id", "best_parent"])
-        .withColumn("parent_id", F.col("best_parent"))
-    )
-    root_best = b.where(F.col("best_parent").isNull()).join(
-        elems.select("page_id", F.col("node_id").alias("best_id"), "tag", "start", "sib_ord"), ["page_id", "best_id"]
-    ).select("page_id", F.col("best_id").alias("node_id"), F.lit(None).cast("int").alias("parent_id"), "tag", "start",
-             "sib_ord", "best_id", "best_parent", "thr")
-    sibs = sib_of_parent.unionByName(root_best)
-
-    p_sibs = sibs.where(F.col("tag") == "p").select(*KEY)
-    p_ld = link_density(nodes, p_sibs, texts)
-    s = (
-        sibs.join(scores.select(*KEY, F.col("score").alias("sib_score")), KEY, "left")
-        .join(p_ld, KEY, "left")
-        .join(_lead_len(nodes, p_sibs), KEY, "left")
-    )
-    lead = F.coalesce("lead_len", F.lit(0))
-    keep = (
-        (F.col("node_id") == F.col("best_id"))
-        | (F.col("sib_score").isNotNull() & (F.col("sib_score") >= F.col("thr")))
-        | ((F.col("tag") == "p") & (((lead > SC.SHORT_PARAGRAPH) & (F.col("density") < SC.LONG_P_MAX_DENSITY))
-                                    | ((lead <= SC.SHORT_PARAGRAPH) & (F.col("density") == 0))))
-    )
-    chosen = s.where(keep).select(*KEY)
-
-    texts = nodes.where(F.col("kind") == "text")
-    inside = texts.select("page_id", "start", "text", F.explode("path").alias("node_id")).join(chosen, KEY, "left_semi")
-    # A text child belongs (as tail) to the element sibling just before it.
-    w = Window.partitionBy("page_id", "parent_id").orderBy("sib_ord").rowsBetween(Window.unboundedPreceding, 0)
-    parents = b.where(F.col("best_parent").isNotNull()).select("page_id", F.col("best_parent").alias("parent_id"))
-    owners = nodes.join(parents, ["page_id", "parent_id"], "left_semi").select(
-        "page_id", "kind", "start", "text",
-        F.last(F.when(F.col("kind") == "elem", F.col("node_id")), ignorenulls=True).over(w).alias("node_id"),
+def _last(x: Column) -> Column:
+    return _at(F.col("nodes"), x["end"])
+
+
+def _density(x: Column) -> Column:
+    """Length of the text of descendant ``a`` elements over the node's text length (at least 1)."""
+    inside = _between(F.col("anchors"), x["n_anchors"], _last(x)["n_anchors"])
+    linked = F.aggregate(inside, F.lit(0).cast("long"), lambda a, n: a + n)
+    return linked.cast("double") / F.greatest(x["chars"], F.lit(1))
+
+
+def _live_elems() -> Column:
+    return F.filter("nodes", lambda x: x["live"] & (x["kind"] == "elem"))
+
+
+def node_texts(trees: DataFrame) -> DataFrame:
+    """``(page_id, node_id, text)``: collapsed subtree text of every live element."""
+    def text(x):
+        inside = _between(F.col("texts"), x["n_texts"], _last(x)["n_texts"])
+        return collapse_ws(F.array_join(F.transform(inside, lambda t: t["text"]), ""))
+
+    return trees.select("page_id", F.inline(F.transform(_live_elems(), lambda x: F.struct(x["start"].alias("node_id"), text(x).alias("text")))))
+
+
+def link_density(trees: DataFrame) -> DataFrame:
+    """``(page_id, node_id, density)`` of every live element."""
+    return trees.select("page_id", F.inline(F.transform(_live_elems(), lambda x: F.struct(x["start"].alias("node_id"), _density(x).alias("density")))))
+
+
+def _wrapped(x: Column) -> Column:
+    """A text that a div wraps in a paragraph of its own."""
+    own = x["live"] & (x["kind"] == "text") & (x["chars"] > 0) & ~x["blank"]
+    return F.coalesce(own & _at(F.col("nodes"), x["parent"])["wraps"], F.lit(False))
+
+
+def with_scores(trees: DataFrame) -> DataFrame:
+    """``trees`` with ``scores``, an array of ``(node_id, score, seq_rank, seq_start, seq_role)``.
+
+    A candidate scores its parent and, by half, its grandparent; the first one
+    in the order of tag, position and role writes a node's score.
+    """
+    ranks = F.array(*[F.lit(t) for t in SC.CANDIDATE_TAGS])
+    wrapped = _wrapped
+    candidate = lambda x: wrapped(x) | (x["live"] & (x["kind"] == "elem") & x["tag"].isin(*SC.CANDIDATE_TAGS) & x["parent"].isNotNull())
+
+    def one(x):
+        is_text = x["kind"] == "text"
+        tag = F.when(is_text, F.lit("p")).otherwise(x["tag"])
+        return F.struct(
+            x["parent"].alias("parent"), _at(F.col("nodes"), x["parent"])["parent"].alias("grand"),
+            F.array_position(ranks, tag).cast("int").alias("rank"), (x["start"] - is_text.cast("int")).alias("start"),
+            content_score(tag, x["chars"], x["octets"], x["words"]).alias("score"),
+        )
+
+    def adds(c):
+        return F.array(
+            F.struct(c["parent"].alias("node"), c["rank"].alias("rank"), c["start"].alias("start"), F.lit(0).alias("role"), c["score"].alias("add")),
+            F.struct(c["grand"].alias("node"), c["rank"].alias("rank"), c["start"].alias("start"), F.lit(1).alias("role"), (c["score"] / 2.0).alias("add")),
+        )
+
+    keep = ["page_id", "nodes", "texts", "anchors"]
+    t = held(trees, *keep, found=F.transform(F.filter("nodes", candidate), one))
+    t = held(t, *keep, adds=F.sort_array(F.flatten(F.transform(F.filter("found", lambda c: c["score"].isNotNull()), adds))))
+    first = F.filter("adds", lambda a, i: a["node"].isNotNull() & ((i == 0) | ~a["node"].eqNullSafe(F.get("adds", i - 1)["node"])))
+    t = held(t, *keep, first=F.transform(first, lambda a: F.struct(a.alias("by"), _at(F.col("nodes"), a["node"]).alias("at"))))
+
+    def score(f):
+        by, x = f["by"], f["at"]
+        base = (SC.tag_score(x["tag"]) + SC.css_score(x["class"], x["id"])).cast("double") + by["add"]
+        return F.struct(
+            by["node"].alias("node_id"), (base * (F.lit(1.0) - _density(x))).alias("score"),
+            by["rank"].alias("seq_rank"), by["start"].alias("seq_start"), by["role"].alias("seq_role"),
+        )
+
+    return held(t, *keep, scores=F.transform("first", score))
+
+
+def paragraph_score(trees: DataFrame) -> DataFrame:
+    """``(page_id, node_id, score, seq_rank, seq_start, seq_role)`` for scored nodes."""
+    return with_scores(trees).select("page_id", F.inline("scores"))
+
+
+def _best() -> Column:
+    """Best score of a page; ties go to the node scored first."""
+    ordered = F.transform("scores", lambda s: F.struct((-s["score"]).alias("k"), s["seq_rank"].alias("r"), s["seq_start"].alias("p"), s["seq_role"].alias("o"), s.alias("s")))
+    return F.array_min(ordered)["s"]
+
+
+def top_paragraph(trees: DataFrame) -> DataFrame:
+    """``(page_id, node_id, score, …)`` of the best node of every page that has one."""
+    t = held(with_scores(trees), "page_id", best=_best())
+    return t.where(F.col("best").isNotNull()).select("page_id", "best.*")
+
+
+def article_expand(trees: DataFrame) -> DataFrame:
+    """``(page_id, body)``: text of the best node and its qualifying siblings (with their tails)."""
+    keep = ["page_id", "nodes", "texts", "anchors", "scores"]
+    t = held(with_scores(trees), *keep, best=_best()).where(F.col("best").isNotNull())
+    top = _at(F.col("nodes"), F.col("best.node_id"))
+    t = held(t, *keep, "best", top=top, above=_at(F.col("nodes"), top["parent"]),
+             floor=F.greatest(F.col("best.score") * SC.EXPAND_RATIO, F.lit(float(SC.EXPAND_FLOOR))))
+    beside = lambda x: x["live"] & (x["parent"] == F.col("top.parent"))
+    # br elements of a div whose texts are wrapped are gone
+    gone = lambda x: F.col("above.wraps") & (x["tag"] == "br")
+    sibling = lambda x: beside(x) & (((x["kind"] == "elem") & ~gone(x)) | _wrapped(x))
+    leads = F.filter("nodes", lambda x: x["lead"])
+    scored = F.filter("scores", lambda s: (s["score"] >= F.col("floor")) & (_at(F.col("nodes"), s["node_id"])["parent"] == F.col("top.parent")))
+    t = held(
+        t, "page_id", "nodes", "texts", "anchors", "top", "above", leads=F.transform(leads, lambda x: F.struct(x["parent"].alias("parent"), F.length(x["text"]).alias("n"))),
+        siblings=F.when(F.col("above").isNull(), F.array("top")).otherwise(F.filter("nodes", sibling)),
+        high=F.array_union(F.transform(scored, lambda s: s["node_id"]), F.array("best.node_id")),
     )
-    tails = owners.where(F.col("kind") == "text").join(chosen, KEY, "left_semi")
-    parts = inside.select("page_id", "start", "text").unionByName(tails.select("page_id", "start", "text"))
-    agg = parts.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("start", "text"))).alias("_p"))
-    body = collapse_ws(F.array_join(F.transform("_p", lambda x: x["text"]), ""))
-    return agg.select("page_id", body.alias("body"))
+
+    def lead_length(x):
+        own = F.filter(_between(F.col("leads"), x["n_leads"], _last(x)["n_leads"]), lambda a: a["parent"] == x["start"])
+        return F.aggregate(own, F.lit(0).cast("long"), lambda a, r: a + r["n"])
+
+    def part(x, i):
+        lead, density = lead_length(x), _density(x)
+        short = lead <= SC.SHORT_PARAGRAPH
+        plain = (x["tag"] == "p") & F.when(short, density == 0).otherwise(density < SC.LONG_P_MAX_DENSITY)
+        end = F.get("siblings", i + 1)
+        own = (x["kind"] == "text").cast("int")
+        upto = F.when(F.col("above").isNull(), _last(x)["n_texts"]).otherwise(
+            F.coalesce(end["n_texts"] - (end["kind"] == "text").cast("int"), _last(F.col("above"))["n_texts"]))
+        return F.struct(
+            F.coalesce((x["kind"] == "text") | plain, F.lit(False)).alias("plain"), x["start"].alias("start"),
+            (x["n_texts"] - own).alias("lo"), upto.alias("hi"),
+        )
+
+    t = held(t, "page_id", "texts", "high", parts=F.transform("siblings", part))
+    chosen = F.filter("parts", lambda p: p["plain"] | F.array_contains("high", p["start"]))
+    text = F.transform(chosen, lambda p: F.array_join(F.transform(_between(F.col("texts"), p["lo"], p["hi"]), lambda x: x["text"]), ""))
+    return t.select("page_id", collapse_ws(F.array_join(text, "")).alias("body"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -242,9 +361,4 @@ def cut(df: DataFrame) -> DataFrame:
 
 def article_text(nodes: DataFrame) -> DataFrame:
     """``(page_id, body)`` for every page with at least one scored candidate."""
-    n = cut(clean_and_filter(cut(nodes)))
-    n = cut(div_to_paragraph(n))
-    texts = cut(scoring_texts(n))
-    scores = cut(paragraph_score(n, texts))
-    best = top_paragraph(scores)
-    return article_expand(n, scores, best, texts)
+    return article_expand(main_trees(nodes))

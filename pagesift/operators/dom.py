@@ -26,9 +26,10 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 NODE_SCHEMA = T.StructType(
     [
@@ -243,29 +244,30 @@ def html_nodes(pages: DataFrame) -> DataFrame:
     return spread(pages.select("page_id", "html")).mapInPandas(_nodes_of_batches, NODE_SCHEMA)
 
 
-def subtree_anti(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Nodes outside the subtrees of ``roots`` (``page_id, node_id``): the
-    roots themselves and every node whose path passes through one."""
-    r = roots.select("page_id", F.col("node_id").alias("_root")).distinct()
-    inside = (
-        nodes.select("page_id", "node_id", F.explode(F.array_union(F.col("path"), F.array("node_id"))).alias("_root"))
-        .join(r, ["page_id", "_root"], "left_semi")
-        .select("page_id", "node_id")
-        .distinct()
-    )
-    return nodes.join(inside, ["page_id", "node_id"], "left_anti")
+def held(df: DataFrame, *keep: str, **built) -> DataFrame:
+    """Columns ``keep`` and ``built``, each built once a row.
+
+    They come from a generator, which the optimizer does not merge into later
+    expressions: an array that many lambdas read is not rebuilt in each of them.
+    """
+    columns = [F.col(c) for c in keep] + [c.alias(name) for name, c in built.items()]
+    return df.select(F.inline(F.array(F.struct(*columns))))
+
+
+def outside_subtrees(nodes: DataFrame, root: Column) -> DataFrame:
+    """Nodes outside the subtrees of the elements that ``root`` marks: those that
+    start after every such subtree before them has ended."""
+    upto = Window.partitionBy("page_id").orderBy("start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = F.max(F.when(root, F.col("end"))).over(upto)
+    return nodes.withColumn("_reach", reach).where(F.coalesce(F.col("_reach") < F.col("start"), F.lit(True))).drop("_reach")
 
 
 CLEAN_TAGS = ("script", "style", "link")
 
 
-def html_clean_nodes(nodes: DataFrame, extra_roots: DataFrame | None = None) -> DataFrame:
-    """Drop script, style and ``<link>`` elements with their subtrees (comments
-    are never nodes); ``extra_roots`` are removed in the same anti-join."""
-    roots = nodes.where(F.col("tag").isin(*CLEAN_TAGS)).select("page_id", "node_id")
-    if extra_roots is not None:
-        roots = roots.unionByName(extra_roots.select("page_id", "node_id"))
-    return subtree_anti(nodes, roots)
+def html_clean_nodes(nodes: DataFrame) -> DataFrame:
+    """Drop script, style and ``<link>`` elements with their subtrees (comments are never nodes)."""
+    return outside_subtrees(nodes, F.col("tag").isin(*CLEAN_TAGS))
 
 
 def node_text(nodes: DataFrame, targets: DataFrame, collapse: bool = True) -> DataFrame:

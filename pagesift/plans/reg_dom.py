@@ -21,8 +21,7 @@ def _nodes(spark, sf):
 
 
 def _prepared(spark, sf):
-    n = _nodes(spark, sf)
-    return A.cut(A.div_to_paragraph(A.cut(A.clean_and_filter(n))))
+    return A.div_to_paragraph(A.cut(A.clean_and_filter(_pages(spark, sf))))
 
 
 def _flat(nodes):
@@ -37,24 +36,25 @@ def q_html_nodes(spark, sf):
     return _flat(_nodes(spark, sf))
 
 
+def _pages(spark, sf):
+    return D.html_nodes(table(spark, sf, "pages", "page_id", "html"))
+
+
 @register("node_text")
 def q_node_text(spark, sf):
     """Collapsed subtree text of every element."""
-    n = A.cut(D.html_clean_nodes(_nodes(spark, sf)))
-    return D.node_text(n, n.where(F.col("kind") == "elem").select(*KEY))
+    return A.node_texts(A.page_trees(_pages(spark, sf), A.cleaning_root(), paragraphs=False))
 
 
 @register("link_density")
 def q_link_density(spark, sf):
     """Link density of every element (in [0, 1] when anchors do not nest)."""
-    n = A.cut(D.html_clean_nodes(_nodes(spark, sf)))
-    el = n.where(F.col("kind") == "elem").select(*KEY)
-    return A.link_density(n, el, D.node_text(n, el))
+    return A.link_density(A.page_trees(_pages(spark, sf), A.cleaning_root(), paragraphs=False))
 
 
 @register("boilerplate_filter")
 def q_boilerplate_filter(spark, sf):
-    return _flat(A.boilerplate_filter(A.cut(D.html_clean_nodes(_nodes(spark, sf)))))
+    return _flat(A.boilerplate_filter(D.html_clean_nodes(_pages(spark, sf))))
 
 
 @register("div_to_paragraph")
@@ -64,25 +64,22 @@ def q_div_to_paragraph(spark, sf):
 
 @register("paragraph_score")
 def q_paragraph_score(spark, sf):
-    return A.paragraph_score(_prepared(spark, sf)).select(*KEY, F.round("score", 6).alias("score"))
+    return A.paragraph_score(A.main_trees(_pages(spark, sf))).select(*KEY, F.round("score", 6).alias("score"))
 
 
 @register("top_paragraph")
 def q_top_paragraph(spark, sf):
-    s = A.cut(A.paragraph_score(_prepared(spark, sf)))
-    return A.top_paragraph(s).select(*KEY, F.round("score", 6).alias("score"))
+    return A.top_paragraph(A.main_trees(_pages(spark, sf))).select(*KEY, F.round("score", 6).alias("score"))
 
 
 @register("article_expand")
 def q_article_expand(spark, sf):
-    n = _prepared(spark, sf)
-    s = A.cut(A.paragraph_score(n))
-    return A.article_expand(n, s, A.top_paragraph(s))
+    return A.article_expand(A.main_trees(_pages(spark, sf)))
 
 
 @register("article_text")
 def q_article_text(spark, sf):
-    return A.article_text(D.html_nodes(table(spark, sf, "pages", "page_id", "html")))
+    return A.article_text(_pages(spark, sf))
 
 
 def scored_articles(spark, pages, profile, threshold, tag, run_ts, stopwords=()):

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,8 +43,8 @@ def fixture_nodes(spark):
 
 
 def test_paragraph_score_golden(spark, fixture_nodes):
-    n = A.cut(A.div_to_paragraph(A.cut(A.boilerplate_filter(A.cut(D.html_clean_nodes(fixture_nodes.where("page_id IN (1, 2)")))))))
-    s = A.paragraph_score(n).join(n.select("page_id", "node_id", "tag"), ["page_id", "node_id"])
+    n = fixture_nodes.where("page_id IN (1, 2)")
+    s = A.paragraph_score(A.main_trees(n)).join(n.select("page_id", "node_id", "tag"), ["page_id", "node_id"])
     got = {(r["page_id"], r["tag"]): round(r["score"], 6) for r in s.collect()}
     assert got[(1, "div")] == 52.0
     assert got[(1, "body")] == 11.0
@@ -54,7 +56,8 @@ def test_content_score_rules(spark):
         [("a" * 27, "p"), ("aa bb cc dd eeeeeeeeeeeeeee", "p"), ("研" * 12, "p"), ("a" * 24, "p"), ("研" * 11, "p")],
         "text string, tag string",
     )
-    got = [r[0] for r in df.select(A.content_score(F.col("tag"), F.col("text"))).collect()]
+    words = F.size(F.split("text", " "))
+    got = [r[0] for r in df.select(A.content_score(F.col("tag"), F.length("text"), F.octet_length("text"), words)).collect()]
     assert got[1] == pytest.approx(6.27)
     assert got[2] == pytest.approx(7.0 + 1 + 12 / 8 + 36 / 8 - 7.0)
     assert got[3] is None and got[4] is None
@@ -107,7 +110,6 @@ def test_page_without_outer_tags_has_an_article(spark):
 
 def test_article_text_invariants_on_fixture_pages(spark):
     import html
-    import re
 
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "html")
     got = {r["page_id"]: r["body"] for r in A.article_text(D.html_nodes(pages)).collect()}
@@ -127,6 +129,60 @@ def test_paths_are_bounded_and_no_node_is_lost():
     assert rows[-1][11] == "end"
 
 
+# Pages that join and split words and spaces at every boundary: nested links, removed parts, blank runs, wrapped texts.
+BOUNDARIES = [
+    "<div>a<b>b</b> c <i> d</i>\n<a href=x>e<a href=y> f</a>g </a></div>",
+    "<div>lead <p>one two</p> tail<br> more <script>x y</script>end<p> </p> </div>",
+    "<div> <p>x</p>tail only</div><div>plain <span>text</span><br>\u3000wide</div>",
+    "<ul><li>a <a>b</a><li><a> c</a> </ul><pre>\n d  e </pre>",
+    "<div class=sidebar><a>gone</a></div><style>s</style><a><div> in <a>in</a></div> t</a>",
+    "", "   ", "<p>",
+]
+
+
+def _plain_trees(html):
+    """Live element rows and their texts by walking the rows one by one."""
+    rows = [dict(zip(D.COLUMNS[1:], r)) for r in D.parse_html(html)]
+    dead = {r["node_id"] for r in rows if r["tag"] in D.CLEAN_TAGS}
+    live = [r for r in rows if not dead & {r["node_id"], *r["path"]}]
+    text = {
+        e["node_id"]: re.sub(r"\s+", " ", "".join(t["text"] for t in live if t["kind"] == "text" and e["node_id"] in t["path"]))
+        for e in live if e["kind"] == "elem"
+    }
+    density = {}
+    for n in text:
+        links = [a for a in live if a["tag"] == "a" and n in a["path"]]
+        density[n] = sum(len(text[a["node_id"]]) for a in links) / max(len(text[n]), 1)
+    return text, density
+
+
+def test_texts_sizes_and_densities_by_walking(spark):
+    pages = spark.createDataFrame(list(enumerate(BOUNDARIES)), "page_id long, html string")
+    trees = A.page_trees(D.html_nodes(pages), A.cleaning_root(), paragraphs=False)
+    texts = {(r["page_id"], r["node_id"]): r["text"] for r in A.node_texts(trees).collect()}
+    density = {(r["page_id"], r["node_id"]): r["density"] for r in A.link_density(trees).collect()}
+    sizes = trees.select("page_id", F.inline("nodes")).where("live AND kind = 'elem'").collect()
+    want = {(i, n): v for i, h in enumerate(BOUNDARIES) for n, v in _plain_trees(h)[0].items()}
+    assert texts == want
+    assert density == {(i, n): v for i, h in enumerate(BOUNDARIES) for n, v in _plain_trees(h)[1].items()}
+    for r in sizes:
+        t = want[(r["page_id"], r["start"])]
+        assert (r["chars"], r["octets"], r["words"]) == (len(t), len(t.encode()), len(t.split())), t
+
+
+def test_wrapped_texts_score_their_div(spark):
+    lead, tail = "a lead text of the div that is long enough to score", "a tail text, longer than the lead of the div, with words"
+    pages = spark.createDataFrame([(1, f"<div>{lead}<p>short</p>{tail}<br>x</div>"), (2, None), (3, "<div>no block here, and a text long enough</div>")], "page_id long, html string")
+    nodes = D.html_nodes(pages)
+    got = {(r["page_id"], r["tag"]): r["score"] for r in A.paragraph_score(A.main_trees(nodes)).join(nodes.select("page_id", "node_id", "tag"), ["page_id", "node_id"]).collect()}
+    # page 1: the lead is the first candidate; page 3: the div itself became a paragraph
+    first = 1 + len(lead.split()) + len(lead) / 100
+    assert got[(1, "div")] == pytest.approx(5 + first) and got[(1, "body")] == pytest.approx(first / 2)
+    assert (3, "div") not in got and got[(3, "body")] > 0
+    bodies = {r["page_id"]: r["body"] for r in A.article_text(nodes).collect()}
+    assert bodies[1].startswith(lead) and tail in bodies[1] and 2 not in bodies
+
+
 def test_node_intervals(spark, fixture_nodes):
     n = fixture_nodes.where("page_id = 7")
     bad = n.alias("c").join(n.alias("p"), (F.col("c.page_id") == F.col("p.page_id")) & (F.col("c.parent_id") == F.col("p.node_id")))

@@ -46,3 +46,17 @@ def test_no_cross_products_in_registered_plans(spark):
     for k in ("url_join", "stage_route", "rule_lookup", "stage_history", "config_latest", "parser_tree", "loop_product"):
         p = plan(qs[k](spark, SF))
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, k
+
+
+def test_main_text_is_one_partitioning(spark):
+    conf = "spark.pagesift.parsePartitions"
+    dealt = spark.conf.get(conf)
+    spark.conf.unset(conf)
+    try:
+        for k in ("node_text", "link_density", "boilerplate_filter", "paragraph_score", "top_paragraph", "article_expand", "article_text"):
+            p = plan(catalog.queries()[k](spark, SF))
+            assert p.partition("\n\n")[0].count("Exchange") == 1, k
+            # no join, no checkpoint (a plan that starts from stored rows), no row per ancestor
+            assert "Join" not in p and "Scan ExistingRDD" not in p and "explode(path" not in p, k
+    finally:
+        spark.conf.set(conf, dealt)
