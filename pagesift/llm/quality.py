@@ -141,7 +141,8 @@ def train(
     """Fit on at most ``train_rows`` labelled rows outside fold 0, drawn by the hash of their ids.
 
     That bound also bounds what is broadcast (ids) and what reaches the driver
-    (features).  Ids with contradicting labels are left out.
+    (features): of rows that share an id the one with the least text hash is
+    read.  Ids with contradicting labels are left out.
     """
     machine = FactorisationMachine.empty()
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (fold(id_col) != 0))
@@ -156,7 +157,8 @@ def train(
 
     length = F.col(length_col).cast("long") if length_col in docs.columns else F.lit(None).cast("long")
     picked = docs.select(F.col(id_col).cast("long").alias("_ps_id"), F.col(text_col).alias("_ps_text"), length.alias("_ps_n"))
-    sample = picked.join(F.broadcast(drawn), "_ps_id").select("_ps_id", "_ps_text", "_ps_n", F.col("_ps_y").cast("int"))
+    one = F.min_by(F.struct("_ps_text", "_ps_n", F.col("_ps_y").cast("int").alias("_ps_y")), F.struct(F.xxhash64("_ps_text"), "_ps_n"))
+    sample = picked.join(F.broadcast(drawn), "_ps_id").groupBy("_ps_id").agg(one.alias("_ps_one")).select("_ps_id", "_ps_one.*")
     table = sample.mapInArrow(extract, "id long, y int, index array<int>, value array<float>").toArrow()
     if not table.num_rows:
         return machine

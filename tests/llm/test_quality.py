@@ -61,3 +61,19 @@ def test_edge_cases(spark):
     none = Q.score_quality(df, labels.limit(0)).collect()
     assert all(r.score == pytest.approx(0.5, abs=0.1) for r in none)
     assert Q.score_quality(df.limit(0), labels).count() == 0
+
+
+def test_training_reads_one_row_per_id(spark, monkeypatch):
+    """A labelled id that most rows share sends one row to the driver, whatever the order of the rows."""
+    sizes = []
+    fit = Q.FactorisationMachine.fit
+    monkeypatch.setattr(Q.FactorisationMachine, "fit", lambda self, rows, *a: (sizes.append(len(rows)), fit(self, rows, *a))[1])
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5][:20]
+    rows = [(i, f"text number {i} with words", None) for i in ids] + [(ids[0], f"copy {k % 7} of the text", k) for k in range(2000)]
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    models = [
+        Q.train(spark.createDataFrame(part, "doc_id long, text string, n_chars long").repartition(n), labels)
+        for part, n in ((rows, 5), (rows[::-1], 3))
+    ]
+    assert sizes == [20, 20]
+    assert models[0].bias == models[1].bias and (models[0].linear == models[1].linear).all()
