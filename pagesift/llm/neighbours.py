@@ -13,7 +13,7 @@ so, all pairs are compared.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +28,9 @@ from pagesift.llm.graph import connected_components
 LEAF = 512
 TILE = 1024
 CODE_BITS = 30
-#: Linked vectors that an audit has to hold, and the most that one pass of it asks for.
+#: Linked vectors that an audit has to hold, and the trees that name more of them where its sample holds fewer.
 LINKED = 100
-ASKED = 16_000
+AUDIT_TREES = 3
 
 EDGES = "u long, v long, sim double, star boolean"
 
@@ -233,25 +233,26 @@ def _summed(tiled: DataFrame) -> DataFrame:
     return tiled.groupBy("node").agg(F.sum("n").alias("n"), F.sum("links").alias("links"))
 
 
-def _audit(nodes: DataFrame, links: DataFrame, threshold: float, sample: int) -> float:
+def _audit(nodes: DataFrame, links: DataFrame, threshold: float, sample: int, others: Callable[[], DataFrame]) -> float:
     """Share of the links of sampled nodes that was found, by brute force against all nodes.
 
     Links count once, whatever the copies of their ends.  The lower one of two
     shares: of all links of the sample, and on average over its linked nodes.
-    The sample grows until it holds ``LINKED`` linked nodes or is all nodes.
+    ``sample`` nodes are drawn by hash.  Where fewer than ``LINKED`` of them
+    have links, up to ``LINKED`` nodes are added from ``others()``: nodes that
+    trees found links for which the graph was not built from.  So the sample
+    stays bounded however rare links are; without any link at all the share is one.
     """
-    total, asked, linked, n, found, shares = nodes.count(), 0, 0, 0, 0, 0.0
-    while asked < total and linked < LINKED:
-        more = min(max(sample, 3 * asked), ASKED)
-        row = _audited(nodes, links, threshold, asked, more)
-        asked += more
-        linked, n, found, shares = linked + row.linked, n + (row.n or 0), found + (row.found or 0), shares + (row.shares or 0.0)
+    drawn = [_audited(nodes, links, threshold, nodes, sample)]
+    if drawn[0].linked < LINKED:
+        drawn.append(_audited(nodes, links, threshold, nodes.join(others(), "node", "left_semi"), LINKED))
+    linked, n, found, shares = (sum(r[i] or 0 for r in drawn) for i in range(4))
     return min(found / n, shares / linked) if n else 1.0
 
 
-def _audited(nodes: DataFrame, links: DataFrame, threshold: float, start: int, sample: int):
-    """Row ``(linked, n, found, shares)`` of the ``sample`` nodes from ``start`` on, in the order of their hash."""
-    queries = nodes.orderBy(F.xxhash64("node"), "node").select("node", "label", "dim", "x").offset(start).limit(sample).collect()
+def _audited(nodes: DataFrame, links: DataFrame, threshold: float, source: DataFrame, sample: int):
+    """Row ``(linked, n, found, shares)`` of the ``sample`` nodes of ``source`` with the least hashes."""
+    queries = source.orderBy(F.xxhash64("node"), "node").select("node", "label", "dim", "x").limit(sample).collect()
     asked: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
     groups: dict[tuple, list] = {}
     for q in queries:
@@ -327,6 +328,12 @@ def near_duplicate_vectors(
     )
     nodes = written(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
+    def unseen() -> DataFrame:
+        """Nodes that trees of later numbers than any growth uses find links for."""
+        others = _leaf_edges(nodes, range(growths * trees, growths * trees + AUDIT_TREES), threshold, explore, list_size)
+        near = others.where(F.col("star") | (F.col("sim") >= threshold))
+        return near.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+
     edges, links, roots = None, None, None
     for growth in range(growths):
         more = _leaf_edges(nodes, range(growth * trees, (growth + 1) * trees), threshold, explore, list_size)
@@ -343,7 +350,7 @@ def near_duplicate_vectors(
         members = roots.join(full, "root", "left_semi").join(nodes.select("node", "dim", "x", "mult"), "node")
         enlarged = _summed(_tiled_links(members, ["root"], threshold))
         links = cut(counts.join(full, "root", "left_anti").select("node", "n", "links").unionByName(enlarged))
-        if _audit(nodes, links, threshold, audit_sample) >= recall:
+        if _audit(nodes, links, threshold, audit_sample, unseen) >= recall:
             break
     else:  # the graph misses too much: every pair is compared
         tiled = cut(_tiled_links(nodes, ["label", "dim"], threshold, stars=True))

@@ -104,3 +104,15 @@ def test_a_narrow_cone_is_split_into_leaves(spark, monkeypatch):
     nodes = spark.createDataFrame([(i, "a", 16, v.tobytes()) for i, v in enumerate(x)], "node long, label string, dim int, x binary")
     leaves = N._leaves(nodes, range(0, 2))
     assert leaves.count() == 1200 and leaves.groupBy("tree", "g").count().agg({"count": "max"}).first()[0] <= 32
+
+
+def test_an_audit_is_bounded_where_links_are_rare(spark, monkeypatch):
+    """Two pairs among 3000 vectors: the audit asks for its sample and for nodes that other trees link, not for all."""
+    rng = np.random.default_rng(12)
+    rows = [(i, rng.standard_normal(32).tolist(), 0) for i in range(3000)] + [(5000 + i, v, 0) for i, v, _ in pairs(2, 32)]
+    asked = []
+    audited = N._audited
+    monkeypatch.setattr(N, "_audited", lambda *a: (asked.append(a[4]), audited(*a))[1])
+    got = run(spark, rows, audit_sample=50)
+    assert sum(asked) <= 4 * (50 + N.LINKED)
+    assert got == brute(rows)
