@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagesift.functions.text import bound
+
 ROOT_LOC = "s.parser"
 LOOP_TYPES = ("loop", "xpath-loop", "css-loop")
 FIELD_TYPES = LOOP_TYPES + ("xpath", "css", "xpath-list", "css-list")
@@ -165,8 +167,9 @@ def _with_types(stages: DataFrame, stage_col: str) -> DataFrame:
     return stages.select("*", *[_vtype(v, path).alias(f"_t{o}") for o, path, *_ in STAGE_CHECKS])
 
 
-def stage_issue_array() -> Column:
-    """``array<struct<ord, field, severity, message>>`` from the ``_t*`` type columns.
+def stage_issue_array(kind=lambda ord_: F.col(f"_t{ord_}")) -> Column:
+    """``array<struct<ord, field, severity, message>>`` from the JSON type ``kind(ord)`` of every
+    checked key, by default the ``_t*`` columns.
 
     Missing necessary key or wrong type → error; missing optional key →
     warning.  Children are checked only when their parent passed.
@@ -174,7 +177,7 @@ def stage_issue_array() -> Column:
     ok: dict[int, Column] = {}
     items = []
     for ord_, path, name, typ, necessary, parent in STAGE_CHECKS:
-        t = F.col(f"_t{ord_}")
+        t = kind(ord_)
         gate = ok[parent] if parent is not None else F.lit(True)
         ok[ord_] = gate & t.isNotNull() & t.isin(*typ.split("|"))
         missing = gate & t.isNull()
@@ -232,6 +235,144 @@ def parser_field_issues(tree: DataFrame, group_cols: list[str]) -> DataFrame:
     return out.select(*group_cols, "path", "i.severity", "i.message", "i.counted")
 
 
+PARSER_ROWS = "array<struct<loc:string,name:string,type:string,value:string,next:string>>"
+
+
+def tree_in_row(rows: Column) -> Column:
+    """``parser_tree`` of one array of parser rows, within its row: no explode, no join.
+
+    ``array<struct<path, loc, name, depth, type, xpath, css, loop, next>>`` in the
+    order of the rows.  The first row of a path wins; a field is reached when all
+    proper prefixes of its ``loc`` are paths of loops.  Work per row of the table
+    grows with the square of one parser's fields, not with the table.  A null
+    array gives null.
+    """
+    n_root = len(ROOT_LOC.split("."))
+    path = lambda r: F.concat_ws(".", r["loc"], r["name"])
+
+    def reached(r: Column, loops: Column) -> Column:
+        def prefixes(parts: Column) -> Column:
+            return F.transform(F.sequence(F.lit(n_root + 1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "."))
+
+        under = bound(F.split(r["loc"], "\\."), lambda parts: F.size(F.array_except(prefixes(parts), loops)) == 0)
+        return F.when(r["loc"] == ROOT_LOC, True).when(r["loc"].startswith(ROOT_LOC + "."), under).otherwise(False)
+
+    def field(r: Column) -> Column:
+        t, value = r["type"], r["value"]
+        is_xpath, is_css = t.startswith("xpath"), t.startswith("css")
+        return F.struct(
+            path(r).alias("path"), r["loc"].alias("loc"), r["name"].alias("name"),
+            (F.size(F.split(r["loc"], "\\.")) - n_root + 1).alias("depth"), t.alias("type"),
+            F.when(is_xpath, value).alias("xpath"), F.when(is_css, value).alias("css"),
+            F.when(~is_xpath & ~is_css, value).alias("loop"), F.when(~t.isin(*LOOP_TYPES), r["next"]).alias("next"))
+
+    def tree(won: Column) -> Column:
+        loops = F.transform(F.filter(won, lambda r: r["type"].isin(*LOOP_TYPES)), path)
+        return bound(loops, lambda ls: F.transform(F.filter(won, lambda r: reached(r, ls)), field))
+
+    return bound(rows, lambda rs: bound(F.transform(rs, path), lambda paths: bound(
+        F.filter(rs, lambda r, i: F.array_position(paths, path(r)) == i + 1), tree)))
+
+
+def tree_fields(parser: Column) -> Column:
+    """All fields of a compiled parser (a VARIANT object) as ``array<struct<path, name, v>>``, outer ones first.
+
+    The tree is walked level by level within the row, down the ``child`` objects of
+    its loops, whatever its depth: no more levels than the text names ``child``.
+    A parser that is no object has no fields.
+    """
+    none = F.array().cast("array<struct<path:string,name:string,v:variant>>")
+
+    def members(prefix: Column, obj: Column) -> Column:
+        entries = F.map_entries(F.try_variant_get(obj, "$", "map<string,variant>"))
+        return F.coalesce(F.transform(entries, lambda e: F.struct(
+            F.concat(prefix, F.lit("."), e["key"]).alias("path"), e["key"].alias("name"), e["value"].alias("v"))), none)
+
+    def below(f: Column) -> Column:
+        loop = F.try_variant_get(f["v"], "$.type", "string").isin(*LOOP_TYPES)
+        return F.when(loop, members(f["path"], F.try_variant_get(f["v"], "$.child", "variant"))).otherwise(none)
+
+    levels = F.sequence(F.lit(1), F.coalesce(F.size(F.split(F.to_json(parser), '"child"')), F.lit(1)))
+    return F.aggregate(
+        levels, F.struct(none.alias("done"), members(F.lit(ROOT_LOC), parser).alias("level")),
+        lambda acc, _: F.struct(F.concat(acc["done"], acc["level"]).alias("done"), F.flatten(F.transform(acc["level"], below)).alias("level")),
+        lambda acc: F.concat(acc["done"], acc["level"]))
+
+
+def _field_kinds(path, name, field, type_kind, type_, expr, child) -> Column:
+    return F.struct(path.alias("path"), name.alias("name"), field.alias("field"), type_kind.alias("type_kind"),
+                    type_.alias("type"), expr.alias("expr"), child.alias("child"))
+
+
+def _by_type(type_: Column, loop, xpath, css) -> Column:
+    return F.when(type_ == "loop", loop).when(type_.startswith("xpath"), xpath).when(type_.startswith("css"), css)
+
+
+def parser_issue_array(parser: Column) -> Column:
+    """``array<struct<path, severity, message, counted>>``: issues of all fields of a parser, within its row.
+
+    ``parser`` is a VARIANT, the compiled tree or its authoring rows.  A field is an
+    object with a text ``type`` and the text expression of its type; a loop has a
+    ``child`` object too, whose absence is a warning.  An unknown type is a warning
+    that does not count.  Rows have no ``child``: compiling gives every loop one.
+    """
+    text = F.lit("str")
+    from_tree = F.transform(tree_fields(parser), lambda f: bound(F.try_variant_get(f["v"], "$.type", "string"), lambda t: _field_kinds(
+        f["path"], f["name"], _vtype(f["v"], "$"), _vtype(f["v"], "$.type"), t,
+        _by_type(t, *[_vtype(f["v"], f"$.{k}") for k in ("loop", "xpath", "css")]), _vtype(f["v"], "$.child"))))
+    from_rows = F.transform(tree_in_row(F.try_variant_get(parser, "$", PARSER_ROWS)), lambda f: _field_kinds(
+        f["path"], f["name"], F.lit("dict"), F.when(f["type"].isNotNull(), text), f["type"],
+        F.when(_by_type(f["type"], f["loop"], f["xpath"], f["css"]).isNotNull(), text), F.lit("dict")))
+
+    def judged(kind: Column, wanted: str, what: Column, severity: str = "error") -> Column:
+        lost = F.concat(F.lit("Necessary part " if severity == "error" else ""), what, F.lit(" lose"))
+        return F.when(kind.isNull(), issue(severity, lost)).when(kind != wanted, issue("error", F.concat(what, F.lit(" type error"))))
+
+    def issue(severity: str, message: Column, counted: bool = True) -> Column:
+        return F.struct(F.lit(severity).alias("severity"), message.alias("message"), F.lit(counted).alias("counted"))
+
+    def issues(f: Column) -> Column:
+        what, t = F.concat(F.lit("parser-"), f["name"]), f["type"]
+        part = lambda key: F.concat(what, F.lit("."), key)
+        is_field, has_type = F.coalesce(f["field"] == "dict", F.lit(False)), F.coalesce(f["type_kind"] == "str", F.lit(False))
+        known = t.isin(*FIELD_TYPES)
+        found = F.array(
+            judged(f["field"], "dict", what),
+            F.when(is_field, judged(f["type_kind"], "str", part(F.lit("type")))),
+            F.when(is_field & has_type & known, judged(f["expr"], "str", part(_by_type(t, F.lit("loop"), F.lit("xpath"), F.lit("css"))))),
+            F.when(is_field & has_type & t.isin(*LOOP_TYPES), judged(f["child"], "dict", part(F.lit("child")), "warning")),
+            F.when(is_field & has_type & ~known, issue("warning", F.concat(F.lit("Unknown parser type '"), t, F.lit("'")), False)))
+        return F.transform(F.filter(found, lambda i: i.isNotNull()), lambda i: F.struct(
+            f["path"].alias("path"), i["severity"].alias("severity"), i["message"].alias("message"), i["counted"].alias("counted")))
+
+    return F.flatten(F.transform(F.coalesce(from_rows, from_tree), issues))
+
+
+def stages_verdict(stages: Column) -> Column:
+    """``struct<errors, warnings, check_pass, correct_pass>`` of a rule from its stages (``array<variant>``), within its row:
+    the issues of every stage and of all fields of its parser.  A null array gives null."""
+
+    def severities(stage: Column) -> Column:
+        kinds = F.struct(*[_vtype(stage, path).alias(f"t{o}") for o, path, *_ in STAGE_CHECKS])
+        own = bound(kinds, lambda k: F.transform(stage_issue_array(lambda o: k[f"t{o}"]), lambda i: i["severity"]))
+        fields = F.filter(parser_issue_array(F.try_variant_get(stage, "$.parser", "variant")), lambda i: i["counted"])
+        return F.concat(own, F.transform(fields, lambda i: i["severity"]))
+
+    def verdict_of(found: Column) -> Column:
+        n = {k: F.size(F.filter(found, lambda s: s == k)) for k in ("error", "warning")}
+        return F.struct(n["error"].alias("errors"), n["warning"].alias("warnings"),
+                        ((n["error"] == 0) & (n["warning"] == 0)).alias("check_pass"), (n["error"] == 0).alias("correct_pass"))
+
+    return bound(F.flatten(F.transform(stages, severities)), lambda found: F.when(found.isNotNull(), verdict_of(found)))
+
+
+def editor_issues(rows: DataFrame, group_cols: list[str], ord_col: str = "ord") -> DataFrame:
+    """Parser rows that the rule editor does not accept though the validator does: a blank or missing name, a blank
+    expression.  One row per authoring row and reason, uncounted."""
+    reasons = F.array(F.when(F.coalesce("name", F.lit("")) == "", F.lit("Empty field name")), F.when(F.col("value") == "", F.lit("Empty expression")))
+    return rows.select(*group_cols, ord_col, F.explode(F.filter(reasons, lambda r: r.isNotNull())).alias("message"))
+
+
 # Place of the parser's fields among the checks of a stage, and of its closing line.
 PARSER_ORD, END_ORD = 10, 99
 

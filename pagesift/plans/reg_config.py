@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pagesift.functions.joins import spread
 from pagesift.operators import config as C
 from pagesift.plans import sqlparts as S
 from pagesift.plans.catalog import register
@@ -44,7 +45,8 @@ def parser_rows(spark, sf):
                   F.lit(None).cast("string").alias("next"))
     r3 = p.select("rule", (F.col("p_partkey") * 3 + 2).alias("ord"), F.concat(F.lit("s.parser."), "w1", F.lit("."), "w2").alias("loc"),
                   F.col("w3").alias("name"), leaf.alias("type"),
-                  F.when(F.col("p_size") % 5 != 0, F.concat(F.lit("a."), "w3", F.lit("::attr(href)"))).alias("value"),
+                  F.when(F.col("p_size") % 25 == 7, F.lit("")).when(
+                      F.col("p_size") % 5 != 0, F.concat(F.lit("a."), "w3", F.lit("::attr(href)"))).alias("value"),
                   F.when(F.col("p_size") % 4 == 0, F.lit("detail")).alias("next"))
     return r1.unionByName(r2).unionByName(r3)
 
@@ -61,7 +63,7 @@ def parser_rows_sql() -> str:
       SELECT rule, p_partkey * 3 + 1, 's.parser.' || w[1], w[2], {mid}[p_size % 3 + 1], '.' || w[2], NULL FROM {w}
       UNION ALL
       SELECT rule, p_partkey * 3 + 2, 's.parser.' || w[1] || '.' || w[2], w[3], {leaf}[p_size % 6 + 1],
-             CASE WHEN p_size % 5 <> 0 THEN 'a.' || w[3] || '::attr(href)' END,
+             CASE WHEN p_size % 25 = 7 THEN '' WHEN p_size % 5 <> 0 THEN 'a.' || w[3] || '::attr(href)' END,
              CASE WHEN p_size % 4 = 0 THEN 'detail' END FROM {w})"""
 
 
@@ -139,6 +141,47 @@ def q_parser_field_validate(spark, sf):
     return C.parser_field_issues(C.parser_tree(parser_rows(spark, sf), ["rule"]), ["rule"])
 
 
+@register("editor_validate", lambda: f"SELECT rule, ord, 'Empty expression' AS message FROM {parser_rows_sql()} WHERE value = ''")
+def q_editor_validate(spark, sf):
+    """Authoring rows that the rule editor rejects."""
+    return C.editor_issues(parser_rows(spark, sf), ["rule"])
+
+
+#: Expression key of the inner field of a derived tree, by ``p_size``, beside its type in LEAF_TYPES.
+TREE_KEYS = ["xpath", "css", "xpath", "css", "loop", "xpath"]
+
+
+@register(
+    "tree_field_validate",
+    lambda: f"""
+      WITH t AS (SELECT p_partkey AS id, p_size, list_transform([1, 2], lambda i: coalesce(string_split(lower(p_type), ' ')[i], 'x')) AS w, {[*LEAF_TYPES]}[p_size % 6 + 1] AS t,
+                        {[*TREE_KEYS]}[p_size % 6 + 1] AS k FROM part)
+      SELECT id, 's.parser.' || w[1] AS path, CASE WHEN p_size % 9 = 0 THEN 'warning' ELSE 'error' END AS severity,
+             'parser-' || w[1] || '.child ' || CASE WHEN p_size % 9 = 0 THEN 'lose' ELSE 'type error' END AS message, true AS counted
+      FROM t WHERE p_size % 9 < 2
+      UNION ALL
+      SELECT id, 's.parser.' || w[1] || '.' || w[2], 'error', 'Necessary part parser-' || w[2] || ' lose', true FROM t WHERE p_size % 9 = 2
+      UNION ALL
+      SELECT id, 's.parser.' || w[1] || '.' || w[2], 'warning', 'Unknown parser type ''mystery''', false FROM t WHERE p_size % 9 > 2 AND t = 'mystery'
+      UNION ALL
+      SELECT id, 's.parser.' || w[1] || '.' || w[2], 'error',
+             CASE WHEN p_size % 5 = 0 THEN 'Necessary part parser-' || w[2] || '.' || k || ' lose' ELSE 'parser-' || w[2] || '.' || k || ' type error' END, true
+      FROM t WHERE p_size % 9 > 2 AND p_size % 5 < 2 AND t <> 'mystery'
+      UNION ALL
+      SELECT id, 's.parser.' || w[1] || '.' || w[2], 'warning', 'parser-' || w[2] || '.child lose', true FROM t WHERE p_size % 9 > 2 AND t = 'loop'""",
+)
+def q_tree_field_validate(spark, sf):
+    """Compiled parsers, one per part: every field judged down the ``child`` objects, missing and mistyped ones among them."""
+    p = _words(spark, sf)
+    size = F.col("p_size")
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (size % 6 + 1).cast("int"))
+    expr = F.when(size % 5 == 0, "null").when(size % 5 == 1, "7").otherwise('"./a"')
+    inner = F.when(size % 9 == 2, "null").otherwise(F.format_string('{"type":"%s","%s":%s}', pick(LEAF_TYPES), pick(TREE_KEYS), expr))
+    child = F.when(size % 9 == 0, "null").when(size % 9 == 1, "[]").otherwise(F.format_string('{"%s":%s}', F.col("w2"), inner))
+    tree = F.format_string('{"%s":{"type":"xpath-loop","xpath":"//section","child":%s}}', F.col("w1"), child)
+    return p.select(F.col("p_partkey").alias("id"), F.inline(C.parser_issue_array(F.parse_json(tree))))
+
+
 # -- whole rules as JSON ---------------------------------------------------------
 
 def rules(spark, sf):
@@ -333,15 +376,10 @@ def _parser_counts_sql() -> str:
                       GROUP BY s.id) v LEFT JOIN {_parser_counts_sql()} p ON p.id = v.id""",
 )
 def q_config_verdict(spark, sf):
-    """Per rule: counts of stage and parser-field issues, and pass flags over both."""
-    v = C.stage_verdicts(_stages(spark, sf), "stage").groupBy("id").agg(F.sum("errors").alias("e"), F.sum("warnings").alias("w"))
-    fields = C.parser_field_issues(q_config_compile(spark, sf), ["id", "stage_idx"]).where("counted")
-    p = fields.groupBy("id").agg(F.count_if(F.col("severity") == "error").alias("pe"), F.count_if(F.col("severity") == "warning").alias("pw"))
-    errors, warnings = F.col("e") + F.coalesce("pe", F.lit(0)), F.col("w") + F.coalesce("pw", F.lit(0))
-    return v.join(p, "id", "left").select(
-        "id", errors.alias("errors"), warnings.alias("warnings"),
-        ((errors == 0) & (warnings == 0)).alias("check_pass"), (errors == 0).alias("correct_pass"),
-    )
+    """Per rule: counts of stage and parser-field issues, and pass flags over both, in the rule's own row."""
+    r = spread(rules(spark, sf))
+    st = F.from_json(F.get_json_object("rule_raw", "$._stages"), "array<string>")
+    return r.select("id", C.stages_verdict(F.transform(st, F.parse_json)).alias("v")).select("id", "v.*")
 
 
 def _log_sql(mode: str) -> str:

@@ -28,6 +28,78 @@ def test_parser_tree_first_wins_and_reach(spark):
     assert t["s.parser.c"]["css"] == "p"
 
 
+def test_tree_in_the_row_equals_the_join_form(spark):
+    import random
+
+    draw = random.Random(5)
+    rows = []
+    for rule in range(200):
+        for ord_ in range(draw.randrange(0, 14)):
+            loc = draw.choice(["s.parser", "s.parser.a", "s.parser.a.b", "s.parser.a.b.a", "s.parser.b", "s.parserx", "other", None])
+            rows.append((rule, ord_, loc, draw.choice(["a", "b", "c", None]), draw.choice(["loop", "xpath-loop", "css", "xpath-list", "odd"]),
+                         draw.choice(["v", "", None]), draw.choice(["n", None])))
+    df = spark.createDataFrame(rows, "rule int, ord int, loc string, name string, type string, value string, next string")
+    packed = df.groupBy("rule").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.struct("loc", "name", "type", "value", "next").alias("r")))),
+                                                lambda x: x["r"]).alias("rows"))
+    inline = packed.select("rule", F.inline(C.tree_in_row(F.col("rows"))))
+    joined = C.parser_tree(df, ["rule"])
+    assert inline.columns == joined.columns
+    key = lambda r: tuple((x is None, str(x)) for x in r)
+    got, want = sorted(map(tuple, inline.collect()), key=key), sorted(map(tuple, joined.collect()), key=key)
+    assert got == want and len(got) > 60
+    edge = spark.createDataFrame([([],), (None,)], f"rows {C.PARSER_ROWS}")
+    assert [r[0] for r in edge.select(C.tree_in_row(F.col("rows"))).collect()] == [[], None]
+
+
+def test_fields_of_a_compiled_tree(spark):
+    leaf = {"type": "css", "css": "p"}
+    deep = leaf
+    for i in range(40):
+        deep = {"type": "loop", "loop": "x", "child": {f"d{i}": deep, "twin": leaf}}
+    parsers = {
+        0: {"a": leaf},
+        1: {"a": {"type": "css-loop", "css": "li"}},  # a loop without child
+        2: {"a": {"type": "xpath-loop", "child": []}},  # no expression, child of a wrong type
+        3: {"a": {"type": "odd", "css": 1}, "b": None, "c": "text", "d": {"css": "p"}, "e": {"type": 3}},
+        4: {"top": deep},  # forty levels, all clean
+        5: {"a": {"type": "loop", "loop": "x", "child": {"b": {"type": "xpath", "css": "p"}, "c": {"type": "css", "css": ""}}}},
+        6: [{"loc": "s.parser", "name": "a", "type": "loop", "value": "x", "next": None},
+            {"loc": "s.parser.a", "name": "b", "type": "css", "value": None, "next": None}],
+        7: {}, 8: [], 9: "text", 10: None,
+    }
+    df = spark.createDataFrame([(i, json.dumps(p)) for i, p in parsers.items()], "id int, p string").withColumn("p", F.parse_json("p"))
+    got = {}
+    for r in df.select("id", F.inline(C.parser_issue_array(F.col("p")))).collect():
+        got.setdefault(r["id"], set()).add((r["path"], r["severity"], r["message"], r["counted"]))
+    assert got == {
+        1: {("s.parser.a", "warning", "parser-a.child lose", True)},
+        2: {("s.parser.a", "error", "Necessary part parser-a.xpath lose", True), ("s.parser.a", "error", "parser-a.child type error", True)},
+        3: {("s.parser.a", "warning", "Unknown parser type 'odd'", False), ("s.parser.b", "error", "Necessary part parser-b lose", True),
+            ("s.parser.c", "error", "parser-c type error", True), ("s.parser.d", "error", "Necessary part parser-d.type lose", True),
+            ("s.parser.e", "error", "parser-e.type type error", True)},
+        5: {("s.parser.a.b", "error", "Necessary part parser-b.xpath lose", True)},
+        6: {("s.parser.a.b", "error", "Necessary part parser-b.css lose", True)},
+    }
+    assert df.where("id = 4").select(F.size(C.tree_fields(F.col("p")))).first()[0] == 81
+
+
+def test_verdict_of_a_rule_in_its_row(spark):
+    clean = {"name": "s", "header": {"external": [], "loop": {}}, "request": {"url": "u", "method": "GET", "headers": {}, "cookies": {}},
+             "parser": {"a": {"type": "css", "css": "p"}}, "remove_repeats": True, "need_refresh": False}
+    rules = {0: [clean, clean], 1: [clean, dict(clean, parser={"a": {"type": "loop", "loop": "x"}})], 2: [dict(clean, parser={"a": {"type": "css"}})],
+             3: [], 4: [dict(clean, request=None), dict(clean, need_refresh="yes", header=None)]}
+    df = spark.createDataFrame([(i, [json.dumps(s) for s in r]) for i, r in rules.items()] + [(5, None)], "id int, s array<string>")
+    v = {r["id"]: r["v"] and tuple(r["v"]) for r in df.select("id", C.stages_verdict(F.transform("s", F.parse_json)).alias("v")).collect()}
+    # a child that is missing in the second loop of rule 1, an expression in rule 2
+    assert v == {0: (0, 0, True, True), 1: (0, 1, False, True), 2: (1, 0, False, False), 3: (0, 0, True, True), 4: (2, 1, False, False), 5: None}
+
+
+def test_rows_the_editor_rejects(spark):
+    rows = [("s.parser", "", "css", "p", None), ("s.parser", None, "css", "", None), ("s.parser", "a", "css", None, None), ("s.parser", "b", "css", "p", None)]
+    got = {(r["ord"], r["message"]) for r in C.editor_issues(_rows(spark, rows), ["rule"]).collect()}
+    assert got == {(0, "Empty field name"), (1, "Empty field name"), (1, "Empty expression")}
+
+
 def test_path_rename(spark):
     rows = [("s.parser", "a", "loop", "x", None), ("s.parser.a", "b", "css", "y", None),
             ("s.parser.a.b", "c", "css", "z", None), ("s.parser.ab", "d", "css", "w", None)]

@@ -60,3 +60,14 @@ def test_main_text_is_one_partitioning(spark):
             assert "Join" not in p and "Scan ExistingRDD" not in p and "explode(path" not in p, k
     finally:
         spark.conf.set(conf, dealt)
+
+
+def test_verdict_of_a_rule_needs_no_join(spark):
+    conf = "spark.pagesift.parsePartitions"
+    dealt = spark.conf.get(conf)
+    spark.conf.unset(conf)
+    try:
+        p = plan(catalog.queries()["config_verdict"](spark, SF))
+        assert "Join" not in p and "Exchange" not in p and "Generate" not in p
+    finally:
+        spark.conf.set(conf, dealt)
