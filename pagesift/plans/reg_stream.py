@@ -12,12 +12,13 @@ from pagesift.streaming import crawl as ST
 from pagesift.streaming.crawl import EVENT_SCHEMA
 
 
-@register("stream_url_dedup", "SELECT DISTINCT url FROM pages")
+@register("stream_url_dedup", "SELECT url, min(page_id) AS page_id FROM pages GROUP BY url")
 def q_stream_url_dedup(spark, sf):
+    """The snapshots that a stream over the page files stores: the first of every URL."""
     base = ST.new_run_dir(spark, "dedup")
     pages = ST.read_pages_stream(spark, sf, glob="pages.parquet")
-    ST.run_to_parquet(ST.stream_url_dedup(pages).select("url"), f"{base}/out", f"{base}/ckpt")
-    return spark.read.parquet(f"{base}/out")
+    ST.store_first_snapshots(spark, pages, lambda rows: rows.select("url", "page_id"), f"{base}/out", f"{base}/ckpt")
+    return spark.read.parquet(f"{base}/out").drop("epoch")
 
 
 @register("stream_articles", _flagship_sql)

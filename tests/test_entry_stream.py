@@ -61,3 +61,73 @@ def test_crawl_run_levels_and_depth_limit(spark):
     rule["common"]["depth_limit"] = 2
     got = sorted(r["url"] for r in run_rule(spark, rule, pages, start, dt.datetime(2024, 1, 1)).collect())
     assert got == ["http://h.example/p1", "http://h.example/p2", "http://h.example/p3", "http://h.example/p4"]
+
+
+PAGE = "page_id long, url string, html string"
+
+
+def _arrive(spark, folder, name, rows):
+    spark.createDataFrame(rows, PAGE).coalesce(1).write.mode("append").parquet(f"{folder}/{name}")
+
+
+def _stored(spark, out):
+    return sorted(((r["url"] or "", r["page_id"]) for r in spark.read.parquet(out).collect()))
+
+
+def test_stream_keeps_the_first_snapshot_and_resumes(spark):
+    base = ST.new_run_dir(spark, "t")
+    src, out, ckpt = f"{base}/in", f"{base}/out", f"{base}/ckpt"
+
+    def drain():
+        pages = spark.readStream.schema(ST.PAGE_SCHEMA).parquet(f"{src}/*")
+        ST.store_first_snapshots(spark, pages, lambda rows: rows.select("url", "page_id", "html"), out, ckpt)
+
+    # repeats inside a batch (the lowest page_id wins wherever it stands), a null and an empty url
+    _arrive(spark, src, "a", [(7, "u", "7"), (3, "u", "3"), (9, "v", "9"), (4, None, "4"), (2, None, "2"), (5, "", None)])
+    _arrive(spark, src, "b", [(1, "w", "1"), (8, "v", "8"), (6, "u", "6")])
+    drain()
+    first = [("", 2), ("", 5), ("u", 3), ("v", 8), ("w", 1)]
+    assert _stored(spark, out) == first
+    drain()  # nothing new
+    assert _stored(spark, out) == first
+    _arrive(spark, src, "c", [(0, "u", "0"), (11, "x", "11"), (10, "x", "10")])
+    drain()  # a url that was stored stays as it is, whatever page_id comes later
+    assert _stored(spark, out) == sorted([*first, ("x", 10)])
+    assert {r["html"] for r in spark.read.parquet(out).where("url = 'x'").collect()} == {"10"}
+
+
+def test_killed_stream_stores_each_url_once(spark):
+    import pytest
+
+    base = ST.new_run_dir(spark, "t")
+    src, out, ckpt = f"{base}/in", f"{base}/out", f"{base}/ckpt"
+    _arrive(spark, src, "a", [(1, "u", "1"), (2, "v", "2")])
+    calls = []
+
+    def drain(form):
+        pages = spark.readStream.schema(ST.PAGE_SCHEMA).parquet(f"{src}/*")
+        ST.store_first_snapshots(spark, pages, form, out, ckpt)
+
+    def form(rows):
+        return rows.select("url", "page_id")
+
+    def dies_after_writing(rows):
+        calls.append(1)
+        form(rows).write.mode("overwrite").parquet(f"{out}/epoch=0")  # the rows land, the batch is never committed
+        raise RuntimeError("killed")
+
+    with pytest.raises(Exception, match="killed"):
+        drain(dies_after_writing)
+    _arrive(spark, src, "b", [(0, "u", "0"), (3, "w", "3")])
+    drain(form)  # the batch is replayed, then the new file is read
+    assert calls == [1] and _stored(spark, out) == [("u", 1), ("v", 2), ("w", 3)]
+    drain(form)
+    assert _stored(spark, out) == [("u", 1), ("v", 2), ("w", 3)]
+
+
+def test_stream_over_an_empty_table(spark):
+    base = ST.new_run_dir(spark, "t")
+    _arrive(spark, f"{base}/in", "a", [])
+    pages = spark.readStream.schema(ST.PAGE_SCHEMA).parquet(f"{base}/in/*")
+    ST.store_first_snapshots(spark, pages, lambda rows: rows.select("url", "page_id"), f"{base}/out", f"{base}/ckpt")
+    assert spark.read.parquet(f"{base}/out").count() == 0
