@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pagesift.functions import html as H
 from pagesift.functions.urls import url_join
+from pagesift.session import new_scratch_path
 
 DEFAULT_DEPTH_LIMIT = 5
 
@@ -73,48 +74,51 @@ def stage_route(links: DataFrame, stages: DataFrame, depth_col: str | None = Non
     )
 
 
-def frontier_expand(
-    spark: SparkSession,
-    start: DataFrame,
-    edges: DataFrame,
-    limit: int,
-    checkpoint_every: int = 1,
-) -> DataFrame:
+def _bucketed(df: DataFrame, name: str, path: str, n: int) -> None:
+    """Append ``df`` to the table ``name``, dealt to ``n`` files by url."""
+    df.write.mode("append").bucketBy(n, "url").option("path", path).saveAsTable(name)
+
+
+def next_level(visited: DataFrame, links: DataFrame, level: int) -> DataFrame:
+    """``url, depth`` of the URLs that the links of ``level`` lead to and that were never visited."""
+    frontier = visited.where(F.col("depth") == level).select("url")
+    found = frontier.join(links.where("dst_url IS NOT NULL"), "url").select(F.col("dst_url").alias("url")).distinct()
+    return found.join(visited.select("url"), "url", "left_anti").withColumn("depth", F.lit(level + 1))
+
+
+def frontier_expand(spark: SparkSession, start: DataFrame, edges: DataFrame, limit: int, seen: DataFrame | None = None) -> DataFrame:
     """Breadth-first expansion: ``(url, depth)`` with the least depth per URL.
 
     Start URLs are depth 1; a page at depth L emits its links while L ≤ limit,
-    so the deepest pages have depth ``limit + 1``.  One join + anti-join per
-    level; the driver loops over levels (not pages).  Lineage is cut with a
-    reliable ``checkpoint()`` into the shared ``spark.checkpoint.dir``, which
-    survives the loss of executors.
+    so the deepest pages have depth ``limit + 1``.  A link without a target leads
+    nowhere.  URLs of ``seen`` (a ``url`` column, from earlier runs) are neither
+    returned nor expanded.
+
+    The distinct links and the visited URLs are two tables bucketed by url in the
+    shared checkpoint folder, so a level reads both where they lie: its one shuffle
+    is that of the URLs just reached, and it appends its own rows to the visited
+    table.  The driver loops over levels (not pages).  The tables leave the catalog
+    at the end; their files stay, as the result reads them.
     """
-    from pagesift.session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(spark)
-    frontier = start.select("url").distinct().withColumn("depth", F.lit(1)).checkpoint(eager=True)
-    levels = [frontier]
-    e = edges.select(F.col("src_url").alias("url"), "dst_url")
-    for level in range(1, limit + 1):
-        reached = levels[0].select("url")
-        for lv in levels[1:]:
-            reached = reached.unionByName(lv.select("url"))
-        nxt = (
-            frontier.join(e, "url")
-            .select(F.col("dst_url").alias("url"))
-            .distinct()
-            .join(reached, "url", "left_anti")
-            .withColumn("depth", F.lit(level + 1))
-        )
-        # Each level is written once; later levels read it back (short lineage).
-        nxt = nxt.checkpoint(eager=True) if level % checkpoint_every == 0 else nxt
-        if nxt.isEmpty():
-            break
-        levels.append(nxt)
-        frontier = nxt
-    out = levels[0]
-    for lv in levels[1:]:
-        out = out.unionByName(lv)
-    return out
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    paths = {t: new_scratch_path(spark, t) for t in ("frontier_links", "frontier_visited")}
+    links, visited = (f"pagesift_{p.rpartition('/')[2].replace('-', '_')}" for p in paths.values())
+    try:
+        # Targets that are null go at the join: a filter here would resolve every link twice.
+        e = edges.select(F.col("src_url").alias("url"), "dst_url").distinct()
+        _bucketed(e.repartition(n, "url"), links, paths["frontier_links"], n)
+        first = start.select("url", F.lit(1).alias("depth"))
+        if seen is not None:
+            first = first.unionByName(seen.select("url", F.lit(0).alias("depth")))
+        _bucketed(first.groupBy("url").agg(F.min("depth").alias("depth")).repartition(n, "url"), visited, paths["frontier_visited"], n)
+        for level in range(1, limit + 1):
+            _bucketed(next_level(spark.table(visited), spark.table(links), level), visited, paths["frontier_visited"], n)
+            if spark.table(visited).where(F.col("depth") == level + 1).isEmpty():
+                break
+    finally:
+        for name in (links, visited):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return spark.read.schema("url STRING, depth INT").parquet(paths["frontier_visited"]).where("depth > 0")
 
 
 def links_by_stage_grouped(pages: DataFrame, fields: list[tuple[str, str | None, str | None]]) -> DataFrame:

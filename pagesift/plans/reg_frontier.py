@@ -6,11 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pagesift.functions import html as H
-from pagesift.functions.joins import param_frame
+from pagesift.functions.joins import param_frame, spread
+from pagesift.functions.urls import url_join
 from pagesift.operators import frontier as FR
 from pagesift.operators import requests as RQ
 from pagesift.plans import sqlparts as S
 from pagesift.plans.catalog import register
+from pagesift.plans.reg_html import links_sql
 from pagesift.sources.tables import fetch_join, table
 
 FOOTER_RE = "(?is)<footer[^>]*>.*?</footer>"
@@ -94,10 +96,35 @@ def q_fetch_join(spark, sf):
     )
 
 
+def page_edges(pages):
+    """``src_url, dst_url``: the resolved targets of all links of all pages."""
+    links = pages.select("url", F.explode(H.anchors("html")).alias("a"))
+    return links.select(F.col("url").alias("src_url"), url_join(F.col("url"), H.anchor_href("a")).alias("dst_url"))
+
+
+def _edges_sql() -> str:
+    return f"(SELECT DISTINCT url AS src_url, {S.url_join_sql('url', 'href')} AS dst_url FROM {links_sql()})"
+
+
+@register(
+    "frontier_expand",
+    lambda: f"""WITH RECURSIVE e AS (SELECT * FROM {_edges_sql()}),
+        r(url, depth) AS (
+          SELECT url, 1 FROM pages
+          UNION
+          SELECT e.dst_url, r.depth + 1 FROM r JOIN e ON e.src_url = r.url WHERE r.depth <= {DEPTH_LIMIT} AND e.dst_url IS NOT NULL)
+        SELECT url, min(depth) AS depth FROM r GROUP BY url""",
+)
+def q_frontier_expand(spark, sf):
+    """Start from every page; expand over the pages' own links to the depth limit."""
+    pages = table(spark, sf, "pages", "url", "html")
+    return FR.frontier_expand(spark, pages.select("url"), page_edges(spread(pages)), FR.depth_limit(DEPTH_LIMIT))
+
+
 def derived_edges(pages):
-    """A link table derived from the page table for expansion tests (the
-    fixture's own links resolve to no snapshot): page i links to pages
-    2i+1 and 2i+2.  Two equi-joins on page_id — no skew, no pairs."""
+    """A deeper link table than the fixture's own (whose links resolve to no
+    snapshot): page i links to pages 2i+1 and 2i+2.  Two equi-joins on page_id —
+    no skew, no pairs."""
     p = pages.select("page_id", "url")
     q = pages.select(F.col("page_id").alias("dst_id"), F.col("url").alias("dst_url"))
     left = p.join(q, q["dst_id"] == p["page_id"] * 2 + 1)
@@ -106,7 +133,7 @@ def derived_edges(pages):
 
 
 @register(
-    "frontier_expand",
+    "frontier_levels",
     f"""WITH RECURSIVE e AS (
           SELECT p.url AS src_url, q.url AS dst_url FROM pages p JOIN pages q ON q.page_id = 2 * p.page_id + 1
           UNION ALL
@@ -117,8 +144,8 @@ def derived_edges(pages):
           SELECT e.dst_url, r.depth + 1 FROM r JOIN e ON e.src_url = r.url WHERE r.depth <= {DEPTH_LIMIT})
         SELECT url, min(depth) AS depth FROM r GROUP BY url""",
 )
-def q_frontier_expand(spark, sf):
-    """Start from every page whose URL carries no query string; expand to the depth limit."""
+def q_frontier_levels(spark, sf):
+    """The same over derived links that go several levels deep, from the pages whose URL has no query string."""
     pages = table(spark, sf, "pages", "page_id", "url")
     start = pages.where(~F.col("url").contains("?")).select("url")
     return FR.frontier_expand(spark, start, derived_edges(pages), FR.depth_limit(DEPTH_LIMIT))

@@ -153,6 +153,28 @@ def test_frontier_chain(spark):
     assert got == {"1": 1, "2": 2, "3": 3}
 
 
+def test_frontier_equals_a_plain_search(spark):
+    import random
+
+    draw = random.Random(3)
+    links = {(f"u{draw.randrange(300)}", f"u{draw.randrange(300)}") for _ in range(330)}
+    links |= {("u1", "u1"), ("u2", None), (None, "u3")}  # to itself, to nowhere, from nowhere
+    start, seen = [*(f"u{i}" for i in range(0, 300, 15)), "u1", "u2", "u2", "u50", None], ["u50", "u60", "u7"]
+    depth = {u: 1 for u in start if u not in seen}
+    for level in range(1, 7):
+        for src, dst in sorted((p for p in links if None not in p)):
+            if depth.get(src) == level and dst not in seen:
+                depth.setdefault(dst, level + 1)
+    edges = spark.createDataFrame([*links, *links], "src_url string, dst_url string")
+    got = FR.frontier_expand(spark, spark.createDataFrame([(u,) for u in start], "url string"), edges, 6,
+                             spark.createDataFrame([(u,) for u in seen], "url string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(depth.items(), key=str)
+    assert max(depth.values()) > 4
+    empty = spark.createDataFrame([], "src_url string, dst_url string")
+    assert FR.frontier_expand(spark, empty.selectExpr("src_url AS url"), empty, 3).collect() == []
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("pagesift_frontier")]
+
+
 def test_url_dedup_marks_seen_before_threshold(spark):
     pages = spark.createDataFrame([(1, "u1", "<p>x</p>"), (2, "u1", "<p>y</p>"), (3, "u2", "<p>z</p>")], "page_id long, url string, html string")
     first = url_dedup(pages)

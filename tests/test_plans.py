@@ -71,3 +71,24 @@ def test_verdict_of_a_rule_needs_no_join(spark):
         assert "Join" not in p and "Exchange" not in p and "Generate" not in p
     finally:
         spark.conf.set(conf, dealt)
+
+
+def test_a_level_shuffles_only_what_it_reached(spark):
+    from pyspark.sql import functions as F
+
+    from pagesift.operators import frontier as FR
+    from pagesift.session import new_scratch_path
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    urls = spark.range(5000).select(F.concat(F.lit("u"), "id").alias("url"))
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables too large to broadcast
+    try:
+        FR._bucketed(urls.withColumn("depth", F.lit(1)).repartition(n, "url"), "t_visited", new_scratch_path(spark, "v"), n)
+        FR._bucketed(urls.withColumn("dst_url", F.col("url")).repartition(n, "url"), "t_links", new_scratch_path(spark, "l"), n)
+        p = plan(FR.next_level(spark.table("t_visited"), spark.table("t_links"), 1))
+        assert p.partition("\n\n")[0].count("Exchange") == 1, p
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+        spark.sql("DROP TABLE IF EXISTS t_visited")
+        spark.sql("DROP TABLE IF EXISTS t_links")
