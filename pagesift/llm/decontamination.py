@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagesift.llm.common import OWN
+from pagesift.session import ship_package
 
 #: Bytes of item text that are broadcast at once; a larger benchmark is matched shard by shard.
 SHARD_BYTES = 16 << 20
@@ -186,6 +187,7 @@ def find_contamination(
     null ids are carried; repeated document rows each give their rows, repeated
     items count once; empty tables give no rows; other columns are not read.
     """
+    ship_package(docs.sparkSession)
     return _matches(docs, benchmark, max_edit_share, id_col, text_col, item_col, item_text_col).drop(f"{OWN}text_hash")
 
 
@@ -194,6 +196,7 @@ def drop_contaminated(
     item_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item."""
+    ship_package(docs.sparkSession)
     found = _matches(docs, benchmark, max_edit_share, id_col, text_col, item_col, item_text_col)
     bad = found.select(F.col("doc_id").alias(f"{OWN}id"), f"{OWN}text_hash").distinct()
     on = F.col(id_col).cast("long").eqNullSafe(F.col(f"{OWN}id")) & (F.xxhash64(F.col(text_col)) == F.col(f"{OWN}text_hash"))

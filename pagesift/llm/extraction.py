@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagesift.session import ship_package
+
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe noembed noframes xmp".split())
@@ -405,6 +407,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     one block.  Cut-off markup is read as far as it goes; null ids and urls and
     repeated rows keep their row; other columns are not read.
     """
+    ship_package(pages.sparkSession)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

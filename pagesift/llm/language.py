@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesift.llm.common import OWN, cut, written
+from pagesift.session import ship_package
 
 UNDETERMINED = "und"
 GRAM = 3
@@ -49,6 +50,7 @@ def grams(text: str) -> np.ndarray:
 
 def page_evidence(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``pages`` with ``declared`` (of the html tag), ``host`` and ``suffix`` (last part of the host's name)."""
+    ship_package(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce(url_col, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     declared = F.regexp_extract(F.coalesce(html_col, F.lit("")), r"""(?i)<html\b[^>]*\blang\s*=\s*["']?([A-Za-z-]+)""", 1)
     return pages.withColumns({
@@ -235,6 +237,7 @@ def identify_languages(
     A null declaration, host or suffix adds no evidence.  Null ids and repeated
     rows keep their row; an empty table gives none; other columns are not read.
     """
+    ship_package(docs.sparkSession)
     return _decisions(docs, id_col, text_col, declared_col, host_col, suffix_col, strength, min_posterior).drop(f"{OWN}text_hash")
 
 
@@ -243,6 +246,7 @@ def drop_unidentified(
     host_col: str | None = "source", suffix_col: str | None = None, strength: float = 50.0, min_posterior: float = 0.5,
 ) -> DataFrame:
     """The rows of ``docs`` that ``identify_languages`` accepts."""
+    ship_package(docs.sparkSession)
     found = _decisions(docs, id_col, text_col, declared_col, host_col, suffix_col, strength, min_posterior)
     bad = cut(found.where("NOT accepted").select(F.col("doc_id").alias(f"{OWN}id"), f"{OWN}text_hash").distinct())
     on = F.col(id_col).cast("long").eqNullSafe(F.col(f"{OWN}id")) & (F.xxhash64(F.col(text_col)) == F.col(f"{OWN}text_hash"))

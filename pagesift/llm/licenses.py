@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagesift.llm.common import OWN
+from pagesift.session import ship_package
 
 # Phrases whose every place is reported, by label.
 BASE_PHRASES = {
@@ -150,6 +151,7 @@ def _vocabulary(templates, phrases) -> frozenset[bytes]:
 
 def word_weights(docs: DataFrame, text_col: str, vocabulary: frozenset[bytes]) -> dict[bytes, float]:
     """Inverse document frequency of each template word over all rows; one row per word reaches the driver."""
+    ship_package(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter = Counter()
@@ -187,6 +189,7 @@ def scan_licenses(
     label, else 0.  Null texts count as empty; null ids and repeated rows keep
     their row; an empty table gives no rows; other columns are not read.
     """
+    ship_package(docs.sparkSession)
     vocabulary = _vocabulary(templates, phrases)
     index = TemplateIndex(templates, word_weights(docs, text_col, vocabulary), rare_words, min_share)
     base = {label: tuple(p.encode().split()) for label, p in phrases.items()}

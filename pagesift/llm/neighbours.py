@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from pagesift.llm.common import OWN, cut, written
 from pagesift.llm.graph import connected_components
+from pagesift.session import ship_package
 
 #: Nodes that are compared with each other in one task step; leaves of over twice as many are split by further planes.
 LEAF = 512
@@ -310,6 +311,7 @@ def near_duplicate_vectors(
     Trees are grown ``growths`` times at most, until the audited recall reaches
     ``recall``; if it never does, all pairs of a label are compared.  An empty table gives no rows; other columns are not read.
     """
+    ship_package(vectors.sparkSession)
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagesift.llm.common import OWN, global_rank, written
+from pagesift.session import ship_package
 
 #: Texts are split at blanks into slices of about so many characters, and so
 #: many distinct words are kept encoded per worker; both only bound memory.
@@ -121,6 +122,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_
     counts as empty.  The vocabulary file (a parameter of a few MB) is read by
     the driver and broadcast.
     """
+    ship_package(docs.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as f:
         vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -211,4 +213,5 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, i
     other; equal lengths are placed in any order; an empty table gives no
     rows; other columns are not read.
     """
+    ship_package(docs.sparkSession)
     return place(written(token_pieces(docs, tokenizer_path, capacity, id_col, text_col), "pieces"), capacity)

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagesift.session import ship_package
+
 WORD_BUCKETS = 1 << 14
 RANK = 8
 BINS = 12
@@ -144,6 +146,7 @@ def train(
     (features): of rows that share an id the one with the least text hash is
     read.  Ids with contradicting labels are left out.
     """
+    ship_package(docs.sparkSession)
     machine = FactorisationMachine.empty()
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (fold(id_col) != 0))
     known = known.groupBy(F.col(id_col).cast("long").alias("_ps_id")).agg(F.min(label_col).alias("_ps_y"), F.max(label_col).alias("_ps_y2"))
@@ -185,6 +188,7 @@ def score_quality(
     half.  Null ids and repeated rows keep their row; an empty table gives no
     rows; other columns are not read.
     """
+    ship_package(docs.sparkSession)
     machine = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, length_col, label_col, train_rows))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

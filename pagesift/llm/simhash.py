@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pagesift.llm.common import OWN, cut, written
 from pagesift.llm.graph import connected_components
 from pagesift.llm.shingles import simhash
+from pagesift.session import ship_package
 
 #: Segments of two bits: the finest whose counts are not the bits themselves.
 SEGMENT_BITS = 2
@@ -36,6 +37,7 @@ _EVEN_BITS = np.uint64(0x5555555555555555)
 
 def fingerprints(docs: DataFrame, n_words: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, fp)`` of every row; ``fp`` holds the 64 bits as a signed long."""
+    ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -215,6 +217,7 @@ def near_duplicates(
     the smallest other id of its group, or null; repeated rows keep their
     rows; an empty table gives none; other columns are not read.
     """
+    ship_package(docs.sparkSession)
     rows = written(fingerprints(docs, n_words, seed, id_col, text_col), "fingerprints")
     nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("lowest")))
     roots = connected_components(near_links(nodes, max_bits))
@@ -235,6 +238,7 @@ def keep_one(docs: DataFrame, n_words: int = 4, max_bits: int = 4, id_col: str =
     Ids name documents: of rows that repeat a kept id one stays.  A row without
     an id counts as named by its text, after all others.
     """
+    ship_package(docs.sparkSession)
     own = f"{OWN}id"
     nameless = F.xxhash64(F.coalesce(text_col, F.lit(""))).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
     named = docs.withColumn(own, F.coalesce(F.col(id_col).cast("long"), nameless))
