@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagesift.functions.text import col_
+from pagesift.session import ship_package
 
 # The declaration patterns (first ``<meta … charset=…>``, else an XML declaration).
 META_CHARSET_RE = "(?i)<meta.*?charset=[\"']*(.+?)[\"'>]"
@@ -67,13 +68,11 @@ def html_decode(df: DataFrame, content_col: str) -> DataFrame:
     replacement characters.  (The reference's statistical guess for pages of
     under ten text bytes needs a per-row detector library and is not built.)
     """
-    declared = declared_charset(F.decode(F.col(content_col), "ISO-8859-1"))
-    staged = df.withColumn("_declared", declared)
-    utf8 = staged.where(F.col("_declared").isNull() | F.col("_declared").isin(*UTF8_NAMES))
-    other = staged.where(~(F.col("_declared").isNull() | F.col("_declared").isin(*UTF8_NAMES)))
-    utf8 = utf8.withColumn("charset", F.lit("utf-8")).withColumn(
-        "html", F.make_valid_utf8(F.col(content_col).cast("string"))
-    )
-    dec = _decode_other(F.col(content_col), F.col("_declared"))
-    other = other.withColumn("_d", dec).withColumn("charset", F.col("_d.charset")).withColumn("html", F.col("_d.html")).drop("_d")
-    return utf8.unionByName(other).drop("_declared")
+    ship_package(df.sparkSession)
+    staged = df.withColumn("_declared", declared_charset(F.decode(F.col(content_col), "ISO-8859-1")))
+    is_utf8 = F.col("_declared").isNull() | F.col("_declared").isin(*UTF8_NAMES)
+    # Python gets the bytes of the other charsets only, a null for the rest: one pass over the rows.
+    staged = staged.withColumn("_d", _decode_other(F.when(~is_utf8, F.col(content_col)), F.col("_declared")))
+    return staged.withColumn("charset", F.when(is_utf8, F.lit("utf-8")).otherwise(F.col("_d.charset"))).withColumn(
+        "html", F.when(is_utf8, F.make_valid_utf8(F.col(content_col).cast("string"))).otherwise(F.col("_d.html"))
+    ).drop("_declared", "_d")
