@@ -42,6 +42,15 @@ def read_pages_stream(spark: SparkSession, folder: str, glob: str | None = None,
     return read_stream(spark, folder, PAGE_SCHEMA, glob, max_files)
 
 
+def read_table_stream(spark: SparkSession, sf_dir: str, name: str, schema: str) -> DataFrame:
+    """A table of ``sf_dir`` as a stream, whether it is one file or a folder of files.
+
+    A name filter sees the names of files only, never that of a folder, and a plain
+    path must be a folder; a pattern, here one that only this name fits, may be both.
+    """
+    return read_stream(spark, os.path.join(sf_dir, f"{name}.parque[t]"), schema)
+
+
 def stream_url_dedup(pages: DataFrame, watermark_col: str | None = None, delay: str | None = None) -> DataFrame:
     """Dedup by URL with all columns, for sinks in append mode; of equal URLs in one micro-batch any row may win.
 
