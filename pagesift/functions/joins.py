@@ -24,3 +24,17 @@ def spread(df: DataFrame) -> DataFrame:
     """
     n = df.sparkSession.conf.get(PARSE_PARTITIONS_CONF, None)
     return df if df.isStreaming or not n else df.repartition(int(n))
+
+
+DEAL_ROWS = 2000
+
+
+def deal(df: DataFrame) -> DataFrame:
+    """Deal the narrow rows of a scan out to all cores, some ``DEAL_ROWS`` or more to a task.
+
+    A row of a few dozen bytes may ask for a millisecond of work, but splits are cut
+    by bytes: a table of a million such rows is read by one task or two.  The rows
+    are counted from the files' footers; round robin, so that no key decides.
+    """
+    n = min(df.count() // DEAL_ROWS, max(64, 4 * df.sparkSession.sparkContext.defaultParallelism))
+    return df.repartition(n) if n > 1 else df

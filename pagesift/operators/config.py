@@ -130,18 +130,17 @@ def config_get(requests: DataFrame, store: DataFrame, default: str, key: str = "
 
 # -- validation ----------------------------------------------------------------
 
+# The kind of a JSON value by how its schema begins; JSON null (VOID) is not among them.
+_KINDS = {"OBJECT": "dict", "ARRAY": "list", "STRING": "str", "BOOLEAN": "bool", "": "number"}
+
+
 def _vtype(v: Column, path: str) -> Column:
-    """'dict' | 'list' | 'str' | 'bool' | 'number' | None (missing or JSON null)."""
-    x = F.try_variant_get(v, path, "variant")
-    s = F.schema_of_variant(x)
-    return (
-        F.when(x.isNull() | (s == "VOID"), F.lit(None))
-        .when(s.startswith("OBJECT"), "dict")
-        .when(s.startswith("ARRAY"), "list")
-        .when(s == "STRING", "str")
-        .when(s == "BOOLEAN", "bool")
-        .otherwise("number")
-    )
+    """'dict' | 'list' | 'str' | 'bool' | 'number' | None (missing or JSON null).
+
+    The value is looked up once: within a lambda a repeated expression is computed again.
+    """
+    begins = F.regexp_extract(F.schema_of_variant(F.try_variant_get(v, path, "variant")), "^(OBJECT|ARRAY|STRING$|BOOLEAN$|VOID$)", 1)
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in _KINDS.items() for x in kv]), begins)
 
 
 # (ord, json path, display name, accepted types, necessary, parent check ord or None);
@@ -467,7 +466,7 @@ def _object(parts: Column) -> Column:
 def _filled(parts: Column, defaults: dict[str, str]) -> Column:
     """``parts`` with the keys that it lacks; a key that is there keeps its value, a null too."""
     given = F.create_map(*[F.lit(x) for kv in defaults.items() for x in kv])
-    return F.map_concat(parts, F.map_filter(given, lambda k, _: ~F.map_contains_key(parts, k)))
+    return bound(parts, lambda own: F.map_concat(own, F.map_filter(given, lambda k, _: ~F.map_contains_key(own, k))))
 
 
 def _children(fields: dict) -> dict:
@@ -481,14 +480,14 @@ def _children(fields: dict) -> dict:
 
 
 def _with_children(parser: Column) -> Column:
-    """Trees have any depth, which an expression cannot walk: a small function per parser does."""
+    """Parser trees with children; null for anything else.  Trees have any depth, which an expression cannot
+    walk: a small function per parser does."""
 
     @F.pandas_udf("string")
     def walk(parsers: pd.Series) -> pd.Series:
         return parsers.map(lambda p: json.dumps(_children(json.loads(p)), ensure_ascii=False) if p is not None else None)
 
-    is_tree = parser.startswith("{") & parser.contains("loop")
-    return F.coalesce(walk(F.when(is_tree, parser)), parser)
+    return walk(bound(parser, lambda p: F.when(p.startswith("{") & p.contains("loop"), p)))
 
 
 def corrected_stage(stage_json: Column, verdict_errors: Column) -> Column:
@@ -499,16 +498,20 @@ def corrected_stage(stage_json: Column, verdict_errors: Column) -> Column:
     stages, keys of the caller's own.  A key that is null stays null.  A stage
     with errors comes back as it was.
     """
-    stage = _filled(_parts(stage_json), STAGE_DEFAULTS)
-
-    def inner(key: str, value: Column) -> Column:
-        is_object = value.startswith("{")
-        if key == "parser":
-            return _with_children(value)
-        return F.when(is_object, _object(_filled(_parts(value), HEADER_DEFAULTS if key == "header" else REQUEST_DEFAULTS))).otherwise(value)
-
-    keys = ("header", "request", "parser")
-    rest = F.map_filter(stage, lambda k, _: ~k.isin(*keys))
-    replaced = F.create_map(*[x for k in keys for x in (F.lit(k), inner(k, F.try_element_at(stage, F.lit(k))))])
-    fixed = F.map_concat(rest, F.map_filter(replaced, lambda _, v: v.isNotNull()))
-    return F.when(verdict_errors == 0, _object(fixed)).otherwise(stage_json)
+    # every part is computed once: ``bound`` names it, and the function of Python stands outside of all lambdas
+    right = F.when(verdict_errors == 0, stage_json)
+    trees = _with_children(F.to_json(F.try_element_at(F.from_json(right, "map<string,variant>"), F.lit("parser"))))
+
+    def inner(stage: Column, key: str, defaults: dict[str, str]) -> Column:
+        return bound(F.try_element_at(stage, F.lit(key)),
+                     lambda value: F.when(value.startswith("{"), _object(_filled(_parts(value), defaults))).otherwise(value))
+
+    def whole(stage: Column, tree: Column) -> Column:
+        replaced = {"header": inner(stage, "header", HEADER_DEFAULTS), "request": inner(stage, "request", REQUEST_DEFAULTS),
+                    "parser": F.coalesce(tree, F.try_element_at(stage, F.lit("parser")))}
+        rest = F.map_filter(stage, lambda k, _: ~k.isin(*replaced))
+        given = F.create_map(*[x for k, v in replaced.items() for x in (F.lit(k), v)])
+        return _object(F.map_concat(rest, F.map_filter(given, lambda _, v: v.isNotNull())))
+
+    found = F.struct(_filled(_parts(right), STAGE_DEFAULTS).alias("stage"), trees.alias("tree"))
+    return F.when(verdict_errors == 0, bound(found, lambda x: whole(x["stage"], x["tree"]))).otherwise(stage_json)

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagesift.functions.joins import spread
+from pagesift.functions.joins import deal
 from pagesift.operators import config as C
 from pagesift.plans import sqlparts as S
 from pagesift.plans.catalog import register
@@ -172,7 +172,7 @@ TREE_KEYS = ["xpath", "css", "xpath", "css", "loop", "xpath"]
 )
 def q_tree_field_validate(spark, sf):
     """Compiled parsers, one per part: every field judged down the ``child`` objects, missing and mistyped ones among them."""
-    p = _words(spark, sf)
+    p = deal(_words(spark, sf))
     size = F.col("p_size")
     pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (size % 6 + 1).cast("int"))
     expr = F.when(size % 5 == 0, "null").when(size % 5 == 1, "7").otherwise('"./a"')
@@ -186,7 +186,7 @@ def q_tree_field_validate(spark, sf):
 
 def rules(spark, sf):
     """One rule JSON per part (id = p_partkey), with two stages."""
-    p = table(spark, sf, "part", "p_partkey", "p_brand", "p_type", "p_size", "p_name")
+    p = deal(table(spark, sf, "part", "p_partkey", "p_brand", "p_type", "p_size", "p_name"))
     w = F.split(F.concat(F.lower("p_type"), F.lit(" x x")), " ")
     rows = F.array(
         F.struct(F.lit("s.parser").alias("loc"), F.try_element_at(w, F.lit(1)).alias("name"), F.lit("xpath-loop").alias("type"),
@@ -377,7 +377,7 @@ def _parser_counts_sql() -> str:
 )
 def q_config_verdict(spark, sf):
     """Per rule: counts of stage and parser-field issues, and pass flags over both, in the rule's own row."""
-    r = spread(rules(spark, sf))
+    r = rules(spark, sf)
     st = F.from_json(F.get_json_object("rule_raw", "$._stages"), "array<string>")
     return r.select("id", C.stages_verdict(F.transform(st, F.parse_json)).alias("v")).select("id", "v.*")
 
