@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesift.functions.joins import param_frame
+from pagesift.functions.text import bound
 from pagesift.operators.template import EXPRESSION_RE, PATH_EXPR_RE
 
 _EXPRESSION = EXPRESSION_RE.pattern.replace("{", r"\{").replace("}", r"\}")
@@ -33,26 +34,33 @@ def render_rows(template: Column, env: Column) -> Column:
     one that is an error, and so are a path that leads nowhere and an
     expression that is no path.  A null template gives a null value.
     """
-    expressions = F.regexp_extract_all(template, F.lit(_EXPRESSION), 1)
-    literals = F.split(template, _EXPRESSION, -1)
-    whole = (F.size(expressions) == 1) & (F.array_join(literals, "") == "")
-
-    def lookup(x: Column) -> Column:
-        is_path = x.rlike(PATH_EXPR_RE.pattern)
-        v = F.when(is_path, F.call_function("try_variant_get", env, F.concat(F.lit("$."), F.trim(x)), F.lit("variant")))
-        is_text = F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False))
+    # ``bound`` names what is used more than once: within a lambda a repeated expression is computed again
+    def lookup(x: Column, whole: Column) -> Column:
+        v = F.when(x.rlike(PATH_EXPR_RE.pattern), F.call_function("try_variant_get", env, F.concat(F.lit("$."), F.trim(x)), F.lit("variant")))
+        return bound(v, lambda v: bound(F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False)), lambda is_text: found_value(x, whole, v, is_text)))
+
+    def found_value(x: Column, whole: Column, v: Column, is_text: Column) -> Column:
         text = F.when(is_text, F.try_variant_get(v, "$", "string")).otherwise(F.to_json(v))
         # fixed values: the names of the two errors
         error = F.when(v.isNull(), F.concat(F.lit("ExpressionError: "), F.trim(x))).when(
             ~is_text & ~whole, F.concat(F.lit("ConcatenateError: "), F.trim(x)))
         return F.struct(text.alias("text"), is_text.alias("is_text"), error.alias("error"))
 
-    found = F.transform(expressions, lookup)
-    error = F.try_element_at(F.filter(F.transform(found, lambda f: f["error"]), lambda e: e.isNotNull()), F.lit(1))
-    joined = F.array_join(F.zip_with(literals, found, lambda a, f: F.concat(a, F.coalesce(f["text"], F.lit("")))), "")
-    value = F.when(error.isNull(), joined)
-    is_text = ~whole | F.try_element_at(found, F.lit(1))["is_text"]
-    return F.struct(value.alias("value"), F.coalesce(is_text, F.lit(True)).alias("is_text"), error.alias("error"))
+    def result(literals: Column, whole: Column, found: Column) -> Column:
+        def of(error: Column) -> Column:
+            joined = F.array_join(F.zip_with(literals, found, lambda a, f: F.concat(a, F.coalesce(f["text"], F.lit("")))), "")
+            is_text = ~whole | F.try_element_at(found, F.lit(1))["is_text"]
+            return F.struct(F.when(error.isNull(), joined).alias("value"), F.coalesce(is_text, F.lit(True)).alias("is_text"), error.alias("error"))
+
+        return bound(F.try_element_at(F.filter(F.transform(found, lambda f: f["error"]), lambda e: e.isNotNull()), F.lit(1)), of)
+
+    def rendered(parts: Column) -> Column:
+        expressions, literals = parts["expressions"], parts["literals"]
+        return bound((F.size(expressions) == 1) & (F.array_join(literals, "") == ""), lambda whole: bound(
+            F.transform(expressions, lambda x: lookup(x, whole)), lambda found: result(literals, whole, found)))
+
+    return bound(F.struct(F.regexp_extract_all(template, F.lit(_EXPRESSION), 1).alias("expressions"),
+                          F.split(template, _EXPRESSION, -1).alias("literals")), rendered)
 
 
 def quoted(text: Column) -> Column:
@@ -74,12 +82,18 @@ def environment(own: Column, external: Column, names: Column, history: Column) -
     """
     taken = F.concat(F.array(F.lit("e")), names)
     past = F.map_filter(F.coalesce(history, F.create_map().cast("map<string,string>")), lambda k, _: ~F.array_contains(taken, k))
-    own_map = F.map_filter(F.create_map(F.lit("s"), own), lambda k, _: ~F.map_contains_key(past, k))
-    e = F.parse_json(external)
-    named = F.map_from_entries(F.transform(
-        F.filter(F.array_distinct(names), lambda n: n != "e"),
-        lambda n: F.struct(n.alias("key"), F.coalesce(F.to_json(F.call_function("try_variant_get", e, F.concat(F.lit("$."), n), F.lit("variant"))), F.lit("null")).alias("value"))))
-    return F.concat(F.lit("{"), members(F.map_concat(own_map, past, F.create_map(F.lit("e"), external), named)), F.lit("}"))
+
+    def value(e: Column, n: Column) -> Column:
+        return F.coalesce(F.to_json(F.call_function("try_variant_get", e, F.concat(F.lit("$."), n), F.lit("variant"))), F.lit("null"))
+
+    named = bound(F.parse_json(external), lambda e: F.map_from_entries(F.transform(
+        F.filter(F.array_distinct(names), lambda n: n != "e"), lambda n: F.struct(n.alias("key"), value(e, n).alias("value")))))
+
+    def whole(past: Column) -> Column:
+        own_map = F.map_filter(F.create_map(F.lit("s"), own), lambda k, _: ~F.map_contains_key(past, k))
+        return F.concat(F.lit("{"), members(F.map_concat(own_map, past, F.create_map(F.lit("e"), external), named)), F.lit("}"))
+
+    return bound(past, whole)
 
 
 def stage_rows(spark: SparkSession, stages: list[dict], external: str = "{}") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pagesift.functions.joins import deal
 from pagesift.operators import requests as RQ
 from pagesift.operators import template as TP
 from pagesift.plans.catalog import register
@@ -19,7 +20,7 @@ REFERER = "https://{{e.host}}/{{s.brand}}"
 
 def _part_env(spark, sf):
     """One environment per part row: ``s`` (its stage-like fields) and ``e`` (external)."""
-    p = table(spark, sf, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    p = deal(table(spark, sf, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size"))
     s = F.struct(
         F.col("p_brand").alias("brand"), F.col("p_type").alias("type"), F.col("p_size").alias("size"),
         F.split("p_name", " ").alias("words"),
@@ -177,7 +178,7 @@ REQUEST_EXTERNAL = f'{{"host": "{HOST}", "shop": {{"host": "{HOST}"}}}}'
 )
 def q_request_rows(spark, sf):
     """Requests of two stages from rows that carry the values of the stage they came from."""
-    p = table(spark, sf, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    p = deal(table(spark, sf, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size"))
     value = F.to_json(F.struct(F.col("p_brand").alias("brand"), F.col("p_type").alias("type"), F.split("p_name", " ").alias("words")))
     frontier = p.select(
         "p_partkey", F.when(F.col("p_size") % 3 == 0, "detail").otherwise("catalog").alias("stage"),
