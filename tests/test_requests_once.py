@@ -11,7 +11,7 @@ def _calls(column, name: str) -> int:
     return len(re.findall(rf"\b{name}\(", str(column)))
 
 
-def test_a_template_is_taken_apart_once():
+def test_a_template_is_taken_apart_once(spark):
     made = RQ.render_rows(F.col("t"), F.col("env"))
     assert _calls(made, "regexp_extract_all") == 1 and _calls(made, "split") == 1
     env = RQ.environment(F.col("own"), F.col("external"), F.col("names"), F.col("history"))
