@@ -172,3 +172,42 @@ def test_nothing_to_learn_from(spark):
     assert C.scan_secrets(spark.createDataFrame([], schema)).count() == 0
     (row,) = C.scan_secrets(spark.createDataFrame([(1, "a password=abcdefg only, understandably-no-others")], schema)).collect()
     assert (row.spans, row.n_learned, row.score) == ("assign:2:18", 0, 0.0)
+
+
+def test_every_finding_trains(spark, monkeypatch):
+    """No text, no candidate of a text and no finding is left out, however many there are; shards stay bounded."""
+    rnd = random.Random(5)
+    many = " ".join(f"token={token(rnd, n=20)} {token(rnd, 'abcdefghijklmnop', 14)}" for _ in range(700))
+    rows = [(0, many)] + [(d, prose(rnd, 30) + f" secret = {token(rnd, n=20)}") for d in range(1, 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {(label, kind, C.encode([w]).astype(np.uint8).tobytes()) for _, t in rows for label, kind, w in C.labelled(t)}
+    found = C.examples(df, "text").persist()
+    assert {(r.label, r.kind, bytes(r.codes)) for r in found.collect()} == want
+    for k, v in (("SHARD", 256), ("LEAST", 64)):
+        monkeypatch.setattr(C, k, v)
+    dealt = C.shards(found).collect()
+    used = {bytes(r.codes)[i : i + C.WIDTH] for r in dealt for i in range(0, len(r.codes), C.WIDTH)}
+    no = {c for label, _, c in want if label == 0}
+    held = [m for r in dealt for m in bytes(r.marks)]
+    assert len(dealt) > 5 and max(len(r.labels) for r in dealt) < 2000
+    assert len(held) + sum(c in used for _, _, c in want) == len(want)
+    assert sum(m < 3 for m in held) + sum(c in used for c in no) == len(no) and 0.1 < len(held) / len(want) < 0.3
+    net = C.train(df)
+    again = C.train(df.repartition(7))
+    assert np.array_equal(net.tables, again.tables) and net.thresholds == again.thresholds
+    codes = C.encode([C.window(f"well {s} end", 5, 5, 5 + len(s)) for s in (token(rnd, n=20) for _ in range(200))])
+    assert (net.probabilities(codes) >= net.thresholds[0]).mean() >= 0.85
+
+
+def test_thresholds_from_counts():
+    rnd = np.random.default_rng(6)
+    z = np.concatenate([rnd.normal(-3, 1, 500), rnd.normal(2, 1, 300)])
+    label, kind = np.repeat([0, 1], [500, 300]), rnd.integers(0, 2, 800)
+    net = C.Network.fresh()
+    own, n = np.unique(np.stack([label, kind, np.floor(z * C.GRID).astype(int)]), axis=1, return_counts=True)
+    net.calibrate(*own, n, 0.95)
+    p = 1 / (1 + np.exp(-(net.slope * z + net.offset)))
+    for k in (0, 1):
+        mine = p[(label == 1) & (kind == k)]
+        assert (mine >= net.thresholds[k]).mean() >= 0.95 > (mine >= net.thresholds[k] + 0.05).mean()
+    assert net.thresholds[2] <= max(net.thresholds[:2])  # none of its own: that of all
