@@ -192,10 +192,16 @@ def stage_issue_array(kind=lambda ord_: F.col(f"_t{ord_}")) -> Column:
 
 def stage_issues(stages: DataFrame, stage_col: str = "stage") -> DataFrame:
     """Issues of each stage row (``stage`` is a VARIANT): ``ord, field, severity, message``."""
+    found = stages_with_issues(stages, stage_col)
+    return found.select(*[c for c in found.columns if c != "issues"], F.inline("issues"))
+
+
+def stages_with_issues(stages: DataFrame, stage_col: str = "stage") -> DataFrame:
+    """Every stage row with the array ``issues`` in place of its stage: the rows of ``stage_issues`` before the explode."""
     from pagesift.functions.joins import spread
 
     keep = [c for c in stages.columns if c != stage_col]
-    return _with_types(spread(stages), stage_col).select(*keep, F.inline(stage_issue_array()))
+    return _with_types(spread(stages), stage_col).select(*keep, stage_issue_array().alias("issues"))
 
 
 def stage_verdicts(stages: DataFrame, stage_col: str = "stage") -> DataFrame:
@@ -376,46 +382,81 @@ def editor_issues(rows: DataFrame, group_cols: list[str], ord_col: str = "ord")
 PARSER_ORD, END_ORD = 10, 99
 
 
-def issue_log(stages: DataFrame, issues: DataFrame, field_issues: DataFrame, mode: str = "CHECK", key: str = "id") -> DataFrame:
-    """``(id, log)``: the validation log of every rule, clean ones too.
+def issue_log(stages: DataFrame, field_issues: DataFrame, modes: tuple[str, ...] = ("CHECK",), key: str = "id") -> DataFrame:
+    """``(id, mode, log)``: the validation log of every rule in every mode, clean ones too.
 
-    ``stages`` has ``id, stage_idx, name``; ``issues`` and ``field_issues`` are the
-    rows of ``stage_issues`` and ``parser_field_issues`` per ``id, stage_idx``.
-    All three are read several times: pass them written.  A rule's lines are one
-    group, as long as its own stages; the lines are sorted after grouping.
+    ``stages`` has ``id, stage_idx, name, issues`` (see ``stages_with_issues``),
+    ``field_issues`` the rows of ``parser_field_issues`` per ``id, stage_idx``.  Both
+    are read once and meet in one shuffle; a rule's stages are one group, whose
+    lines are made, counted and sorted within its row.  A null id has no counts.
     ``CORRECT`` mode adds a line for every default filled in.
     """
     # The texts of the lines.
-    named = stages.select(key, "stage_idx", F.coalesce("name", F.lit("Untitled Stage")).alias("name"))
-
-    def line(stage_idx, ord_, sub, text, extra=None):
-        return F.struct(stage_idx.cast("int").alias("stage_idx"), F.lit(ord_).cast("int").alias("ord") if isinstance(ord_, int) else ord_.cast("int").alias("ord"),
-                        (extra if extra is not None else F.lit("")).alias("path"), F.lit(sub).alias("sub"), text.alias("line"))
-
-    def leveled():
-        return F.concat(F.upper("severity"), F.lit(" - "), F.col("message"))
-
-    counted = issues.select(key, "stage_idx", "severity").unionByName(field_issues.where("counted").select(key, "stage_idx", "severity"))
-    counts = counted.groupBy(key, "stage_idx").agg(F.count_if(F.col("severity") == "error").alias("e"), F.count_if(F.col("severity") == "warning").alias("w"))
-    e, w = F.coalesce("e", F.lit(0)), F.coalesce("w", F.lit(0))
-    end = F.when((e == 0) & (w == 0), F.concat(F.lit("INFO - Stage "), F.col("name"), F.lit(" validation pass."))).otherwise(
-        F.concat(F.lit("INFO - Stage "), F.col("name"), F.lit(" validation end. Result:  Error: "), e.cast("string"), F.lit("  Warning: "), w.cast("string")))
-    idx = F.col("stage_idx")
-    parts = [
-        stages.select(key).distinct().select(key, line(F.lit(-1), 0, 0, F.lit(f"INFO - Validation initiate with mode {mode}.")).alias("l")),
-        named.select(key, line(idx, 0, 0, F.concat(F.lit("INFO - Stage "), F.col("name"), F.lit(" validation start."))).alias("l")),
-        issues.select(key, line(idx, F.col("ord"), 0, leveled()).alias("l")),
-        field_issues.select(key, line(idx, PARSER_ORD, 0, leveled(), F.col("path")).alias("l")),
-        named.join(counts, [key, "stage_idx"], "left").select(key, line(idx, END_ORD, 0, end).alias("l")),
-    ]
-    if mode == "CORRECT":
-        filled = issues.where(F.col("severity") == "warning")
-        parts.append(filled.select(key, line(idx, F.col("ord"), 1, F.concat(F.lit("INFO - Autofill "), F.col("field"), F.lit(" with default"))).alias("l")))
-    lines = parts[0]
-    for part in parts[1:]:
-        lines = lines.unionByName(part)
-    agg = lines.groupBy(key).agg(F.array_sort(F.collect_list("l")).alias("ls"))
-    return agg.select(key, F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("log"))
+    none = F.lit(None)
+    field = F.struct("path", "severity", "message", "counted")
+    stage = F.struct(F.coalesce("name", F.lit("Untitled Stage")).alias("name"), "issues")
+    parts = stages.select(key, F.struct("stage_idx", stage.alias("stage"), none.cast(_FIELD).alias("field")).alias("p")).unionByName(
+        field_issues.select(key, F.struct("stage_idx", none.cast(_STAGE).alias("stage"), field.cast(_FIELD).alias("field")).alias("p")))
+    groups = parts.groupBy(key).agg(F.collect_list("p").alias("ps"))
+
+    def line(idx, ord_, path, sub, text):
+        return F.struct(idx.cast("int").alias("stage_idx"), ord_.cast("int").alias("ord"), path.alias("path"), F.lit(sub).alias("sub"), text.alias("line"))
+
+    def leveled(i: Column) -> Column:
+        return F.concat(F.upper(i["severity"]), F.lit(" - "), i["message"])
+
+    def totals(ps: Column) -> Column:
+        """Map from a stage's place to its counted errors and warnings, over all rows of that place."""
+
+        def count(idx: Column, severity: str) -> Column:
+            def own(p: Column) -> Column:
+                counted = (p["field"]["severity"] == severity) & p["field"]["counted"]
+                return F.when(p["stage_idx"] == idx, F.coalesce(F.size(F.filter(p["stage"]["issues"], lambda i: i["severity"] == severity)), counted.cast("int"), F.lit(0)))
+
+            return F.aggregate(ps, F.lit(0), lambda n, p: n + F.coalesce(own(p), F.lit(0)))
+
+        places = F.array_distinct(F.transform(F.filter(ps, lambda p: p["stage_idx"].isNotNull()), lambda p: p["stage_idx"]))
+        return F.map_from_entries(F.transform(places, lambda idx: F.struct(idx, F.struct(count(idx, "error").alias("e"), count(idx, "warning").alias("w")))))
+
+    def closing(p: Column, counts: Column) -> Column:
+        def text(n: Column) -> Column:
+            e, w, name = F.coalesce(n["e"], F.lit(0)), F.coalesce(n["w"], F.lit(0)), p["stage"]["name"]
+            return F.when((e == 0) & (w == 0), F.concat(F.lit("INFO - Stage "), name, F.lit(" validation pass."))).otherwise(
+                F.concat(F.lit("INFO - Stage "), name, F.lit(" validation end. Result:  Error: "), e.cast("string"), F.lit("  Warning: "), w.cast("string")))
+
+        return bound(F.try_element_at(counts, p["stage_idx"]), text)
+
+    def lines_of(p: Column, counts: Column) -> Column:
+        """The lines that both modes share, of a stage or of a field's issue."""
+        idx, no_path = p["stage_idx"], F.lit("")
+        own = F.concat(
+            F.array(line(idx, F.lit(0), no_path, 0, F.concat(F.lit("INFO - Stage "), p["stage"]["name"], F.lit(" validation start."))),
+                    line(idx, F.lit(END_ORD), no_path, 0, closing(p, counts))),
+            F.transform(p["stage"]["issues"], lambda i: line(idx, i["ord"], no_path, 0, leveled(i))))
+        return F.when(p["stage"].isNotNull(), own).otherwise(F.array(line(idx, F.lit(PARSER_ORD), p["field"]["path"], 0, leveled(p["field"]))))
+
+    def filled(p: Column) -> Column:
+        return F.transform(F.filter(p["stage"]["issues"], lambda i: i["severity"] == "warning"), lambda i: line(
+            p["stage_idx"], i["ord"], F.lit(""), 1, F.concat(F.lit("INFO - Autofill "), i["field"], F.lit(" with default"))))
+
+    def text(lines: Column) -> Column:
+        return F.array_join(F.transform(F.sort_array(lines), lambda x: x["line"]), "\n")
+
+    def log(mode: str) -> Column:
+        opening = F.when(F.exists("ps", lambda p: p["stage"].isNotNull()), F.array(line(F.lit(-1), F.lit(0), F.lit(""), 0, F.lit(f"INFO - Validation initiate with mode {mode}."))))
+        some = [F.coalesce(opening, F.array().cast(_LINES)), F.col("lines")]
+        if mode == "CORRECT":
+            some.append(F.flatten(F.transform(F.filter("ps", lambda p: p["stage"].isNotNull()), filled)))
+        return F.struct(F.lit(mode).alias("mode"), text(F.concat(*some)).alias("log"))
+
+    counts = F.when(F.col(key).isNotNull(), totals(F.col("ps")))
+    lines = bound(F.struct(counts.alias("n")), lambda c: F.flatten(F.transform("ps", lambda p: lines_of(p, c["n"]))))
+    return groups.select(key, "ps", lines.alias("lines")).select(key, F.inline(F.array(*[log(m) for m in modes])))
+
+
+_FIELD = "struct<path:string,severity:string,message:string,counted:boolean>"
+_STAGE = "struct<name:string,issues:array<struct<ord:int,field:string,severity:string,message:string>>>"
+_LINES = "array<struct<stage_idx:int,ord:int,path:string,sub:int,line:string>>"
 
 
 def verdict(issue_counts: DataFrame, group_cols: list[str]) -> DataFrame:

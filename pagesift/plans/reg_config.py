@@ -342,11 +342,16 @@ def q_corrected_stage(spark, sf):
 @register("config_compile", lambda: f"SELECT * FROM {parser_tree_sql(compile_rows_sql(), 'id, stage_idx')}")
 def q_config_compile(spark, sf):
     """All stages of every rule: stage parser rows → resolved tree per (rule, stage)."""
-    st = _stages(spark, sf)
-    rows = st.select(
-        "id", "stage_idx",
-        F.posexplode(F.from_json(F.to_json(F.try_variant_get("stage", "$.parser", "variant")), "array<struct<loc:string,name:string,type:string,value:string,next:string>>")).alias("ord", "r"),
-    ).select("id", "stage_idx", "ord", "r.*")
+    return _compiled(_stages(spark, sf).select("id", "stage_idx", _authored("stage").alias("rows")))
+
+
+def _authored(stage: str):
+    """The parser rows of a stage."""
+    return F.from_json(F.to_json(F.try_variant_get(stage, "$.parser", "variant")), C.PARSER_ROWS)
+
+
+def _compiled(stages):
+    rows = stages.select("id", "stage_idx", F.posexplode("rows").alias("ord", "r")).select("id", "stage_idx", "ord", "r.*")
     return C.parser_tree(rows, ["id", "stage_idx"])
 
 
@@ -406,12 +411,14 @@ def _log_sql(mode: str) -> str:
 @register("config_issue_log", lambda: f"SELECT * FROM ({_log_sql('CHECK')}) UNION ALL SELECT * FROM ({_log_sql('CORRECT')})")
 def q_config_issue_log(spark, sf):
     """One log text per rule and mode: opening, stage, issue, autofill and closing lines."""
-    stages = _stages(spark, sf).withColumn("name", F.try_variant_get("stage", "$.name", "string"))
-    issues = C.stage_issues(stages.drop("name")).checkpoint()
-    fields = C.parser_field_issues(q_config_compile(spark, sf), ["id", "stage_idx"]).checkpoint()
-    names = stages.select("id", "stage_idx", "name").checkpoint()
-    logs = [C.issue_log(names, issues, fields, m).select("id", F.lit(m).alias("mode"), "log") for m in ("CHECK", "CORRECT")]
-    return logs[0].unionByName(logs[1])
+    stages = _stages(spark, sf).select(
+        "id", "stage_idx", "stage", F.try_variant_get("stage", "$.name", "string").alias("name"), _authored("stage").alias("rows"))
+    # every stage is derived once; what is kept of it are few distinct texts, which columns store small
+    path = new_scratch_path(spark, "stages")
+    C.stages_with_issues(stages).write.parquet(path)
+    stages = spark.read.parquet(path)
+    fields = C.parser_field_issues(_compiled(stages), ["id", "stage_idx"])
+    return C.issue_log(stages.drop("rows"), fields, ("CHECK", "CORRECT"))
 
 
 # -- entrances, JSON checks, key/value forms -------------------------------------
