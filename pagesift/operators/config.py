@@ -130,17 +130,27 @@ def config_get(requests: DataFrame, store: DataFrame, default: str, key: str = "
 
 # -- validation ----------------------------------------------------------------
 
-# The kind of a JSON value by how its schema begins; JSON null (VOID) is not among them.
-_KINDS = {"OBJECT": "dict", "ARRAY": "list", "STRING": "str", "BOOLEAN": "bool", "": "number"}
+# The kind of a JSON value by the two letters its schema begins with; JSON null (VOID) is not among them.
+_KINDS = {"ST": "str", "OB": "dict", "AR": "list", "BO": "bool"} | dict.fromkeys(("BI", "DE", "DO", "DA", "TI", "FL", "IN", "SM", "UU", "YE"), "number")
 
 
-def _vtype(v: Column, path: str) -> Column:
-    """'dict' | 'list' | 'str' | 'bool' | 'number' | None (missing or JSON null).
+def _kind(v: Column) -> Column:
+    """'dict' | 'list' | 'str' | 'bool' | 'number' | None (missing or JSON null) of a VARIANT.
 
-    The value is looked up once: within a lambda a repeated expression is computed again.
+    It stands once in the expression: within a lambda a repeated expression is computed again.
     """
-    begins = F.regexp_extract(F.schema_of_variant(F.try_variant_get(v, path, "variant")), "^(OBJECT|ARRAY|STRING$|BOOLEAN$|VOID$)", 1)
-    return F.try_element_at(F.create_map(*[F.lit(x) for kv in _KINDS.items() for x in kv]), begins)
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in _KINDS.items() for x in kv]), F.substring(F.schema_of_variant(v), 1, 2))
+
+
+def _vtype(v: Column, path: str) -> Column:
+    """The kind of the value at ``path``, which is looked up once."""
+    return _kind(F.try_variant_get(v, path, "variant"))
+
+
+def _members(v: Column, names) -> Column:
+    """The named members of a VARIANT object as a struct of VARIANTs, found in one pass over its keys (a path
+    lookup reads all keys up to its own); null for anything else."""
+    return F.try_variant_get(v, "$", f"struct<{', '.join(f'{n}:variant' for n in names)}>")
 
 
 # (ord, json path, display name, accepted types, necessary, parent check ord or None);
@@ -177,16 +187,14 @@ def stage_issue_array(kind=lambda ord_: F.col(f"_t{ord_}")) -> Column:
     items = []
     for ord_, path, name, typ, necessary, parent in STAGE_CHECKS:
         t = kind(ord_)
-        gate = ok[parent] if parent is not None else F.lit(True)
-        ok[ord_] = gate & t.isNotNull() & t.isin(*typ.split("|"))
-        missing = gate & t.isNull()
-        wrong = gate & t.isNotNull() & ~t.isin(*typ.split("|"))
+        ok[ord_] = fits = t.isin(*typ.split("|"))
         sev_missing = "error" if necessary else "warning"
         msg_missing = f"Necessary part {name} lose" if necessary else f"{name} lose"
-        items.append(
-            F.when(missing, F.struct(F.lit(ord_).alias("ord"), F.lit(name).alias("field"), F.lit(sev_missing).alias("severity"), F.lit(msg_missing).alias("message")))
-            .when(wrong, F.struct(F.lit(ord_).alias("ord"), F.lit(name).alias("field"), F.lit("error").alias("severity"), F.lit(f"{name} type error").alias("message")))
+        found = (
+            F.when(t.isNull(), F.struct(F.lit(ord_).alias("ord"), F.lit(name).alias("field"), F.lit(sev_missing).alias("severity"), F.lit(msg_missing).alias("message")))
+            .when(~fits, F.struct(F.lit(ord_).alias("ord"), F.lit(name).alias("field"), F.lit("error").alias("severity"), F.lit(f"{name} type error").alias("message")))
         )
+        items.append(found if parent is None else F.when(ok[parent], found))
     return F.filter(F.array(*items), lambda x: x.isNotNull())
 
 
@@ -243,17 +251,14 @@ def parser_field_issues(tree: DataFrame, group_cols: list[str]) -> DataFrame:
 PARSER_ROWS = "array<struct<loc:string,name:string,type:string,value:string,next:string>>"
 
 
-def tree_in_row(rows: Column) -> Column:
-    """``parser_tree`` of one array of parser rows, within its row: no explode, no join.
+def reached_rows(rows: Column) -> Column:
+    """The reached rows of one array of parser rows, ``array<struct<path, loc, name, type, value, next>>`` in the
+    order of the rows: the first row of a path wins, and all proper prefixes of its ``loc`` are paths of loops.
 
-    ``array<struct<path, loc, name, depth, type, xpath, css, loop, next>>`` in the
-    order of the rows.  The first row of a path wins; a field is reached when all
-    proper prefixes of its ``loc`` are paths of loops.  Work per row of the table
-    grows with the square of one parser's fields, not with the table.  A null
-    array gives null.
+    A row's path is put together once; places are looked up only where a path comes
+    twice.  A null array gives null.
     """
     n_root = len(ROOT_LOC.split("."))
-    path = lambda r: F.concat_ws(".", r["loc"], r["name"])
 
     def reached(r: Column, loops: Column) -> Column:
         def prefixes(parts: Column) -> Column:
@@ -262,21 +267,39 @@ def tree_in_row(rows: Column) -> Column:
         under = bound(F.split(r["loc"], "\\."), lambda parts: F.size(F.array_except(prefixes(parts), loops)) == 0)
         return F.when(r["loc"] == ROOT_LOC, True).when(r["loc"].startswith(ROOT_LOC + "."), under).otherwise(False)
 
+    def tree(won: Column) -> Column:
+        loops = F.filter(won, lambda r: r["type"].isin(*LOOP_TYPES))["path"]
+        return bound(loops, lambda ls: F.filter(won, lambda r: reached(r, ls)))
+
+    keyed = F.transform(rows, lambda r: F.struct(
+        F.concat_ws(".", r["loc"], r["name"]).alias("path"), *[r[n].alias(n) for n in PARSER_ROW.names]))
+
+    def first(ks: Column, paths: Column) -> Column:
+        return F.when(F.size(F.array_distinct(paths)) == F.size(paths), ks).otherwise(
+            F.filter(ks, lambda r, i: F.array_position(paths, r["path"]) == i + 1))
+
+    return bound(keyed, lambda ks: bound(ks["path"], lambda paths: bound(first(ks, paths), tree)))
+
+
+def tree_in_row(rows: Column) -> Column:
+    """``parser_tree`` of one array of parser rows, within its row: no explode, no join.
+
+    ``array<struct<path, loc, name, depth, type, xpath, css, loop, next>>`` of the
+    ``reached_rows``.  Work per row of the table grows with the square of one
+    parser's fields, not with the table.  A null array gives null.
+    """
+    n_root = len(ROOT_LOC.split("."))
+
     def field(r: Column) -> Column:
         t, value = r["type"], r["value"]
         is_xpath, is_css = t.startswith("xpath"), t.startswith("css")
         return F.struct(
-            path(r).alias("path"), r["loc"].alias("loc"), r["name"].alias("name"),
+            r["path"].alias("path"), r["loc"].alias("loc"), r["name"].alias("name"),
             (F.size(F.split(r["loc"], "\\.")) - n_root + 1).alias("depth"), t.alias("type"),
             F.when(is_xpath, value).alias("xpath"), F.when(is_css, value).alias("css"),
             F.when(~is_xpath & ~is_css, value).alias("loop"), F.when(~t.isin(*LOOP_TYPES), r["next"]).alias("next"))
 
-    def tree(won: Column) -> Column:
-        loops = F.transform(F.filter(won, lambda r: r["type"].isin(*LOOP_TYPES)), path)
-        return bound(loops, lambda ls: F.transform(F.filter(won, lambda r: reached(r, ls)), field))
-
-    return bound(rows, lambda rs: bound(F.transform(rs, path), lambda paths: bound(
-        F.filter(rs, lambda r, i: F.array_position(paths, path(r)) == i + 1), tree)))
+    return F.transform(reached_rows(rows), field)
 
 
 def tree_fields(parser: Column) -> Column:
@@ -322,53 +345,77 @@ def parser_issue_array(parser: Column) -> Column:
     that does not count.  Rows have no ``child``: compiling gives every loop one.
     """
     text = F.lit("str")
-    from_tree = F.transform(tree_fields(parser), lambda f: bound(F.try_variant_get(f["v"], "$.type", "string"), lambda t: _field_kinds(
-        f["path"], f["name"], _vtype(f["v"], "$"), _vtype(f["v"], "$.type"), t,
-        _by_type(t, *[_vtype(f["v"], f"$.{k}") for k in ("loop", "xpath", "css")]), _vtype(f["v"], "$.child"))))
-    from_rows = F.transform(tree_in_row(F.try_variant_get(parser, "$", PARSER_ROWS)), lambda f: _field_kinds(
-        f["path"], f["name"], F.lit("dict"), F.when(f["type"].isNotNull(), text), f["type"],
-        F.when(_by_type(f["type"], f["loop"], f["xpath"], f["css"]).isNotNull(), text), F.lit("dict")))
-
-    def judged(kind: Column, wanted: str, what: Column, severity: str = "error") -> Column:
-        lost = F.concat(F.lit("Necessary part " if severity == "error" else ""), what, F.lit(" lose"))
-        return F.when(kind.isNull(), issue(severity, lost)).when(kind != wanted, issue("error", F.concat(what, F.lit(" type error"))))
 
-    def issue(severity: str, message: Column, counted: bool = True) -> Column:
-        return F.struct(F.lit(severity).alias("severity"), message.alias("message"), F.lit(counted).alias("counted"))
-
-    def issues(f: Column) -> Column:
+    def all_issues(parser: Column) -> Column:
+        from_tree = F.transform(tree_fields(parser), lambda f: bound(F.try_variant_get(f["v"], "$.type", "string"), lambda t: bound(_field_kinds(
+            f["path"], f["name"], _kind(f["v"]), _vtype(f["v"], "$.type"), t,
+            _by_type(t, *[_vtype(f["v"], f"$.{k}") for k in ("loop", "xpath", "css")]), _vtype(f["v"], "$.child")), issues)))
+        # a row's value is the expression of whatever type it has
+        from_rows = F.transform(reached_rows(F.try_variant_get(parser, "$", PARSER_ROWS)), lambda r: issues({
+            "path": r["path"], "name": r["name"], "field": F.lit("dict"), "type_kind": F.when(r["type"].isNotNull(), text),
+            "type": r["type"], "expr": F.when(r["value"].isNotNull(), text), "child": F.lit("dict")}))
+        return F.coalesce(F.flatten(from_rows), F.flatten(from_tree))
+
+    def issues(f) -> Column:
         what, t = F.concat(F.lit("parser-"), f["name"]), f["type"]
         part = lambda key: F.concat(what, F.lit("."), key)
-        is_field, has_type = F.coalesce(f["field"] == "dict", F.lit(False)), F.coalesce(f["type_kind"] == "str", F.lit(False))
         known = t.isin(*FIELD_TYPES)
-        found = F.array(
-            judged(f["field"], "dict", what),
-            F.when(is_field, judged(f["type_kind"], "str", part(F.lit("type")))),
-            F.when(is_field & has_type & known, judged(f["expr"], "str", part(_by_type(t, F.lit("loop"), F.lit("xpath"), F.lit("css"))))),
-            F.when(is_field & has_type & t.isin(*LOOP_TYPES), judged(f["child"], "dict", part(F.lit("child")), "warning")),
-            F.when(is_field & has_type & ~known, issue("warning", F.concat(F.lit("Unknown parser type '"), t, F.lit("'")), False)))
-        return F.transform(F.filter(found, lambda i: i.isNotNull()), lambda i: F.struct(
-            f["path"].alias("path"), i["severity"].alias("severity"), i["message"].alias("message"), i["counted"].alias("counted")))
 
-    return F.flatten(F.transform(F.coalesce(from_rows, from_tree), issues))
+        def issue(severity: str, message: Column, counted: bool = True) -> Column:
+            return F.struct(f["path"].alias("path"), F.lit(severity).alias("severity"), message.alias("message"), F.lit(counted).alias("counted"))
+
+        def judged(kind: Column, wanted: str, what: Column, severity: str = "error") -> Column:
+            lost = F.concat(F.lit("Necessary part " if severity == "error" else ""), what, F.lit(" lose"))
+            return F.when(kind.isNull(), issue(severity, lost)).when(kind != wanted, issue("error", F.concat(what, F.lit(" type error"))))
+
+        # a field is judged as far as it goes: an object, with a type, that is known, whose expression is there
+        is_field, has_type = F.coalesce(f["field"] == "dict", F.lit(False)), F.coalesce(f["type_kind"] == "str", F.lit(False))
+        own = (
+            F.when(~is_field, judged(f["field"], "dict", what))
+            .when(~has_type, judged(f["type_kind"], "str", part(F.lit("type"))))
+            .when(known, judged(f["expr"], "str", part(_by_type(t, F.lit("loop"), F.lit("xpath"), F.lit("css")))))
+            .when(~known, issue("warning", F.concat(F.lit("Unknown parser type '"), t, F.lit("'")), False)))
+        child = F.when(is_field & has_type & t.isin(*LOOP_TYPES), judged(f["child"], "dict", part(F.lit("child")), "warning"))
+        return F.filter(F.array(own, child), lambda i: i.isNotNull())
+
+    return bound(parser, all_issues)
+
+
+def _stage_parts(stage: Column) -> Column:
+    """``struct<kinds, parser>``: the kind of every checked key as ``t<ord>``, and the parser, each object taken apart once."""
+    top = [path[2:] for _, path, *_, parent in STAGE_CHECKS if parent is None]
+    inner = {key: [path.split(".")[2] for _, path, *_ in STAGE_CHECKS if path.startswith(f"$.{key}.")] for key in top}
+
+    def parts(own: Column, below: Column) -> Column:
+        def member(path: str) -> Column:
+            key, *rest = path.split(".")[1:]
+            return below[key][rest[0]] if rest else own[key]
+
+        kinds = F.struct(*[_kind(member(path)).alias(f"t{o}") for o, path, *_ in STAGE_CHECKS])
+        return F.struct(kinds.alias("kinds"), own["parser"].alias("parser"))
+
+    return bound(_members(stage, top), lambda own: bound(
+        F.struct(*[_members(own[key], names).alias(key) for key, names in inner.items() if names]), lambda below: parts(own, below)))
 
 
 def stages_verdict(stages: Column) -> Column:
     """``struct<errors, warnings, check_pass, correct_pass>`` of a rule from its stages (``array<variant>``), within its row:
     the issues of every stage and of all fields of its parser.  A null array gives null."""
 
-    def severities(stage: Column) -> Column:
-        kinds = F.struct(*[_vtype(stage, path).alias(f"t{o}") for o, path, *_ in STAGE_CHECKS])
-        own = bound(kinds, lambda k: F.transform(stage_issue_array(lambda o: k[f"t{o}"]), lambda i: i["severity"]))
-        fields = F.filter(parser_issue_array(F.try_variant_get(stage, "$.parser", "variant")), lambda i: i["counted"])
-        return F.concat(own, F.transform(fields, lambda i: i["severity"]))
+    def severities(parts: Column) -> Column:
+        own = stage_issue_array(lambda o: parts["kinds"][f"t{o}"])
+        return F.concat(own["severity"], F.filter(parser_issue_array(parts["parser"]), lambda i: i["counted"])["severity"])
 
-    def verdict_of(found: Column) -> Column:
+    def counts(found: Column) -> Column:
         n = {k: F.size(F.filter(found, lambda s: s == k)) for k in ("error", "warning")}
-        return F.struct(n["error"].alias("errors"), n["warning"].alias("warnings"),
-                        ((n["error"] == 0) & (n["warning"] == 0)).alias("check_pass"), (n["error"] == 0).alias("correct_pass"))
+        return F.struct(n["error"].alias("errors"), n["warning"].alias("warnings"))
+
+    def verdict_of(n: Column) -> Column:
+        return F.struct(n["errors"].alias("errors"), n["warnings"].alias("warnings"),
+                        ((n["errors"] == 0) & (n["warnings"] == 0)).alias("check_pass"), (n["errors"] == 0).alias("correct_pass"))
 
-    return bound(F.flatten(F.transform(stages, severities)), lambda found: F.when(found.isNotNull(), verdict_of(found)))
+    found = F.flatten(F.transform(stages, lambda stage: bound(_stage_parts(stage), severities)))
+    return bound(found, lambda f: F.when(f.isNotNull(), bound(counts(f), verdict_of)))
 
 
 def editor_issues(rows: DataFrame, group_cols: list[str], ord_col: str = "ord") -> DataFrame:

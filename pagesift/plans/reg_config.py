@@ -271,10 +271,14 @@ def issues_sql() -> str:
     return "(" + " UNION ALL ".join(parts) + ")"
 
 
+def _stage_texts():
+    """The stage texts of a rule, read off its JSON in one pass."""
+    return F.from_json("rule_raw", "_stages array<string>")["_stages"]
+
+
 def _stages(spark, sf):
     r = rules(spark, sf)
-    st = F.from_json(F.get_json_object("rule_raw", "$._stages"), "array<string>")
-    return r.select("id", F.posexplode(st).alias("stage_idx", "stage_json")).select(
+    return r.select("id", F.posexplode(_stage_texts()).alias("stage_idx", "stage_json")).select(
         "id", "stage_idx", F.parse_json("stage_json").alias("stage")
     )
 
@@ -383,8 +387,10 @@ def _parser_counts_sql() -> str:
 def q_config_verdict(spark, sf):
     """Per rule: counts of stage and parser-field issues, and pass flags over both, in the rule's own row."""
     r = rules(spark, sf)
-    st = F.from_json(F.get_json_object("rule_raw", "$._stages"), "array<string>")
-    return r.select("id", C.stages_verdict(F.transform(st, F.parse_json)).alias("v")).select("id", "v.*")
+    # named twice, the texts keep a projection of their own: below a lambda their expressions would not be compiled
+    r, texts = r.select("id", _stage_texts().alias("texts")), F.col("texts")
+    verdict = F.when(texts.isNotNull(), C.stages_verdict(F.transform(texts, F.parse_json)))
+    return r.select("id", verdict.alias("v")).select("id", "v.*")
 
 
 def _log_sql(mode: str) -> str:
